@@ -1 +1,486 @@
+"""Graph queries over the code base laid on the sales tables."""
 
+from pyspark.sql import functions as F
+
+from cairn.functions import text as tx
+from cairn.operators import graph as g
+from cairn.operators import traversal as tr
+from cairn.plans.oracle_tables import GRAPH, with_tables
+from cairn.plans.registry import query
+from cairn.session import cut
+from cairn.sources import lake
+
+_DIRECT = "('IMPORTS', 'INJECTS', 'IMPLEMENTS', 'EXTENDS', 'USES', 'USES_DTO', 'MAPS_TO')"
+_TYPES = f"""own AS (SELECT dst AS member, src AS owner FROM edge WHERE type = 'HAS_METHOD'),
+sown AS (SELECT dst AS member, src AS owner FROM edge WHERE type = 'HAS_STATEMENT'),
+itype AS (SELECT * FROM node WHERE label = 'JavaType' AND NOT external),
+lifted AS (SELECT DISTINCT a.owner AS src, b.owner AS dst FROM edge e JOIN own a ON e.src = a.member JOIN own b ON e.dst = b.member
+           WHERE e.type = 'CALLS'),
+tedge AS (SELECT src, dst, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM (
+            SELECT src, dst, type FROM edge WHERE type IN {_DIRECT} UNION ALL SELECT src, dst, 'CALLS' FROM lifted)
+          WHERE src <> dst AND src IN (SELECT uid FROM itype) AND dst IN (SELECT uid FROM itype) GROUP BY src, dst),
+dedge AS (SELECT coalesce(o.owner, s.owner, e.src) AS src, e.dst, string_agg(DISTINCT e.type, ',' ORDER BY e.type) AS types
+          FROM edge e LEFT JOIN own o ON e.src = o.member LEFT JOIN sown s ON e.src = s.member
+          WHERE e.type IN ('READS_FROM', 'WRITES_TO', 'MAPS_TO') AND e.dst IN (SELECT uid FROM node WHERE label = 'DatabaseTable')
+          GROUP BY 1, 2 HAVING coalesce(any_value(o.owner), any_value(s.owner), any_value(e.src)) IN (SELECT uid FROM itype))"""
+
+_LABELS = F.filter(F.array(F.col("label"), g.classification(F.col("label"), F.col("layer"))), lambda x: x.isNotNull())
+_LABELS_SQL = """tagged AS (SELECT *, list_filter([label, CASE WHEN label = 'JavaType' THEN CASE WHEN layer = 'ServiceImpl' THEN 'Service'
+    WHEN layer IN ('Service', 'Repository', 'DTO', 'Domain', 'Mapper') THEN layer END END], lambda x: x IS NOT NULL) AS labels FROM node)"""
+
+
+def _graph(spark, sf):
+    return lake.graph_nodes(spark, sf), lake.graph_edges(spark, sf)
+
+
+def _flat(df):
+    return df.withColumn("types", F.array_join("types", ","))
+
+
+@query("j7_lifted_calls", with_tables(f"{_TYPES} SELECT * FROM lifted", GRAPH))
+def lifted_calls(spark, sf):
+    return g.lifted_calls(lake.graph_edges(spark, sf))
+
+
+@query("a11_type_edges", with_tables(f"{_TYPES} SELECT * FROM tedge", GRAPH))
+def type_edges(spark, sf):
+    return _flat(g.type_edges(*_graph(spark, sf)))
+
+
+@query("j8_table_edges", with_tables(f"{_TYPES} SELECT * FROM dedge", GRAPH))
+def table_edges(spark, sf):
+    return _flat(g.table_edges(*_graph(spark, sf)))
+
+
+@query("g2_class_impact", with_tables(
+    f"""{_TYPES} SELECT src AS selected, 'outgoing' AS side, dst AS other, types FROM tedge
+    UNION ALL SELECT dst, 'incoming', src, types FROM tedge""", GRAPH))
+def class_impact(spark, sf):
+    return _flat(g.impact(g.type_edges(*_graph(spark, sf))))
+
+
+_MATRIX = f"""{_TYPES}, matrix AS (SELECT a.package_name AS src_package, b.package_name AS dst_package, count(*) AS edge_count,
+    array_to_string(list_sort(list_distinct(flatten(list(string_split(types, ','))))), ',') AS types
+    FROM tedge JOIN itype a ON src = a.uid JOIN itype b ON dst = b.uid WHERE a.package_name <> b.package_name GROUP BY 1, 2)"""
+
+
+@query("a10_package_matrix", with_tables(f"{_MATRIX} SELECT * FROM matrix", GRAPH))
+def package_matrix(spark, sf):
+    return _flat(g.package_matrix(*_graph(spark, sf)))
+
+
+_DEPENDENCIES = ("('IMPORTS', 'EXTENDS', 'IMPLEMENTS', 'INJECTS', 'USES', 'USES_DTO', 'CALLS', 'READS_FROM', 'WRITES_TO', 'MAPS_TO', "
+                 "'EXECUTES', 'HAS_STATEMENT', 'HAS_MAPPER_XML')")
+
+
+@query("j10_type_dependencies", with_tables(
+    f"""SELECT DISTINCT e.src AS selected, e.type, e.dst AS other, b.name AS other_name FROM edge e JOIN node a ON e.src = a.uid JOIN node b ON e.dst = b.uid
+    WHERE a.label = 'JavaType' AND b.label = 'JavaType' AND e.type IN {_DEPENDENCIES}""", GRAPH))
+def type_dependencies(spark, sf):
+    return g.dependencies(*_graph(spark, sf))
+
+
+@query("j11_type_impacts", with_tables(
+    f"""SELECT DISTINCT e.dst AS selected, e.type, e.src AS other, a.name AS other_name FROM edge e JOIN node a ON e.src = a.uid JOIN node b ON e.dst = b.uid
+    WHERE a.label = 'JavaType' AND b.label = 'JavaType' AND e.type IN {_DEPENDENCIES}""", GRAPH))
+def type_impacts(spark, sf):
+    return g.dependencies(*_graph(spark, sf), reverse=True)
+
+
+@query("j12_node_source", with_tables(
+    """SELECT n.uid, n.label, coalesce(n.package_name, o.package_name, '') AS package_name, n.graph_key AS source_key,
+    coalesce(f.name, pf.name, n.name || '.java') AS source_file, coalesce(o.name, n.name) AS type_name
+    FROM node n LEFT JOIN (SELECT dst, src FROM edge WHERE type = 'CONTAINS') fe ON n.uid = fe.dst LEFT JOIN node f ON f.uid = fe.src
+    LEFT JOIN (SELECT dst, src FROM edge WHERE type = 'HAS_METHOD') oe ON n.uid = oe.dst LEFT JOIN node o ON o.uid = oe.src
+    LEFT JOIN (SELECT dst, src FROM edge WHERE type = 'CONTAINS') pe ON o.uid = pe.dst LEFT JOIN node pf ON pf.uid = pe.src""", GRAPH))
+def node_source(spark, sf):
+    return g.node_source(*_graph(spark, sf), declares="CONTAINS")
+
+
+@query("a5_label_counts", with_tables(
+    f"{_LABELS_SQL} SELECT label, count(*) AS node_count FROM (SELECT unnest(labels) AS label FROM tagged) GROUP BY 1", GRAPH))
+def label_counts(spark, sf):
+    return g.label_counts(lake.graph_nodes(spark, sf), _LABELS)
+
+
+_LABEL_GRAPH = f"""{_LABELS_SQL}, lg AS (SELECT source_label, type, target_label, count(*) AS edge_count FROM (
+    SELECT s.label1 AS source_label, e.type, unnest(t.labels) AS target_label FROM edge e
+    JOIN (SELECT uid, unnest(labels) AS label1 FROM tagged) s ON e.src = s.uid JOIN tagged t ON e.dst = t.uid) GROUP BY ALL)"""
+
+
+@query("a6_label_graph", with_tables(f"{_LABEL_GRAPH} SELECT * FROM lg", GRAPH))
+def label_graph(spark, sf):
+    return g.label_graph(*_graph(spark, sf), _LABELS)
+
+
+@query("t5_label_graph_truncated", with_tables(
+    f"""{_LABEL_GRAPH} SELECT *, (SELECT count(*) FROM lg) > 10 AS truncated FROM lg ORDER BY edge_count DESC, lower(source_label), source_label,
+    lower(type), type, lower(target_label), target_label LIMIT 10""", GRAPH))
+def label_graph_truncated(spark, sf):
+    order = [F.desc("edge_count"), F.lower("source_label"), F.col("source_label"), F.lower("type"), F.col("type"),
+             F.lower("target_label"), F.col("target_label")]
+    return g.limited_with_flag(g.label_graph(*_graph(spark, sf), _LABELS), order, 10)
+
+
+@query("a24_pair_fan_out", with_tables(
+    f"""{_LABEL_GRAPH} SELECT source_label, target_label, type, edge_count, count(*) OVER (PARTITION BY source_label, target_label) AS pair_count,
+    source_label <> target_label AND (target_label, source_label) IN (SELECT (source_label, target_label) FROM lg) AS has_reverse FROM lg""", GRAPH))
+def pair_fan_out(spark, sf):
+    return g.pair_fan_out(g.label_graph(*_graph(spark, sf), _LABELS)).drop("pair_position")
+
+
+@query("w11_parallel_edge_position", """
+    SELECT l_orderkey AS src, l_suppkey AS dst, l_linenumber AS line, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) AS position
+    FROM lineitem""")
+def parallel_edge_position(spark, sf):
+    """Position of each call among the parallel ones of its pair, whatever the size of the pair."""
+    from cairn.operators.ordering import positions
+
+    li = lake.raw(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_linenumber", "l_partkey")
+    return positions(li, ["l_suppkey", "l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey"], "position").select(
+        F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_linenumber").alias("line"), "position")
+
+
+_PROPS = ["uid", "name", "layer", "package_name", "graph_key", "project_id"]
+
+
+@query("a9_node_degrees", with_tables(
+    """d AS (SELECT uid, count(*) AS degree FROM (SELECT src AS uid FROM edge UNION ALL SELECT dst FROM edge WHERE src <> dst) GROUP BY 1)
+    SELECT node.uid, coalesce(degree, 0) AS degree, 4 + (layer IS NOT NULL)::BIGINT + (package_name IS NOT NULL)::BIGINT AS property_count
+    FROM node LEFT JOIN d USING (uid)""", GRAPH))
+def node_degrees(spark, sf):
+    return g.degrees(*_graph(spark, sf)).select("uid", "degree", g.property_count(*_PROPS).alias("property_count"))
+
+
+@query("t6_node_detail_edges", with_tables(
+    """d AS (SELECT uid FROM (SELECT src AS uid FROM edge UNION ALL SELECT dst FROM edge) GROUP BY 1 ORDER BY count(*) DESC, uid LIMIT 1),
+    around AS (SELECT 'OUTGOING' AS direction, type, dst AS other, graph_key FROM edge WHERE src IN (SELECT uid FROM d)
+               UNION ALL SELECT 'INCOMING', type, src, graph_key FROM edge WHERE dst IN (SELECT uid FROM d))
+    SELECT direction, type, other, name AS other_name FROM around a JOIN node ON other = uid
+    ORDER BY type, lower(name), other, direction, a.graph_key LIMIT 500""", GRAPH))
+def node_detail_edges(spark, sf):
+    """Edges shown for the best connected node of the graph."""
+    nodes, edges = _graph(spark, sf)
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("uid")).groupBy("uid").count()
+    best = ends.orderBy(F.desc("count"), "uid").limit(1).select("uid")
+    return g.detail_edges(edges, nodes, best).select("direction", "type", "other", "other_name")
+
+
+@query("p6_keyword_search", with_tables(
+    f"""{_LABELS_SQL} SELECT uid FROM tagged WHERE list_contains(labels, 'JavaType') AND (
+    len(list_filter(labels, lambda x: lower(x) LIKE '%asia%')) > 0 OR lower(concat_ws('|', uid, name, layer, package_name, graph_key, project_id)) LIKE '%asia%')""", GRAPH))
+def keyword_search(spark, sf):
+    return lake.graph_nodes(spark, sf).where(g.keyword_match(_LABELS, _PROPS, "JavaType", "ASIA")).select("uid")
+
+
+@query("p7_display_name", with_tables("SELECT uid, coalesce(package_name, name) AS display_name FROM node", GRAPH))
+def display_name(spark, sf):
+    return lake.graph_nodes(spark, sf).select("uid", F.coalesce("package_name", "name", "uid").alias("display_name"))
+
+
+@query("p8_masked_properties", with_tables(
+    """SELECT uid, '******' AS api_key, name, '******' AS access_token FROM node""", GRAPH))
+def masked_properties(spark, sf):
+    props = F.create_map(F.lit("api_KEY"), "graph_key", F.lit("name"), "name", F.lit("accessToken"), "uid")
+    masked = tx.mask_properties(props)
+    return lake.graph_nodes(spark, sf).select("uid", masked["api_KEY"].alias("api_key"), masked["name"].alias("name"),
+                                              masked["accessToken"].alias("access_token"))
+
+
+@query("p16_architecture_role", with_tables(
+    """SELECT uid, CASE WHEN layer = 'Controller' THEN 'Controller' WHEN layer IN ('Service', 'ServiceImpl') THEN 'Service'
+    WHEN layer IN ('Repository', 'Mapper') THEN layer WHEN layer IN ('DTO', 'Domain') THEN 'DataModel'
+    WHEN label IN ('DatabaseTable', 'ApiEndpoint', 'SqlStatement') THEN label ELSE 'Common' END AS role FROM node""", GRAPH))
+def architecture_role(spark, sf):
+    return lake.graph_nodes(spark, sf).select("uid", g.role(F.col("label"), F.col("layer")).alias("role"))
+
+
+@query("p19_node_package", with_tables(
+    "SELECT uid, coalesce(package_name, CASE WHEN name LIKE '%.%' THEN regexp_extract(name, '^(.*)\\.[^.]*$', 1) END, '(default package)') AS package FROM node", GRAPH))
+def node_package(spark, sf):
+    return lake.graph_nodes(spark, sf).select("uid", g.package_of(F.col("package_name"), F.col("name")).alias("package"))
+
+
+@query("p20_project_nodes", with_tables("SELECT uid, label FROM node WHERE project_id = 'vendor'", GRAPH))
+def project_nodes(spark, sf):
+    return lake.graph_nodes(spark, sf).where(F.col("project_id") == "vendor").select("uid", "label")
+
+
+@query("a8_java_file_count", """SELECT count(DISTINCT url) AS file_count FROM pages WHERE lower(url) LIKE '%ref=x' OR lower(url) LIKE '%.html'""")
+def java_file_count(spark, sf):
+    """Distinct files by suffix, asked of the page addresses."""
+    u = F.lower("url")
+    return lake.raw(spark, sf, "pages").where(u.endswith("ref=x") | u.endswith(".html")).agg(F.countDistinct("url").alias("file_count"))
+
+
+_OBSERVED = """obs AS (SELECT 'part:' || l_partkey AS uid, l_orderkey * 10 + l_linenumber AS seq, 'L' || l_linenumber AS label, 'order' || l_orderkey AS name,
+    l_linestatus = 'O' AS external, l_returnflag AS flag, CASE WHEN l_linestatus = 'O' THEN l_suppkey::VARCHAR END AS supplier
+    FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_orderkey, l_linenumber ORDER BY l_suppkey) = 1)"""
+
+
+@query("a12_merged_nodes", with_tables(
+    """SELECT uid, arg_min(label, seq) AS label, arg_max(name, seq) AS name, bool_and(external) AS external,
+    arg_max(flag, seq) AS flag, arg_max(supplier, seq) FILTER (supplier IS NOT NULL) AS supplier FROM obs GROUP BY uid""", _OBSERVED))
+def merged_nodes(spark, sf):
+    li = lake.raw(spark, sf, "lineitem").dropDuplicates(["l_partkey", "l_orderkey", "l_linenumber"])
+    props = F.map_filter(F.create_map(F.lit("flag"), "l_returnflag", F.lit("supplier"),
+                                      F.when(F.col("l_linestatus") == "O", F.col("l_suppkey").cast("string"))), lambda k, v: v.isNotNull())
+    obs = li.select(
+        F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("uid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("label"), F.concat(F.lit("order"), F.col("l_orderkey").cast("string")).alias("name"),
+        (F.col("l_linestatus") == "O").alias("external"), props.alias("props"))
+    return g.merge_nodes(obs).select("uid", "label", "name", "external", F.col("props")["flag"].alias("flag"), F.col("props")["supplier"].alias("supplier"))
+
+
+@query("s9_graph_write", with_tables(
+    "SELECT DISTINCT src, dst, type, graph_key FROM edge WHERE src IN (SELECT uid FROM itype) AND dst IN (SELECT uid FROM node)",
+    GRAPH, "itype AS (SELECT * FROM node WHERE NOT external)"))
+def graph_write(spark, sf):
+    """What a write stores: merged edges whose two ends were stored; external nodes were not sent."""
+    nodes, edges = _graph(spark, sf)
+    sources = nodes.where(~F.col("external"))
+    stored = g.storable_edges(edges, nodes)
+    return stored.join(sources.select(F.col("uid").alias("src")), "src", "left_semi").select("src", "dst", "type", "graph_key")
+
+
+_OVERVIEW = """ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY name, uid) AS rn FROM {scope}),
+placed AS (SELECT *, CASE WHEN rn <= {quota} THEN 0 ELSE 1 END AS phase FROM ranked),
+shown AS (SELECT * FROM placed ORDER BY phase, label, name, uid LIMIT {limit})"""
+
+
+@query("w4_overview", with_tables(
+    f"{_OVERVIEW.format(scope='node', quota=29, limit=600)} SELECT uid, label, name, phase FROM shown", GRAPH))
+def overview(spark, sf):
+    return g.overview(lake.graph_nodes(spark, sf), 600).select("uid", "label", "name", "phase")
+
+
+_MATCHED = """matched AS (SELECT * FROM node WHERE lower(name) LIKE '%japan%' OR lower(label) LIKE '%japan%' OR lower(package_name) LIKE '%japan%'),
+keys AS (SELECT DISTINCT graph_key FROM matched ORDER BY 1 LIMIT 20),
+scope AS (SELECT * FROM node WHERE graph_key IN (SELECT graph_key FROM keys) OR uid IN (SELECT uid FROM matched))"""
+
+
+@query("w5_matched_overview", with_tables(
+    f"{_MATCHED}, {_OVERVIEW.format(scope='scope', quota=3, limit=60)} SELECT uid, label, name, phase FROM shown", GRAPH))
+def matched_overview(spark, sf):
+    return g.overview(g.matched_scope(lake.graph_nodes(spark, sf), " Japan "), 60).select("uid", "label", "name", "phase")
+
+
+@query("u4_not_yet_selected", with_tables(
+    f"{_OVERVIEW.format(scope='node', quota=29, limit=600)} SELECT label, count(*) AS left_over FROM node WHERE uid NOT IN (SELECT uid FROM shown) GROUP BY 1", GRAPH))
+def not_yet_selected(spark, sf):
+    nodes = lake.graph_nodes(spark, sf)
+    return nodes.join(g.overview(nodes, 600).select("uid"), "uid", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("left_over"))
+
+
+@query("j9_induced_edges", with_tables(
+    f"""{_OVERVIEW.format(scope='node', quota=29, limit=600)} SELECT type, src, dst, graph_key FROM edge
+    WHERE src IN (SELECT uid FROM shown) AND dst IN (SELECT uid FROM shown) ORDER BY type, src, dst, graph_key LIMIT 3600""", GRAPH))
+def induced_edges(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return g.induced_edges(edges, g.overview(nodes, 600), 600)
+
+
+@query("a19_package_tree", with_tables(
+    f"""{_TYPES} SELECT path, count(*) AS type_count FROM (SELECT unnest([string_split(package_name, '.')[1],
+    array_to_string(string_split(package_name, '.')[1:2], '.'), package_name]) AS path FROM itype) GROUP BY 1""", GRAPH))
+def package_tree(spark, sf):
+    return g.package_tree(g.internal_types(lake.graph_nodes(spark, sf)))
+
+
+@query("a20_common_package_prefix", """
+    SELECT CASE WHEN len(shared) >= 2 THEN array_to_string(shared, '.') ELSE '' END AS root FROM (
+      SELECT list(part ORDER BY pos) AS shared FROM (
+        SELECT pos, min(part) AS part, bool_and(same) OVER (ORDER BY pos) AS ok FROM (
+          SELECT pos, min(part) AS part, count(DISTINCT part) = 1 AND count(*) = (SELECT count(*) FROM documents) AS same
+          FROM (SELECT unnest(string_split('com.acme.' || lang || '.' || source, '.')) AS part, unnest([1, 2, 3, 4]) AS pos FROM documents) GROUP BY pos)
+        GROUP BY pos, same) WHERE ok)""")
+def common_package_prefix(spark, sf):
+    packages = lake.raw(spark, sf, "documents").select(F.concat_ws(".", F.lit("com.acme"), "lang", "source").alias("package_name"))
+    return g.common_prefix(packages)
+
+
+@query("a21_layer_counts", with_tables(
+    """SELECT CASE WHEN label = 'DatabaseTable' THEN 3 WHEN layer IN ('Repository', 'Mapper') THEN 2 WHEN layer IN ('Service', 'ServiceImpl') THEN 1
+    WHEN layer = 'Controller' THEN 0 END AS stage, count(*) AS node_count FROM node WHERE label = 'DatabaseTable' OR layer IN ('Repository', 'Mapper', 'Service', 'ServiceImpl', 'Controller')
+    GROUP BY 1""", GRAPH))
+def layer_counts(spark, sf):
+    kind = g.role(F.col("label"), F.col("layer"))
+    stage = F.lit(None).cast("int")
+    for name, value in tr.FLOW_STAGE.items():
+        stage = F.when(kind == name, value).otherwise(stage)
+    return lake.graph_nodes(spark, sf).select(stage.alias("stage")).where("stage IS NOT NULL").groupBy("stage").agg(F.count(F.lit(1)).alias("node_count"))
+
+
+@query("g7_package_hierarchy", """
+    WITH page AS (SELECT DISTINCT 'web' || replace(regexp_extract(url, '^https?://[^/]*([^?#]*)', 1), '/', '.') AS package FROM pages),
+    pkg AS (SELECT package FROM page UNION SELECT DISTINCT regexp_extract(package, '^(web\\.[^.]+)\\.', 1) FROM page WHERE package LIKE 'web.%.%')
+    SELECT a.package, (SELECT b.package FROM pkg b WHERE starts_with(a.package, b.package || '.') ORDER BY length(b.package) DESC LIMIT 1) AS parent FROM pkg a""")
+def package_hierarchy(spark, sf):
+    """Address paths as packages, the language folders among them."""
+    page = lake.raw(spark, sf, "pages").select(
+        F.concat(F.lit("web"), F.replace(F.regexp_extract("url", "^https?://[^/]*([^?#]*)", 1), F.lit("/"), F.lit("."))).alias("package_name"))
+    folders = page.where(F.col("package_name").like("web.%.%")).select(F.regexp_extract("package_name", "^(web\\.[^.]+)\\.", 1).alias("package_name"))
+    return g.nearest_parent(page.unionByName(folders))
+
+
+@query("g9_package_containers", with_tables(
+    f"""{_TYPES} SELECT 'package:' || package_name AS source, uid AS target, 'CONTAINS' AS type, 'contains' AS link_kind FROM itype
+    UNION ALL SELECT src, dst, replace(types, ',', ', '), 'dependency' FROM tedge""", GRAPH))
+def package_containers(spark, sf):
+    return g.container_links(*_graph(spark, sf))
+
+
+@query("g10_generation_graph", with_tables(
+    """SELECT a.graph_key AS generation, e.type, count(*) AS edge_count FROM edge e JOIN node a ON e.src = a.uid JOIN node b ON e.dst = b.uid
+    WHERE a.graph_key = b.graph_key GROUP BY ALL""", GRAPH))
+def generation_graph(spark, sf):
+    return g.same_generation(*_graph(spark, sf)).groupBy("generation", "type").agg(F.count(F.lit(1)).alias("edge_count"))
+
+
+@query("g8_package_scope", with_tables(
+    f"""{_TYPES}, sel AS (SELECT uid FROM itype WHERE package_name = 'com.europe.france'),
+    tl AS (SELECT DISTINCT src, dst, type FROM (SELECT src, dst, type FROM edge WHERE type IN {_DIRECT} UNION ALL SELECT src, dst, 'CALLS' FROM lifted)
+           WHERE src <> dst AND src IN (SELECT uid FROM itype) AND dst IN (SELECT uid FROM itype)
+             AND (src IN (SELECT uid FROM sel) OR dst IN (SELECT uid FROM sel))),
+    st AS (SELECT DISTINCT src, dst, type FROM edge WHERE type = 'HAS_STATEMENT' AND src IN (SELECT uid FROM sel)),
+    ac AS (SELECT DISTINCT o.owner AS src, e.dst, e.type FROM edge e JOIN own o ON e.src = o.member WHERE e.type IN ('READS_FROM', 'WRITES_TO') AND o.owner IN (SELECT uid FROM sel)),
+    tt AS (SELECT DISTINCT src, dst, type FROM edge WHERE (src IN (SELECT uid FROM sel) OR src IN (SELECT dst FROM st)) AND dst IN (SELECT uid FROM node WHERE label = 'DatabaseTable'))
+    SELECT * FROM tl UNION SELECT * FROM st UNION SELECT * FROM ac UNION SELECT * FROM tt""", GRAPH))
+def package_scope(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return g.package_scope(nodes, edges, "com.europe.france")
+
+
+@query("c13_controller_rule", with_tables(
+    f"""{_TYPES} SELECT uid, 'controller-must-not-call-repository' AS rule_id, CASE WHEN uid IN (SELECT src FROM lifted JOIN node r ON dst = r.uid WHERE r.layer = 'Repository')
+    THEN 'VIOLATES' ELSE 'CONFORMS_TO' END AS type FROM itype WHERE layer = 'Controller'""", GRAPH))
+def controller_rule(spark, sf):
+    return g.controller_rule(*_graph(spark, sf))
+
+
+@query("c14_service_rule", with_tables(
+    f"""{_TYPES} SELECT uid, 'service-impl-must-implement-service' AS rule_id, CASE WHEN uid IN (SELECT src FROM edge JOIN node t ON dst = t.uid
+    WHERE edge.type = 'EXTENDS' AND lower(t.name) LIKE '%service' AND t.package_name LIKE 'com.a%') THEN 'CONFORMS_TO' ELSE 'VIOLATES' END AS type FROM itype WHERE layer = 'ServiceImpl'""", GRAPH))
+def service_rule(spark, sf):
+    """Base types outside the regions starting with A lose their service name, so some types violate."""
+    nodes, edges = _graph(spark, sf)
+    renamed = nodes.withColumn("name", F.when(F.col("name").endswith("Service") & ~F.col("package_name").like("com.a%"), "Base").otherwise(F.col("name")))
+    return g.service_rule(renamed, edges, implements="EXTENDS")
+
+
+@query("j20_rule_evaluation", with_tables(
+    f"""{_TYPES} SELECT uid AS src, unnest(['rule:p:naming', 'rule:x', 'rule:p:layering']) AS dst, unnest(['CONFORMS_TO', 'CONFORMS_TO', 'VIOLATES']) AS type FROM itype""", GRAPH))
+def rule_evaluation(spark, sf):
+    return g.rule_evaluations(lake.graph_nodes(spark, sf), ["naming", "rule:x", " "], [" layering"], "p")
+
+
+_GONE = "gone AS (SELECT DISTINCT 'ship:' || year(l_shipdate) AS graph_key FROM lineitem WHERE year(l_shipdate) < 1999 UNION SELECT 'nation:' || n_nationkey FROM nation WHERE n_regionkey < 2)"
+
+
+@query("d8_graph_delete", with_tables(
+    f"""{_GONE}, e1 AS (SELECT * FROM edge WHERE graph_key NOT IN (SELECT graph_key FROM gone)),
+    n1 AS (SELECT * FROM node n WHERE label NOT IN ('JavaType', 'Method', 'DatabaseTable', 'SqlStatement') OR uid IN (SELECT src FROM e1 UNION SELECT dst FROM e1)),
+    n2 AS (SELECT * FROM n1 WHERE label <> 'Package' OR uid IN (SELECT src FROM e1 WHERE type = 'CONTAINS' AND dst IN (SELECT uid FROM n1 WHERE label = 'JavaType')))
+    SELECT uid, label FROM n2""", GRAPH))
+def graph_delete(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    ships = lake.raw(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y")).where("y < 1999").distinct().select(
+        F.concat(F.lit("ship:"), F.col("y").cast("string")).alias("graph_key"))
+    nations = lake.raw(spark, sf, "nation").where("n_regionkey < 2").select(
+        F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("graph_key"))
+    kept, _ = g.delete_graph(nodes, edges, ships.unionByName(nations), containment=(("Package", "JavaType"),))
+    return kept.select("uid", "label")
+
+
+@query("g6_orphan_cascade", with_tables(
+    f"""{_GONE}, e1 AS (SELECT * FROM edge WHERE graph_key NOT IN (SELECT graph_key FROM gone)),
+    n1 AS (SELECT * FROM node n WHERE label NOT IN ('JavaType', 'Method', 'DatabaseTable', 'SqlStatement') OR uid IN (SELECT src FROM e1 UNION SELECT dst FROM e1)),
+    n2 AS (SELECT * FROM n1 WHERE label <> 'Package' OR uid IN (SELECT src FROM e1 WHERE type = 'CONTAINS' AND dst IN (SELECT uid FROM n1 WHERE label = 'JavaType')))
+    SELECT type, graph_key, count(*) AS edge_count FROM e1 WHERE src NOT IN (SELECT uid FROM n1 WHERE uid NOT IN (SELECT uid FROM n2))
+    AND dst NOT IN (SELECT uid FROM n1 WHERE uid NOT IN (SELECT uid FROM n2)) GROUP BY ALL""", GRAPH))
+def orphan_cascade(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    ships = lake.raw(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y")).where("y < 1999").distinct().select(
+        F.concat(F.lit("ship:"), F.col("y").cast("string")).alias("graph_key"))
+    nations = lake.raw(spark, sf, "nation").where("n_regionkey < 2").select(
+        F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("graph_key"))
+    _, left = g.delete_graph(nodes, edges, ships.unionByName(nations), containment=(("Package", "JavaType"),))
+    return left.groupBy("type", "graph_key").agg(F.count(F.lit(1)).alias("edge_count"))
+
+
+_WALK = """seed AS (SELECT uid FROM node WHERE label = 'JavaType' AND name LIKE 'Base%' ORDER BY uid LIMIT 100),
+und AS (SELECT DISTINCT src AS near, dst AS uid FROM edge WHERE type NOT IN ('CONTAINS', 'GENERATED', 'INGESTED')
+        UNION SELECT DISTINCT dst, src FROM edge WHERE type NOT IN ('CONTAINS', 'GENERATED', 'INGESTED')),
+ok AS (SELECT uid FROM node WHERE project_id = 'commerce'),
+h0 AS (SELECT uid, 0 AS depth FROM seed SEMI JOIN ok USING (uid)),
+h1 AS (SELECT DISTINCT u.uid, 1 AS depth FROM und u SEMI JOIN h0 ON u.near = h0.uid SEMI JOIN ok ON u.uid = ok.uid ANTI JOIN h0 ON u.uid = h0.uid),
+h2 AS (SELECT DISTINCT u.uid, 2 AS depth FROM und u SEMI JOIN h1 ON u.near = h1.uid SEMI JOIN ok ON u.uid = ok.uid ANTI JOIN h0 ON u.uid = h0.uid ANTI JOIN h1 ON u.uid = h1.uid)"""
+
+
+@query("g1_neighbourhood", with_tables(
+    f"{_WALK} SELECT uid, depth FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2) ORDER BY depth, uid LIMIT 600", GRAPH))
+def neighbourhood(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    seeds = nodes.where((F.col("label") == "JavaType") & F.col("name").like("Base%")).select("uid")
+    return tr.neighbourhood(nodes, edges, seeds, depth=2, project="commerce")
+
+
+_FLOW = f"""{_TYPES}, staged AS (SELECT uid, label, external, layer, CASE WHEN label = 'DatabaseTable' THEN 3 WHEN layer IN ('Repository', 'Mapper') THEN 2
+    WHEN layer IN ('Service', 'ServiceImpl') THEN 1 WHEN layer = 'Controller' THEN 0 END AS stage FROM node),
+flow AS (SELECT e.src, e.dst, replace(types, ',', ', ') AS types FROM (FROM tedge UNION ALL FROM dedge) e JOIN staged a ON e.src = a.uid JOIN staged b ON e.dst = b.uid
+         WHERE a.stage <= b.stage AND e.src <> e.dst),
+reach AS (SELECT uid FROM staged WHERE stage = 0 AND NOT external UNION SELECT flow.dst FROM reach JOIN flow ON flow.src = reach.uid)"""
+
+
+@query("g3_layer_flow_nodes", with_tables(f"{_FLOW} SELECT uid, stage FROM staged SEMI JOIN reach USING (uid)", GRAPH, recursive=True))
+def layer_flow_nodes(spark, sf):
+    kept, _ = tr.layer_flow(*_graph(spark, sf))
+    return kept.select("uid", "stage")
+
+
+@query("g3_layer_flow_edges", with_tables(
+    f"{_FLOW} SELECT * FROM flow WHERE src IN (SELECT uid FROM reach) AND dst IN (SELECT uid FROM reach)", GRAPH, recursive=True))
+def layer_flow_edges(spark, sf):
+    return tr.layer_flow(*_graph(spark, sf))[1]
+
+
+def _package_pairs(spark, sf):
+    """Package dependencies with enough calls behind them (customer's nation to supplier's nation)."""
+    li = lake.raw(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    o = lake.raw(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    c = lake.raw(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
+    s = lake.raw(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst"))
+    by_customer = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    pairs = (by_customer.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+             .groupBy("src", "dst").agg(F.sum("n").alias("n")))
+    total = li.agg((F.count(F.lit(1)) / 400).alias("bound"))
+    kept = pairs.where("src <> dst").join(F.broadcast(total), F.col("n") >= F.col("bound"))  # one row
+    name = lake.raw(spark, sf, "nation").select("n_nationkey", "n_name")
+    named = kept.join(name.select(F.col("n_nationkey").alias("src"), F.col("n_name").alias("src_name")), "src").join(
+        name.select(F.col("n_nationkey").alias("dst"), F.col("n_name").alias("dst_name")), "dst")
+    return cut(named.select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst")))
+
+
+_PAIRS = """pair AS (SELECT a.n_name AS src, b.n_name AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey
+    WHERE a.n_name <> b.n_name GROUP BY 1, 2 HAVING count(*) >= (SELECT count(*) / 400 FROM lineitem)),
+reach AS (SELECT src, dst FROM pair UNION SELECT reach.src, pair.dst FROM reach JOIN pair ON reach.dst = pair.src),
+grp AS (SELECT a.src AS member, min(a.dst) AS component, count(*) AS size FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1 HAVING count(*) > 1)"""
+
+
+@query("g4_package_cycles", with_tables("SELECT component, member, size FROM grp", _PAIRS, recursive=True))
+def package_cycles(spark, sf):
+    return tr.strongly_connected(_package_pairs(spark, sf))
+
+
+@query("g5_cycle_paths", with_tables(
+    """inside AS (SELECT p.src, p.dst, a.component FROM pair p JOIN grp a ON p.src = a.member JOIN grp b ON p.dst = b.member AND a.component = b.component),
+    walk AS (SELECT component, component AS node, [component] AS path FROM (SELECT DISTINCT component FROM grp)
+             UNION ALL SELECT w.component, i.dst, list_append(w.path, i.dst) FROM walk w JOIN inside i ON w.component = i.component AND w.node = i.src
+             WHERE (len(w.path) = 1 OR w.node <> w.component) AND len(w.path) < 5 AND (i.dst = w.component OR NOT list_contains(w.path, i.dst)))
+    SELECT component, array_to_string(path, ' > ') AS path FROM walk WHERE len(path) > 1 AND node = component
+    QUALIFY row_number() OVER (PARTITION BY component ORDER BY len(path), path) = 1""", _PAIRS, recursive=True))
+def cycle_paths(spark, sf):
+    pairs = _package_pairs(spark, sf)
+    members = cut(tr.strongly_connected(pairs))
+    return tr.cycle_paths(pairs, members).select("component", F.array_join("path", " > ").alias("path"))

@@ -19,27 +19,32 @@ def _is_result(node: Column) -> Column:
     return F.get_json_object(node, "$.status").isNotNull() | F.get_json_object(node, "$.findings").isNotNull()
 
 
-def _items(node: Column) -> Column:
-    """Elements of a JSON array, or the value itself."""
-    return F.when(F.ltrim(node).startswith("["), F.transform(
-        F.from_json(node, "array<string>"), lambda e: e)).otherwise(F.array(node))
+def _items(path: Column, node: Column) -> Column:
+    """Elements of a JSON array with their position appended to the path, or the value itself."""
+    elements = F.transform(
+        F.from_json(node, "array<string>"),
+        lambda e, i: F.struct(F.concat(path, F.lpad(i.cast("string"), 9, "0")).alias("path"), e.alias("node")))
+    return F.when(F.ltrim(node).startswith("["), elements).otherwise(
+        F.array(F.struct(path.alias("path"), node.alias("node"))))
 
 
 def result_object(text: Column) -> Column:
-    """JSON text of the first object with ``status`` or ``findings``.
+    """JSON text of the first object with ``status`` or ``findings``, depth first.
 
-    Level by level: strings and arrays are opened, wrapper keys followed in their order; a result at
-    a shallower level wins. Children of a result are not searched.
+    Strings and arrays are opened and wrapper keys followed in their order. The levels are walked
+    together; the path kept with each value tells which result a depth-first search meets first.
+    A result's own children are not searched.
     """
-    level = _items(text)
-    found = F.lit(None).cast("string")
+    level = _items(F.lit(""), text)
+    hits = F.filter(level, lambda n: _is_result(n["node"]))
     for _ in range(MAX_WRAPPING):
-        hits = F.filter(level, lambda n: _is_result(n))
-        found = F.coalesce(found, F.get(hits, 0))
-        children = F.flatten(F.transform(level, lambda n: F.filter(
-            F.array(*[F.get_json_object(n, f"$.{w}") for w in WRAPPERS]), lambda v: v.isNotNull())))
-        level = F.flatten(F.transform(children, lambda v: F.coalesce(_items(v), F.array().cast("array<string>"))))
-    return found
+        inner = F.filter(level, lambda n: ~_is_result(n["node"]))
+        children = F.flatten(F.transform(inner, lambda n: F.filter(F.array(*[
+            F.struct(F.concat(n["path"], F.lit(str(i))).alias("path"), F.get_json_object(n["node"], f"$.{w}").alias("node"))
+            for i, w in enumerate(WRAPPERS)]), lambda v: v["node"].isNotNull())))
+        level = F.flatten(F.transform(children, lambda v: F.coalesce(_items(v["path"], v["node"]), F.array())))
+        hits = F.concat(hits, F.filter(level, lambda n: _is_result(n["node"])))
+    return F.array_min(hits)["node"]
 
 
 def findings(files: DataFrame, text_column: str = "response") -> DataFrame:
