@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cairn.functions.text import clamp, first_text, non_blank
+from cairn.session import cut
 
 # The closed ontology and the relationship sets of the analyses.
 NODE_LABELS = (
@@ -195,9 +196,11 @@ def label_graph(nodes: DataFrame, edges: DataFrame, labels: Column) -> DataFrame
     Edges are counted per pair of label *sets* first, so the labels are unnested on a handful of rows.
     """
     tags = nodes.select("uid", labels.alias("labels"))
+    # Counting per (source labels, target) between the joins leaves one row per target and kind of source.
     pairs = (
-        edges.groupBy("src", "dst", "type").agg(F.count(F.lit(1)).alias("n"))
+        edges.select("src", "dst", "type")
         .join(tags.select(F.col("uid").alias("src"), F.col("labels").alias("src_labels")), "src")
+        .groupBy("src_labels", "type", "dst").agg(F.count(F.lit(1)).alias("n"))
         .join(tags.select(F.col("uid").alias("dst"), F.col("labels").alias("dst_labels")), "dst")
         .groupBy("src_labels", "type", "dst_labels").agg(F.sum("n").alias("n"))
     )
@@ -301,10 +304,10 @@ def matched_scope(nodes: DataFrame, text: str, max_keys: int = 20) -> DataFrame:
 
 def induced_edges(edges: DataFrame, chosen: DataFrame, node_bound: int) -> DataFrame:
     """Edges with both ends in a node set of at most ``node_bound`` nodes, capped by the size of the set."""
-    ids = chosen.select("uid").distinct()
+    ids = cut(chosen.select("uid").limit(node_bound))
     limit = clamp(node_bound * 6, 200, 5000)
-    inside = edges.join(ids.withColumnRenamed("uid", "src"), "src", "left_semi").join(
-        ids.withColumnRenamed("uid", "dst"), "dst", "left_semi")
+    inside = edges.join(F.broadcast(ids.withColumnRenamed("uid", "src")), "src", "left_semi").join(
+        F.broadcast(ids.withColumnRenamed("uid", "dst")), "dst", "left_semi")
     return inside.select("type", "src", "dst", "graph_key").orderBy("type", "src", "dst", "graph_key").limit(limit)
 
 
@@ -362,19 +365,25 @@ CONTAINMENT = (("Package", "SourceFile"), ("Module", "Package"), ("Project", "Mo
 
 
 def delete_graph(nodes: DataFrame, edges: DataFrame, graph_keys: DataFrame, containment=CONTAINMENT) -> tuple[DataFrame, DataFrame]:
-    """Remove graphs by key: their edges and containers, facts left isolated, then containers left empty."""
-    edges = edges.join(graph_keys, "graph_key", "left_anti").select(*edges.columns)
+    """Remove graphs by key: their edges and containers, facts left isolated, then containers left empty.
+
+    Each step reads what the one before left of both tables, so the steps are written out; otherwise
+    every later step would run all earlier ones again, twice.
+    """
+    edges = cut(edges.join(graph_keys, "graph_key", "left_anti").select(*edges.columns))
     containers = nodes.where(F.col("label").isin(*CONTAINER_LABELS)).join(graph_keys, "graph_key", "left_semi")
-    nodes = nodes.join(containers.select("uid"), "uid", "left_anti")
+    containers = cut(containers.select("uid"))
+    nodes = nodes.join(containers, "uid", "left_anti")
     edges = _without_edges_of(edges, containers).select(*edges.columns)
     linked = edges.select(F.explode(F.array("src", "dst")).alias("uid")).distinct().withColumn("_linked", F.lit(True))
     columns = nodes.columns
     nodes = nodes.join(linked, "uid", "left").where(
         ~F.col("label").isin(*FACT_LABELS) | F.col("_linked").isNotNull()).select(*columns)
+    nodes = cut(nodes)
     for outer, inner in containment:
         inside = nodes.where(F.col("label") == inner).select(F.col("uid").alias("dst"))
         holders = edges.where(F.col("type") == "CONTAINS").join(inside, "dst", "left_semi").select(F.col("src").alias("uid")).distinct()
-        empty = nodes.where(F.col("label") == outer).join(holders, "uid", "left_anti")
+        empty = cut(nodes.where(F.col("label") == outer).join(holders, "uid", "left_anti").select("uid"))
         nodes = nodes.join(empty.select("uid"), "uid", "left_anti").select(*columns)
         edges = _without_edges_of(edges, empty).select("src", "dst", "type", "graph_key")
     return nodes, edges

@@ -213,20 +213,20 @@ def java_file_count(spark, sf):
     return lake.raw(spark, sf, "pages").where(u.endswith("ref=x") | u.endswith(".html")).agg(F.countDistinct("url").alias("file_count"))
 
 
-_OBSERVED = """obs AS (SELECT 'part:' || l_partkey AS uid, l_orderkey * 10 + l_linenumber AS seq, 'L' || l_linenumber AS label, 'order' || l_orderkey AS name,
+_OBSERVED = """obs AS (SELECT 'part:' || l_partkey AS uid, (l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_linestatus) AS seq, 'L' || l_linenumber AS label, 'order' || l_orderkey AS name,
     l_linestatus = 'O' AS external, l_returnflag AS flag, CASE WHEN l_linestatus = 'O' THEN l_suppkey::VARCHAR END AS supplier
-    FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_orderkey, l_linenumber ORDER BY l_suppkey) = 1)"""
+    FROM lineitem)"""
 
 
 @query("a12_merged_nodes", with_tables(
     """SELECT uid, arg_min(label, seq) AS label, arg_max(name, seq) AS name, bool_and(external) AS external,
     arg_max(flag, seq) AS flag, arg_max(supplier, seq) FILTER (supplier IS NOT NULL) AS supplier FROM obs GROUP BY uid""", _OBSERVED))
 def merged_nodes(spark, sf):
-    li = lake.raw(spark, sf, "lineitem").dropDuplicates(["l_partkey", "l_orderkey", "l_linenumber"])
+    li = lake.raw(spark, sf, "lineitem")
     props = F.map_filter(F.create_map(F.lit("flag"), "l_returnflag", F.lit("supplier"),
                                       F.when(F.col("l_linestatus") == "O", F.col("l_suppkey").cast("string"))), lambda k, v: v.isNotNull())
     obs = li.select(
-        F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("uid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("uid"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus").alias("seq"),
         F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("label"), F.concat(F.lit("order"), F.col("l_orderkey").cast("string")).alias("name"),
         (F.col("l_linestatus") == "O").alias("external"), props.alias("props"))
     return g.merge_nodes(obs).select("uid", "label", "name", "external", F.col("props")["flag"].alias("flag"), F.col("props")["supplier"].alias("supplier"))
@@ -254,7 +254,7 @@ def overview(spark, sf):
     return g.overview(lake.graph_nodes(spark, sf), 600).select("uid", "label", "name", "phase")
 
 
-_MATCHED = """matched AS (SELECT * FROM node WHERE lower(name) LIKE '%japan%' OR lower(label) LIKE '%japan%' OR lower(package_name) LIKE '%japan%'),
+_MATCHED = """matched AS (SELECT * FROM node WHERE lower(name) LIKE '%nation_%' OR lower(label) LIKE '%nation_%' OR lower(package_name) LIKE '%nation_%'),
 keys AS (SELECT DISTINCT graph_key FROM matched ORDER BY 1 LIMIT 20),
 scope AS (SELECT * FROM node WHERE graph_key IN (SELECT graph_key FROM keys) OR uid IN (SELECT uid FROM matched))"""
 
@@ -262,7 +262,7 @@ scope AS (SELECT * FROM node WHERE graph_key IN (SELECT graph_key FROM keys) OR
 @query("w5_matched_overview", with_tables(
     f"{_MATCHED}, {_OVERVIEW.format(scope='scope', quota=3, limit=60)} SELECT uid, label, name, phase FROM shown", GRAPH))
 def matched_overview(spark, sf):
-    return g.overview(g.matched_scope(lake.graph_nodes(spark, sf), " Japan "), 60).select("uid", "label", "name", "phase")
+    return g.overview(g.matched_scope(lake.graph_nodes(spark, sf), " Nation_ "), 60).select("uid", "label", "name", "phase")
 
 
 @query("u4_not_yet_selected", with_tables(
@@ -338,7 +338,7 @@ def generation_graph(spark, sf):
 
 
 @query("g8_package_scope", with_tables(
-    f"""{_TYPES}, sel AS (SELECT uid FROM itype WHERE package_name = 'com.europe.france'),
+    f"""{_TYPES}, sel AS (SELECT uid FROM itype WHERE package_name = 'com.europe.nation_3'),
     tl AS (SELECT DISTINCT src, dst, type FROM (SELECT src, dst, type FROM edge WHERE type IN {_DIRECT} UNION ALL SELECT src, dst, 'CALLS' FROM lifted)
            WHERE src <> dst AND src IN (SELECT uid FROM itype) AND dst IN (SELECT uid FROM itype)
              AND (src IN (SELECT uid FROM sel) OR dst IN (SELECT uid FROM sel))),
@@ -348,7 +348,7 @@ def generation_graph(spark, sf):
     SELECT * FROM tl UNION SELECT * FROM st UNION SELECT * FROM ac UNION SELECT * FROM tt""", GRAPH))
 def package_scope(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return g.package_scope(nodes, edges, "com.europe.france")
+    return g.package_scope(nodes, edges, "com.europe.nation_3")
 
 
 @query("c13_controller_rule", with_tables(
