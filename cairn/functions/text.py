@@ -14,9 +14,17 @@ PROJECT_NAME_LIMIT = 120
 PROJECT_DESCRIPTION_LIMIT = 500
 
 
+WHITESPACE = " \t\n\r\f\x0b"
+
+
+def strip(c: Column) -> Column:
+    """Text without any whitespace at its ends (a plain trim removes spaces only)."""
+    return F.btrim(c, F.lit(WHITESPACE))
+
+
 def non_blank(c: Column) -> Column:
-    """Trimmed value, or null where nothing but blanks is left."""
-    return F.nullif(F.trim(c), F.lit(""))
+    """Stripped value, or null where nothing is left."""
+    return F.nullif(strip(c), F.lit(""))
 
 
 def first_text(*columns: Column) -> Column:
@@ -37,12 +45,12 @@ def abbreviate(c: Column, limit: int, marker: str = "", inside: bool = False) ->
 
 def compact(c: Column, limit: int) -> Column:
     """Single-line summary: runs of whitespace become one blank, long text is cut."""
-    flat = F.trim(F.regexp_replace(c, "\\s+", " "))
+    flat = strip(F.regexp_replace(c, "\\s+", " "))
     return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("..."))).otherwise(flat)
 
 
 def unquote(c: Column) -> Column:
-    trimmed = F.trim(c)
+    trimmed = strip(c)
     return F.regexp_replace(trimmed, "^(?s)(['\"])(.*)\\1$", "$2")
 
 
@@ -83,7 +91,7 @@ def search_terms(query: Column) -> Column:
     """Quoted phrases or words; the last spelling of a term wins, longest terms first."""
     tokens = F.regexp_extract_all(query, F.lit('("[^"]+"|\\S+)'), F.lit(1))
     terms = F.filter(
-        F.transform(tokens, lambda t: F.trim(F.when(t.rlike('^".*"$') & (F.length(t) > 1),
+        F.transform(tokens, lambda t: strip(F.when(t.rlike('^".*"$') & (F.length(t) > 1),
                                                      F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t))),
         lambda t: t != "",
     )

@@ -140,7 +140,7 @@ def hybrid_search(spark, sf):
 
 
 @query("v3_context", with_tables(
-    f"""{_HYBRID} SELECT CASE WHEN length(t) <= 12000 THEN t ELSE substr(t, 1, 12000 - 49) || chr(10) || chr(10) || '[Context truncated to configured character limit]' END AS context FROM (
+    f"""{_HYBRID} SELECT CASE WHEN length(t) <= 12000 THEN t ELSE substr(t, 1, 12000 - 51) || chr(10) || chr(10) || '[Context truncated to configured character limit]' END AS context FROM (
     SELECT 'EVIDENCE CHUNKS:' || chr(10) || (SELECT string_agg('[chunkId: ' || chunk_id || '][source: ' || source_key || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) FROM merged)
     || chr(10) || chr(10) || 'GRAPH CONTEXT:' || chr(10) || '{{"nodes":[' || (SELECT string_agg('{{"id":"' || uid || '","label":"' || label || '","name":"' || name || '"}}', ',' ORDER BY depth, uid) FROM near JOIN node USING (uid))
     || '],"relationships":[' || (SELECT string_agg('{{"sourceId":"' || src || '","targetId":"' || dst || '","type":"' || type || '"}}', ',' ORDER BY type, src, dst, graph_key) FROM link) || ']}}' AS t)""",
