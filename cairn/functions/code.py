@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn.functions.text import strip
+
 # Pieces of Java text. A literal left open runs to the end of the text.
 TEXT_BLOCK = r'"""(?:[\s\S]*?)(?:"""|\z)'
 STRING = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"|\z)'
@@ -24,6 +26,11 @@ DECLARATION = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for an expression that uses it in many places or inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _pieces(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
@@ -53,12 +60,12 @@ def structural(body: Column, names: Column) -> Column:
     """Normal form where every literal and every use of a known variable look the same."""
     pieces = _pieces(without_comments(body), f"{LITERAL}|{MEMBER}|{CALLED}|{NUMBER}|{IDENTIFIER}|[\\s\\S]")
 
-    def replaced(p):
+    def replaced(p, known):
         literal = p.rlike("^[\"']") | p.rlike("^[0-9]") | p.isin("true", "false", "null")
-        return (F.when(literal, F.lit("$literal")).when(F.array_contains(names, p), F.lit("$variable"))
+        return (F.when(literal, F.lit("$literal")).when(F.array_contains(known, p), F.lit("$variable"))
                 .otherwise(F.regexp_replace(p, r"\s+", "")))
 
-    return F.array_join(F.transform(pieces, replaced), "")
+    return let(names, lambda known: F.array_join(F.transform(pieces, lambda p: replaced(p, known)), ""))
 
 
 def structural_hash(body: Column, parameters: Column) -> Column:
@@ -189,14 +196,15 @@ JAVA_START = ("package ", "import ", "@", "public ", "class ", "interface ", "en
 
 def trim_to_java(text: Column) -> Column:
     """From the first Java keyword on, or the whole stripped text when there is none."""
-    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
-    starts = F.filter(F.array(*[F.instr(plain, k) for k in JAVA_START]), lambda i: i > 0)
-    from_start = F.regexp_replace(F.substring(plain, F.array_min(starts), F.length(plain)), r"\s+$", "")
-    return F.when(F.size(starts) == 0, plain).otherwise(from_start)
+    def cut_at_start(plain):
+        starts = F.filter(F.array(*[F.instr(plain, k) for k in JAVA_START]), lambda i: i > 0)
+        return let(F.array_min(starts), lambda i: F.when(i.isNull(), plain).otherwise(F.substring(plain, i, F.length(plain))))
+
+    return let(strip(text), cut_at_start)
 
 
 def code_blocks(text: Column) -> Column:
     """Java candidates of a generated answer: its fenced blocks, or all of it when it has none."""
     fenced = F.filter(F.transform(F.regexp_extract_all(text, F.lit("(?i)```(?:java)?\\s*([\\s\\S]*?)```"), F.lit(1)), trim_to_java),
                       lambda b: F.trim(b) != "")
-    return F.when(F.size(fenced) > 0, fenced).otherwise(F.array(trim_to_java(text)))
+    return let(fenced, lambda blocks: F.when(F.size(blocks) > 0, blocks).otherwise(F.array(trim_to_java(text))))

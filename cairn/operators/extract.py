@@ -256,13 +256,17 @@ def mentioned(messages: DataFrame, tools: DataFrame) -> DataFrame:
     """Tools named in a message as whole words, one row per match.
 
     A name occurs only where its first word does, so messages and tools meet on that word (an
-    equi-join) and the full name is verified on those candidates alone.
+    equi-join of ids and words, without the texts). A name of several words is then verified in the
+    text of those candidates alone.
     """
-    words = messages.select("message_id", F.lower("text").alias("text"), F.explode(_words(F.col("text"))).alias("word"))
+    words = messages.select("message_id", F.explode(_words(F.col("text"))).alias("word"))
     keyed = tools.withColumn("word", F.get(_words(F.col("tool")), 0))
+    candidates = words.join(keyed, "word").select("message_id", "tool", "priority", "id", (F.lower("tool") == F.col("word")).alias("_whole"))
     pattern = F.concat(F.lit("(?<![a-z0-9_])\\Q"), F.lower("tool"), F.lit("\\E(?![a-z0-9_])"))
-    single = F.lower("tool") == F.col("word")
-    return words.join(keyed, "word").where(single | F.rlike("text", pattern)).select("message_id", "tool", "priority", "id")
+    longer = candidates.where(~F.col("_whole")).join(messages.select("message_id", "text"), "message_id").where(
+        F.rlike(F.lower("text"), pattern))
+    columns = ["message_id", "tool", "priority", "id"]
+    return candidates.where("_whole").select(*columns).unionByName(longer.select(*columns))
 
 
 def best_mention(messages: DataFrame, tools: DataFrame) -> DataFrame:
@@ -283,29 +287,31 @@ def _first(df: DataFrame, key: str, limit: int) -> DataFrame:
 def match_tables(prompts: DataFrame, tables: DataFrame, limit: int = MATCH_LIMIT) -> DataFrame:
     """Tables a prompt is about, at most ``limit``: names in it as whole words, else names it merely contains.
 
-    Whole words: prompts and tables meet on a word. Containment: they meet on the first characters of
-    a name, then the name is searched for. Of tables that share a simple name a prompt can show no
-    more than ``limit``, so no more are carried.
+    Names are made of word characters, so a prompt contains one exactly if one of its words does. Both
+    ways are therefore joins on words; containment is decided once per distinct word, by meeting the
+    tables on the first characters of a name. Of the tables one name or one word leads to, a prompt
+    can show no more than ``limit``, so no more are carried.
     """
-    simple = F.lower(sqltext.table_of(F.col("table_name")))
-    named = _first(tables.withColumn("simple", simple), "simple", limit)
+    named = _first(tables.withColumn("simple", F.lower(sqltext.table_of(F.col("table_name")))), "simple", limit)
     words = prompts.select("prompt_id", F.explode(_words(F.col("text"))).alias("word"))
-    by_simple = named.select("table_name", "ordinal", "simple", F.get(_words(F.col("simple")), 0).alias("word"))
-    exact = words.join(by_simple, "word").where(F.col("word") == F.col("simple")).select("prompt_id", "table_name", "ordinal").distinct()
+    exact = words.join(named.withColumnRenamed("simple", "word"), "word").select("prompt_id", "table_name", "ordinal").distinct()
     exact = _first(exact, "prompt_id", limit)
 
-    bare = F.replace(F.col("simple"), F.lit("_"), F.lit(""))
-    tokens = F.filter(F.split("simple", "_"), lambda t: (F.length(t) >= TOKEN_MIN) & ~t.isin(*sqltext.IGNORED_TABLE_TOKENS))
-    names = F.concat(F.array(F.col("simple"), bare, _singular(F.col("simple")), _singular(bare)), tokens, F.transform(tokens, _singular))
+    simple = F.col("simple")
+    bare = F.replace(simple, F.lit("_"), F.lit(""))
+    tokens = F.filter(F.split(simple, "_"), lambda t: (F.length(t) >= TOKEN_MIN) & ~t.isin(*sqltext.IGNORED_TABLE_TOKENS))
+    names = F.concat(F.array(simple, bare, _singular(simple), _singular(bare)), tokens, F.transform(tokens, _singular))
     parts = named.select("table_name", "ordinal", F.explode(F.array_distinct(F.filter(names, lambda n: n != ""))).alias("part"))
     parts = parts.withColumn("gram", F.substring("part", 1, TOKEN_MIN))
-    rest = prompts.join(exact.select("prompt_id").distinct(), "prompt_id", "left_anti").withColumn("text", F.lower("text"))
+    rest = words.join(exact.select("prompt_id").distinct(), "prompt_id", "left_anti")
 
     def grams(n):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(n)))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1))), lambda i: F.substring("word", i, F.lit(n)))
 
-    pieces = rest.select("prompt_id", "text", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, TOKEN_MIN + 1)]))).alias("gram"))
-    loose = pieces.join(parts, "gram").where(F.contains("text", F.col("part"))).select("prompt_id", "table_name", "ordinal").distinct()
+    every = F.array_distinct(F.concat(*[grams(n) for n in range(1, TOKEN_MIN + 1)]))
+    known = rest.select("word").distinct().select("word", F.explode(every).alias("gram"))
+    leads = known.join(parts, "gram").where(F.contains("word", F.col("part"))).select("word", "table_name", "ordinal").distinct()
+    loose = rest.join(_first(leads, "word", limit), "word").select("prompt_id", "table_name", "ordinal").distinct()
     loose = _first(loose, "prompt_id", limit)
     return exact.withColumn("kind", F.lit("word")).unionByName(loose.withColumn("kind", F.lit("contains")))
 

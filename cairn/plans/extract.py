@@ -334,7 +334,7 @@ def _yaml(spark, sf):
     c = lake.raw(spark, sf, "customer")
     text = F.concat(
         F.lit("# head\nspring:\n  profiles:\n    active: [local, '"), F.lower("c_mktsegment"), F.lit("']\n  datasource:\n    password: \"p"), _s("c_custkey"),
-        F.lit("\"\nai:\n  provider: ${P:Acme"), _s("c_nationkey"), F.lit("}\nbeans:\n  pay"), _s("c_custkey"), F.lit(":\n    url: 'http://x' # note\n- skip: 1\nname: "), F.col("c_name")))
+        F.lit("\"\nai:\n  provider: ${P:Acme"), _s("c_nationkey"), F.lit("}\nbeans:\n  pay"), _s("c_custkey"), F.lit(":\n    url: 'http://x' # note\n- skip: 1\nname: "), F.col("c_name"))
     return c.select("c_custkey", text.alias("content"))
 
 
