@@ -44,7 +44,7 @@ def intent(message: Column) -> Column:
             F.when(has(*RULE_LIST), "RULE_LIST").when(has(*TABLE_LIST), "TABLE_LIST").when(has(*JAVA_SOURCE), "SOURCE_SEARCH")
             .when(m.rlike(WINDOWS_PATH) & has(*PROJECT_STRUCTURE), "PROJECT_STRUCTURE_ANALYSIS")
             .when(has("server://info", "resource read", "read resource"), "RESOURCE_READ").when(has("resources", "resource"), "RESOURCE_LIST")
-            .when(has("server-info-prompt"), "PROMPT_GET").when(has("prompts", "prompt"), "PROMPT_LIST").when(has("server info"), "SERVER_INFO_TOOL")
+            .when(has("summarize_server_status"), "PROMPT_GET").when(has("prompts", "prompt"), "PROMPT_LIST").when(has("server info"), "SERVER_INFO_TOOL")
             .when(has("tools", "tool"), "TOOL_LIST").when(has("ping", "status", "health"), "PING").otherwise("SERVER_INFO"))
 
     return let(F.lower(F.coalesce(message, F.lit(""))), classify)

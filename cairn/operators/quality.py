@@ -140,3 +140,7 @@ def trend(snapshots: DataFrame, limit: int = TREND_LIMIT) -> DataFrame:
     """Newest snapshots per project; the rank filter prunes each task to ``limit`` rows per key before the shuffle."""
     w = W.partitionBy("project_key").orderBy(F.desc("created_at"), F.desc("id"))
     return snapshots.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
+
+
+def append_snapshots(snapshots: DataFrame, path: str) -> None:
+    snapshots.write.mode("append").parquet(path)

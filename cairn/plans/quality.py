@@ -1,10 +1,13 @@
 """Quality dashboard queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cairn.operators import quality as q
 from cairn.plans.oracle_tables import METHODS, with_tables
 from cairn.plans.registry import query
+from cairn.session import shared_dir
 from cairn.sources import lake
 
 # Besides the defaults, thresholds that separate long texts from short ones.
@@ -145,3 +148,14 @@ def snapshot_if_changed(spark, sf):
     current, stored = _evaluations(spark, sf)
     return q.changed_snapshots(current, stored).select(
         "project_key", "total_methods", "duplicate_methods", "high_complexity")
+
+
+@query("s11_snapshot_append", with_tables(
+    f"""{_KEYED}, {_SUMMARY.format(cyc=10, cog=15)} SELECT project_key, total_methods, duplicate_ratio, unnest([1, 2]) AS id FROM rated""", METHODS))
+def snapshot_append(spark, sf):
+    """Summaries of two evaluations appended to the snapshot table."""
+    table = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    summary = q.summary(_methods(spark, sf)).select("project_key", "total_methods", "duplicate_ratio")
+    for number in (1, 2):
+        q.append_snapshots(summary.withColumn("id", F.lit(number)), table)
+    return spark.read.parquet(table)
