@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Key fragments whose values are never shown.
@@ -112,6 +112,11 @@ def term_pattern(terms: Column) -> Column:
     return F.concat(F.lit("(?i)("), F.array_join(quoted, "|"), F.lit(")"))
 
 
+def pattern_of(spark: SparkSession, query: str) -> str:
+    """The pattern of one given query as a plain string, so that rows need not build it again."""
+    return spark.range(1).select(term_pattern(search_terms(F.lit(query)))).first()[0]
+
+
 def valid_project(key: Column, name: Column, description: Column) -> Column:
     return (
         F.coalesce(F.lower(F.trim(key)).rlike(PROJECT_KEY_PATTERN), F.lit(False))

@@ -27,6 +27,7 @@ RELATIONSHIP_TYPES = (
 CLASSIFICATIONS = ("Service", "Repository", "DTO", "Domain", "Mapper")
 TYPE_RELATIONSHIPS = ("IMPORTS", "INJECTS", "IMPLEMENTS", "EXTENDS", "USES", "USES_DTO", "MAPS_TO")
 TABLE_RELATIONSHIPS = ("READS_FROM", "WRITES_TO", "MAPS_TO")
+MERGED_TYPES = (*TYPE_RELATIONSHIPS, "CALLS", "READS_FROM", "WRITES_TO")
 DEPENDENCY_RELATIONSHIPS = (
     "IMPORTS", "EXTENDS", "IMPLEMENTS", "INJECTS", "USES", "USES_DTO", "CALLS", "READS_FROM", "WRITES_TO",
     "MAPS_TO", "EXECUTES", "HAS_STATEMENT", "HAS_MAPPER_XML",
@@ -93,18 +94,37 @@ def lifted_calls(edges: DataFrame) -> DataFrame:
     Repeated calls collapse before each join, so a method called from everywhere contributes one row
     per calling type to the second join rather than one per call.
     """
+    return _lifted(edges).distinct()
+
+
+def _lifted(edges: DataFrame) -> DataFrame:
     owner = owners(edges.where(F.col("type") == "HAS_METHOD"))
-    calls = edges.where(F.col("type") == "CALLS").select("src", "dst").distinct()
+    calls = edges.where(F.col("type") == "CALLS").select("src", "dst")
     from_types = calls.join(owner, F.col("src") == F.col("member")).select(F.col("owner").alias("src"), "dst").distinct()
-    return from_types.join(owner, F.col("dst") == F.col("member")).select("src", F.col("owner").alias("dst")).distinct()
+    return from_types.join(owner, F.col("dst") == F.col("member")).select("src", F.col("owner").alias("dst"))
+
+
+def _type_bit(kind: Column) -> Column:
+    bit = F.lit(0).cast("long")
+    for i, name in enumerate(MERGED_TYPES):
+        bit = F.when(kind == name, F.lit(1 << i).cast("long")).otherwise(bit)
+    return bit
+
+
+def merged_types(kinds: Column) -> Column:
+    """Sorted set of relationship types in a group: one bit per type of the closed ontology, so the
+    aggregate keeps a number per group, combines map-side and stays in generated code."""
+    bits = F.bit_or(_type_bit(kinds))
+    names = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(1 << i).cast("long").alias("b")) for i, n in sorted(enumerate(MERGED_TYPES), key=lambda x: x[1])])
+    return F.transform(F.filter(names, lambda s: bits.bitwiseAND(s["b"]) != 0), lambda s: s["n"])
 
 
 def type_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Merged edges between internal types: no self loops, the sorted set of relationship types."""
     direct = edges.where(F.col("type").isin(*TYPE_RELATIONSHIPS)).select("src", "dst", "type")
-    lifted = lifted_calls(edges).select("src", "dst", F.lit("CALLS").alias("type"))
+    lifted = _lifted(edges).select("src", "dst", F.lit("CALLS").alias("type"))
     both = direct.unionByName(lifted).where(F.col("src") != F.col("dst"))
-    merged = both.groupBy("src", "dst").agg(F.array_sort(F.collect_set("type")).alias("types"))
+    merged = both.groupBy("src", "dst").agg(merged_types(F.col("type")).alias("types"))
     types = internal_types(nodes).select("uid")
     return merged.join(types.withColumnRenamed("uid", "src"), "src", "left_semi").join(
         types.withColumnRenamed("uid", "dst"), "dst", "left_semi").select("src", "dst", "types")
@@ -112,13 +132,13 @@ def type_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def table_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges from internal types to database tables, reached directly or through a method or statement."""
-    access = edges.where(F.col("type").isin(*TABLE_RELATIONSHIPS)).select("src", "dst", "type").distinct()
+    access = edges.where(F.col("type").isin(*TABLE_RELATIONSHIPS)).select("src", "dst", "type")
     types = internal_types(nodes).select(F.col("uid").alias("src"))
     tables = nodes.where(F.col("label") == "DatabaseTable").select(F.col("uid").alias("dst"))
     through = access.join(owners(edges), F.col("src") == F.col("member"), "left").select(
         F.coalesce("owner", "src").alias("src"), "dst", "type")
     return (
-        through.groupBy("src", "dst").agg(F.array_sort(F.collect_set("type")).alias("types"))
+        through.groupBy("src", "dst").agg(merged_types(F.col("type")).alias("types"))
         .join(types, "src", "left_semi").join(tables, "dst", "left_semi").select("src", "dst", "types")
     )
 
@@ -144,8 +164,10 @@ def _with_packages(merged: DataFrame, nodes: DataFrame) -> DataFrame:
 def package_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Merged edges per ordered pair of different packages, with the relationship types found on them."""
     crossing = _with_packages(type_edges(nodes, edges), nodes).where(F.col("src_package") != F.col("dst_package"))
+    counted = crossing.groupBy("src_package", "dst_package", "types").agg(F.count(F.lit(1)).alias("n"))
+    # A few distinct type sets per pair are left.
     kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_set("types"))))
-    return crossing.groupBy("src_package", "dst_package").agg(F.count(F.lit(1)).alias("edge_count"), kinds.alias("types"))
+    return counted.groupBy("src_package", "dst_package").agg(F.sum("n").alias("edge_count"), kinds.alias("types"))
 
 
 def dependencies(nodes: DataFrame, edges: DataFrame, reverse: bool = False, selected: str | None = None) -> DataFrame:

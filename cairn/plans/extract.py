@@ -19,7 +19,7 @@ def _s(column):
 
 def bodies(spark, sf):
     """One method body per order; its status decides the shape, its key and priority the literals."""
-    o = lake.raw(spark, sf, "orders")
+    o = lake.texts(spark, sf, "orders")
     long_body = F.concat(
         F.lit("{ // if while && \n if (total > 10 && open) { for (Item item : items) { while (item.next()) { save(item); } } } return total + "),
         _s("o_orderkey"), F.lit("; }"))
@@ -242,7 +242,7 @@ def method_signature(spark, sf):
 # --- SQL, XML, YAML, Markdown --------------------------------------------------------------------------
 
 def _statements(spark, sf):
-    o = lake.raw(spark, sf, "orders")
+    o = lake.texts(spark, sf, "orders")
     table = F.concat(F.lit("app.orders_"), F.substring("o_orderpriority", 1, 1))
     select = F.concat(F.lit("SELECT o.id, o.total AS amount\n FROM "), table, F.lit(" o JOIN customer_"), _s("o_custkey"), F.lit(" c ON c.id = o.cust WHERE (o.id = #{id})"))
     insert = F.concat(F.lit("insert into "), table, F.lit("(id, total, `state`) values (#{id}, #{total}, 1)"))
@@ -295,7 +295,7 @@ def _mapper_files(spark, sf):
         F.lit('<?xml version="1.0"?>\n<!DOCTYPE mapper PUBLIC "a" "b">\n<mapper namespace="com.acme.O'), key, F.lit('Mapper">\n<select id="find'), key,
         F.lit('" resultType="R">\nSELECT id FROM app.orders <where><if test="cust != null">AND cust &lt; '), cust,
         F.lit('</if></where>\n</select>\n<!-- <update id="no">x</update> -->\n<update id="touch">UPDATE app.orders SET total = 1</update>\n</mapper>'))
-    return lake.raw(spark, sf, "orders").select("o_orderkey", F.lit("p").alias("project_id"), F.concat(F.lit("doc:"), key).alias("source_key"),
+    return lake.texts(spark, sf, "orders").select("o_orderkey", F.lit("p").alias("project_id"), F.concat(F.lit("doc:"), key).alias("source_key"),
                                                F.concat(F.lit("m/O"), key, F.lit(".xml")).alias("file_path"), xml.alias("content"))
 
 
@@ -331,7 +331,7 @@ def method_chunks(spark, sf):
 
 
 def _yaml(spark, sf):
-    c = lake.raw(spark, sf, "customer")
+    c = lake.texts(spark, sf, "customer")
     text = F.concat(
         F.lit("# head\nspring:\n  profiles:\n    active: [local, '"), F.lower("c_mktsegment"), F.lit("']\n  datasource:\n    password: \"p"), _s("c_custkey"),
         F.lit("\"\nai:\n  provider: ${P:Acme"), _s("c_nationkey"), F.lit("}\nbeans:\n  pay"), _s("c_custkey"), F.lit(":\n    url: 'http://x' # note\n- skip: 1\nname: "), F.col("c_name"))
@@ -368,7 +368,7 @@ def _uuid_sql(value):
       CASE WHEN section LIKE 'Arch%' THEN 'ARCHITECTURE' ELSE 'CODING' END AS rule_type, {_uuid_sql("section || st || ordinal")} AS stable_id FROM numbered""")
 def standard_rules(spark, sf):
     """Every line of a document as a bullet under a heading, and a second section behind it."""
-    d = lake.raw(spark, sf, "documents")
+    d = lake.texts(spark, sf, "documents")
     content = F.concat(F.lit("# Architecture "), "source", F.lit("\n- "), F.replace("text", F.lit("\n"), F.lit("\n- ")),
                        F.lit("\n  ## Notes\n* use the "), "source", F.lit(" boilerplate\nplain"))
     return x.standard_rules(d.select("doc_id", content.alias("content")))
@@ -403,7 +403,7 @@ def project_listing(spark, sf):
 def _answers(spark, sf):
     key = _s("o_orderkey")
     text = F.concat(F.lit("Here:\n```java\n// v1\nimport a.B;\npublic class A"), key, F.lit(" { }\n```\nand\n```\nrecord B"), key, F.lit("(int x) { }\n\n``` end ```JAVA public class B"), key, F.lit(" {} ```"))
-    return lake.raw(spark, sf, "orders").select(F.col("o_orderkey").alias("answer_id"), text.alias("content"))
+    return lake.texts(spark, sf, "orders").select(F.col("o_orderkey").alias("answer_id"), text.alias("content"))
 
 
 @query("f12_code_blocks", """SELECT o_orderkey AS answer_id, unnest([0, 1, 2]) AS pos, unnest(['import a.B;' || chr(10) || 'public class A' || o_orderkey || ' { }', 'record B' || o_orderkey || '(int x) { }',
@@ -432,7 +432,7 @@ def _generated(spark, sf):
     text = F.concat(
         F.lit('<result column="id"/> <result COLUMN = \'bad_'), key, F.lit("'/>\n<sql id=\"c\">o.total, o.state AS st,\n\"quoted\"</sql>\nINSERT INTO app.orders (id, cust_id) VALUES (1)\n"
               "<update id=\"u\">update app.orders set total = #{t}, state = 1 where id = 2</update>\nselect id, max(x), note_"), key, F.lit(" from app.orders"))
-    return lake.raw(spark, sf, "orders").select("o_orderkey", text.alias("code"))
+    return lake.texts(spark, sf, "orders").select("o_orderkey", text.alias("code"))
 
 
 @query("c18_generated_columns", "SELECT o_orderkey, 'id,bad_' || o_orderkey || ',total,state,quoted,cust_id,note_' || o_orderkey AS columns FROM orders")
@@ -487,7 +487,7 @@ prompt AS (SELECT doc_id AS id, lower(text) AS t, list_distinct(regexp_extract_a
 @query("j22_tool_mentions", f"""WITH {_VOCAB.format(n=6)}, hit AS (SELECT id, w FROM (SELECT id, unnest(ws) AS w FROM prompt) SEMI JOIN vocab USING (w))
     SELECT id AS message_id, arg_min(w, (-length(w), w)) AS tool FROM hit GROUP BY 1""")
 def tool_mentions(spark, sf):
-    messages = lake.raw(spark, sf, "documents").select(F.col("doc_id").alias("message_id"), "text")
+    messages = lake.texts(spark, sf, "documents").select(F.col("doc_id").alias("message_id"), "text")
     tools = _vocabulary(spark, sf, 6).select(F.col("w").alias("id"), F.col("w").alias("tool"), F.length("w").alias("priority"))
     return x.best_mention(messages, tools)
 
@@ -498,7 +498,7 @@ def tool_mentions(spark, sf):
     SELECT id AS prompt_id, 'app.' || w AS table_name, kind FROM (SELECT *, 'word' AS kind FROM exact UNION ALL SELECT *, 'contains' FROM loose)
     QUALIFY row_number() OVER (PARTITION BY id ORDER BY w) <= 3""")
 def prompt_tables(spark, sf):
-    prompts = lake.raw(spark, sf, "documents").select(F.col("doc_id").alias("prompt_id"), "text")
+    prompts = lake.texts(spark, sf, "documents").select(F.col("doc_id").alias("prompt_id"), "text")
     tables = _vocabulary(spark, sf, 9).select(F.concat(F.lit("app."), "w").alias("table_name"), F.col("w").alias("ordinal"))
     return x.match_tables(prompts, tables).select("prompt_id", "table_name", "kind")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairn.operators import quality as q
 from cairn.plans.oracle_tables import METHODS, with_tables
 from cairn.plans.registry import query
-from cairn.session import shared_dir
+from cairn.session import cut, shared_dir
 from cairn.sources import lake
 
 # Besides the defaults, thresholds that separate long texts from short ones.
@@ -15,7 +15,8 @@ STRICT = {"cyclomatic": 100, "cognitive": 300}
 
 
 def _methods(spark, sf):
-    return q.with_thresholds(lake.methods(spark, sf))
+    """Method facts are measured once and stored, as an ingest would; every branch reads the narrow table."""
+    return q.with_thresholds(cut(lake.methods(spark, sf)))
 
 
 _KEYED = """keyed AS (
@@ -90,7 +91,7 @@ def top_groups(spark, sf):
     WHERE (SELECT count(*) FROM methods SEMI JOIN top USING (project_key, structural_hash)) >= 2""", METHODS))
 def duplicate_group_detail(spark, sf):
     """Members of the largest structural group, found by its key as a user would open it."""
-    methods = lake.methods(spark, sf)
+    methods = cut(lake.methods(spark, sf))
     top = (methods.groupBy("project_key", "structural_hash").count()
            .orderBy(F.desc("count"), "structural_hash", "project_key").limit(1).select("project_key", "structural_hash"))
     found = methods.join(top, ["project_key", "structural_hash"], "left_semi")

@@ -8,7 +8,7 @@ from cairn.operators import retrieval as r
 from cairn.operators import traversal as tr
 from cairn.plans.oracle_tables import DOCUMENT, GRAPH, with_tables
 from cairn.plans.registry import query
-from cairn.session import cut
+from cairn.session import cut, spread
 from cairn.sources import lake
 
 _EMBEDDED = """q AS (SELECT list(v ORDER BY pos) AS query FROM (SELECT pos, avg(v) AS v FROM (
@@ -44,7 +44,7 @@ _CHUNKS = """chunk AS (SELECT document_id, source_key, project_id, file_path, i
 
 
 def text_chunks(spark, sf):
-    return ch.plain_chunks(lake.documents_catalog(spark, sf))
+    return ch.plain_chunks(spread(lake.documents_catalog(spark, sf)))
 
 
 @query("c17_plain_chunks", with_tables(f"{_CHUNKS} SELECT chunk_id, document_id, index, content FROM chunk", DOCUMENT))

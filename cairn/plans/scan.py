@@ -13,7 +13,7 @@ _KEYS = ["scan_job_id", "document_id"]
 
 def _responses(spark, sf):
     """Scanner replies: the findings of an event wrapped the way its type arrives."""
-    e = lake.raw(spark, sf, "events")
+    e = lake.texts(spark, sf, "events")
     k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
     body = F.concat(
         F.lit('{"status":"'), F.when(kind == "error", "FAILED").otherwise("COMPLETED"),

@@ -8,6 +8,7 @@ from cairn.functions import text as tx
 from cairn.operators import catalog as cat
 from cairn.operators import ordering
 from cairn.plans.registry import query
+from cairn.session import cut
 from cairn.sources import lake
 
 
@@ -81,9 +82,9 @@ _PATTERN_SQL = "(?i)(and th|of the|tion|and|THE|of)"
 
 def _matches(spark, sf):
     """Lines of every document with the number of hits of one search."""
-    terms = tx.search_terms(F.lit(QUERY_TEXT))
-    lines = lake.raw(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\\r?\\n")).alias("line", "t"))
-    return lines.withColumn("hits", F.size(F.regexp_extract_all("t", tx.term_pattern(terms), F.lit(1))).cast("long"))
+    pattern = F.lit(tx.pattern_of(spark, QUERY_TEXT))
+    lines = lake.texts(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\\r?\\n")).alias("line", "t"))
+    return lines.withColumn("hits", F.size(F.regexp_extract_all("t", pattern, F.lit(1))).cast("long"))
 
 
 _LINES = f"""line AS (SELECT doc_id, i - 1 AS line, len(regexp_extract_all(t, '{_PATTERN_SQL}', 1)) AS hits FROM (
@@ -98,7 +99,8 @@ def match_counts(spark, sf):
 @query("w10_match_numbers", f"WITH {_LINES} SELECT doc_id, line, hits, (sum(hits) OVER (ORDER BY doc_id, line ROWS UNBOUNDED PRECEDING))::BIGINT AS last_number FROM line QUALIFY hits > 0")
 def match_numbers(spark, sf):
     """Numbers of the matches in reading order over the whole corpus: the last one on each line."""
-    lines = _matches(spark, sf).where("hits > 0").select("doc_id", "line", "hits")
+    # Counted once: the range partitioning below reads its input twice.
+    lines = cut(_matches(spark, sf).where("hits > 0").select("doc_id", "line", "hits"))
     return ordering.running_total(lines, [], ["doc_id", "line"], "hits", "last_number").select("doc_id", "line", "hits", "last_number")
 
 

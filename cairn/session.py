@@ -37,6 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a scan every core.
+
+    A scan with fewer splits than cores (one file with one row group, say) is dealt out once; larger
+    inputs, which have splits enough, are left alone and pay no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

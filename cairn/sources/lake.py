@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.session import spread
+
 # The file suffix each collection of documents carries, by last digit of its name.
 SUFFIX_BY_DIGIT = {
     "0": ".java", "1": ".xml", "2": ".md", "3": ".yml", "4": ".kt",
@@ -20,6 +22,11 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A raw table read for work that is heavy per row."""
+    return spread(raw(spark, sf_dir, name))
+
+
 def _suffix(source: Column) -> Column:
     digit = F.right(source, F.lit(1))
     chain = F.when(digit == "0", ".java")
@@ -79,7 +86,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Method facts measured over the corpus texts."""
-    d = raw(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     commas = F.regexp_count("text", F.lit(","))
     periods = F.regexp_count("text", F.lit("\\."))
     lines = F.regexp_count("text", F.lit("\n")) + 1

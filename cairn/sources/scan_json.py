@@ -5,46 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.code import let
 from cairn.functions.text import non_blank
 
 # Wrapper keys in the order they are tried, and how deep results are looked for.
 WRAPPERS = ("text", "content", "result", "data")
 MAX_WRAPPING = 4
 
+NODE = "struct<text:string,content:string,result:string,data:string,status:string,findings:string>"
+HITS = "array<struct<path:string,node:string>>"
 FINDING = "struct<severity:string,ruleId:string,message:string,startLine:int,startColumn:int,endLine:int,endColumn:int>"
 RESULT = f"struct<status:string,findings:array<{FINDING}>,errorMessage:string>"
 
 
-def _is_result(node: Column) -> Column:
-    return F.get_json_object(node, "$.status").isNotNull() | F.get_json_object(node, "$.findings").isNotNull()
+def _opened(path: Column, node: Column) -> Column:
+    """Place and fields of a JSON value: one parse yields both what marks a result and where to look on."""
+    return F.struct(path.alias("path"), node.alias("node"), F.from_json(node, NODE).alias("f"))
 
 
 def _items(path: Column, node: Column) -> Column:
     """Elements of a JSON array with their position appended to the path, or the value itself."""
     elements = F.transform(
-        F.from_json(node, "array<string>"),
-        lambda e, i: F.struct(F.concat(path, F.lpad(i.cast("string"), 9, "0")).alias("path"), e.alias("node")))
-    return F.when(F.ltrim(node).startswith("["), elements).otherwise(
-        F.array(F.struct(path.alias("path"), node.alias("node"))))
+        F.from_json(node, "array<string>"), lambda e, i: _opened(F.concat(path, F.lpad(i.cast("string"), 9, "0")), e))
+    return F.when(F.ltrim(node).startswith("["), elements).otherwise(F.array(_opened(path, node)))
+
+
+def _is_result(item: Column) -> Column:
+    return item["f"]["status"].isNotNull() | item["f"]["findings"].isNotNull()
+
+
+def _deeper(level: Column) -> Column:
+    """Values under the wrapper keys of a level's values, those of results left out."""
+    inner = F.filter(level, lambda n: ~_is_result(n))
+    wrapped = F.flatten(F.transform(inner, lambda n: F.filter(
+        F.array(*[F.struct(F.concat(n["path"], F.lit(str(i))).alias("path"), n["f"][w].alias("node")) for i, w in enumerate(WRAPPERS)]),
+        lambda v: v["node"].isNotNull())))
+    return F.flatten(F.transform(wrapped, lambda v: F.coalesce(_items(v["path"], v["node"]), F.array())))
 
 
 def result_object(text: Column) -> Column:
     """JSON text of the first object with ``status`` or ``findings``, depth first.
 
-    Strings and arrays are opened and wrapper keys followed in their order. The levels are walked
-    together; the path kept with each value tells which result a depth-first search meets first.
-    A result's own children are not searched.
+    Strings and arrays are opened and wrapper keys followed in their order. Levels are walked together;
+    the path kept with each value tells which result a depth-first search meets first. A result's own
+    children are not searched, and a level is opened only while there is something to open.
     """
-    level = _items(F.lit(""), text)
-    hits = F.filter(level, lambda n: _is_result(n["node"]))
-    for _ in range(MAX_WRAPPING):
-        inner = F.filter(level, lambda n: ~_is_result(n["node"]))
-        children = F.flatten(F.transform(inner, lambda n: F.filter(F.array(*[
-            F.struct(F.concat(n["path"], F.lit(str(i))).alias("path"), F.get_json_object(n["node"], f"$.{w}").alias("node"))
-            for i, w in enumerate(WRAPPERS)]), lambda v: v["node"].isNotNull())))
-        level = F.flatten(F.transform(children, lambda v: F.coalesce(_items(v["path"], v["node"]), F.array())))
-        hits = F.concat(hits, F.filter(level, lambda n: _is_result(n["node"])))
-    return F.array_min(hits)["node"]
+    def search(level: Column, depth: int) -> Column:
+        hits = F.transform(F.filter(level, _is_result), lambda n: F.struct(n["path"].alias("path"), n["node"].alias("node")))
+        if depth == 0:
+            return hits
+        below = let(_deeper(level), lambda next_level: F.when(F.size(next_level) > 0, search(next_level, depth - 1)))
+        return F.concat(hits, F.coalesce(below, F.array().cast(HITS)))
+
+    return F.array_min(let(_items(F.lit(""), text), lambda level: search(level, MAX_WRAPPING)))["node"]
 
 
 def findings(files: DataFrame, text_column: str = "response") -> DataFrame:
