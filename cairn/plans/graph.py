@@ -24,7 +24,8 @@ dedge AS (SELECT coalesce(o.owner, s.owner, e.src) AS src, e.dst, string_agg(DIS
           WHERE e.type IN ('READS_FROM', 'WRITES_TO', 'MAPS_TO') AND e.dst IN (SELECT uid FROM node WHERE label = 'DatabaseTable')
           GROUP BY 1, 2 HAVING coalesce(any_value(o.owner), any_value(s.owner), any_value(e.src)) IN (SELECT uid FROM itype))"""
 
-_LABELS = F.filter(F.array(F.col("label"), g.classification(F.col("label"), F.col("layer"))), lambda x: x.isNotNull())
+def _labels():
+    return F.filter(F.array(F.col("label"), g.classification(F.col("label"), F.col("layer"))), lambda x: x.isNotNull())
 _LABELS_SQL = """tagged AS (SELECT *, list_filter([label, CASE WHEN label = 'JavaType' THEN CASE WHEN layer = 'ServiceImpl' THEN 'Service'
     WHEN layer IN ('Service', 'Repository', 'DTO', 'Domain', 'Mapper') THEN layer END END], lambda x: x IS NOT NULL) AS labels FROM node)"""
 
@@ -100,7 +101,7 @@ def node_source(spark, sf):
 @query("a5_label_counts", with_tables(
     f"{_LABELS_SQL} SELECT label, count(*) AS node_count FROM (SELECT unnest(labels) AS label FROM tagged) GROUP BY 1", GRAPH))
 def label_counts(spark, sf):
-    return g.label_counts(lake.graph_nodes(spark, sf), _LABELS)
+    return g.label_counts(lake.graph_nodes(spark, sf), _labels())
 
 
 _LABEL_GRAPH = f"""{_LABELS_SQL}, lg AS (SELECT source_label, type, target_label, count(*) AS edge_count FROM (
@@ -110,7 +111,7 @@ _LABEL_GRAPH = f"""{_LABELS_SQL}, lg AS (SELECT source_label, type, target_label
 
 @query("a6_label_graph", with_tables(f"{_LABEL_GRAPH} SELECT * FROM lg", GRAPH))
 def label_graph(spark, sf):
-    return g.label_graph(*_graph(spark, sf), _LABELS)
+    return g.label_graph(*_graph(spark, sf), _labels())
 
 
 @query("t5_label_graph_truncated", with_tables(
@@ -119,14 +120,14 @@ def label_graph(spark, sf):
 def label_graph_truncated(spark, sf):
     order = [F.desc("edge_count"), F.lower("source_label"), F.col("source_label"), F.lower("type"), F.col("type"),
              F.lower("target_label"), F.col("target_label")]
-    return g.limited_with_flag(g.label_graph(*_graph(spark, sf), _LABELS), order, 10)
+    return g.limited_with_flag(g.label_graph(*_graph(spark, sf), _labels()), order, 10)
 
 
 @query("a24_pair_fan_out", with_tables(
     f"""{_LABEL_GRAPH} SELECT source_label, target_label, type, edge_count, count(*) OVER (PARTITION BY source_label, target_label) AS pair_count,
     source_label <> target_label AND (target_label, source_label) IN (SELECT (source_label, target_label) FROM lg) AS has_reverse FROM lg""", GRAPH))
 def pair_fan_out(spark, sf):
-    return g.pair_fan_out(g.label_graph(*_graph(spark, sf), _LABELS)).drop("pair_position")
+    return g.pair_fan_out(g.label_graph(*_graph(spark, sf), _labels())).drop("pair_position")
 
 
 @query("w11_parallel_edge_position", """
@@ -170,7 +171,7 @@ def node_detail_edges(spark, sf):
     f"""{_LABELS_SQL} SELECT uid FROM tagged WHERE list_contains(labels, 'JavaType') AND (
     len(list_filter(labels, lambda x: lower(x) LIKE '%asia%')) > 0 OR lower(concat_ws('|', uid, name, layer, package_name, graph_key, project_id)) LIKE '%asia%')""", GRAPH))
 def keyword_search(spark, sf):
-    return lake.graph_nodes(spark, sf).where(g.keyword_match(_LABELS, _PROPS, "JavaType", "ASIA")).select("uid")
+    return lake.graph_nodes(spark, sf).where(g.keyword_match(_labels(), _PROPS, "JavaType", "ASIA")).select("uid")
 
 
 @query("p7_display_name", with_tables("SELECT uid, coalesce(package_name, name) AS display_name FROM node", GRAPH))

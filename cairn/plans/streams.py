@@ -24,16 +24,19 @@ class _Streamed:
     """Makes the lake's builders read one raw table as a stream."""
 
     def __init__(self, spark, name):
-        self.spark, self.name = spark, name
+        self.reader, self.name = spark.readStream, name
 
     @property
     def read(self):
         return self
 
+    def schema(self, schema):
+        self.reader = self.reader.schema(schema)
+        return self
+
     def parquet(self, path):
         folder, file = path.rsplit("/", 1)
-        schema = self.spark.read.parquet(path).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+        return self.reader.option("pathGlobFilter", file).parquet(folder)
 
 
 @query("st1_inbox_ingest", with_tables(

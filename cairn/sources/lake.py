@@ -6,8 +6,11 @@ filter pushdown reach the scans of whatever operator is put on top.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairn.session import spread
 
@@ -18,8 +21,15 @@ SUFFIX_BY_DIGIT = {
 }
 
 
+@lru_cache(maxsize=256)
+def _schema(path: str) -> StructType:
+    """Schema of a table, looked up in its footers once rather than by a job at every read."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

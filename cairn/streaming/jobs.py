@@ -12,13 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.files import is_vector_source
 from cairn.operators import mutation, quality, scan
 from cairn.operators.extract import living_references, reconcile
 from cairn.sources.batches import BatchTable
 
-INBOX_MIN_AGE_SECONDS = 2
-
-
 def drain(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Run a stream over everything that is available now, then stop."""
     started = (
@@ -29,11 +27,17 @@ def drain(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpo
         raise started.exception()
 
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
 def inbox_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream of files dropped into a folder, those still being written left for the next trigger."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    settled = F.col("modificationTime") <= F.current_timestamp() - F.expr(f"INTERVAL {INBOX_MIN_AGE_SECONDS} SECONDS")
-    return files.where(settled)
+    """Stream of accepted files dropped into a folder.
+
+    A stream lists a file once, so a file must appear complete: writers use a temporary name (those
+    are not taken) and rename when done, which the stream then sees as a new file.
+    """
+    files = spark.readStream.schema(BINARY_FILE).format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.where(is_vector_source(F.col("path")))
 
 
 def ingest(arrivals: DataFrame, catalog: BatchTable, checkpoint: str) -> None:
