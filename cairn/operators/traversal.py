@@ -7,6 +7,8 @@ frames end the loops.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from cairn.session import cut
 # Limits of a neighbourhood, the relationships it may follow, stages of the layer flow.
 MAX_SEEDS, MAX_DEPTH, MAX_NODES, MAX_EDGES = 100, 6, 600, 5000
 NEIGHBOURHOOD_TYPES = tuple(t for t in RELATIONSHIP_TYPES if t not in ("CONTAINS", "GENERATED", "INGESTED"))
+MAX_ROUND_TABLES = 12  # written rounds kept apart before they are merged into one table
 FLOW_STAGE = {"Controller": 0, "Service": 1, "Repository": 2, "Mapper": 2, "DatabaseTable": 3}
 
 
@@ -60,14 +63,17 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: i
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """All nodes reachable along ``edges`` (src, dst) from ``start`` (uid), the start included."""
-    visited = cut(start.select("uid").distinct())
-    frontier = visited
+    frontier = cut(start.select("uid").distinct())
+    rounds = [frontier]
     while True:
+        visited = reduce(DataFrame.union, rounds)
         step = edges.join(frontier.withColumnRenamed("uid", "src"), "src", "left_semi").select(F.col("dst").alias("uid")).distinct()
         frontier = cut(step.join(visited, "uid", "left_anti"))
         if frontier.isEmpty():
             return visited
-        visited = cut(visited.unionByName(frontier))
+        rounds.append(frontier)
+        if len(rounds) > MAX_ROUND_TABLES:
+            rounds = [cut(reduce(DataFrame.union, rounds))]
 
 
 def layer_flow(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

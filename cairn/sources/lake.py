@@ -6,7 +6,7 @@ filter pushdown reach the scans of whatever operator is put on top.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -220,10 +220,7 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         node(raw(spark, sf_dir, "part"), key("table:p:", "p_partkey"), "DatabaseTable", F.col("p_name"),
              none, none, never, F.concat(F.lit("brand:"), F.col("p_brand"))),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.union, parts)
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,10 +254,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         edge(lines.where(F.col("l_returnflag") == "R"), "statement:s:", "l_suppkey", "table:p:", "l_partkey",
              "READS_FROM", l_gk),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.union, parts)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
