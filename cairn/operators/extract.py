@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from cairn.functions import code, ids, sqltext
 from cairn.functions import text as tx
+from cairn.session import cut
 
 # Fixed values of the extractors.
 CODE_CONFIDENCE, TEXT_CONFIDENCE = 1.0, 0.9
@@ -293,7 +294,8 @@ def match_tables(prompts: DataFrame, tables: DataFrame, limit: int = MATCH_LIMIT
     can show no more than ``limit``, so no more are carried.
     """
     named = _first(tables.withColumn("simple", F.lower(sqltext.table_of(F.col("table_name")))), "simple", limit)
-    words = prompts.select("prompt_id", F.explode(_words(F.col("text"))).alias("word"))
+    # Read three times below; written once, the texts are taken apart once.
+    words = cut(prompts.select("prompt_id", F.explode(_words(F.col("text"))).alias("word")))
     exact = words.join(named.withColumnRenamed("simple", "word"), "word").select("prompt_id", "table_name", "ordinal").distinct()
     exact = _first(exact, "prompt_id", limit)
 

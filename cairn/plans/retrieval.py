@@ -89,8 +89,8 @@ hit AS (SELECT chunk_id, dot / (sqrt(n2::DOUBLE) * sqrt((SELECT sum(q * q) FROM
         WHERE dot > 0 ORDER BY score DESC, chunk_id LIMIT 5)"""
 
 
-def _hits(spark, sf):
-    index = r.hashed_terms(text_chunks(spark, sf), "chunk_id", "content")
+def _hits(spark, sf, chunks=None):
+    index = r.hashed_terms(chunks if chunks is not None else text_chunks(spark, sf), "chunk_id", "content")
     asked = spark.range(1).select(F.lit("q").alias("key"), F.lit(REQUEST).alias("text"))
     return r.hashed_search(index, r.hashed_terms(asked, "key", "text"), "chunk_id")
 
@@ -131,7 +131,9 @@ merged AS (SELECT c.*, row_number() OVER (ORDER BY pos_at) AS rank FROM wanted J
 
 
 def _hybrid(spark, sf):
-    return r.hybrid_search(_linked_chunks(spark, sf), _evident_nodes(spark, sf), lake.graph_edges(spark, sf), _hits(spark, sf), "commerce")
+    # Chunks and edges are stored tables to a search: written once, read by each of its steps.
+    chunks, edges = cut(_linked_chunks(spark, sf)), cut(lake.graph_edges(spark, sf))
+    return r.hybrid_search(chunks, cut(_evident_nodes(spark, sf)), edges, _hits(spark, sf, chunks), "commerce")
 
 
 @query("v2_hybrid_search", with_tables(f"{_HYBRID} SELECT rank, chunk_id, source_key, content FROM merged", DOCUMENT, GRAPH))

@@ -10,7 +10,7 @@ from cairn.functions.text import non_blank
 
 # Wrapper keys in the order they are tried, and how deep results are looked for.
 WRAPPERS = ("text", "content", "result", "data")
-MAX_WRAPPING = 8
+MAX_WRAPPING = 6
 
 NODE = "struct<text:string,content:string,result:string,data:string,status:string,findings:string>"
 HITS = "array<struct<path:string,node:string>>"
