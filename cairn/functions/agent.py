@@ -21,6 +21,8 @@ WINDOWS_PATH = "(?i)([a-z]:\\\\[^\\s\"'<>|]+)"
 FILE_PATH = "(?i)((?:[A-Za-z]:\\\\|/)?[A-Za-z0-9_.-]+(?:[\\\\/][A-Za-z0-9_.-]+)+)"
 FILE_NAME = "(?i)([A-Za-z0-9_.-]+\\.(?:java|sql|xml|pdf|png|jpe?g|bmp|gif|tiff?|webp))"
 TABLE_REFERENCE = "(?i)([A-Za-z][A-Za-z0-9_]*(?:\\.[A-Za-z][A-Za-z0-9_]*)?)\\s*(?:테이블|table\\b)"
+QUOTED = "\"([^\"]+)\"|'([^']+)'"
+CODE_FENCE = "(?s)```(?:java|sql|xml)?\\s*(.*?)```"
 JAVA_REFERENCE = "(?<![A-Za-z0-9_$])((?:[A-Za-z_$][A-Za-z0-9_$]*\\.)*[A-Za-z_$][A-Za-z0-9_$]*(?:\\.java)?)(?![A-Za-z0-9_$])"
 JAVA_SUFFIXES = (
     "Controller", "ServiceImpl", "Service", "Repository", "Mapper", "Dto", "DTO", "Entity", "Domain", "Configuration", "Config",
@@ -73,11 +75,11 @@ def file_argument(message: Column) -> Column:
 
 
 def quoted_text(message: Column) -> Column:
-    return F.coalesce(non_blank(F.regexp_extract(message, "\"([^\"]+)\"|'([^']+)'", 1)), F.regexp_extract(message, "\"([^\"]+)\"|'([^']+)'", 2))
+    return F.coalesce(non_blank(F.regexp_extract(message, QUOTED, 1)), F.regexp_extract(message, QUOTED, 2))
 
 
 def fenced_code(message: Column) -> Column:
-    return strip(F.regexp_extract(message, "(?s)```(?:java|sql|xml)?\\s*(.*?)```", 1))
+    return strip(F.regexp_extract(message, CODE_FENCE, 1))
 
 
 def java_score(name: Column) -> Column:

@@ -191,6 +191,8 @@ def endpoint_path(class_path: Column, method_path: Column) -> Column:
     return F.when((F.length(joined) > 1) & joined.endswith("/"), F.rtrim(F.regexp_replace(joined, "/$", ""))).otherwise(joined)
 
 
+# Fence of a generated code block and the words a Java text begins with.
+CODE_BLOCK = "(?i)```(?:java)?\\s*([\\s\\S]*?)```"
 JAVA_START = ("package ", "import ", "@", "public ", "class ", "interface ", "enum ", "record ")
 
 
@@ -205,6 +207,6 @@ def trim_to_java(text: Column) -> Column:
 
 def code_blocks(text: Column) -> Column:
     """Java candidates of a generated answer: its fenced blocks, or all of it when it has none."""
-    fenced = F.filter(F.transform(F.regexp_extract_all(text, F.lit("(?i)```(?:java)?\\s*([\\s\\S]*?)```"), F.lit(1)), trim_to_java),
+    fenced = F.filter(F.transform(F.regexp_extract_all(text, F.lit(CODE_BLOCK), F.lit(1)), trim_to_java),
                       lambda b: F.trim(b) != "")
     return let(fenced, lambda blocks: F.when(F.size(blocks) > 0, blocks).otherwise(F.array(trim_to_java(text))))

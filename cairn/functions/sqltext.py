@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
 
-# Words that are no columns, per place they are looked for.
+# Patterns of SQL and generated mapper text, and words that are no columns or tables.
 SQL_WORDS = (
     "select", "from", "where", "join", "on", "insert", "into", "values", "update", "set", "delete", "and", "or", "as",
     "null", "true", "false", "asc", "desc",
@@ -29,6 +29,14 @@ IGNORED_COLUMN_TOKENS = (
 TABLE_NAME_LIMIT = 6
 TABLE_PATTERN = "^[A-Za-z][A-Za-z0-9_]*(\\.[A-Za-z][A-Za-z0-9_]*)?$"
 COLUMN_PATTERN = "^[A-Za-z_][A-Za-z0-9_]*$"
+QUALIFIED_TABLE = "[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)?"
+COLUMN_ATTRIBUTE = "(?i)\\bcolumn\\s*=\\s*[\"']([A-Za-z_][A-Za-z0-9_]*)[\"']"
+SQL_FRAGMENT = "(?is)<sql\\b[^>]*>(.*?)</sql>"
+INSERT_LIST = f"(?is)\\binsert\\s+into\\s+{QUALIFIED_TABLE}\\s*\\((.*?)\\)"
+UPDATE_SET = f"(?is)\\bupdate\\s+{QUALIFIED_TABLE}\\s+set\\s+(.*?)(?:\\bwhere\\b|</update>|$)"
+SELECT_LIST = f"(?is)\\bselect\\s+(.*?)\\s+from\\s+{QUALIFIED_TABLE}"
+MAPPER_TABLE = "(?i)\\b(?:from|join|into|update)\\s+([A-Za-z0-9_.$]+)"
+PARAMETER = "[#][$]?[{][^}]+[}]"
 LABELED_TABLE = "(?i)(?:table[_\\s-]?name|table|name)\\s*[:=]\\s*[`\"]?([A-Za-z][A-Za-z0-9_]*(?:\\.[A-Za-z][A-Za-z0-9_]*)?)"
 
 
@@ -51,7 +59,7 @@ def statement_tables(sql: Column, operation: Column) -> Column:
 
 def mapper_tables(sql: Column) -> Column:
     """Tables of a mapper statement, whatever it does with them."""
-    found = F.regexp_extract_all(sql, F.lit("(?i)\\b(?:from|join|into|update)\\s+([A-Za-z0-9_.$]+)"), F.lit(1))
+    found = F.regexp_extract_all(sql, F.lit(MAPPER_TABLE), F.lit(1))
     return F.array_distinct(F.filter(F.transform(found, lambda t: tx.strip(F.replace(t, F.lit("$"), F.lit("")))), lambda t: t != ""))
 
 
@@ -82,7 +90,7 @@ def statement_columns(sql: Column, operation: Column) -> Column:
 
 def mapper_columns(sql: Column, tables: Column) -> Column:
     """Identifiers of a mapper statement that are neither SQL words nor parts of its table names."""
-    plain = F.regexp_replace(sql, "[#][$]?[{][^}]+[}]", " ")
+    plain = F.regexp_replace(sql, PARAMETER, " ")
     parts = F.flatten(F.transform(tables, lambda t: F.split(F.lower(t), "\\.")))
     words = F.regexp_extract_all(plain, F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
     return F.array_distinct(F.filter(words, lambda w: ~F.lower(w).isin(*SQL_WORDS) & ~F.array_contains(parts, F.lower(w))))
@@ -102,18 +110,16 @@ def _generated(candidate: Column) -> Column:
 
 def generated_columns(code: Column) -> Column:
     """Columns a generated mapper refers to, from five kinds of places, first mention first."""
-    table = "[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)?"
-
     def listed(pattern):
         return F.flatten(F.transform(F.regexp_extract_all(code, F.lit(pattern), F.lit(1)), lambda s: F.split(s, "[,\\r\\n]+")))
 
-    attributes = F.regexp_extract_all(code, F.lit("(?i)\\bcolumn\\s*=\\s*[\"']([A-Za-z_][A-Za-z0-9_]*)[\"']"), F.lit(1))
-    fragments = listed("(?is)<sql\\b[^>]*>(.*?)</sql>")
-    inserts = listed(f"(?is)\\binsert\\s+into\\s+{table}\\s*\\((.*?)\\)")
+    attributes = F.regexp_extract_all(code, F.lit(COLUMN_ATTRIBUTE), F.lit(1))
+    fragments = listed(SQL_FRAGMENT)
+    inserts = listed(INSERT_LIST)
     sets = F.flatten(F.transform(
-        F.regexp_extract_all(code, F.lit(f"(?is)\\bupdate\\s+{table}\\s+set\\s+(.*?)(?:\\bwhere\\b|</update>|$)"), F.lit(1)),
+        F.regexp_extract_all(code, F.lit(UPDATE_SET), F.lit(1)),
         lambda s: F.transform(F.filter(F.split(s, ","), lambda a: F.instr(a, "=") > 1), lambda a: F.substring_index(a, "=", 1))))
-    selects = listed(f"(?is)\\bselect\\s+(.*?)\\s+from\\s+{table}")
+    selects = listed(SELECT_LIST)
     every = F.concat(attributes, fragments, inserts, sets, selects)
     return F.array_distinct(F.filter(F.transform(every, _generated), lambda c: c != ""))
 
