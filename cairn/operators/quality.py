@@ -61,8 +61,8 @@ def group_members(methods: DataFrame, kind: str, project_key: str, hash_value: C
     """Detail of one group, whatever the line threshold; empty unless it has at least two members."""
     column = "method_hash" if kind == "EXACT" else "structural_hash"
     found = methods.where((F.col("project_key") == project_key) & (F.col(column) == hash_value))
-    enough = found.groupBy().agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("n")
-    return found.join(F.broadcast(enough)).drop("n")  # the right side is exactly zero or one row
+    size = found.agg(F.count(F.lit(1))).scalar()
+    return found.where(size >= 2)
 
 
 def summary(methods: DataFrame) -> DataFrame:

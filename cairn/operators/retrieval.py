@@ -67,9 +67,9 @@ def hashed_search(index: DataFrame, query: DataFrame, key: str, k: int = TOP_K)
     matched = index.join(F.broadcast(q), "bucket", "left")
     sums = matched.groupBy(key).agg(
         F.sum(F.col("weight") * F.coalesce("q", F.lit(0))).alias("dot"), F.sum(F.col("weight") * F.col("weight")).alias("n2"))
-    q2 = q.agg(F.sum(F.col("q") * F.col("q")).alias("q2"))
-    score = F.col("dot") / (F.sqrt(F.col("n2").cast("double")) * F.sqrt(F.col("q2").cast("double")))
-    return sums.where("dot > 0").join(F.broadcast(q2)).select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
+    q2 = q.agg(F.sum(F.col("q") * F.col("q")).alias("q2")).scalar()
+    score = F.col("dot") / (F.sqrt(F.col("n2").cast("double")) * F.sqrt(q2.cast("double")))
+    return sums.where("dot > 0").select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def entity_seeds(hits: DataFrame, column: str = "entity_ids") -> DataFrame:

@@ -6,7 +6,7 @@ from cairn.functions import files as ff
 from cairn.functions import text as tx
 from cairn.operators import catalog as c
 from cairn.operators import ordering
-from cairn.plans.oracle_tables import DOCUMENT, GRAPH, PROJECT, SCAN, with_tables
+from cairn.plans.oracle_tables import DOCUMENT, PROJECT, SCAN, with_tables
 from cairn.plans.registry import query
 from cairn.sources import lake
 

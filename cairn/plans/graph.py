@@ -454,8 +454,8 @@ def _package_pairs(spark, sf):
     by_customer = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     pairs = (by_customer.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
              .groupBy("src", "dst").agg(F.sum("n").alias("n")))
-    total = li.agg((F.count(F.lit(1)) / 400).alias("bound"))
-    kept = pairs.where("src <> dst").join(F.broadcast(total), F.col("n") >= F.col("bound"))  # one row
+    bound = li.agg(F.count(F.lit(1)) / 400).scalar()
+    kept = pairs.where((F.col("src") != F.col("dst")) & (F.col("n") >= bound))
     name = lake.raw(spark, sf, "nation").select("n_nationkey", "n_name")
     named = kept.join(name.select(F.col("n_nationkey").alias("src"), F.col("n_name").alias("src_name")), "src").join(
         name.select(F.col("n_nationkey").alias("dst"), F.col("n_name").alias("dst_name")), "dst")

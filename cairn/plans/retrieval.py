@@ -2,10 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from cairn.operators import catalog as c
 from cairn.operators import chunking as ch
 from cairn.operators import retrieval as r
-from cairn.operators import traversal as tr
 from cairn.plans.oracle_tables import DOCUMENT, GRAPH, with_tables
 from cairn.plans.registry import query
 from cairn.session import cut, spread

@@ -1,7 +1,6 @@
 """Text function queries over documents, pages, benchmark items and conversations."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from cairn.functions import agent, files, ids
 from cairn.functions import text as tx
