@@ -11,10 +11,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = (
-    "near_copies", "line_crf", "url_filter", "mixing", "decontaminate", "surrogates", "token_planes", "chat_format",
-    "sharding", "quality_rules",
-)
+MODULES = ("mixing", "sharding", "quality_rules")
 
 
 def query(name: str, sql: str | None = None):
