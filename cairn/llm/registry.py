@@ -11,7 +11,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("mixing", "sharding", "quality_rules")
+MODULES = ("near_copies", "mixing", "sharding", "quality_rules")
 
 
 def query(name: str, sql: str | None = None):
