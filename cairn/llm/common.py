@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +50,26 @@ def row_hash(df: DataFrame, seed: str = "") -> Column:
     """60 bits that depend on the row's ``doc_id``, or on its text where there is no id: the same in every run."""
     identity = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), text_of()))
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), identity)), 1, 15), 16, 10).cast("long")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, which may not find it on their own path.
+
+    The archive is made on the driver, from where Spark sends it to every executor.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cairn_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="cairn-code-")) / "cairn_code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted((root / "cairn").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))
+    context._cairn_shipped = True
+
+
+def map_batches(df: DataFrame, work, schema) -> DataFrame:
+    """``df.mapInArrow``, with this package within the workers' reach."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.bytescan import shingle_sets, slices, text_words
-from cairn.llm.common import columns_of, fresh, table, text_of
+from cairn.llm.common import columns_of, fresh, map_batches, table, text_of
 from cairn.llm.components import components
 from cairn.llm.registry import query
 from cairn.session import cut
@@ -101,7 +101,7 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, h, class key ``c``, number of distinct shingles ``n``, signature ``sig`` of every document."""
-    return _identified(docs).mapInArrow(_features, "doc_id long, h long, c long, n int, sig array<bigint>")
+    return map_batches(_identified(docs), _features, "doc_id long, h long, c long, n int, sig array<bigint>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -254,7 +254,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     signed = _paired(members, "n_blocks").join(classes.select("c", "n", "sig"), "c")
     by = ["band", "key", "p", "q"]
     dealt = signed.select(*by, "mine", "c", "n", "sig").repartition(*by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(_pruned, "c long, others array<bigint>, root long")
+    return map_batches(dealt, _pruned, "c long, others array<bigint>, root long")
 
 
 def links(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
@@ -269,14 +269,15 @@ def links(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     texts = _identified(docs).join(of.hint("shuffle_hash"), "h").where(F.col("doc_id").eqNullSafe(F.col("of")))
     kept = texts.select("c", "copies", "group", "n_blocks", "mine", "text")
     schema = "c long, copies long, `group` long, n_blocks long, mine long, shingles binary"
-    sets = _paired(kept.mapInArrow(_sets, schema), "n_blocks").select(
+    sets = _paired(map_batches(kept, _sets, schema), "n_blocks").select(
         "group", "p", "q", "c", "copies", "shingles", F.lit(None).cast("array<bigint>").alias("others"))
     asked = _paired(found.where(F.size("others") > 0).join(members.select("c", "group", "n_blocks", "mine"), "c"), "n_blocks")
     mine = F.filter("others", lambda j: _block(j, F.col("n_blocks")) == F.col("x"))
     asked = asked.withColumn("others", mine).where(F.size("others") > 0).select(
         "group", "p", "q", "c", F.lit(None).cast("long").alias("copies"), F.lit(None).cast("binary").alias("shingles"), "others")
     by = ["group", "p", "q"]
-    return sets.unionByName(asked).repartition(*by).sortWithinPartitions(*by).mapInArrow(_verified, "c long, links long, root long")
+    dealt = sets.unionByName(asked).repartition(*by).sortWithinPartitions(*by)
+    return map_batches(dealt, _verified, "c long, links long, root long")
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
