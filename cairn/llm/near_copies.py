@@ -181,10 +181,12 @@ def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         order = np.argsort(a, kind="stable")
         a, b = a[order], b[order]
-        label = _least_labels(len(c), a, b)
+        # Classes by rank, so that the root is the least class, which most buckets of a group have in common.
+        ids, rank = np.unique(c, return_inverse=True)
+        label = _least_labels(len(ids), rank[a], rank[b])
         nodes = np.union1d(a, b)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c[nodes]), _lists(c[b], np.bincount(a, minlength=len(c))[nodes]), pa.array(c[label[nodes]])],
+            [pa.array(c[nodes]), _lists(c[b], np.bincount(a, minlength=len(c))[nodes]), pa.array(ids[label[rank[nodes]]])],
             names=["c", "others", "root"])
 
 
@@ -212,8 +214,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sets[c[r]], weight[c[r]] = np.frombuffer(s, np.uint64), copies[r].as_py()
                 else:
                     wanted.append((c[r], others[r].values.to_numpy()))
-            number = {x: i for i, x in enumerate(sets)}
-            ids, w = np.fromiter(sets, np.int64, len(sets)), np.fromiter(weight.values(), np.int64, len(sets))
+            ids = np.sort(np.fromiter(sets, np.int64, len(sets)))
+            number = {x: i for i, x in enumerate(ids.tolist())}
+            w = np.array([weight[x] for x in ids.tolist()], np.int64)
             links, ea, eb = np.zeros(len(sets), np.int64), [], []
             for x, js in wanted:
                 mine, theirs = sets[x], [sets[j] for j in js.tolist()]
