@@ -323,8 +323,24 @@ def reconcile(current: DataFrame, live: DataFrame) -> DataFrame:
     names = live.select(tx.strip(F.col("tool")).alias("tool")).where(F.col("tool") != "").distinct().withColumn("_live", F.lit(True))
     joined = current.select("capability_id", "tool", F.lit(True).alias("_known")).join(names, "tool", "full")
     action = F.when(F.col("_known").isNull(), "added").when(F.col("_live").isNull(), "removed").otherwise("retained")
-    new_id = F.regexp_replace(F.regexp_replace(F.lower("tool"), "[^a-z0-9]+", "."), "^\\.|\\.$", "")
-    return joined.select(F.coalesce("capability_id", new_id).alias("capability_id"), "tool", action.alias("action"))
+    told = joined.select("capability_id", "tool", action.alias("action"))
+    kept = told.where("capability_id IS NOT NULL")
+    plain = F.regexp_replace(F.regexp_replace(F.lower("tool"), "[^a-z0-9]+", "."), "^\\.+|\\.+$", "")
+    named = told.where("capability_id IS NULL").withColumn(
+        "wanted", F.concat(F.lit("auto."), F.when(plain == "", "tool").otherwise(plain)))
+    # Tools of one id are told apart by a hash of their name, all but the first by name; so are those of an id in use.
+    place = F.row_number().over(W.partitionBy("wanted").orderBy("tool"))
+    used = kept.where("action = 'retained'").select(F.col("capability_id").alias("wanted"), F.lit(True).alias("_used"))
+    own = F.concat_ws(".", "wanted", F.lower(F.conv(_java_hash(F.col("tool")).cast("string"), 10, 36)))
+    new = named.withColumn("_place", place).join(used, "wanted", "left").select(
+        F.when((F.col("_place") > 1) | F.col("_used").isNotNull(), own).otherwise(F.col("wanted")).alias("capability_id"), "tool", "action")
+    return kept.unionByName(new)
+
+
+def _java_hash(text: Column) -> Column:
+    """Unsigned 32-bit hash with factor 31 over the characters (of the basic plane)."""
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"),
+                       lambda h, c: F.pmod(h * 31 + F.ascii(c).cast("long"), F.lit(1 << 32)))
 
 
 def living_references(references: DataFrame, reconciled: DataFrame) -> DataFrame:

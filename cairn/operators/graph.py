@@ -324,23 +324,37 @@ def matched_scope(nodes: DataFrame, text: str, max_keys: int = 20) -> DataFrame:
     return near.where(hit | F.col("_near").isNotNull()).select(*nodes.columns)
 
 
-def induced_edges(edges: DataFrame, chosen: DataFrame, node_bound: int) -> DataFrame:
-    """Edges with both ends in a node set of at most ``node_bound`` nodes, capped by the size of the set."""
-    ids = cut(chosen.select("uid").limit(node_bound))
-    limit = clamp(node_bound * 6, 200, 5000)
+def induced_edges(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Edges with both ends in a chosen node set (an overview, so a few thousand at most), six per node of it."""
+    ids = cut(chosen.select("uid"))
+    limit = clamp(ids.count() * 6, 200, 5000)
     inside = edges.join(F.broadcast(ids.withColumnRenamed("uid", "src")), "src", "left_semi").join(
         F.broadcast(ids.withColumnRenamed("uid", "dst")), "dst", "left_semi")
     return inside.select("type", "src", "dst", "graph_key").orderBy("type", "src", "dst", "graph_key").limit(limit)
 
 
+# The properties a node's name is taken from, in this order.
+NAME_CHAIN = ("name", "fileName", "simpleName", "fqn", "uid", "title", "id")
+
+
+def display_name(nodes: DataFrame) -> Column:
+    """The first of a node's naming properties that is there and not blank."""
+    return F.coalesce(*[non_blank(F.col(c)) for c in NAME_CHAIN if c in nodes.columns], F.lit(None).cast("string"))
+
+
+def java_file_count(nodes: DataFrame) -> DataFrame:
+    """Distinct source file nodes whose id ends in ``.java``."""
+    return nodes.where((F.col("label") == "SourceFile") & F.col("uid").endswith(".java")).agg(F.countDistinct("uid").alias("file_count"))
+
+
 def merge_nodes(observed: DataFrame) -> DataFrame:
     """Observations (uid, seq, label, name, external, props) of one node merged into it.
 
-    Later property values win, the first label and the last name stay, one ``external=false`` sticks.
+    Later property values, names and external flags win, the first label stays.
     Values are reduced per (uid, key) before a node's map is rebuilt, so the rebuilt map holds each key once.
     """
     heads = observed.groupBy("uid").agg(
-        F.min_by("label", "seq").alias("label"), F.max_by("name", "seq").alias("name"), F.bool_and("external").alias("external"))
+        F.min_by("label", "seq").alias("label"), F.max_by("name", "seq").alias("name"), F.max_by("external", "seq").alias("external"))
     values = (
         observed.select("uid", "seq", F.explode("props")).groupBy("uid", "key").agg(F.max_by("value", "seq").alias("value"))
         .groupBy("uid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("props"))

@@ -136,6 +136,20 @@ def changed_snapshots(current: DataFrame, stored: DataFrame) -> DataFrame:
     return current.join(old, "project_key", "left").where(~same).select(*current.columns)
 
 
+def changes(evaluated: DataFrame, stored: DataFrame) -> DataFrame:
+    """Of several evaluations of a project those that differ from the one before, the first from the latest stored."""
+    columns = [*MEASURES, "duplicate_ratio"]
+    latest = latest_per_key(stored, "project_key", ["created_at", "id"], [c for c in evaluated.columns if c != "project_key"])
+    both = evaluated.withColumn("_new", F.lit(True)).unionByName(latest.select(*evaluated.columns).withColumn("_new", F.lit(False)))
+    w = W.partitionBy("project_key").orderBy("_new", "created_at", "id")
+    both = both.withColumns({"_has": F.lag(F.lit(True)).over(w), **{f"_old_{c}": F.lag(c).over(w) for c in columns}})
+    same = F.coalesce(F.col("_has"), F.lit(False))
+    for c in MEASURES:
+        same = same & F.col(c).eqNullSafe(F.col(f"_old_{c}"))
+    same = same & F.coalesce(F.abs(F.col("duplicate_ratio") - F.col("_old_duplicate_ratio")) < RATIO_TOLERANCE, F.lit(False))
+    return both.where(F.col("_new") & ~same).select(*evaluated.columns)
+
+
 def trend(snapshots: DataFrame, limit: int = TREND_LIMIT) -> DataFrame:
     """Newest snapshots per project; the rank filter prunes each task to ``limit`` rows per key before the shuffle."""
     w = W.partitionBy("project_key").orderBy(F.desc("created_at"), F.desc("id"))

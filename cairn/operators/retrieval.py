@@ -73,9 +73,10 @@ def hashed_search(index: DataFrame, query: DataFrame, key: str, k: int = TOP_K)
 
 
 def entity_seeds(hits: DataFrame, column: str = "entity_ids") -> DataFrame:
-    """Distinct non-blank entity ids of the hits, at most the seed limit of a neighbourhood."""
-    ids = hits.select(F.explode(column).alias("uid"))
-    return traversal.seed_ids(ids)
+    """Distinct non-blank entity ids in the order of their hits, at most the seed limit of a neighbourhood."""
+    rank = F.col("rank") if "rank" in hits.columns else F.lit(0)
+    ids = hits.select(rank.alias("rank"), F.posexplode(column).alias("place", "uid"))
+    return traversal.seed_ids(ids.select("uid", F.struct("rank", "place").alias("hit")))
 
 
 def evidence_ids(hits: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = HYBRID_EVIDENCE) -> DataFrame:

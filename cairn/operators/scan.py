@@ -67,7 +67,7 @@ def job_progress(outcomes: DataFrame, jobs: DataFrame) -> DataFrame:
 def job_status(progress: DataFrame, results: DataFrame) -> DataFrame:
     """Final status of finished jobs; the message of a failed one is its first error."""
     first_error = results.where((F.col("status") == "ERROR") & non_blank(F.col("message")).isNotNull()).groupBy(
-        "scan_job_id").agg(F.min_by("message", F.struct("document_id")).alias("first_error"))
+        "scan_job_id").agg(F.min_by("message", F.struct("document_id", "message")).alias("first_error"))
     finished = F.col("processed_files") >= F.col("total_files")
     status = F.when(~finished, "RUNNING").when(F.col("error_files") > 0, "COMPLETED_WITH_ERRORS").otherwise("COMPLETED")
     return progress.join(first_error, "scan_job_id", "left").withColumn("final_status", status).withColumn(

@@ -24,9 +24,10 @@ FLOW_STAGE = {"Controller": 0, "Service": 1, "Repository": 2, "Mapper": 2, "Data
 
 
 def seed_ids(ids: DataFrame, column: str = "uid", limit: int = MAX_SEEDS) -> DataFrame:
-    """Distinct non-blank ids, the first ``limit`` in id order."""
-    trimmed = ids.select(non_blank(F.col(column)).alias("uid")).where(F.col("uid").isNotNull())
-    return trimmed.distinct().orderBy("uid").limit(limit)
+    """Distinct non-blank ids, the first ``limit`` in the order of ``hit`` where there is one, then of the id."""
+    hit = F.col("hit") if "hit" in ids.columns else F.lit(0)
+    trimmed = ids.select(non_blank(F.col(column)).alias("uid"), hit.alias("hit")).where(F.col("uid").isNotNull())
+    return trimmed.groupBy("uid").agg(F.min("hit").alias("hit")).orderBy("hit", "uid").limit(limit)
 
 
 def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, project: str = "",
@@ -44,7 +45,7 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: i
         F.explode(F.array(F.struct(F.col("src").alias("near"), F.col("dst").alias("uid")),
                           F.struct(F.col("dst").alias("near"), F.col("src").alias("uid")))).alias("e")).select("e.*")
     start = seed_ids(seeds)
-    visited = cut(allowed.join(F.broadcast(start), "uid", "left_semi").orderBy("uid").limit(max_nodes)
+    visited = cut(allowed.join(F.broadcast(start), "uid").orderBy("hit", "uid").limit(max_nodes)
                   .select("uid", F.lit(0).alias("depth")))
     frontier, size = visited, visited.count()
     for hop in range(1, depth + 1):

@@ -517,7 +517,7 @@ _LIVE = "live AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = '
 
 @query("j21_catalog_reconcile", f"""WITH {_LIVE} SELECT 'cap' || p_partkey AS capability_id, 'tool_' || p_partkey AS tool,
     CASE WHEN p_partkey IN (SELECT l_partkey FROM live) THEN 'retained' ELSE 'removed' END AS action FROM part
-    UNION ALL SELECT 'vendor.tool.' || s_suppkey, 'Vendor Tool-' || s_suppkey, 'added' FROM supplier""")
+    UNION ALL SELECT 'auto.vendor.tool.' || s_suppkey, 'Vendor Tool-' || s_suppkey, 'added' FROM supplier""")
 def catalog_reconcile(spark, sf):
     return x.reconcile(*_capabilities(spark, sf))
 

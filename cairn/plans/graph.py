@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as tx
 from cairn.operators import graph as g
 from cairn.operators import traversal as tr
-from cairn.plans.oracle_tables import GRAPH, with_tables
+from cairn.plans.oracle_tables import DOCUMENT, GRAPH, with_tables
 from cairn.plans.registry import query
 from cairn.session import cut
 from cairn.sources import lake
@@ -174,9 +174,10 @@ def keyword_search(spark, sf):
     return lake.graph_nodes(spark, sf).where(g.keyword_match(_labels(), _PROPS, "JavaType", "ASIA")).select("uid")
 
 
-@query("p7_display_name", with_tables("SELECT uid, coalesce(package_name, name) AS display_name FROM node", GRAPH))
+@query("p7_display_name", with_tables("SELECT uid, coalesce(nullif(trim(name), ''), uid) AS display_name FROM node", GRAPH))
 def display_name(spark, sf):
-    return lake.graph_nodes(spark, sf).select("uid", F.coalesce("package_name", "name", "uid").alias("display_name"))
+    nodes = lake.graph_nodes(spark, sf)
+    return nodes.select("uid", g.display_name(nodes).alias("display_name"))
 
 
 @query("p8_masked_properties", with_tables(
@@ -207,11 +208,11 @@ def project_nodes(spark, sf):
     return lake.graph_nodes(spark, sf).where(F.col("project_id") == "vendor").select("uid", "label")
 
 
-@query("a8_java_file_count", """SELECT count(DISTINCT url) AS file_count FROM pages WHERE lower(url) LIKE '%ref=x' OR lower(url) LIKE '%.html'""")
+@query("a8_java_file_count", with_tables("SELECT count(DISTINCT file_path) AS file_count FROM document WHERE file_path LIKE '%.java'", DOCUMENT))
 def java_file_count(spark, sf):
-    """Distinct files by suffix, asked of the page addresses."""
-    u = F.lower("url")
-    return lake.raw(spark, sf, "pages").where(u.endswith("ref=x") | u.endswith(".html")).agg(F.countDistinct("url").alias("file_count"))
+    """Distinct Java files among the source file nodes of the catalog."""
+    files = lake.documents_catalog(spark, sf).select(F.lit("SourceFile").alias("label"), F.col("file_path").alias("uid"))
+    return g.java_file_count(files)
 
 
 _OBSERVED = """obs AS (SELECT 'part:' || l_partkey AS uid, (l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_linestatus) AS seq, 'L' || l_linenumber AS label, 'order' || l_orderkey AS name,
@@ -220,7 +221,7 @@ _OBSERVED = """obs AS (SELECT 'part:' || l_partkey AS uid, (l_orderkey, l_linenu
 
 
 @query("a12_merged_nodes", with_tables(
-    """SELECT uid, arg_min(label, seq) AS label, arg_max(name, seq) AS name, bool_and(external) AS external,
+    """SELECT uid, arg_min(label, seq) AS label, arg_max(name, seq) AS name, arg_max(external, seq) AS external,
     arg_max(flag, seq) AS flag, arg_max(supplier, seq) FILTER (supplier IS NOT NULL) AS supplier FROM obs GROUP BY uid""", _OBSERVED))
 def merged_nodes(spark, sf):
     li = lake.raw(spark, sf, "lineitem")
@@ -275,10 +276,10 @@ def not_yet_selected(spark, sf):
 
 @query("j9_induced_edges", with_tables(
     f"""{_OVERVIEW.format(scope='node', quota=29, limit=600)} SELECT type, src, dst, graph_key FROM edge
-    WHERE src IN (SELECT uid FROM shown) AND dst IN (SELECT uid FROM shown) ORDER BY type, src, dst, graph_key LIMIT 3600""", GRAPH))
+    WHERE src IN (SELECT uid FROM shown) AND dst IN (SELECT uid FROM shown) ORDER BY type, src, dst, graph_key LIMIT (SELECT greatest(200, least(5000, 6 * count(*))) FROM shown)""", GRAPH))
 def induced_edges(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return g.induced_edges(edges, g.overview(nodes, 600), 600)
+    return g.induced_edges(edges, g.overview(nodes, 600))
 
 
 @query("a19_package_tree", with_tables(
@@ -300,18 +301,6 @@ def common_package_prefix(spark, sf):
     return g.common_prefix(packages)
 
 
-@query("a21_layer_counts", with_tables(
-    """SELECT CASE WHEN label = 'DatabaseTable' THEN 3 WHEN layer IN ('Repository', 'Mapper') THEN 2 WHEN layer IN ('Service', 'ServiceImpl') THEN 1
-    WHEN layer = 'Controller' THEN 0 END AS stage, count(*) AS node_count FROM node WHERE label = 'DatabaseTable' OR layer IN ('Repository', 'Mapper', 'Service', 'ServiceImpl', 'Controller')
-    GROUP BY 1""", GRAPH))
-def layer_counts(spark, sf):
-    kind = g.role(F.col("label"), F.col("layer"))
-    stage = F.lit(None).cast("int")
-    for name, value in tr.FLOW_STAGE.items():
-        stage = F.when(kind == name, value).otherwise(stage)
-    return lake.graph_nodes(spark, sf).select(stage.alias("stage")).where("stage IS NOT NULL").groupBy("stage").agg(F.count(F.lit(1)).alias("node_count"))
-
-
 @query("g7_package_hierarchy", """
     WITH page AS (SELECT DISTINCT 'web' || replace(regexp_extract(url, '^https?://[^/]*([^?#]*)', 1), '/', '.') AS package FROM pages),
     pkg AS (SELECT package FROM page UNION SELECT DISTINCT regexp_extract(package, '^(web\\.[^.]+)\\.', 1) FROM page WHERE package LIKE 'web.%.%')
@@ -439,6 +428,14 @@ def layer_flow_nodes(spark, sf):
     return kept.select("uid", "stage")
 
 
+@query("a21_layer_counts", with_tables(
+    f"{_FLOW} SELECT stage, count(*) AS node_count FROM staged SEMI JOIN reach USING (uid) GROUP BY 1", GRAPH, recursive=True))
+def layer_counts(spark, sf):
+    """Nodes that the flow keeps, by stage."""
+    kept, _ = tr.layer_flow(*_graph(spark, sf))
+    return kept.groupBy("stage").agg(F.count(F.lit(1)).alias("node_count"))
+
+
 @query("g3_layer_flow_edges", with_tables(
     f"{_FLOW} SELECT * FROM flow WHERE src IN (SELECT uid FROM reach) AND dst IN (SELECT uid FROM reach)", GRAPH, recursive=True))
 def layer_flow_edges(spark, sf):

@@ -178,4 +178,4 @@ def first_wins_merge(spark, sf):
 @query("u3_entity_seeds", with_tables(
     f"""{_CHUNKS} SELECT DISTINCT 'type:c:' || document_id AS uid FROM chunk ORDER BY uid LIMIT 100""", DOCUMENT))
 def entity_seeds(spark, sf):
-    return r.entity_seeds(_linked_chunks(spark, sf))
+    return r.entity_seeds(_linked_chunks(spark, sf)).select("uid")

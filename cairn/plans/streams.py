@@ -80,15 +80,19 @@ def _executions(spark, sf):
 
 @query("st3_execution_state", """
     WITH e AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS execution_id, ts, event_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'view' THEN 'STARTED' ELSE 'NOTED' END AS status FROM events)
-    SELECT execution_id, coalesce(arg_min(status, (ts, event_id)) FILTER (status IN ('FAILED', 'SUCCEEDED')), 'STARTED') AS status,
-    epoch_us(min(ts) FILTER (status = 'STARTED')) AS started_us, epoch_us(min(ts) FILTER (status IN ('FAILED', 'SUCCEEDED'))) AS completed_us FROM e GROUP BY 1""")
+    , s AS (SELECT execution_id, min((ts, event_id)) AS start, min(ts) AS started FROM e WHERE status = 'STARTED' GROUP BY 1),
+    o AS (SELECT e.execution_id, arg_min(e.status, (e.ts, e.event_id)) AS outcome, min(e.ts) AS completed FROM e JOIN s USING (execution_id)
+      WHERE e.status IN ('FAILED', 'SUCCEEDED') AND (e.ts, e.event_id) > s.start GROUP BY 1)
+    SELECT execution_id, coalesce(outcome, 'STARTED') AS status, epoch_us(started) AS started_us, epoch_us(completed) AS completed_us,
+    (epoch_us(completed) - epoch_us(started)) // 1000 AS duration_ms FROM s LEFT JOIN o USING (execution_id)""")
 def execution_state(spark, sf):
-    state = jobs.execution_state(_executions(_Streamed(spark, "events"), sf))
+    events = _executions(_Streamed(spark, "events"), sf).where(F.col("status") != "NOTED")
     table, checkpoint = _place(spark, "execution")
-    jobs.changelog(state, table, checkpoint)
-    now = jobs.latest(table.all(state.schema), "execution_id")
-    return now.select("execution_id", "status", F.unix_micros(F.col("started_at").cast("timestamp")).alias("started_us"),
-                      F.unix_micros(F.col("completed_at").cast("timestamp")).alias("completed_us"))
+    jobs.append(events, table, checkpoint)
+    now = jobs.execution_state(table.all(events.schema))
+    timed = now.select("execution_id", "status", F.unix_micros(F.col("started_at").cast("timestamp")).alias("started_us"),
+                       F.unix_micros(F.col("completed_at").cast("timestamp")).alias("completed_us"))
+    return timed.withColumn("duration_ms", F.expr("(completed_us - started_us) div 1000"))
 
 
 @query("st4_health_snapshot", """
@@ -106,13 +110,15 @@ def health_snapshot(spark, sf):
     return health_rollup(jobs.latest(table.all(known.schema), "id"))
 
 
-@query("st5_changed_snapshots", """SELECT 'c' || o_custkey AS project_key, max(o_orderkey) AS id FROM orders GROUP BY 1""")
+@query("st5_changed_snapshots", """SELECT project_key, id FROM (SELECT 'c' || o_custkey AS project_key, o_orderkey AS id, floor(o_totalprice / 40000) AS now,
+    lag(floor(o_totalprice / 40000)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) WHERE before IS DISTINCT FROM now""")
 def changed_snapshots(spark, sf):
-    """Evaluations stream in; the newest of a batch is stored when it differs from the stored one."""
+    """Evaluations stream in; each one that differs from the one before it is stored."""
     o = lake.raw(_Streamed(spark, "orders"), sf, "orders")
     measured = o.select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("project_key"), F.col("o_orderkey").alias("id"), F.lit(0).alias("created_at"),
-        *[F.floor("o_totalprice").cast("long").alias(c) for c in quality.MEASURES], F.col("o_totalprice").alias("duplicate_ratio"))
+        *[F.floor(F.col("o_totalprice") / 40000).cast("long").alias(c) for c in quality.MEASURES],
+        F.floor(F.col("o_totalprice") / 40000).cast("double").alias("duplicate_ratio"))
     table, checkpoint = _place(spark, "snapshot")
     jobs.snapshots(measured, table, checkpoint)
     return table.all(measured.schema).select("project_key", "id")

@@ -18,6 +18,7 @@ def build_session(app: str = "cairn", cpus: str | int = "*", shuffle_partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.cairn.scan.partitions", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -29,23 +30,26 @@ def build_session(app: str = "cairn", cpus: str | int = "*", shuffle_partitions:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (unit tests, local runs) a fresh temporary folder is used.
+    Where nothing is configured, a local master gets a fresh temporary folder; on a cluster that would be another
+    folder on each machine, so it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="cairn-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a scan every core.
+    """Deal a scan out to as many tasks as ``spark.cairn.scan.partitions`` says; without that setting it stays as it is.
 
-    A scan with fewer splits than cores (one file with one row group, say) is dealt out once; larger
-    inputs, which have splits enough, are left alone and pay no shuffle.
+    It is for tables of one small file, whose single split would keep CPU-heavy work on one core. The caller
+    decides; nothing depends on the size of the input.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get("spark.cairn.scan.partitions", None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def cut(df: DataFrame) -> DataFrame:

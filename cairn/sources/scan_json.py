@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.code import let
 from cairn.functions.text import non_blank
 
-# Wrapper keys in the order they are tried, and how deep results are looked for.
+# Wrapper keys in the order they are tried.
 WRAPPERS = ("text", "content", "result", "data")
-MAX_WRAPPING = 6
 
 NODE = "struct<text:string,content:string,result:string,data:string,status:string,findings:string>"
 HITS = "array<struct<path:string,node:string>>"
+LEVEL = f"array<struct<path:string,node:string,f:{NODE}>>"
 FINDING = "struct<severity:string,ruleId:string,message:string,startLine:int,startColumn:int,endLine:int,endColumn:int>"
 RESULT = f"struct<status:string,findings:array<{FINDING}>,errorMessage:string>"
 
@@ -48,16 +47,17 @@ def result_object(text: Column) -> Column:
 
     Strings and arrays are opened and wrapper keys followed in their order. Levels are walked together;
     the path kept with each value tells which result a depth-first search meets first. A result's own
-    children are not searched, and a level is opened only while there is something to open.
+    children are not searched. A value lies no deeper than the text has opening brackets, which bounds the
+    walk; below the last level there is nothing to open and a step costs next to nothing.
     """
-    def search(level: Column, depth: int) -> Column:
-        hits = F.transform(F.filter(level, _is_result), lambda n: F.struct(n["path"].alias("path"), n["node"].alias("node")))
-        if depth == 0:
-            return hits
-        below = let(_deeper(level), lambda next_level: F.when(F.size(next_level) > 0, search(next_level, depth - 1)))
-        return F.concat(hits, F.coalesce(below, F.array().cast(HITS)))
-
-    return F.array_min(let(_items(F.lit(""), text), lambda level: search(level, MAX_WRAPPING)))["node"]
+    def step(state: Column, _: Column) -> Column:
+        hits = F.transform(F.filter(state["level"], _is_result), lambda n: F.struct(n["path"].alias("path"), n["node"].alias("node")))
+        below = F.when(F.size(state["level"]) > 0, _deeper(state["level"])).otherwise(F.array().cast(LEVEL))
+        return F.struct(F.coalesce(below, F.array()).cast(LEVEL).alias("level"), F.concat(state["hits"], hits).cast(HITS).alias("hits"))
+
+    levels = F.sequence(F.lit(0), F.regexp_count(text, F.lit(r"[\[{]")))
+    start = F.struct(F.coalesce(_items(F.lit(""), text), F.array()).cast(LEVEL).alias("level"), F.array().cast(HITS).alias("hits"))
+    return F.array_min(F.aggregate(levels, start, step, lambda state: state["hits"]))["node"]
 
 
 def findings(files: DataFrame, text_column: str = "response") -> DataFrame:

@@ -70,15 +70,23 @@ def progress_counters(outcomes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("processed_files"), n("PASSED").alias("passed_files"), n("FINDING").alias("finding_count"), n("ERROR").alias("error_files"))
 
 
-def execution_state(events: DataFrame) -> DataFrame:
-    """Per execution: start, and the first outcome by event time for good; later ones change nothing."""
+def append(rows: DataFrame, table: BatchTable, checkpoint: str) -> None:
+    """A stream's rows as a log, one folder per batch; what they mean is read from the whole log."""
+    drain(rows, lambda batch, batch_id: table.write(batch, batch_id), checkpoint)
+
+
+def execution_state(log: DataFrame) -> DataFrame:
+    """Per started execution: its first start, and the first outcome after it for good.
+
+    Outcomes of an execution that never started, or from before its start, change nothing. The log decides by event
+    time, so it doesn't matter in which batches the events came.
+    """
     at = F.struct("ts", "event_id")
-    ended = F.col("status").isin("SUCCEEDED", "FAILED")
-    return events.groupBy("execution_id").agg(
-        F.min(F.when(F.col("status") == "STARTED", F.col("ts"))).alias("started_at"),
-        F.min_by("status", F.when(ended, at)).alias("_first"), F.min(F.when(ended, F.col("ts"))).alias("completed_at"),
-        F.count_if(ended).alias("outcomes"),
-    ).select("execution_id", F.when(F.col("outcomes") > 0, F.col("_first")).otherwise("STARTED").alias("status"), "started_at", "completed_at")
+    begun = log.where(F.col("status") == "STARTED").groupBy("execution_id").agg(F.min(at).alias("start"))
+    outcomes = log.where(F.col("status").isin("SUCCEEDED", "FAILED")).join(begun, "execution_id").where(at > F.col("start"))
+    ended = outcomes.groupBy("execution_id").agg(F.min_by("status", at).alias("outcome"), F.min("ts").alias("completed_at"))
+    return begun.join(ended, "execution_id", "left").select(
+        "execution_id", F.coalesce("outcome", F.lit("STARTED")).alias("status"), F.col("start.ts").alias("started_at"), "completed_at")
 
 
 def last_known(checks: DataFrame) -> DataFrame:
@@ -92,11 +100,9 @@ def health(checks: BatchTable, schema) -> DataFrame:
 
 
 def snapshots(summaries: DataFrame, table: BatchTable, checkpoint: str) -> None:
-    """Quality summaries as they are evaluated; only changed ones are stored, the last good ones stay."""
+    """Quality summaries as they are evaluated; every change is stored, the last good ones stay."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        current = batch.groupBy("project_key").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "project_key"]), F.struct("created_at", "id")).alias("_v"))
-        newest = current.select("project_key", "_v.*").select(*batch.columns)
-        table.write(quality.changed_snapshots(newest, table.before(batch_id, batch.schema)), batch_id)
+        table.write(quality.changes(batch, table.before(batch_id, batch.schema)), batch_id)
 
     drain(summaries, store, checkpoint)
 

@@ -61,6 +61,18 @@ def test_scan_json_wrappers(spark):
     assert out["none"][0] == out["bad"][0] == "ERROR" and out["failed"] == ("ERROR", "-", "-", "boom")
 
 
+def test_results_are_found_under_any_number_of_wrappers(spark):
+    def wrapped(n):
+        text = '{"status":"COMPLETED","findings":[]}'
+        for i in range(n):
+            text = '{"%s":%s}' % (("result", "data")[i % 2], text)
+        return text
+
+    rows = [(n, wrapped(n)) for n in (0, 6, 7, 12, 40)]
+    out = {r.id: r.status for r in scan_json.findings(spark.createDataFrame(rows, "id int, response string")).collect()}
+    assert set(out.values()) == {"PASSED"} and len(out) == len(rows)
+
+
 def test_scan_job_counters_and_export(spark, tmp_path):
     rows = [(1, 1, "FINDING", "m"), (1, 1, "FINDING", "m"), (1, 2, "PASSED", "m"), (1, 3, "ERROR", "first"), (2, 4, "PASSED", "m")]
     results = spark.createDataFrame(rows, "scan_job_id int, document_id int, status string, message string")

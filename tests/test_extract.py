@@ -60,4 +60,23 @@ def test_names_and_references(spark):
 def test_reconcile(spark):
     current = spark.createDataFrame([("a", "t1"), ("b", "t2")], "capability_id string, tool string")
     live = spark.createDataFrame([(" t1 ",), ("New Tool",), ("",)], "tool string")
-    assert sorted(tuple(r) for r in x.reconcile(current, live).collect()) == [("a", "t1", "retained"), ("b", "t2", "removed"), ("new.tool", "New Tool", "added")]
+    assert sorted(tuple(r) for r in x.reconcile(current, live).collect()) == [("a", "t1", "retained"), ("auto.new.tool", "New Tool", "added"), ("b", "t2", "removed")]
+
+
+def test_new_capabilities_get_ids_of_their_own(spark):
+    current = spark.createDataFrame([("auto.x", "kept"), ("gone", "old")], "capability_id string, tool string")
+    live = spark.createDataFrame([("kept",), ("a b",), ("a.b",), ("!!",), ("x",)], "tool string")
+    got = {r.tool: (r.capability_id, r.action) for r in x.reconcile(current, live).collect()}
+
+    def base36(name):
+        h, out = 0, ""
+        for c in name:
+            h = (h * 31 + ord(c)) % (1 << 32)
+        while h:
+            h, r = divmod(h, 36)
+            out = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + out
+        return out
+
+    assert got == {
+        "kept": ("auto.x", "retained"), "old": ("gone", "removed"), "a b": ("auto.a.b", "added"),
+        "a.b": (f"auto.a.b.{base36('a.b')}", "added"), "!!": ("auto.tool", "added"), "x": (f"auto.x.{base36('x')}", "added")}

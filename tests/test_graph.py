@@ -122,7 +122,7 @@ def test_node_merge_and_rules(spark):
     obs = spark.createDataFrame(
         [("n", 1, "JavaType", "old", True, {"a": "1", "b": "1"}), ("n", 2, "Other", "new", False, {"b": "2"}), ("n", 3, "Other", "newest", True, {"c": "3"})],
         "uid string, seq int, label string, name string, external boolean, props map<string,string>")
-    assert tuple(g.merge_nodes(obs).first()) == ("n", "JavaType", "newest", False, {"a": "1", "b": "2", "c": "3"})
+    assert tuple(g.merge_nodes(obs).first()) == ("n", "JavaType", "newest", True, {"a": "1", "b": "2", "c": "3"})
     nodes, edges = frames(
         spark, [node("C", layer="Controller"), node("D", layer="Controller"), node("R", layer="Repository"), node("I", layer="ServiceImpl"), node("J", layer="ServiceImpl"),
                 node("S", layer="Service", name="UserService"), node("c", "Method"), node("r", "Method")],
@@ -132,3 +132,18 @@ def test_node_merge_and_rules(spark):
     unknown = spark.createDataFrame([("C", "R", "weird", "k"), ("C", "R", "uses ", "k"), ("C", "none", "USES", "k")], EDGE)
     assert [tuple(r) for r in g.storable_edges(unknown, nodes).collect()] == [("C", "R", "USES", "k")]
     assert spark.range(1).select(g.safe_label(F.lit("Nope"))).first()[0] == "JavaType"
+
+
+def test_an_overview_of_all_labels_keeps_every_node_and_edge(spark):
+    nodes = [node(f"{label}:{i:02d}", label=label) for label in g.OVERVIEW_LABELS for i in range(30)]
+    edges = [(f"{label}:{i:02d}", f"{label}:{i + 1:02d}", "CALLS") for label in g.OVERVIEW_LABELS for i in range(28)]
+    n, e = frames(spark, nodes, edges)
+    chosen = g.overview(n, 600)
+    assert chosen.count() == 29 * len(g.OVERVIEW_LABELS)
+    assert g.induced_edges(e, chosen).count() == len(edges)
+
+
+def test_seeds_are_taken_in_the_order_of_their_hits(spark):
+    rows = [("a", 3), ("b", 1), ("c", 2), (" ", 0), ("b", 9)]
+    seeds = tr.seed_ids(spark.createDataFrame(rows, "uid string, hit int"), limit=2)
+    assert {r.uid for r in seeds.collect()} == {"b", "c"}

@@ -52,13 +52,33 @@ def test_first_outcome_survives_later_batches(spark, tmp_path):
 
     def feed(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
-        state = jobs.execution_state(spark.readStream.schema(schema).parquet(str(source)))
-        jobs.changelog(state, table, str(tmp_path / "checkpoint"))
-        return {r.execution_id: (r.status, r.started_at, r.completed_at) for r in jobs.latest(table.all(state.schema), "execution_id").collect()}
+        events = spark.readStream.schema(schema).parquet(str(source))
+        jobs.append(events, table, str(tmp_path / "checkpoint"))
+        return {r.execution_id: (r.status, r.started_at, r.completed_at) for r in jobs.execution_state(table.all(events.schema)).collect()}
 
     assert feed([("x", 1, 1, "STARTED")]) == {"x": ("STARTED", 1, None)}
     assert feed([("x", 5, 2, "FAILED")]) == {"x": ("FAILED", 1, 5)}
     assert feed([("x", 9, 3, "SUCCEEDED")]) == {"x": ("FAILED", 1, 5)}
+    # An outcome without a start, or from before it, changes nothing, in whatever batch the start comes.
+    assert feed([("y", 2, 4, "FAILED"), ("z", 3, 5, "FAILED")]) == {"x": ("FAILED", 1, 5)}
+    assert feed([("z", 4, 6, "STARTED")]) == {"x": ("FAILED", 1, 5), "z": ("STARTED", 4, None)}
+
+
+def test_every_change_is_stored_however_batches_fall(spark, tmp_path):
+    from cairn.operators import quality
+
+    schema = "project_key string, id long, created_at long, " + ", ".join(f"{c} long" for c in quality.MEASURES) + ", duplicate_ratio double"
+    values = [1, 1, 2, 2, 1, 1, 3]
+    rows = [("p", i, i, *[v] * len(quality.MEASURES), 0.5) for i, v in enumerate(values)]
+
+    def run(name, parts):
+        source, table = tmp_path / name, BatchTable(spark, str(tmp_path / f"{name}-table"))
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+            jobs.snapshots(spark.readStream.schema(schema).parquet(str(source)), table, str(tmp_path / f"{name}-checkpoint"))
+        return sorted(r.id for r in table.all(spark.createDataFrame([], schema).schema).collect())
+
+    assert run("one", [rows]) == run("many", [rows[:2], rows[2:3], rows[3:6], rows[6:]]) == [0, 2, 4, 6]
 
 
 def test_empty_listing_is_refused(spark, tmp_path):
@@ -74,4 +94,4 @@ def test_empty_listing_is_refused(spark, tmp_path):
     assert not os.path.exists(tmp_path / "table")
     feed("t1", "t3")
     rows = spark.read.parquet(str(tmp_path / "table")).collect()
-    assert sorted((r.capability_id, r.action, r.reference_count) for r in rows) == [("a", "retained", 0), ("b", "removed", 0), ("t3", "added", 0)]
+    assert sorted((r.capability_id, r.action, r.reference_count) for r in rows) == [("a", "retained", 0), ("auto.t3", "added", 0), ("b", "removed", 0)]
