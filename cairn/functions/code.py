@@ -157,7 +157,8 @@ COMMON_TYPES = (
 
 
 def skipped_fqn(fqn: Column) -> Column:
-    return F.coalesce(F.trim(fqn) == "", F.lit(True)) | F.coalesce(fqn.rlike(r"^(java|javax|jakarta)\."), F.lit(True))
+    """Names that are no type of the project: blank ones, those of the platform, imports of a whole package."""
+    return F.coalesce(F.trim(fqn) == "", F.lit(True)) | F.coalesce(fqn.endswith(".*"), F.lit(True)) | F.coalesce(fqn.rlike(r"^(java|javax|jakarta)\."), F.lit(True))
 
 
 def simple_name(fqn: Column) -> Column:

@@ -11,7 +11,6 @@ from cairn.functions.text import non_blank
 VECTOR_SUFFIXES = (".java", ".kt", ".xml", ".sql", ".yml", ".yaml", ".md", ".js", ".jsx", ".ts", ".tsx")
 GRAPH_SUFFIXES = (".java", ".xml", ".yml", ".yaml", ".md")
 SCANNABLE_SUFFIXES = (".java",)
-TEMPORARY_SUFFIXES = (".tmp", ".part", ".crdownload")
 TEST_DIRECTORY_PATTERN = "(?i)(^|/)(test|tests|testcase|testcases)/"
 TEST_NAME_PATTERN = "(^|/)(Test[^/]*|[^/]*Test|[^/]*Tests|[^/]*TestCase|IT[^/]*|[^/]*IT|[^/]*ITCase)\\.java$"
 IGNORED_DIRECTORIES = (".git", ".gradle", ".idea", ".vscode", "build", "dist", "node_modules", "out", "target")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.text import clamp, contains_ignoring_case, first_text, non_blank
+from cairn.functions.text import clamp, contains_ignoring_case, first_text
 
 PAGE_SIZE_MAX = 100
 
@@ -70,11 +70,6 @@ def page_envelope(df: DataFrame, number: int, size: int) -> DataFrame:
     )
 
 
-def lookup(df: DataFrame, order: list[Column], **equal: object) -> DataFrame:
-    """Point lookup: first row in ``order`` among those equal on every given column."""
-    return where_given(df, **equal).orderBy(*order).limit(1)
-
-
 def project_document_counts(projects: DataFrame, documents: DataFrame) -> DataFrame:
     """Every project with the number of its active documents; counts before the join, so it joins one row per project."""
     counts = active(documents).groupBy("project_key").agg(F.count(F.lit(1)).alias("document_count"))
@@ -207,7 +202,3 @@ def batch_outcome(outcomes: DataFrame) -> DataFrame:
         F.count_if(F.col("error").isNull()).alias("success_count"),
         F.count_if(F.col("error").isNotNull()).alias("failure_count"),
     )
-
-
-def title_or_key(name: Column, key: Column) -> Column:
-    return F.coalesce(non_blank(name), key)

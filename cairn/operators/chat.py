@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cairn.functions.text import first_text, title
+from cairn.functions.text import title
 
 
 def conversation_list(conversations: DataFrame, messages: DataFrame) -> DataFrame:
@@ -87,7 +87,3 @@ def without_project(projects: DataFrame, conversations: DataFrame, deleted: Data
     flagged = conversations.join(gone.select(F.col("id").alias("project_id"), F.lit(True).alias("_gone")), "project_id", "left")
     cleared = flagged.withColumn("project_id", F.when(F.col("_gone"), None).otherwise(F.col("project_id"))).drop("_gone")
     return kept, cleared.select(*conversations.columns)
-
-
-def display_title(stored, opening):
-    return first_text(stored, title(opening))

@@ -62,6 +62,14 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: i
     return visited
 
 
+def neighbourhood_edges(edges: DataFrame, visited: DataFrame, limit: int = MAX_EDGES) -> DataFrame:
+    """Relationships with both ends in a neighbourhood, which never has more than ``MAX_NODES`` nodes; ordered, capped."""
+    ids = F.broadcast(visited.select("uid"))
+    inside = edges.join(ids.withColumnRenamed("uid", "src"), "src", "left_semi").join(
+        ids.withColumnRenamed("uid", "dst"), "dst", "left_semi")
+    return inside.select("type", "src", "dst", "graph_key").orderBy("type", "src", "dst", "graph_key").limit(clamp(limit, 1, MAX_EDGES))
+
+
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """All nodes reachable along ``edges`` (src, dst) from ``start`` (uid), the start included."""
     frontier = cut(start.select("uid").distinct())

@@ -415,6 +415,15 @@ def neighbourhood(spark, sf):
     return tr.neighbourhood(nodes, edges, seeds, depth=2, project="commerce")
 
 
+@query("g1_neighbourhood_edges", with_tables(
+    f"""{_WALK}, near AS (SELECT uid FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2) ORDER BY depth, uid LIMIT 600)
+    SELECT type, src, dst, graph_key FROM edge WHERE src IN (SELECT uid FROM near) AND dst IN (SELECT uid FROM near)
+    ORDER BY type, src, dst, graph_key LIMIT 5000""", GRAPH))
+def neighbourhood_edges(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return tr.neighbourhood_edges(edges, neighbourhood(spark, sf))
+
+
 _FLOW = f"""{_TYPES}, staged AS (SELECT uid, label, external, layer, CASE WHEN label = 'DatabaseTable' THEN 3 WHEN layer IN ('Repository', 'Mapper') THEN 2
     WHEN layer IN ('Service', 'ServiceImpl') THEN 1 WHEN layer = 'Controller' THEN 0 END AS stage FROM node),
 flow AS (SELECT e.src, e.dst, replace(types, ',', ', ') AS types FROM (FROM tedge UNION ALL FROM dedge) e JOIN staged a ON e.src = a.uid JOIN staged b ON e.dst = b.uid

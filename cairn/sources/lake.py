@@ -22,14 +22,14 @@ SUFFIX_BY_DIGIT = {
 
 
 @lru_cache(maxsize=256)
-def _schema(path: str) -> StructType:
-    """Schema of a table, looked up in its footers once rather than by a job at every read."""
+def _schema(application: str, path: str) -> StructType:
+    """Schema of a table, looked up in its footers once per application rather than by a job at every read."""
     return SparkSession.active().read.parquet(path).schema
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
-    return spark.read.schema(_schema(path)).parquet(path)
+    return spark.read.schema(_schema(SparkSession.active().sparkContext.applicationId, path)).parquet(path)
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.files import is_vector_source
-from cairn.operators import mutation, quality, scan
+from cairn.operators import mutation, quality
 from cairn.operators.extract import living_references, reconcile
 from cairn.sources.batches import BatchTable
 
@@ -95,10 +95,6 @@ def last_known(checks: DataFrame) -> DataFrame:
     return checks.groupBy("id").agg(F.max_by("status", at).alias("status"), F.max_by("critical", at).alias("critical"))
 
 
-def health(checks: BatchTable, schema) -> DataFrame:
-    return scan.health_rollup(latest(checks.all(schema), "id"))
-
-
 def snapshots(summaries: DataFrame, table: BatchTable, checkpoint: str) -> None:
     """Quality summaries as they are evaluated; every change is stored, the last good ones stay."""
     def store(batch: DataFrame, batch_id: int) -> None:
