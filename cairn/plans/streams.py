@@ -3,6 +3,7 @@
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairn.operators import quality
 from cairn.operators.chunking import plain_chunks
@@ -130,9 +131,12 @@ def catalog_sync(spark, sf):
     part = lake.raw(spark, sf, "part").select(
         F.concat(F.lit("cap"), F.col("p_partkey").cast("string")).alias("capability_id"), F.concat(F.lit("tool"), F.col("p_partkey").cast("string")).alias("tool"),
         F.concat(F.lit("cap"), (F.col("p_partkey") + 1).cast("string")).alias("reference_id"))
-    listings = lake.raw(_Streamed(spark, "lineitem"), sf, "lineitem").select(F.concat(F.lit("tool"), F.col("l_partkey").cast("string")).alias("tool"))
+    # Every order line lists its part's tool; the lines are one listing.
+    lines = lake.raw(spark, sf, "lineitem").count()
+    listings = lake.raw(_Streamed(spark, "lineitem"), sf, "lineitem").select(
+        F.lit(1).cast("long").alias("listing_id"), F.lit(lines).cast("long").alias("n_tools"),
+        F.concat(F.lit("tool"), F.col("l_partkey").cast("string")).alias("tool"))
     table, checkpoint = _place(spark, "sync")
-    jobs.catalog_sync(listings, part.select("capability_id", "tool"), part.select("capability_id", "reference_id"), table, checkpoint)
-    schema = "capability_id string, tool string, action string, reference_count long"
-    from pyspark.sql.types import StructType
-    return table.all(StructType.fromDDL(schema)).select("capability_id", "action", "reference_count")
+    log, _ = _place(spark, "listings")
+    jobs.catalog_sync(listings, part.select("capability_id", "tool"), part.select("capability_id", "reference_id"), log, table, checkpoint)
+    return table.all(StructType.fromDDL(jobs.CATALOG)).select("capability_id", "action", "reference_count")

@@ -8,15 +8,19 @@ restarts leave no duplicates.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairn.functions.files import is_vector_source
 from cairn.operators import mutation, quality
 from cairn.operators.extract import living_references, reconcile
+from cairn.session import cut
 from cairn.sources.batches import BatchTable
 
+
 def drain(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Run a stream over everything that is available now, then stop."""
     started = (
@@ -103,14 +107,35 @@ def snapshots(summaries: DataFrame, table: BatchTable, checkpoint: str) -> None:
     drain(summaries, store, checkpoint)
 
 
-def catalog_sync(listings: DataFrame, current: DataFrame, references: DataFrame, table: BatchTable, checkpoint: str) -> None:
-    """Tool listings as they arrive; an empty listing is refused and leaves the catalog as it was."""
+CATALOG = "listing_id long, capability_id string, tool string, action string, reference_count long"
+
+
+def catalog_sync(listings: DataFrame, current: DataFrame, references: DataFrame, log: BatchTable, table: BatchTable, checkpoint: str) -> None:
+    """Tool listings (listing_id, n_tools, tool) as they arrive, each reconciled with the catalog the one before it left.
+
+    The rows of a listing may come in several batches: they are logged, and a listing counts once all ``n_tools`` of
+    them are there. A listing without a named tool is refused and leaves the catalog as it was; one older than the
+    last that counted is skipped. The catalog's history has one reconciliation per listing.
+    """
+    schema = StructType.fromDDL(CATALOG)
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        named = batch.where(F.trim("tool") != "")
-        if named.isEmpty():
-            return
-        result = reconcile(current, named)
-        kept = living_references(references, result).groupBy("capability_id").agg(F.count(F.lit(1)).alias("reference_count"))
-        table.write(result.join(kept, "capability_id", "left").withColumn("reference_count", F.coalesce("reference_count", F.lit(0)).cast("long")), batch_id)
+        log.write(batch, batch_id)
+        arrived = log.before(batch_id + 1, batch.schema)
+        history = table.before(batch_id, schema)
+        last = history.agg(F.max("listing_id")).first()[0]
+        sizes = arrived.groupBy("listing_id").agg(
+            F.count(F.lit(1)).alias("n"), F.max("n_tools").alias("n_tools"), F.count_if(F.trim("tool") != "").alias("named"))
+        whole = sizes.where("n >= n_tools AND named > 0" + (f" AND listing_id > {last}" if last is not None else ""))
+        catalog = current if last is None else history.where((F.col("listing_id") == last) & (F.col("action") != "removed"))
+        made = []
+        for listing in [r["listing_id"] for r in whole.select("listing_id").orderBy("listing_id").collect()]:  # a few per batch
+            result = reconcile(catalog.select("capability_id", "tool"), arrived.where(F.col("listing_id") == listing))
+            kept = living_references(references, result).groupBy("capability_id").agg(F.count(F.lit(1)).alias("reference_count"))
+            counted = result.join(kept, "capability_id", "left").withColumn("reference_count", F.coalesce("reference_count", F.lit(0)).cast("long"))
+            made.append(cut(counted.withColumn("listing_id", F.lit(listing).cast("long")).select(*schema.names)))
+            catalog = made[-1].where(F.col("action") != "removed")
+        if made:
+            table.write(reduce(DataFrame.unionByName, made), batch_id)
 
     drain(listings, store, checkpoint)

@@ -1,6 +1,5 @@
-import os
-
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairn.sources.batches import BatchTable
 from cairn.streaming import jobs
@@ -81,17 +80,22 @@ def test_every_change_is_stored_however_batches_fall(spark, tmp_path):
     assert run("one", [rows]) == run("many", [rows[:2], rows[2:3], rows[3:6], rows[6:]]) == [0, 2, 4, 6]
 
 
-def test_empty_listing_is_refused(spark, tmp_path):
-    source, table = tmp_path / "source", BatchTable(spark, str(tmp_path / "table"))
+def test_listings_are_reconciled_one_after_the_other(spark, tmp_path):
     current = spark.createDataFrame([("a", "t1"), ("b", "t2")], "capability_id string, tool string")
     references = spark.createDataFrame([("a", "b")], "capability_id string, reference_id string")
+    schema = "listing_id long, n_tools long, tool string"
+    rows = [(1, 1, " "), (2, 2, "t1"), (2, 2, "t3"), (3, 3, "t1"), (3, 3, "t2"), (3, 3, "t3")]
 
-    def feed(*tools):
-        spark.createDataFrame([(t,) for t in tools], "tool string").coalesce(1).write.mode("append").parquet(str(source))
-        jobs.catalog_sync(spark.readStream.schema("tool string").parquet(str(source)), current, references, table, str(tmp_path / "checkpoint"))
-
-    feed(" ")
-    assert not os.path.exists(tmp_path / "table")
-    feed("t1", "t3")
-    rows = spark.read.parquet(str(tmp_path / "table")).collect()
-    assert sorted((r.capability_id, r.action, r.reference_count) for r in rows) == [("a", "retained", 0), ("auto.t3", "added", 0), ("b", "removed", 0)]
+    def run(name, parts):
+        source, table = tmp_path / name, BatchTable(spark, str(tmp_path / f"{name}-table"))
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+            log = BatchTable(spark, str(tmp_path / f"{name}-log"))
+            jobs.catalog_sync(spark.readStream.schema(schema).parquet(str(source)), current, references, log, table, str(tmp_path / f"{name}-checkpoint"))
+        stored = table.all(StructType.fromDDL(jobs.CATALOG)).collect()
+        return sorted((r.listing_id, r.capability_id, r.action, r.reference_count) for r in stored)
+
+    assert run("refused", [rows[:1]]) == []
+    want = [(2, "a", "retained", 0), (2, "auto.t3", "added", 0), (2, "b", "removed", 0),
+            (3, "a", "retained", 0), (3, "auto.t2", "added", 0), (3, "auto.t3", "retained", 0)]
+    assert run("one", [rows]) == run("many", [rows[:2], rows[2:4], rows[4:]]) == want
