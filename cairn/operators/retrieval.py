@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cairn.functions.code import let
 from cairn.functions.text import non_blank
 from cairn.operators import traversal
 from cairn.session import cut
@@ -23,9 +24,11 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    a, b = a.cast("array<double>"), b.cast("array<double>")
-    norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
-    return F.when(norms == 0, F.lit(0.0)).otherwise(_dot(a, b) / norms)
+    def of(x: Column, y: Column) -> Column:
+        parts = F.struct(_dot(x, y).alias("dot"), (F.sqrt(_dot(x, x)) * F.sqrt(_dot(y, y))).alias("norms"))
+        return let(parts, lambda p: F.when(p["norms"] == 0, F.lit(0.0)).otherwise(p["dot"] / p["norms"]))
+
+    return let(a.cast("array<double>"), lambda x: let(b.cast("array<double>"), lambda y: of(x, y)))
 
 
 def mean_vector(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -48,14 +51,21 @@ def vector_search_by_project(chunks: DataFrame, query: Column, k: int = TOP_K) -
 
 
 def hashed_terms(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Sparse hash embedding: (key, bucket, weight) with integer term counts.
+    """Sparse hash embedding: (key, bucket, weight) with integer term counts, one text per key.
 
-    Terms are counted per text before they are hashed, so each distinct term is hashed once per text.
+    A text's buckets are sorted and counted within its row, so nothing is shuffled.
     """
-    terms = texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term"))
-    counted = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
-    bucket = F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int") % HASH_DIMENSIONS
-    return counted.groupBy(key, bucket.alias("bucket")).agg(F.sum("n").alias("weight"))
+    terms = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+    buckets = F.transform(terms, lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % HASH_DIMENSIONS)
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(s, i - 1) != F.get(s, i)))
+        counted = let(ends, lambda e: F.transform(e, lambda x, k: F.struct(
+            F.get(s, x - 1).alias("bucket"), (x - F.coalesce(F.get(e, k - 1), F.lit(0))).cast("long").alias("weight"))))
+        return F.when(n > 0, counted)
+
+    return texts.select(key, F.inline(let(F.sort_array(buckets), runs)))
 
 
 def hashed_search(index: DataFrame, query: DataFrame, key: str, k: int = TOP_K) -> DataFrame:
@@ -114,6 +124,7 @@ def hybrid_search(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, hits: D
     Returns the merged chunks, the graph nodes and its edges, each with a ``rank`` for its order.
     """
     place = W.partitionBy(F.lit(1))  # only ever over the bounded results below
+    hits = hits.orderBy(F.desc("score"), "chunk_id").limit(traversal.MAX_SEEDS)  # the graph takes no more seeds
     scored = cut(fetch_chunks(chunks, hits).withColumn("rank", F.row_number().over(place.orderBy(F.desc("score"), "chunk_id"))))
     around = traversal.neighbourhood(nodes, edges, entity_seeds(scored), depth, project, max_nodes)
     found = cut(nodes.join(F.broadcast(around), "uid").withColumn("rank", F.row_number().over(place.orderBy("depth", "uid"))))
