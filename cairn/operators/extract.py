@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from cairn.functions import code, ids, sqltext
 from cairn.functions import text as tx
+from cairn.functions.code import let
 from cairn.session import cut
 
 # Fixed values of the extractors.
@@ -123,20 +124,64 @@ def column_lineage(statements: DataFrame) -> DataFrame:
     return pairs.select(F.explode(links).alias("e")).select("e.*").distinct()
 
 
+# XML entities and what they stand for, the ampersand last.
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#60;", "<"), ("&#62;", ">"), ("&#34;", '"'), ("&#39;", "'"),
+    ("&#x3c;", "<"), ("&#x3e;", ">"), ("&#x3C;", "<"), ("&#x3E;", ">"), ("&#x22;", '"'), ("&#x27;", "'"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"),
+)
+
+
+def _unescaped(text: Column) -> Column:
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def _included(body: Column) -> Column:
+    """A mapper's text with each include of one of its ``<sql>`` fragments replaced by the fragment.
+
+    Fragments may include others; after as many passes as there are fragments nothing is left to open.
+    """
+    fragment, include = "(?s)<sql\\b[^>]*?\\bid\\s*=\\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</sql>", "<include\\b[^>]*?\\brefid\\s*=\\s*[\"']([^\"']*)[\"'][^>]*?(?:/>|>\\s*</include>)"
+    names, texts = (F.regexp_extract_all(body, F.lit(fragment), F.lit(k)) for k in (1, 2))
+
+    def opened(known: Column) -> Column:
+        def once(text: Column, _: Column) -> Column:
+            wanted = F.regexp_extract_all(text, F.lit(include), F.lit(1))
+            put = F.transform(wanted, lambda w: F.coalesce(
+                F.try_element_at(known, w), F.try_element_at(known, F.substring_index(w, ".", -1)), F.lit(" ")))
+            return F.array_join(F.flatten(F.zip_with(F.split(text, include, -1), put, lambda t, p: F.array(t, F.coalesce(p, F.lit(""))))), "")
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(F.map_keys(known))), body, once)
+
+    first = F.filter(F.zip_with(names, texts, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda e: e["k"] != "")
+    return F.when(F.size(names) > 0, let(_first_of_each(first), opened)).otherwise(body)
+
+
+def _first_of_each(entries: Column) -> Column:
+    """Entries (k, v) as a map; of equal keys the first."""
+    numbered = let(entries, lambda es: F.filter(es, lambda e, i: F.array_position(F.transform(es, lambda x: x["k"]), e["k"]) == i + 1))
+    return F.map_from_entries(numbered)
+
+
 def mapper_statements(files: DataFrame) -> DataFrame:
-    """Statements of mapper XML files: id, command, operation, static SQL and the conditions of dynamic parts."""
+    """Statements of mapper XML files: id, command, operation, static SQL and the conditions of dynamic parts.
+
+    Plain includes of the file's own fragments are opened; what other files or parameters decide is not.
+    """
     xml = F.col("content")
-    body = F.regexp_replace(F.regexp_replace(xml, "(?s)<!--.*?-->", ""), "(?s)<!DOCTYPE[^>]*>", "")
+    body = F.regexp_replace(F.regexp_replace(xml, "(?s)<!--.*?-->", ""), "(?s)<!DOCTYPE[^>\\[]*(?:\\[.*?\\]\\s*)?>", "")
+    body = let(body, _included)
     namespace = tx.strip(F.regexp_extract(body, "<mapper\\b[^>]*?\\bnamespace\\s*=\\s*[\"']([^\"']*)", 1))
     blocks = F.regexp_extract_all(body, F.lit("(?s)(<(select|insert|update|delete)\\b[^>]*>.*?</\\2>)"), F.lit(1))
     rows = files.withColumns({"namespace": namespace}).select(
         *[c for c in files.columns if c != "content"], "namespace", F.explode(blocks).alias("block"))
     b = F.col("block")
     plain = F.regexp_replace(F.regexp_replace(b, "(?s)<!\\[CDATA\\[(.*?)\\]\\]>", "$1"), "(?s)</?(?:select|insert|update|delete|if|where|set|trim|foreach|choose|when|otherwise|include|bind|selectKey)\\b[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    plain = _unescaped(plain)
     command = F.upper(F.regexp_extract(b, "^<(\\w+)", 1))
-    conditions = F.regexp_extract_all(b, F.lit("<(?:if|when)\\b[^>]*?\\btest\\s*=\\s*\"([^\"]*)\""), F.lit(1))
+    quoted = F.regexp_extract_all(b, F.lit("<(?:if|when)\\b[^>]*?\\btest\\s*=\\s*(\"[^\"]*\"|'[^']*')"), F.lit(1))
+    conditions = F.transform(quoted, lambda q: _unescaped(F.substr(q, F.lit(2), F.length(q) - 2)))
     out = rows.select(
         "*", tx.strip(F.regexp_extract(b, "^<\\w+[^>]*?\\bid\\s*=\\s*[\"']([^\"']*)", 1)).alias("statement_id"), command.alias("command"),
         F.when(command == "SELECT", "READ").otherwise("WRITE").alias("operation"), sqltext.normalize(plain).alias("sql"), conditions.alias("conditions"))

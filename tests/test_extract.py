@@ -80,3 +80,14 @@ def test_new_capabilities_get_ids_of_their_own(spark):
     assert got == {
         "kept": ("auto.x", "retained"), "old": ("gone", "removed"), "a b": ("auto.a.b", "added"),
         "a.b": (f"auto.a.b.{base36('a.b')}", "added"), "!!": ("auto.tool", "added"), "x": (f"auto.x.{base36('x')}", "added")}
+
+
+def test_mapper_includes_quotes_and_entities(spark):
+    xml = """<!DOCTYPE mapper [<!ENTITY x "y">]>
+    <mapper namespace="n.M"><sql id="cols">id, <include refid="more"/></sql><sql id="more">name</sql>
+      <select id="a">SELECT <include refid="cols"/> FROM app.users <if test='a &lt; 2 &amp;&amp; b == "x"'>WHERE k = 1</if></select>
+      <select id="b">SELECT <include refid="n.M.more" /> FROM <include refid="elsewhere"></include> t</select>
+    </mapper>"""
+    rows = {r.statement_id: r for r in x.mapper_statements(spark.createDataFrame([("p", xml)], "project_id string, content string")).collect()}
+    assert rows["a"].sql == "SELECT id, name FROM app.users WHERE k = 1" and rows["a"].conditions == ['a < 2 && b == "x"']
+    assert rows["b"].sql == "SELECT name FROM t"
