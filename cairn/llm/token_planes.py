@@ -9,7 +9,7 @@ The index (zstandard) holds for each chunk its number of ids and the length of e
 id and its number of ids, so any chunk or document can be read by itself. The footer holds the place of the index.
 
 Documents are range-partitioned by id before they are encoded; file names sort as the ids do. A file is written under
-a name of the task's attempt and then moved, so a task that runs again overwrites its own files with the same bytes.
+a name of the task's attempt and then moved, so a task that runs again finds or writes the same files.
 Files roll over at ``FILE_BYTES``. They are read back through Spark, from wherever they are.
 
 Defined cases: a null text is the empty one and has the end id only; null ids come first; rows with the same id are
@@ -19,10 +19,13 @@ are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import public_tokenizers
@@ -44,38 +47,81 @@ MAGIC = b"IDPLANE1"
 END_ID = 0
 CHUNK_IDS = 1 << 16
 FILE_BYTES = 64 << 20
-#: Words that a task's process remembers the ids of.
-KNOWN_WORDS = 400_000
+#: Words of a generation that a task's process remembers the ids of.
+KNOWN_WORDS = 300_000
+
+
+#: Two line breaks and more white space are one unit of the pre-tokenizer, two before a visible character are two.
+_BREAKS = re.compile(r"\n\n(?=\s|\Z)")
 
 
 class Encoder:
     """Ids of texts by the tokenizer, each distinct word encoded once.
 
-    The byte-level pre-tokenizer always parts a text before a space that a letter follows, and nothing reaches over
-    that place; so a text with single spaces is the sequence of its first word and of " word" for the others. A text
-    in which a space meets other white space is encoded as a whole.
+    The byte-level pre-tokenizer parts a text before a space or single line break that a visible character follows,
+    and between a letter or digit and the marks behind it; nothing reaches over such a place. So a text is the
+    sequence of its first word, of " word" and of "\\nword" for the others, and of what stands behind a word. A text in
+    which white space meets white space in any other way, or with a token of the tokenizer's own, is encoded as a whole.
+
+    Words are remembered in two generations: when the young one is full it becomes the old one, and an old word that
+    comes up again is young again, so frequent words stay and memory is bounded.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+
+    def _learn(self, parts: list[str]) -> None:
+        known, old, tails = self.known, self.old, self.tails
+        if len(tails) > KNOWN_WORDS:
+            tails.clear()
+        whole, split = {}, []
+        for p in parts:
+            if (ids := old.get(p)) is not None:
+                known[p] = ids
+                continue
+            word = p[1:] if p[:1] == "\n" else p
+            if word and not word[0].isspace() and not word[-1].isspace():
+                head = p.rstrip(punctuation)
+                if len(head) < len(p) and head[-1:].isalnum():
+                    split.append((p, head, p[len(head):]))
+                    if head not in known and head not in whole:
+                        if (ids := old.get(head)) is not None:
+                            known[head] = ids
+                        else:
+                            whole[head] = head if head[0] == "\n" else " " + head
+                else:
+                    whole[p] = p if p[0] == "\n" else " " + p
+            elif p == "\n":
+                whole[p] = p
+        known.update(zip(whole, self._encode(list(whole.values())), strict=True))
+        new = list({t for _, _, t in split} - tails.keys())
+        tails.update(zip(new, self._encode(new), strict=True))
+        for p, head, tail in split:
+            known[p] = known[head] + tails[tail]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
+        lists = [t.replace("\n", " \n").split(" ") for t in texts]
+        heads = self._encode([ps[0] for ps in lists])
         if len(self.known) > KNOWN_WORDS:
-            self.known = {}
+            self.known, self.old = {}, self.known
         known = self.known
-        new = [p for p in {p for ps in parts for p in ps[1:] if p not in known} if p and not p[0].isspace() and not p[-1].isspace()]
-        known.update(zip(new, self._encode([" " + p for p in new]), strict=True))
-        heads = self._encode([ps[0] for ps in parts])
+        self._learn(list({p for ps in lists for p in ps[1:] if p not in known}))
         out = []
-        for text, ps, head in zip(texts, parts, heads, strict=True):
+        for text, ps, head in zip(texts, lists, heads, strict=True):
+            if ps[0][-1:].isspace() or _BREAKS.search(text) or any(a in text for a in self.added):
+                out.append(self._encode([text])[0])
+                continue
             try:
-                out.append(head + b"".join(map(known.__getitem__, ps[1:])) if not ps[0][-1:].isspace() else self._encode([text])[0])
+                out.append(head + b"".join(map(known.__getitem__, ps[1:])))
             except KeyError:
                 out.append(self._encode([text])[0])
         return out
@@ -172,13 +218,20 @@ def read_file(content: bytes) -> tuple[list[tuple[int | None, int]], Iterator[np
     return [(None if gone else d, n) for d, gone, n in docs.T.tolist()], chunks()
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of the file system that Spark would use for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full if "://" in full else full.replace("file:/", "file:///", 1)
+
+
 def write_planes(docs: DataFrame, folder: str, tokenizer: str, chunk_ids: int = CHUNK_IDS, bits: bool = False) -> DataFrame:
     """Writes the files of ``docs`` (doc_id, text) and returns their manifest: file, n_docs, n_ids."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    uri = _qualified(docs.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(tokenizer), TaskContext.get()
@@ -189,7 +242,10 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, chunk_ids: int =
         def finish() -> None:
             file.close()
             name = f"part-{task.partitionId():06d}-{number:04d}.ids"
-            store.move(f"{root}/{temporary}", f"{root}/{name}")
+            if store.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+                store.move(f"{root}/{temporary}", f"{root}/{name}")
+            else:  # an earlier attempt of this task has left the same bytes
+                store.delete_file(f"{root}/{temporary}")
             made.append((name, len(file.docs), sum(d[2] for d in file.docs)))
 
         for whole in batches:
