@@ -13,6 +13,9 @@ counter isn't 0 travel back to the texts, with the rows that hold them; all othe
 
 Built-in functions alone do it, no entity list is gathered anywhere.
 
+A row of digit groups is taken as one number of at most 19 digits, from its first group on, up to where another form
+begins; sixteen digits in fours come before longer numbers. The checksum is asked of that number, not of its parts.
+
 Defined cases: a null text stays null and has no entity; repeated rows are rewritten alike; rows are kept whole with
 their other columns; an empty table gives no rows.
 """
@@ -44,6 +47,14 @@ PATTERNS = {
     "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![A-Za-z0-9])",
     "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?![\p{L}])",
 }
+#: What may begin within a row of numbers; the two forms below end before it, so they hide nothing.
+_INNER = "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "token", "card", "ssn", "ip", "phone"))
+PATTERNS["phone"] = rf"(?:{PATTERNS['phone']})|(?<![A-Za-z0-9+])[0-9]{{3}}[ .-](?!{_INNER})[0-9]{{3}}[ .-](?!{_INNER})[0-9]{{4}}(?![A-Za-z0-9])"
+#: 12 to 19 digits in any groups: a card if its checksum holds. Tried behind the others but names.
+PATTERNS = {k: v for k, v in PATTERNS.items() if k != "name"} | {
+    "digits": rf"(?<![A-Za-z0-9+])[0-9](?:(?:[ -](?!{_INNER}))?[0-9]){{11,18}}(?![A-Za-z0-9])", "name": PATTERNS["name"]}
+#: The form of a whole entity, whatever may begin within it.
+WHOLE = PATTERNS | {"digits": "[0-9](?:[ -]?[0-9]){11,18}", "phone": PATTERNS["phone"].replace(f"(?!{_INNER})", "")}
 # Titles by the gender that they tell; given names by script and gender, parts of family names by script.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Господин")
 GIVEN = {
@@ -59,8 +70,8 @@ SYLLABLES = {
 ENDINGS = {"latin": ("n", "r", "s", "l", "nd", "rt", "st", "ng"), "cyrillic": ("нин", "рин", "сон", "лин", "нд", "рт", "ст", "нг")}
 
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Cheap test: a text without any of these characters or titles holds no entity.
-HINT = r"[0-9@]|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Господин|Госпожа"
+#: Cheap test: a text without any of these characters, beginnings of keys, runs of hexadecimal letters or titles holds no entity.
+HINT = r"[0-9@]|AKIA|ASIA|[a-fA-F]{32}|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Господин|Госпожа"
 
 
 def _luhn(number: Column) -> Column:
@@ -79,8 +90,8 @@ def kind_of(entity: Column) -> Column:
     out = F.lit("name")
     for name in reversed([n for n in PATTERNS if n != "name"]):
         # A name has no digit and no at sign; among the others the whole entity has to be of the form.
-        found = F.when(_luhn(entity) % 10 == 0, "card").otherwise("number") if name == "card" else F.lit(name)
-        out = F.when(entity.rlike(rf"\A(?:{PATTERNS[name]})\z"), found).otherwise(out)
+        found = F.when(_luhn(entity) % 10 == 0, "card").otherwise("number") if name in ("card", "digits") else F.lit(name)
+        out = F.when(entity.rlike(rf"\A(?:{WHOLE[name]})\z"), found).otherwise(out)
     return out
 
 
