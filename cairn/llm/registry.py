@@ -13,7 +13,7 @@ ORACLE: dict[str, str] = {}
 
 MODULES = (
     "near_copies", "line_crf", "url_filter", "mixing", "decontaminate", "surrogates", "token_planes", "chat_format",
-    "sharding", "quality_rules", "token_counts", "merkle_manifest",
+    "sharding", "quality_rules", "token_counts", "merkle_manifest", "spelling_variants",
 )
 
 
