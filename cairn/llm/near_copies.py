@@ -7,9 +7,10 @@
    has to fit into one task; a pair is looked at in the first band that it shares only.
 3. A candidate is compared 16 values at a time. With a uniform prior the similarity after ``m`` of ``h`` equal values
    is Beta(m + 1, h - m + 1); the pair is dropped as soon as the probability of 0.8 or more is under ``TOLERANCE``.
-4. What is left is verified exactly on the shingle sets (64-bit hashes). Survivors are connected into groups, a group
-   is dealt into blocks of bounded size, and each pair of blocks gets its sets once. Pairs travel as lists, one row
-   per class and block, and only counts and group edges come out.
+4. Survivors are connected into groups, a group is dealt into blocks of bounded size, and each pair of blocks gets the
+   signatures and the shingle sets (64-bit hashes) of its classes once. There the pairs that share a band are pruned
+   as before and the rest is verified exactly. No pair becomes a row: a bucket gives a class and one that it is
+   connected to, a pair of blocks gives counts and group edges.
 
 Result: one row per document: class_id (the least doc_id of all it is connected to by links), n_links (documents at
 least 0.8 alike, its copies included).
@@ -27,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.bytescan import shingle_sets, slices, text_words
@@ -144,11 +145,12 @@ def _starts(sorted_keys: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(axis=0)]))
 
 
-def _alive(ia, ib, band, keys, values, n) -> np.ndarray:
-    """Which of the pairs may be alike enough: sizes, first shared band, then 16 values at a time."""
-    sizes = np.minimum(n[ia], n[ib]) * DENOMINATOR >= np.maximum(n[ia], n[ib]) * NUMERATOR
-    left = np.flatnonzero(sizes)
-    left = left[(keys[ia[left]] == keys[ib[left]]).argmax(axis=1) == band[ia[left]]]
+def _alike_in_size(ia, ib, n) -> np.ndarray:
+    return np.minimum(n[ia], n[ib]) * DENOMINATOR >= np.maximum(n[ia], n[ib]) * NUMERATOR
+
+
+def _alive(ia, ib, values, left) -> np.ndarray:
+    """Which of the pairs in ``left`` may be alike enough, looked at 16 values at a time."""
     equal = np.zeros(len(left), np.int64)
     for step, least in enumerate(LEAST):
         at = slice(step * STEP, (step + 1) * STEP)
@@ -158,6 +160,18 @@ def _alive(ia, ib, band, keys, values, n) -> np.ndarray:
     return left
 
 
+def _pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of rows of a group, about ``_PAIRS_AT_ONCE`` together."""
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        first = starts[sizes == size]
+        i, j = np.triu_indices(size, 1)
+        for k in range(0, len(first), per := max(1, _PAIRS_AT_ONCE // len(i))):
+            some = first[k: k + per, None]
+            for low in range(0, len(i), _PAIRS_AT_ONCE):
+                some_i, some_j = i[low: low + _PAIRS_AT_ONCE], j[low: low + _PAIRS_AT_ONCE]
+                yield (some + some_i).ravel(), (some + some_j).ravel()
+
+
 def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _groups(batches, ["band", "key", "p", "q"]):
         band, key, p, q, mine, c, n = (t.column(x).to_numpy() for x in ("band", "key", "p", "q", "mine", "c", "n"))
@@ -166,28 +180,20 @@ def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = _starts([band, key, p, q])
         sizes = np.diff(np.append(starts, len(c)))
         found = []
-        for s in np.unique(sizes[sizes > 1]):
-            i, j = np.triu_indices(s, 1)
-            first = starts[sizes == s]
-            for k in range(0, len(first), per := max(1, _PAIRS_AT_ONCE // len(i))):
-                some = first[k: k + per, None]
-                ia, ib = (some + i).ravel(), (some + j).ravel()
-                across = (p[ia] == q[ia]) | (mine[ia] != mine[ib])
-                ia, ib = ia[across], ib[across]
-                left = _alive(ia, ib, band, keys, values, n)
-                found.append((ia[left], ib[left]))
+        for ia, ib in _pairs(starts, sizes):
+            asked = np.flatnonzero(((p[ia] == q[ia]) | (mine[ia] != mine[ib])) & _alike_in_size(ia, ib, n))
+            ia, ib = ia[asked], ib[asked]
+            first_shared = np.flatnonzero((keys[ia] == keys[ib]).argmax(axis=1) == band[ia])
+            left = _alive(ia, ib, values, first_shared)
+            found.append((ia[left], ib[left]))
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         if not len(a):
             continue
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
         # Classes by rank, so that the root is the least class, which most buckets of a group have in common.
         ids, rank = np.unique(c, return_inverse=True)
         label = _least_labels(len(ids), rank[a], rank[b])
-        nodes = np.union1d(a, b)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c[nodes]), _lists(c[b], np.bincount(a, minlength=len(c))[nodes]), pa.array(ids[label[rank[nodes]]])],
-            names=["c", "others", "root"])
+        linked = np.union1d(rank[a], rank[b])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], names=["c", "root"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,42 +205,53 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [*[batch.column(x) for x in rest], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*rest, "shingles"])
 
 
+def _common(mine: np.ndarray, theirs: list[np.ndarray]) -> np.ndarray:
+    """How many shingles of ``mine`` each of the other sets has; all of them are sorted and not empty."""
+    sizes = np.fromiter(map(len, theirs), np.int64, len(theirs))
+    every = np.concatenate(theirs)
+    at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+    return np.add.reduceat(mine[at] == every, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+
+
+def _linked(c, mine, split, n, weight, keys, values, sets) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(c, links, root) of the classes of two blocks; with ``split`` only the pairs from one block to the other."""
+    links, ea, eb = np.zeros(len(c), np.int64), [], []
+    for x in range(len(c) - 1):
+        ib = np.arange(x + 1, len(c))
+        if split:
+            ib = ib[mine[ib] != mine[x]]
+        ib = ib[_alike_in_size(np.full(len(ib), x), ib, n)]
+        ib = ib[(keys[x] == keys[ib]).any(axis=1)]
+        ib = ib[_alive(np.full(len(ib), x), ib, values, np.arange(len(ib)))]
+        if not len(ib):
+            continue
+        common = _common(sets[x], [sets[j] for j in ib.tolist()])
+        hit = ib[common * DENOMINATOR >= (n[x] + n[ib] - common) * NUMERATOR]
+        links[x] += weight[hit].sum()
+        links[hit] += weight[x]
+        ea.append(np.full(len(hit), x))
+        eb.append(hit)
+    some = np.flatnonzero(links)
+    if not len(some):
+        return None
+    ids, rank = np.unique(c, return_inverse=True)
+    label = _least_labels(len(ids), rank[np.concatenate(ea)], rank[np.concatenate(eb)])
+    return c[some], links[some], ids[label[rank[some]]]
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _groups(batches, ["group", "p", "q"]):
-        group, p, q, c = (t.column(x).to_numpy() for x in ("group", "p", "q", "c"))
-        bounds = np.append(_starts([group, p, q]), len(c))
-        shingles, others, copies = (t.column(x) for x in ("shingles", "others", "copies"))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        group, p, q, mine, c, n, weight = (t.column(x).to_numpy() for x in ("group", "p", "q", "mine", "c", "n", "copies"))
+        keys = np.concatenate([x.flatten().to_numpy() for x in t.column("sig").chunks]).reshape(-1, BANDS)
+        values, shingles = keys.view(np.uint16), t.column("shingles")
+        bounds = np.append(_starts([group, p, q]), len(c)).tolist()
+        out = []
         for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            sets: dict[int, np.ndarray] = {}
-            weight: dict[int, int] = {}
-            wanted = []
-            for r in range(low, high):
-                if (s := shingles[r].as_buffer()) is not None:
-                    sets[c[r]], weight[c[r]] = np.frombuffer(s, np.uint64), copies[r].as_py()
-                else:
-                    wanted.append((c[r], others[r].values.to_numpy()))
-            ids = np.sort(np.fromiter(sets, np.int64, len(sets)))
-            number = {x: i for i, x in enumerate(ids.tolist())}
-            w = np.array([weight[x] for x in ids.tolist()], np.int64)
-            links, ea, eb = np.zeros(len(sets), np.int64), [], []
-            for x, js in wanted:
-                mine, theirs = sets[x], [sets[j] for j in js.tolist()]
-                sizes = np.fromiter(map(len, theirs), np.int64, len(theirs))
-                every = np.concatenate(theirs)
-                at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
-                common = np.add.reduceat(mine[at] == every, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
-                alike = common * DENOMINATOR >= (len(mine) + sizes - common) * NUMERATOR
-                hit = np.array([number[j] for j in js[alike].tolist()], np.int64)
-                links[number[x]] += w[hit].sum()
-                links[hit] += w[number[x]]
-                ea.append(np.full(len(hit), number[x]))
-                eb.append(hit)
-            if ea and len(a := np.concatenate(ea)):
-                label = _least_labels(len(ids), a, np.concatenate(eb))
-                some = np.flatnonzero(links)
-                out.append((ids[some], links[some], ids[label[some]]))
-        if out:
+            if high - low > 1:
+                at = slice(low, high)
+                sets = [np.frombuffer(shingles[r].as_buffer(), np.uint64) for r in range(low, high)]
+                out.append(_linked(c[at], mine[at], p[low] != q[low], n[at], weight[at], keys[at], values[at], sets))
+        if out := [x for x in out if x is not None]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["c", "links", "root"])
 
 
@@ -249,7 +266,7 @@ def _paired(df: DataFrame, n_blocks: str) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(c, others, root): classes that survive pruning together; ``root`` is one of them that they are connected to."""
+    """(c, root): classes that survive pruning with another one; ``root`` is one that they are connected to."""
     bands = classes.where("n > 0").select("c", F.posexplode("sig").alias("band", "key"))
     full = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / BLOCK)
@@ -257,49 +274,56 @@ def candidates(classes: DataFrame) -> DataFrame:
     signed = _paired(members, "n_blocks").join(classes.select("c", "n", "sig"), "c")
     by = ["band", "key", "p", "q"]
     dealt = signed.select(*by, "mine", "c", "n", "sig").repartition(*by).sortWithinPartitions(*by)
-    return map_batches(dealt, _pruned, "c long, others array<bigint>, root long")
+    return map_batches(dealt, _pruned, "c long, root long")
+
 
+def links(docs: DataFrame, classes: DataFrame, found: DataFrame, repeated: bool) -> DataFrame:
+    """(c, links, root) of the candidates in ``found`` (c, root) that their shingles confirm.
 
-def links(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """(c, links, root) of the candidates in ``found`` that their shingles confirm."""
+    ``repeated``: some rows have the same id and text, and can't be told apart by them.
+    """
     group = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
     members = group.withColumnRenamed("node", "c").withColumnRenamed("label", "group").join(
-        classes.select("c", "n", "copies", "first"), "c")
+        classes.select("c", "n", "copies", "sig", "first"), "c")
     sizes = members.groupBy("group").agg(F.greatest(
         F.ceil(F.sum("n") / GROUP_SHINGLES), F.ceil(F.count(F.lit(1)) / GROUP_BLOCK)).alias("n_blocks"))
-    members = cut(members.join(sizes, "group").withColumn("mine", _block(F.col("c"), F.col("n_blocks"))))
-    of = members.select(F.col("first.doc_id").alias("of"), F.col("first.h").alias("h"), "c", "copies", "group", "n_blocks", "mine")
+    members = members.join(sizes, "group").withColumn("mine", _block(F.col("c"), F.col("n_blocks")))
+    carried = ["c", "copies", "n", "sig", "group", "n_blocks", "mine"]
+    of = cut(members.select(F.col("first.doc_id").alias("of"), F.col("first.h").alias("h"), *carried))
     texts = _identified(docs).join(of.hint("shuffle_hash"), "h").where(F.col("doc_id").eqNullSafe(F.col("of")))
-    kept = texts.select("c", "copies", "group", "n_blocks", "mine", "text")
-    schema = "c long, copies long, `group` long, n_blocks long, mine long, shingles binary"
-    sets = _paired(map_batches(kept, _sets, schema), "n_blocks").select(
-        "group", "p", "q", "c", "copies", "shingles", F.lit(None).cast("array<bigint>").alias("others"))
-    asked = _paired(found.where(F.size("others") > 0).join(members.select("c", "group", "n_blocks", "mine"), "c"), "n_blocks")
-    mine = F.filter("others", lambda j: _block(j, F.col("n_blocks")) == F.col("x"))
-    asked = asked.withColumn("others", mine).where(F.size("others") > 0).select(
-        "group", "p", "q", "c", F.lit(None).cast("long").alias("copies"), F.lit(None).cast("binary").alias("shingles"), "others")
+    schema = "c long, copies long, n int, sig array<bigint>, `group` long, n_blocks long, mine long, shingles binary"
     by = ["group", "p", "q"]
-    dealt = sets.unionByName(asked).repartition(*by).sortWithinPartitions(*by)
+    texts = texts.select(*carried, "text")
+    sets = map_batches(texts.dropDuplicates(["c"]) if repeated else texts, _sets, schema)
+    dealt = _paired(sets, "n_blocks").select(*by, "mine", "c", "n", "copies", "sig", "shingles").repartition(*by).sortWithinPartitions(*by)
     return map_batches(dealt, _verified, "c long, links long, root long")
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents' features, and for each class of copies: c, copies, first, links, label (of its group)."""
+def _order(doc_id: Column, h: Column) -> Column:
+    """Least id first, rows without one last."""
+    return F.struct(doc_id.isNull().alias("gone"), doc_id.alias("doc_id"), h.alias("h"))
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """The documents' features, for each class of copies: c, copies, first, links, label (of its group), and whether
+    some rows have the same id and text.
+    """
     rows = cut(features(docs))
-    first = F.struct("doc_id", "h")
+    repeated = not rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    first = _order(F.col("doc_id"), F.col("h"))
     classes = cut(rows.groupBy("c").agg(
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.min_by(F.struct("doc_id", "h", "n", "sig"), first).alias("one"),
     ).select("c", "copies", "least_id", F.struct("one.doc_id", "one.h").alias("first"), F.col("one.n").alias("n"), F.col("one.sig").alias("sig")))
-    sure = cut(links(docs, classes, cut(candidates(classes))))
+    sure = cut(links(docs, classes, cut(candidates(classes)), repeated))
     label = components(sure.select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "c")
     count = sure.groupBy("c").agg(F.sum("links").alias("links"))
     return rows, cut(classes.drop("sig", "n").join(count, "c", "left").join(label, "c", "left").select(
-        "c", "copies", "least_id", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "c").alias("label")))
+        "c", "copies", "least_id", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "c").alias("label"))), repeated
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links of every document."""
-    rows, classes = grouped(docs)
+    rows, classes, _ = grouped(docs)
     ids = classes.groupBy("label").agg(F.min("least_id").alias("class_id"))
     told = classes.join(ids, "label").select("c", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     return rows.select("doc_id", "c").join(told, "c").select("doc_id", "class_id", "n_links")
@@ -307,14 +331,14 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the least id, with the columns it came with."""
-    rows, classes = grouped(docs)
-    one = classes.groupBy("label").agg(F.min("first").alias("one")).select("one.doc_id", "one.h")
+    _, classes, repeated = grouped(docs)
+    first = _order(F.col("first.doc_id"), F.col("first.h"))
+    one = classes.groupBy("label").agg(F.min_by("first", first).alias("one")).select("one.doc_id", "one.h")
     key, of = fresh(docs, "h"), fresh(docs, "of")
     chosen = one.select(F.col("doc_id").alias(of), F.col("h").alias(key))
     marked = docs.select(*columns_of(docs), F.xxhash64(text_of()).alias(key))
     kept = marked.join(chosen.hint("shuffle_hash"), key).where(F.col("doc_id").cast("long").eqNullSafe(F.col(of)))
-    again = rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not again.isEmpty():  # rows with the same id and text can't be told apart by them
+    if repeated:
         kept = kept.dropDuplicates([key, of])
     return kept.select(*columns_of(docs))
 

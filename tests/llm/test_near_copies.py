@@ -73,6 +73,20 @@ def test_awkward_rows(spark):
     assert nc.jaccard_join(empty(spark)).count() == 0 and nc.one_of_each(empty(spark)).count() == 0
 
 
+def test_the_least_id_stays_not_the_missing_one(spark):
+    docs = spark.createDataFrame([(5, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d  e f"), (3, "a b c d  e f")], "doc_id long, text string")
+    assert [tuple(r) for r in nc.one_of_each(docs).collect()] == [(3, "a b c d  e f")]
+
+
+def test_a_large_group_makes_no_row_for_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(nc, "GROUP_BLOCK", 64)
+    rng, base = random.Random(2), [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join([*base[: (k := rng.randrange(150))], f"x{i}", *base[k + 1:]])) for i in range(400)]
+    classes = nc.features(spark.createDataFrame(rows, "doc_id long, text string")).select("c", "n", "sig")
+    assert nc.candidates(classes).count() <= 400 * nc.BANDS * 3
+    assert sorted(map(tuple, nc.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(brute(rows))
+
+
 def test_pruning_drops_only_what_is_improbable():
     for i, least in enumerate(nc.LEAST):
         h = (i + 1) * nc.STEP
