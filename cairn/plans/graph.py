@@ -1,5 +1,7 @@
 """Graph queries over the code base laid on the sales tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
@@ -7,8 +9,9 @@ from cairn.operators import graph as g
 from cairn.operators import traversal as tr
 from cairn.plans.oracle_tables import DOCUMENT, GRAPH, with_tables
 from cairn.plans.registry import query
-from cairn.session import cut
+from cairn.session import cut, shared_dir
 from cairn.sources import lake
+from cairn.sources.graph_store import GraphStore
 
 _DIRECT = "('IMPORTS', 'INJECTS', 'IMPLEMENTS', 'EXTENDS', 'USES', 'USES_DTO', 'MAPS_TO')"
 _TYPES = f"""own AS (SELECT dst AS member, src AS owner FROM edge WHERE type = 'HAS_METHOD'),
@@ -234,15 +237,42 @@ def merged_nodes(spark, sf):
     return g.merge_nodes(obs).select("uid", "label", "name", "external", F.col("props")["flag"].alias("flag"), F.col("props")["supplier"].alias("supplier"))
 
 
+def _store(spark, nodes, edges):
+    """A new store with this graph; a node's columns are its properties."""
+    store = GraphStore(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}", 16)
+    store.write(_observed(nodes), edges.withColumn("props", F.lit(None).cast("map<string,string>")))
+    return store
+
+
+def _observed(nodes, **more):
+    named = {"graphKey": F.col("graph_key"), "name": F.col("name"), "layer": F.col("layer"), "packageName": F.col("package_name"), **more}
+    return nodes.select("uid", F.lit(0).alias("seq"), "label", F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v)]).alias("props"))
+
+
 @query("s9_graph_write", with_tables(
-    "SELECT DISTINCT src, dst, type, graph_key FROM edge WHERE src IN (SELECT uid FROM itype) AND dst IN (SELECT uid FROM node)",
+    "SELECT DISTINCT src, dst, type, graph_key FROM edge WHERE src IN (SELECT uid FROM itype) AND dst IN (SELECT uid FROM itype)",
     GRAPH, "itype AS (SELECT * FROM node WHERE NOT external)"))
 def graph_write(spark, sf):
     """What a write stores: merged edges whose two ends were stored; external nodes were not sent."""
     nodes, edges = _graph(spark, sf)
-    sources = nodes.where(~F.col("external"))
-    stored = g.storable_edges(edges, nodes)
-    return stored.join(sources.select(F.col("uid").alias("src")), "src", "left_semi").select("src", "dst", "type", "graph_key")
+    return _store(spark, nodes.where(~F.col("external")), edges).edges().select("src", "dst", "type", "graph_key")
+
+
+@query("s9_stored_nodes", with_tables(
+    """SELECT uid, label, CASE WHEN label = 'Method' THEN 'again' ELSE graph_key END AS graph_key, name, CASE WHEN label = 'Method' THEN 'Late' ELSE layer END AS layer,
+    package_name, CASE WHEN label = 'Method' THEN 'x' ELSE NULL END AS note, false AS with_content FROM node""", GRAPH))
+def stored_nodes(spark, sf):
+    """Methods are written a second time under another key: new values go over the stored ones, source texts stay out."""
+    nodes, edges = _graph(spark, sf)
+    content = F.concat(F.lit("class "), "name")
+    store = GraphStore(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}", 16)
+    store.write(_observed(nodes, content=content, sourceContent=content), edges.limit(0).withColumn("props", F.lit(None).cast("map<string,string>")))
+    late = nodes.where(F.col("label") == "Method").withColumns({"graph_key": F.lit("again"), "layer": F.lit("Late"), "name": F.lit(None).cast("string")})
+    store.write(_observed(late, note=F.lit("x"), content=content), edges.limit(0).withColumn("props", F.lit(None).cast("map<string,string>")))
+    props = F.col("props")
+    return store.nodes().select(
+        "uid", "label", "graph_key", props["name"].alias("name"), props["layer"].alias("layer"), props["packageName"].alias("package_name"), props["note"].alias("note"),
+        (F.map_contains_key(props, "content") | F.map_contains_key(props, "sourceContent")).alias("with_content"))
 
 
 _OVERVIEW = """ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY name, uid) AS rn FROM {scope}),
@@ -373,29 +403,29 @@ _GONE = "gone AS (SELECT DISTINCT 'ship:' || year(l_shipdate) AS graph_key FROM
     n2 AS (SELECT * FROM n1 WHERE label <> 'Package' OR uid IN (SELECT src FROM e1 WHERE type = 'CONTAINS' AND dst IN (SELECT uid FROM n1 WHERE label = 'JavaType')))
     SELECT uid, label FROM n2""", GRAPH))
 def graph_delete(spark, sf):
-    nodes, edges = _graph(spark, sf)
+    return _after_deletion(spark, sf).nodes().select("uid", "label")
+
+
+def _after_deletion(spark, sf):
+    """A store of the graph that two sorts of keys were deleted from."""
+    store = _store(spark, *_graph(spark, sf))
     ships = lake.raw(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y")).where("y < 1999").distinct().select(
         F.concat(F.lit("ship:"), F.col("y").cast("string")).alias("graph_key"))
     nations = lake.raw(spark, sf, "nation").where("n_regionkey < 2").select(
         F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("graph_key"))
-    kept, _ = g.delete_graph(nodes, edges, ships.unionByName(nations), containment=(("Package", "JavaType"),))
-    return kept.select("uid", "label")
+    store.delete(ships.unionByName(nations), containment=(("Package", "JavaType"),))
+    return store
 
 
 @query("g6_orphan_cascade", with_tables(
-    f"""{_GONE}, e1 AS (SELECT * FROM edge WHERE graph_key NOT IN (SELECT graph_key FROM gone)),
+    f"""{_GONE}, e1 AS (SELECT DISTINCT src, dst, type, graph_key FROM edge WHERE graph_key NOT IN (SELECT graph_key FROM gone)
+      AND src IN (SELECT uid FROM node) AND dst IN (SELECT uid FROM node)),
     n1 AS (SELECT * FROM node n WHERE label NOT IN ('JavaType', 'Method', 'DatabaseTable', 'SqlStatement') OR uid IN (SELECT src FROM e1 UNION SELECT dst FROM e1)),
     n2 AS (SELECT * FROM n1 WHERE label <> 'Package' OR uid IN (SELECT src FROM e1 WHERE type = 'CONTAINS' AND dst IN (SELECT uid FROM n1 WHERE label = 'JavaType')))
     SELECT type, graph_key, count(*) AS edge_count FROM e1 WHERE src NOT IN (SELECT uid FROM n1 WHERE uid NOT IN (SELECT uid FROM n2))
     AND dst NOT IN (SELECT uid FROM n1 WHERE uid NOT IN (SELECT uid FROM n2)) GROUP BY ALL""", GRAPH))
 def orphan_cascade(spark, sf):
-    nodes, edges = _graph(spark, sf)
-    ships = lake.raw(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y")).where("y < 1999").distinct().select(
-        F.concat(F.lit("ship:"), F.col("y").cast("string")).alias("graph_key"))
-    nations = lake.raw(spark, sf, "nation").where("n_regionkey < 2").select(
-        F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("graph_key"))
-    _, left = g.delete_graph(nodes, edges, ships.unionByName(nations), containment=(("Package", "JavaType"),))
-    return left.groupBy("type", "graph_key").agg(F.count(F.lit(1)).alias("edge_count"))
+    return _after_deletion(spark, sf).edges().groupBy("type", "graph_key").agg(F.count(F.lit(1)).alias("edge_count"))
 
 
 _WALK = """seed AS (SELECT uid FROM node WHERE label = 'JavaType' AND name LIKE 'Base%' ORDER BY uid LIMIT 100),

@@ -4,7 +4,7 @@
     edges/key_bucket=…   src, dst, type, graph_key, props
     places/uid_bucket=…  uid, node_bucket: where a node is stored
     ends/uid_bucket=…    uid, graph_key, n: how many edges of each key touch it
-    pending/             nodes that came without edges and haven't been tested since
+    pending/             facts that came without edges and containers, not tested since
 
 Nodes and edges lie in the bucket of their graph key, so writing or deleting a key rewrites that bucket and no other,
 unless a node is shared with other keys. What touches a node is looked up in the bucket of its id; nothing reads all
@@ -168,12 +168,10 @@ class GraphStore:
         self._replace("edges", mixed.unionByName(first), within)
 
     def _loose(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-        """Nodes of a write that no edge of it touches, and containers without what they contain."""
+        """Facts of a write that no edge of it touches, and its outer containers, which are few."""
         ends = edges.select(F.explode(F.array("src", "dst")).alias("uid"))
-        holders = edges.where(F.col("type") == "CONTAINS").select(F.col("src").alias("uid"))
         facts = nodes.where(F.col("label").isin(*FACT_LABELS)).join(ends, "uid", "left_anti").select("uid")
-        outer = nodes.where(F.col("label").isin(*[o for o, _ in CONTAINMENT])).join(holders, "uid", "left_anti").select("uid")
-        return facts.union(outer)
+        return facts.union(nodes.where(F.col("label").isin(*[o for o, _ in CONTAINMENT])).select("uid"))
 
     def _pending(self) -> DataFrame:
         try:
