@@ -13,7 +13,12 @@ from cairn.plans.registry import query
 from cairn.session import shared_dir
 from cairn.sources import lake
 from cairn.sources.batches import BatchTable
+from cairn.sources.hash_index import HashIndex
 from cairn.streaming import jobs
+from cairn.streaming.keyed import ExecutionState, LastCheck, Progress
+
+#: How long after its last event a key's state is kept, in milliseconds.
+_WEEK = 7 * 24 * 3600 * 1000
 
 
 def _place(spark, name):
@@ -46,8 +51,9 @@ def inbox_ingest(spark, sf):
     columns = ["id", "project_key", "file_hash", "document_type", "deleted_at"]
     arrivals = lake.documents_catalog(_Streamed(spark, "documents"), sf).select(*columns)
     table, checkpoint = _place(spark, "inbox")
-    jobs.ingest(arrivals, table, checkpoint)
-    return table.all(arrivals.schema).select(*columns[:-1])
+    index = HashIndex(spark, table.path, arrivals.schema, 8)
+    jobs.ingest(arrivals, index, checkpoint)
+    return index.all().select(*columns[:-1])
 
 
 @query("s4_inbox_chunks", with_tables(
@@ -66,10 +72,10 @@ def inbox_chunks(spark, sf):
     """SELECT scan_job_id, count(*) AS processed_files, count(*) FILTER (status = 'PASSED') AS passed_files, count(*) FILTER (status = 'FINDING') AS finding_count,
     count(*) FILTER (status = 'ERROR') AS error_files FROM scan_result GROUP BY 1""", SCAN))
 def scan_progress(spark, sf):
-    counted = jobs.progress_counters(lake.scan_results(_Streamed(spark, "events"), sf))
+    outcomes = lake.scan_results(_Streamed(spark, "events"), sf).select("scan_job_id", F.col("created_at").alias("ts"), "status")
     table, checkpoint = _place(spark, "progress")
-    jobs.changelog(counted, table, checkpoint)
-    return jobs.latest(table.all(counted.schema), "scan_job_id")
+    schema = jobs.keyed_log(outcomes, "scan_job_id", Progress(_WEEK), table, checkpoint, "1 day")
+    return jobs.latest(table.all(schema), "scan_job_id")
 
 
 def _executions(spark, sf):
@@ -89,11 +95,9 @@ def _executions(spark, sf):
 def execution_state(spark, sf):
     events = _executions(_Streamed(spark, "events"), sf).where(F.col("status") != "NOTED")
     table, checkpoint = _place(spark, "execution")
-    jobs.append(events, table, checkpoint)
-    now = jobs.execution_state(table.all(events.schema))
-    timed = now.select("execution_id", "status", F.unix_micros(F.col("started_at").cast("timestamp")).alias("started_us"),
-                       F.unix_micros(F.col("completed_at").cast("timestamp")).alias("completed_us"))
-    return timed.withColumn("duration_ms", F.expr("(completed_us - started_us) div 1000"))
+    schema = jobs.keyed_log(events, "execution_id", ExecutionState(_WEEK), table, checkpoint, "1 day")
+    now = jobs.latest(table.all(schema), "execution_id")
+    return now.withColumn("duration_ms", F.expr("(completed_us - started_us) div 1000"))
 
 
 @query("st4_health_snapshot", """
@@ -105,10 +109,10 @@ def execution_state(spark, sf):
 def health_snapshot(spark, sf):
     from cairn.plans.scan import health_events
 
-    known = jobs.last_known(health_events(_Streamed(spark, "events"), sf).withColumnRenamed("user_id", "id"))
+    checks = health_events(_Streamed(spark, "events"), sf).withColumn("id", F.col("user_id").cast("string"))
     table, checkpoint = _place(spark, "health")
-    jobs.changelog(known, table, checkpoint)
-    return health_rollup(jobs.latest(table.all(known.schema), "id"))
+    schema = jobs.keyed_log(checks.select("id", "ts", "event_id", "status", "critical"), "id", LastCheck(_WEEK), table, checkpoint, "1 day")
+    return health_rollup(jobs.latest(table.all(schema), "id"))
 
 
 @query("st5_changed_snapshots", """SELECT project_key, id FROM (SELECT 'c' || o_custkey AS project_key, o_orderkey AS id, floor(o_totalprice / 40000) AS now,

@@ -1,8 +1,8 @@
 """Incremental versions of the pollers and watchers, on Structured Streaming.
 
-State lives either in Spark's state store (aggregations keyed by job or dependency) or in tables made
-of one folder per micro-batch. A batch that is run again overwrites its own folder, so retries and
-restarts leave no duplicates.
+State of a job, an execution or a dependency lives in Spark's state store and expires (``keyed``); other
+state lives in tables made of one folder per micro-batch, where a batch that is run again overwrites its own
+folder, and in the hash index of the inbox. So retries and restarts leave no duplicates.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cairn.functions.files import is_vector_source
-from cairn.operators import mutation, quality
+from cairn.operators import quality
 from cairn.operators.extract import living_references, reconcile
 from cairn.session import cut
 from cairn.sources.batches import BatchTable
+from cairn.sources.hash_index import HashIndex
+from cairn.streaming.keyed import Expiring, keyed, timers_supported
 
 
 def drain(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -44,18 +46,22 @@ def inbox_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(is_vector_source(F.col("path")))
 
 
-def ingest(arrivals: DataFrame, catalog: BatchTable, checkpoint: str) -> None:
-    """Inbox into catalog: a content already stored, or repeated within a batch, is stored once."""
-    def store(batch: DataFrame, batch_id: int) -> None:
-        stored = catalog.before(batch_id, batch.schema)
-        catalog.write(mutation.insert_absent(stored, batch), batch_id)
+def ingest(arrivals: DataFrame, catalog: HashIndex, checkpoint: str) -> None:
+    """Inbox into catalog: a content already stored, or repeated, is stored once, whichever watcher takes it."""
+    drain(arrivals, lambda batch, _: catalog.add(batch), checkpoint)
+
 
-    drain(arrivals, store, checkpoint)
+def changelog(changes: DataFrame, table: BatchTable, checkpoint: str, *keys: str, every: int = 16) -> None:
+    """Changed rows of keyed state, appended per batch; the newest batch of a key is its state.
 
+    After ``every`` batches the newest rows are written together, and later reads begin there.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        table.write(batch, batch_id)
+        if keys and (batch_id + 1) % every == 0:
+            table.gather(latest(table.all(batch.schema), *keys), batch_id)
 
-def changelog(aggregate: DataFrame, table: BatchTable, checkpoint: str) -> None:
-    """Updated rows of a keyed aggregation, appended per batch; the newest batch of a key is its state."""
-    drain(aggregate, lambda batch, batch_id: table.write(batch, batch_id), checkpoint, mode="update")
+    drain(changes, store, checkpoint, mode="update")
 
 
 def latest(log: DataFrame, *keys: str) -> DataFrame:
@@ -65,38 +71,12 @@ def latest(log: DataFrame, *keys: str) -> DataFrame:
     return newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
-def progress_counters(outcomes: DataFrame) -> DataFrame:
-    """Per job counters of a stream of file outcomes (one event per file)."""
-    def n(status):
-        return F.count_if(F.col("status") == status)
-
-    return outcomes.groupBy("scan_job_id").agg(
-        F.count(F.lit(1)).alias("processed_files"), n("PASSED").alias("passed_files"), n("FINDING").alias("finding_count"), n("ERROR").alias("error_files"))
-
-
-def append(rows: DataFrame, table: BatchTable, checkpoint: str) -> None:
-    """A stream's rows as a log, one folder per batch; what they mean is read from the whole log."""
-    drain(rows, lambda batch, batch_id: table.write(batch, batch_id), checkpoint)
-
-
-def execution_state(log: DataFrame) -> DataFrame:
-    """Per started execution: its first start, and the first outcome after it for good.
-
-    Outcomes of an execution that never started, or from before its start, change nothing. The log decides by event
-    time, so it doesn't matter in which batches the events came.
-    """
-    at = F.struct("ts", "event_id")
-    begun = log.where(F.col("status") == "STARTED").groupBy("execution_id").agg(F.min(at).alias("start"))
-    outcomes = log.where(F.col("status").isin("SUCCEEDED", "FAILED")).join(begun, "execution_id").where(at > F.col("start"))
-    ended = outcomes.groupBy("execution_id").agg(F.min_by("status", at).alias("outcome"), F.min("ts").alias("completed_at"))
-    return begun.join(ended, "execution_id", "left").select(
-        "execution_id", F.coalesce("outcome", F.lit("STARTED")).alias("status"), F.col("start.ts").alias("started_at"), "completed_at")
-
-
-def last_known(checks: DataFrame) -> DataFrame:
-    """Newest check per dependency."""
-    at = F.struct("ts", "event_id")
-    return checks.groupBy("id").agg(F.max_by("status", at).alias("status"), F.max_by("critical", at).alias("critical"))
+def keyed_log(rows: DataFrame, key: str, processor: Expiring, table: BatchTable, checkpoint: str, delay: str) -> StructType:
+    """Run a keyed state over what is available; the schema of its changelog."""
+    with timers_supported(rows.sparkSession):
+        changes = keyed(rows, key, processor, delay)
+        changelog(changes, table, checkpoint, key)
+    return changes.schema
 
 
 def snapshots(summaries: DataFrame, table: BatchTable, checkpoint: str) -> None:
@@ -110,32 +90,44 @@ def snapshots(summaries: DataFrame, table: BatchTable, checkpoint: str) -> None:
 CATALOG = "listing_id long, capability_id string, tool string, action string, reference_count long"
 
 
+OPEN = "listing_id long, first_batch long, n long, n_tools long, named long"
+
+
 def catalog_sync(listings: DataFrame, current: DataFrame, references: DataFrame, log: BatchTable, table: BatchTable, checkpoint: str) -> None:
     """Tool listings (listing_id, n_tools, tool) as they arrive, each reconciled with the catalog the one before it left.
 
     The rows of a listing may come in several batches: they are logged, and a listing counts once all ``n_tools`` of
-    them are there. A listing without a named tool is refused and leaves the catalog as it was; one older than the
-    last that counted is skipped. The catalog's history has one reconciliation per listing.
+    them are there. Each batch leaves a small table of the listings still open, with the batch they began in, so the
+    next one reads the log from the oldest of these on. A listing without a named tool is refused and leaves the catalog
+    as it was; one older than the last that counted is skipped. The catalog's history has one reconciliation per listing.
     """
-    schema = StructType.fromDDL(CATALOG)
+    spark = current.sparkSession
+    schema, unfinished = StructType.fromDDL(CATALOG), BatchTable(spark, f"{log.path}-open")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         log.write(batch, batch_id)
-        arrived = log.before(batch_id + 1, batch.schema)
+        last = table.before(batch_id, schema).agg(F.max("listing_id")).first()[0]
+        newer = F.lit(True) if last is None else F.col("listing_id") > last
+        new = batch.groupBy("listing_id").agg(
+            F.lit(batch_id).cast("long").alias("first_batch"), F.count(F.lit(1)).alias("n"), F.max("n_tools").alias("n_tools"),
+            F.count_if(F.trim("tool") != "").alias("named"))
+        before = unfinished.all(StructType.fromDDL(OPEN)).where(F.col("batch") == batch_id - 1).drop("batch")
+        sizes = cut(before.unionByName(new).where(newer).groupBy("listing_id").agg(
+            F.min("first_batch").alias("first_batch"), F.sum("n").alias("n"), F.max("n_tools").alias("n_tools"), F.sum("named").alias("named")))
+        whole = [(r["listing_id"], r["first_batch"]) for r in sizes.where("n >= n_tools AND named > 0").orderBy("listing_id").collect()]  # a few
+        unfinished.write(sizes.where("n < n_tools"), batch_id)
+        if not whole:
+            return
+        rows = log.all(batch.schema).where(F.col("batch").between(min(first for _, first in whole), batch_id)).drop("batch")
         history = table.before(batch_id, schema)
-        last = history.agg(F.max("listing_id")).first()[0]
-        sizes = arrived.groupBy("listing_id").agg(
-            F.count(F.lit(1)).alias("n"), F.max("n_tools").alias("n_tools"), F.count_if(F.trim("tool") != "").alias("named"))
-        whole = sizes.where("n >= n_tools AND named > 0" + (f" AND listing_id > {last}" if last is not None else ""))
         catalog = current if last is None else history.where((F.col("listing_id") == last) & (F.col("action") != "removed"))
         made = []
-        for listing in [r["listing_id"] for r in whole.select("listing_id").orderBy("listing_id").collect()]:  # a few per batch
-            result = reconcile(catalog.select("capability_id", "tool"), arrived.where(F.col("listing_id") == listing))
+        for listing, _ in whole:
+            result = reconcile(catalog.select("capability_id", "tool"), rows.where(F.col("listing_id") == listing))
             kept = living_references(references, result).groupBy("capability_id").agg(F.count(F.lit(1)).alias("reference_count"))
             counted = result.join(kept, "capability_id", "left").withColumn("reference_count", F.coalesce("reference_count", F.lit(0)).cast("long"))
             made.append(cut(counted.withColumn("listing_id", F.lit(listing).cast("long")).select(*schema.names)))
             catalog = made[-1].where(F.col("action") != "removed")
-        if made:
-            table.write(reduce(DataFrame.unionByName, made), batch_id)
+        table.write(reduce(DataFrame.unionByName, made), batch_id)
 
     drain(listings, store, checkpoint)

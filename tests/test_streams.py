@@ -1,12 +1,18 @@
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cairn.sources.batches import BatchTable
+from cairn.sources.hash_index import HashIndex
 from cairn.streaming import jobs
 
 
+ROW = "id long, project_key string, file_hash string, document_type string, deleted_at timestamp_ntz"
+
+
 def test_inbox_over_several_batches(spark, tmp_path):
-    inbox, table = tmp_path / "inbox", BatchTable(spark, str(tmp_path / "table"))
+    inbox, index = tmp_path / "inbox", HashIndex(spark, str(tmp_path / "index"), StructType.fromDDL(ROW), 8)
     inbox.mkdir()
 
     def drop(name, text):
@@ -16,51 +22,69 @@ def test_inbox_over_several_batches(spark, tmp_path):
         arrivals = jobs.inbox_files(spark, str(inbox)).select(
             F.xxhash64("path").alias("id"), F.lit("p").alias("project_key"), F.sha2("content", 256).alias("file_hash"), F.lit("S").alias("document_type"),
             F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
-        jobs.ingest(arrivals, table, str(tmp_path / "checkpoint"))
-        return table.all(arrivals.schema)
+        jobs.ingest(arrivals, index, str(tmp_path / "checkpoint"))
+        return index.all()
 
     drop("a.md", "one"), drop("b.md", "one"), drop("c.md", "two")
     assert run().count() == 2
     drop("d.md", "one"), drop("e.md", "three"), drop("f.md.part", "unfinished")
-    stored = run()
-    assert stored.count() == 3 and stored.select("batch").distinct().count() == 2
-    # A batch that is written again replaces itself.
-    plain = stored.drop("batch")
-    again = spark.createDataFrame([tuple(r) for r in stored.where("batch = 0").drop("batch").collect()], plain.schema)
-    table.write(again, 0)
-    assert table.all(plain.schema).count() == 3
+    assert run().count() == 3
+    again = index.all().limit(2)
+    index.add(again)  # a batch that runs again
+    assert index.all().count() == 3
 
 
-def test_changelog_keeps_the_newest_state(spark, tmp_path):
-    source, table = tmp_path / "source", BatchTable(spark, str(tmp_path / "table"))
-    schema = "scan_job_id string, status string"
+def test_two_watchers_store_each_content_once(spark, tmp_path):
+    rows = [(i, "p", f"h{i % 40}", "S", None) for i in range(80)] + [(100 + i, "p", None, "S", None) for i in range(3)]
+    path, schema = str(tmp_path / "index"), StructType.fromDDL(ROW)
+    halves = [spark.createDataFrame(rows[:60], ROW), spark.createDataFrame(rows[30:], ROW)]
+    with ThreadPoolExecutor(2) as both:
+        list(both.map(lambda half: HashIndex(spark, path, schema, 4).add(half), halves))
+    stored = HashIndex(spark, path, schema, 4).all().collect()
+    assert sorted(r.file_hash for r in stored if r.file_hash) == sorted({f"h{i}" for i in range(40)})
+    assert sorted(r.id for r in stored if r.file_hash is None) == [100, 101, 102]
 
-    def feed(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
-        counted = jobs.progress_counters(spark.readStream.schema(schema).parquet(str(source)))
-        jobs.changelog(counted, table, str(tmp_path / "checkpoint"))
-        return {r.scan_job_id: (r.processed_files, r.error_files) for r in jobs.latest(table.all(counted.schema), "scan_job_id").collect()}
 
-    assert feed([("a", "PASSED"), ("b", "ERROR")]) == {"a": (1, 0), "b": (1, 1)}
-    assert feed([("a", "ERROR"), ("a", "PASSED")]) == {"a": (3, 1), "b": (1, 1)}
+def test_the_second_to_commit_looks_again(spark, tmp_path, monkeypatch):
+    index = HashIndex(spark, str(tmp_path / "index"), StructType.fromDDL(ROW), 1)
+    other = HashIndex(spark, str(tmp_path / "index"), StructType.fromDDL(ROW), 1)
+    take, taken = index._take, []
+
+    def late(bucket, number, folder):
+        if not taken:
+            other.add(spark.createDataFrame([(9, "p", "h1", "S", None)], ROW))
+        taken.append(number)
+        return take(bucket, number, folder)
+
+    monkeypatch.setattr(index, "_take", late)
+    index.add(spark.createDataFrame([(1, "p", "h1", "S", None), (2, "p", "h2", "S", None)], ROW))
+    assert taken == [0, 1] and sorted((r.id, r.file_hash) for r in index.all().collect()) == [(2, "h2"), (9, "h1")]
+
 
+def test_a_batch_reads_the_buckets_of_its_hashes(spark, tmp_path, monkeypatch):
+    index = HashIndex(spark, str(tmp_path / "index"), StructType.fromDDL(ROW), 16)
+    index.add(spark.createDataFrame([(i, "p", f"h{i}", "S", None) for i in range(60)], ROW))
+    asked, rows = [], index._rows
+    monkeypatch.setattr(index, "_rows", lambda folders: (asked.append(rows(folders)), asked[-1])[1])
+    index.add(spark.createDataFrame([(99, "p", "h7", "S", None)], ROW))
+    files = asked[0].inputFiles()
+    assert 0 < asked[0].count() < 20 and len({f.split("/bucket=")[1].split("/")[0] for f in files}) == 1
 
-def test_first_outcome_survives_later_batches(spark, tmp_path):
+
+def test_changelog_keeps_the_newest_state(spark, tmp_path):
     source, table = tmp_path / "source", BatchTable(spark, str(tmp_path / "table"))
-    schema = "execution_id string, ts int, event_id int, status string"
+    schema = "scan_job_id string, status string"
 
     def feed(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
-        events = spark.readStream.schema(schema).parquet(str(source))
-        jobs.append(events, table, str(tmp_path / "checkpoint"))
-        return {r.execution_id: (r.status, r.started_at, r.completed_at) for r in jobs.execution_state(table.all(events.schema)).collect()}
-
-    assert feed([("x", 1, 1, "STARTED")]) == {"x": ("STARTED", 1, None)}
-    assert feed([("x", 5, 2, "FAILED")]) == {"x": ("FAILED", 1, 5)}
-    assert feed([("x", 9, 3, "SUCCEEDED")]) == {"x": ("FAILED", 1, 5)}
-    # An outcome without a start, or from before it, changes nothing, in whatever batch the start comes.
-    assert feed([("y", 2, 4, "FAILED"), ("z", 3, 5, "FAILED")]) == {"x": ("FAILED", 1, 5)}
-    assert feed([("z", 4, 6, "STARTED")]) == {"x": ("FAILED", 1, 5), "z": ("STARTED", 4, None)}
+        jobs_seen = spark.readStream.schema(schema).parquet(str(source)).groupBy("scan_job_id").agg(F.count(F.lit(1)).alias("n"))
+        jobs.changelog(jobs_seen, table, str(tmp_path / "checkpoint"), "scan_job_id", every=2)
+        return {r.scan_job_id: r.n for r in jobs.latest(table.all(jobs_seen.schema), "scan_job_id").collect()}
+
+    assert feed([("a", "PASSED"), ("b", "ERROR")]) == {"a": 1, "b": 1}
+    assert feed([("a", "ERROR"), ("a", "PASSED")]) == {"a": 3, "b": 1}
+    assert feed([("c", "ERROR")]) == {"a": 3, "b": 1, "c": 1}
+    assert (tmp_path / "table-gathered" / "batch=1").exists()
 
 
 def test_every_change_is_stored_however_batches_fall(spark, tmp_path):
