@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from cairn.functions import code, ids, sqltext
 from cairn.functions import text as tx
-from cairn.functions.code import let
+from cairn.operators import mentions
 from cairn.session import cut
 
 # Fixed values of the extractors.
@@ -137,54 +137,119 @@ def _unescaped(text: Column) -> Column:
     return text
 
 
-def _included(body: Column) -> Column:
-    """A mapper's text with each include of one of its ``<sql>`` fragments replaced by the fragment.
+# What stands for an include that can't be opened, and the condition it leaves.
+UNRESOLVED = ("UNRESOLVED", "unresolved-include:")
+CYCLIC = ("CYCLIC", "cyclic-include:")
+
+_FRAGMENT = "(?s)<sql\\b[^>]*?\\bid\\s*=\\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</sql>"
+_INCLUDE = "(?s)<include\\b[^>]*?/>|<include\\b[^>]*?>.*?</include>"
+
+
+def _attribute(element: Column, name: str) -> Column:
+    quoted = F.regexp_extract(element, f"(?s)\\b{name}\\s*=\\s*(\"[^\"]*\"|'[^']*')", 1)
+    return tx.strip(F.substr(quoted, F.lit(2), F.length(quoted) - 2))
 
-    Fragments may include others; after as many passes as there are fragments nothing is left to open.
-    """
-    fragment, include = "(?s)<sql\\b[^>]*?\\bid\\s*=\\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</sql>", "<include\\b[^>]*?\\brefid\\s*=\\s*[\"']([^\"']*)[\"'][^>]*?(?:/>|>\\s*</include>)"
-    names, texts = (F.regexp_extract_all(body, F.lit(fragment), F.lit(k)) for k in (1, 2))
 
-    def opened(known: Column) -> Column:
-        def once(text: Column, _: Column) -> Column:
-            wanted = F.regexp_extract_all(text, F.lit(include), F.lit(1))
-            put = F.transform(wanted, lambda w: F.coalesce(
-                F.try_element_at(known, w), F.try_element_at(known, F.substring_index(w, ".", -1)), F.lit(" ")))
-            return F.array_join(F.flatten(F.zip_with(F.split(text, include, -1), put, lambda t, p: F.array(t, F.coalesce(p, F.lit(""))))), "")
+def _pieces(text: Column) -> Column:
+    """What a text is made of, in order: plain parts, and includes with their reference and properties."""
+    def opened(element):
+        properties = F.transform(F.regexp_extract_all(element, F.lit("(<property\\b[^>]*>)"), F.lit(1)),
+                                 lambda p: F.struct(_attribute(p, "name").alias("name"), _attribute(p, "value").alias("value")))
+        return F.struct(F.lit("").alias("text"), _attribute(F.regexp_extract(element, "^<include\\b[^>]*", 0), "refid").alias("refid"), properties.alias("properties"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(F.map_keys(known))), body, once)
+    nothing = F.array().cast("array<struct<name:string,value:string>>")
+    plain = F.transform(F.split(text, _INCLUDE, -1), lambda t: F.struct(t.alias("text"), F.lit(None).cast("string").alias("refid"), nothing.alias("properties")))
+    includes = F.transform(F.regexp_extract_all(text, F.lit(f"({_INCLUDE})"), F.lit(1)), opened)
+    return F.filter(F.flatten(F.zip_with(plain, includes, lambda t, i: F.array(t, i))), lambda x: x.isNotNull())
 
-    first = F.filter(F.zip_with(names, texts, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda e: e["k"] != "")
-    return F.when(F.size(names) > 0, let(_first_of_each(first), opened)).otherwise(body)
 
+def _with_values(text: Column, properties: Column) -> Column:
+    """``${name}`` replaced by the values given with the includes, the innermost include first."""
+    return F.aggregate(F.reverse(F.flatten(F.transform(properties, F.reverse))), text, lambda t, p: F.replace(t, F.concat(F.lit("${"), p["name"], F.lit("}")), p["value"]))
 
-def _first_of_each(entries: Column) -> Column:
-    """Entries (k, v) as a map; of equal keys the first."""
-    numbered = let(entries, lambda es: F.filter(es, lambda e, i: F.array_position(F.transform(es, lambda x: x["k"]), e["k"]) == i + 1))
-    return F.map_from_entries(numbered)
+
+def opened_includes(blocks: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(file, at, block) of ``blocks`` with their includes replaced by ``fragments`` (file, name, text).
+
+    Only references travel: a round opens all includes of one depth by a join on file and name, and what they hold gets
+    its place behind theirs. The references on the way to an include are its guard: one that is among them leaves a
+    mark, as does one that no fragment has. The pieces of a block are put together once, so the work is that of the
+    opened text. Fragments of a file with the same name: the first counts, and ``fragments`` has it only.
+    """
+    guard, place = F.array().cast("array<string>"), F.array().cast("array<int>")
+    values = F.array().cast("array<array<struct<name:string,value:string>>>")
+    known = cut(fragments.select("file", "name", _pieces(F.col("text")).alias("inside")))
+    level = blocks.select("file", "namespace", "at", place.alias("place"), guard.alias("guard"), values.alias("given"), _pieces(F.col("block")).alias("inside"))
+    made = []
+    while True:
+        parts = cut(level.select("file", "namespace", "at", "place", "guard", "given", F.posexplode("inside").alias("n", "piece")).select(
+            "file", "namespace", "at", F.array_append("place", F.col("n")).alias("place"), "guard", "given", "piece.*"))
+        made.append(parts.where("refid IS NULL").select("file", "at", "place", _with_values(F.col("text"), F.col("given")).alias("text")))
+        asked = parts.where("refid IS NOT NULL")
+        if asked.isEmpty():
+            break
+        own = F.when(F.startswith("refid", F.concat("namespace", F.lit("."))), F.substr("refid", F.length("namespace") + 2)).otherwise(F.col("refid"))
+        found = cut(asked.withColumn("name", own).join(known, ["file", "name"], "left").withColumn("cyclic", F.array_contains("guard", F.col("name"))))
+        word = F.when(F.col("inside").isNull(), UNRESOLVED[0]).otherwise(CYCLIC[0])
+        made.append(found.where("inside IS NULL OR cyclic").select(
+            "file", "at", "place", F.concat(F.lit(" /* "), word, F.lit(" INCLUDE "), "refid", F.lit(" */ ")).alias("text")))
+        level = found.where("inside IS NOT NULL AND NOT cyclic").select(
+            "file", "namespace", "at", "place", F.array_append("guard", F.col("name")).alias("guard"),
+            F.array_append("given", F.col("properties")).alias("given"), "inside")
+    whole = reduce(DataFrame.unionByName, made).groupBy("file", "at").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("_t"))
+    return whole.select("file", "at", F.array_join(F.transform("_t", lambda t: t["text"]), "").alias("block"))
 
 
 def mapper_statements(files: DataFrame) -> DataFrame:
     """Statements of mapper XML files: id, command, operation, static SQL and the conditions of dynamic parts.
 
-    Plain includes of the file's own fragments are opened; what other files or parameters decide is not.
+    Includes of the file's own fragments are opened; one that can't be opened leaves a mark and a condition. What
+    parameters decide is not expanded.
     """
     xml = F.col("content")
     body = F.regexp_replace(F.regexp_replace(xml, "(?s)<!--.*?-->", ""), "(?s)<!DOCTYPE[^>\\[]*(?:\\[.*?\\]\\s*)?>", "")
-    body = let(body, _included)
-    namespace = tx.strip(F.regexp_extract(body, "<mapper\\b[^>]*?\\bnamespace\\s*=\\s*[\"']([^\"']*)", 1))
-    blocks = F.regexp_extract_all(body, F.lit("(?s)(<(select|insert|update|delete)\\b[^>]*>.*?</\\2>)"), F.lit(1))
-    rows = files.withColumns({"namespace": namespace}).select(
-        *[c for c in files.columns if c != "content"], "namespace", F.explode(blocks).alias("block"))
+    namespace = tx.strip(F.regexp_extract("body", "<mapper\\b[^>]*?\\bnamespace\\s*=\\s*[\"']([^\"']*)", 1))
+    keep = [c for c in files.columns if c != "content"]
+
+    def parse(some):
+        return some.select(*keep, F.md5("content").alias("file"), body.alias("body")).withColumn("namespace", namespace)
+
+    blocks = F.regexp_extract_all("body", F.lit("(?s)(<(select|insert|update|delete)\\b[^>]*>.*?</\\2>)"), F.lit(1))
+    shape = [*keep, "file", "namespace", F.posexplode(blocks).alias("at", "block")]
+    holds = F.contains("block", F.lit("<include"))
+    plain_rows = parse(files).select(*shape).where(~holds)
+
+    parsed = parse(files.where(F.contains("content", F.lit("<include"))))
+    rows = parsed.select(*shape).where(holds)
+    with_includes = rows.select("file", "namespace", "at", "block").dropDuplicates(["file", "at"])
+    names, texts = (F.regexp_extract_all("body", F.lit(_FRAGMENT), F.lit(k)) for k in (1, 2))
+    entries = F.posexplode(F.zip_with(names, texts, lambda k, v: F.struct(tx.strip(k).alias("name"), v.alias("text"))))
+    fragments = parsed.select("file", entries.alias("n", "e"))
+    first = fragments.groupBy("file", "e.name").agg(F.min_by("e.text", "n").alias("text"))
+    opened = opened_includes(with_includes, first)
+    full = rows.drop("block").join(opened, ["file", "at"]).select(*plain_rows.columns)
+    return _statement_columns(plain_rows.unionByName(full).drop("file", "at"))
+
+
+def _statement_columns(rows: DataFrame) -> DataFrame:
     b = F.col("block")
-    plain = F.regexp_replace(F.regexp_replace(b, "(?s)<!\\[CDATA\\[(.*?)\\]\\]>", "$1"), "(?s)</?(?:select|insert|update|delete|if|where|set|trim|foreach|choose|when|otherwise|include|bind|selectKey)\\b[^>]*>", " ")
+    plain = F.regexp_replace(F.regexp_replace(b, "(?s)<!\\[CDATA\\[(.*?)\\]\\]>", "$1"), "(?s)</?(?:select|insert|update|delete|if|where|set|trim|foreach|choose|when|otherwise|bind|selectKey)\\b[^>]*>", " ")
     plain = _unescaped(plain)
     command = F.upper(F.regexp_extract(b, "^<(\\w+)", 1))
-    quoted = F.regexp_extract_all(b, F.lit("<(?:if|when)\\b[^>]*?\\btest\\s*=\\s*(\"[^\"]*\"|'[^']*')"), F.lit(1))
-    conditions = F.transform(quoted, lambda q: _unescaped(F.substr(q, F.lit(2), F.length(q) - 2)))
+    test = "<(?:if|when)\\b[^>]*?\\btest\\s*=\\s*(?:\"[^\"]*\"|'[^']*')"
+    mark = f"/\\* (?:{UNRESOLVED[0]}|{CYCLIC[0]}) INCLUDE [^*]* \\*/"
+    told = F.regexp_extract_all(b, F.lit(f"({test}|{mark})"), F.lit(1))
+
+    def condition(t):
+        quoted = F.regexp_extract(t, "(\"[^\"]*\"|'[^']*')$", 1)
+        refid = F.regexp_extract(t, "INCLUDE ([^*]*) \\*/$", 1)
+        return F.when(F.startswith(t, F.lit("<")), _unescaped(F.substr(quoted, F.lit(2), F.length(quoted) - 2))).otherwise(
+            F.concat(F.when(F.contains(t, F.lit(UNRESOLVED[0])), UNRESOLVED[1]).otherwise(CYCLIC[1]), refid))
+
     out = rows.select(
         "*", tx.strip(F.regexp_extract(b, "^<\\w+[^>]*?\\bid\\s*=\\s*[\"']([^\"']*)", 1)).alias("statement_id"), command.alias("command"),
-        F.when(command == "SELECT", "READ").otherwise("WRITE").alias("operation"), sqltext.normalize(plain).alias("sql"), conditions.alias("conditions"))
+        F.when(command == "SELECT", "READ").otherwise("WRITE").alias("operation"), sqltext.normalize(plain).alias("sql"),
+        F.transform(told, condition).alias("conditions"))
     return out.where((F.col("statement_id") != "") & (F.col("namespace") != "")).drop("block")
 
 
@@ -294,25 +359,12 @@ def invalid_columns(used: DataFrame, allowed: DataFrame) -> DataFrame:
     return used.withColumn("_k", F.lower("column_name")).join(known, "_k", "left_anti").drop("_k")
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1)))
-
-
 def mentioned(messages: DataFrame, tools: DataFrame) -> DataFrame:
-    """Tools named in a message as whole words, one row per match.
-
-    A name occurs only where its first word does, so messages and tools meet on that word (an
-    equi-join of ids and words, without the texts). A name of several words is then verified in the
-    text of those candidates alone.
-    """
-    words = messages.select("message_id", F.explode(_words(F.col("text"))).alias("word"))
-    keyed = tools.withColumn("word", F.get(_words(F.col("tool")), 0))
-    candidates = words.join(keyed, "word").select("message_id", "tool", "priority", "id", (F.lower("tool") == F.col("word")).alias("_whole"))
-    pattern = F.concat(F.lit("(?<![a-z0-9_])\\Q"), F.lower("tool"), F.lit("\\E(?![a-z0-9_])"))
-    longer = candidates.where(~F.col("_whole")).join(messages.select("message_id", "text"), "message_id").where(
-        F.rlike(F.lower("text"), pattern))
-    columns = ["message_id", "tool", "priority", "id"]
-    return candidates.where("_whole").select(*columns).unionByName(longer.select(*columns))
+    """Tools named in a message as whole words, one row per match; a name may have any characters."""
+    named = tools.withColumn("name", F.lower(tx.strip(F.col("tool")))).where("name <> ''")
+    texts = messages.select(F.col("message_id").alias("id"), F.lower("text").alias("text"))
+    found = mentions.whole_word_mentions(texts, named.select("name").distinct()).withColumnRenamed("id", "message_id")
+    return found.join(named, "name").select("message_id", "tool", "priority", "id")
 
 
 def best_mention(messages: DataFrame, tools: DataFrame) -> DataFrame:
@@ -330,37 +382,50 @@ def _first(df: DataFrame, key: str, limit: int) -> DataFrame:
     return df.withColumn("_n", rank).where(F.col("_n") <= limit).drop("_n")
 
 
-def match_tables(prompts: DataFrame, tables: DataFrame, limit: int = MATCH_LIMIT) -> DataFrame:
-    """Tables a prompt is about, at most ``limit``: names in it as whole words, else names it merely contains.
+def match_tables(prompts: DataFrame, tables: DataFrame, limit: int = MATCH_LIMIT, hits: DataFrame | None = None) -> DataFrame:
+    """Tables a prompt is about, at most ``limit``, from the first of three ways that finds any.
 
-    Names are made of word characters, so a prompt contains one exactly if one of its words does. Both
-    ways are therefore joins on words; containment is decided once per distinct word, by meeting the
-    tables on the first characters of a name. Of the tables one name or one word leads to, a prompt
-    can show no more than ``limit``, so no more are carried.
+    Names in it as whole words; tables that a search for it named (``hits``: prompt_id, candidate, ordinal), by full or
+    simple name; names whose parts it contains. A name may have any characters. Of the tables that one name or one
+    token leads to, a prompt can show no more than ``limit``, so no more are carried.
     """
-    named = _first(tables.withColumn("simple", F.lower(sqltext.table_of(F.col("table_name")))), "simple", limit)
-    # Read three times below; written once, the texts are taken apart once.
-    words = cut(prompts.select("prompt_id", F.explode(_words(F.col("text"))).alias("word")))
-    exact = words.join(named.withColumnRenamed("simple", "word"), "word").select("prompt_id", "table_name", "ordinal").distinct()
-    exact = _first(exact, "prompt_id", limit)
+    named = cut(tables.withColumn("simple", F.lower(tx.strip(sqltext.table_of(F.col("table_name"))))).where("simple <> ''"))
+    few = _first(named, "simple", limit)
+    texts = prompts.select(F.col("prompt_id").alias("id"), F.lower("text").alias("text"))
+    exact = mentions.whole_word_mentions(texts, named.select(F.col("simple").alias("name")).distinct()).withColumnRenamed("name", "simple")
+    exact = cut(_first(exact.join(few, "simple").select(F.col("id").alias("prompt_id"), "table_name", "ordinal").distinct(), "prompt_id", limit))
+    done, out = exact.select("prompt_id").distinct(), exact.withColumn("kind", F.lit("word"))
+    if hits is not None:
+        searched = cut(_first(_available(hits.join(done, "prompt_id", "left_anti"), named), "prompt_id", limit))
+        out = out.unionByName(searched.withColumn("kind", F.lit("search")))
+        done = done.unionByName(searched.select("prompt_id").distinct())
 
     simple = F.col("simple")
     bare = F.replace(simple, F.lit("_"), F.lit(""))
     tokens = F.filter(F.split(simple, "_"), lambda t: (F.length(t) >= TOKEN_MIN) & ~t.isin(*sqltext.IGNORED_TABLE_TOKENS))
     names = F.concat(F.array(simple, bare, _singular(simple), _singular(bare)), tokens, F.transform(tokens, _singular))
-    parts = named.select("table_name", "ordinal", F.explode(F.array_distinct(F.filter(names, lambda n: n != ""))).alias("part"))
-    parts = parts.withColumn("gram", F.substring("part", 1, TOKEN_MIN))
-    rest = words.join(exact.select("prompt_id").distinct(), "prompt_id", "left_anti")
-
-    def grams(n):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1))), lambda i: F.substring("word", i, F.lit(n)))
-
-    every = F.array_distinct(F.concat(*[grams(n) for n in range(1, TOKEN_MIN + 1)]))
-    known = rest.select("word").distinct().select("word", F.explode(every).alias("gram"))
-    leads = known.join(parts, "gram").where(F.contains("word", F.col("part"))).select("word", "table_name", "ordinal").distinct()
-    loose = rest.join(_first(leads, "word", limit), "word").select("prompt_id", "table_name", "ordinal").distinct()
-    loose = _first(loose, "prompt_id", limit)
-    return exact.withColumn("kind", F.lit("word")).unionByName(loose.withColumn("kind", F.lit("contains")))
+    parts = few.select("table_name", "ordinal", F.explode(F.array_distinct(F.filter(names, lambda n: tx.strip(n) != ""))).alias("part"))
+    rest = cut(texts.join(done.withColumnRenamed("prompt_id", "id"), "id", "left_anti"))
+    held = mentions.contained(rest, parts.select("part").distinct())
+    over_several = F.rlike("part", F.lit("\\s"))
+    one, several = held.where(~over_several), held.where(over_several)
+    leads = one.select("token", "part").distinct().join(parts, "part").select("token", "table_name", "ordinal").distinct()
+    loose = one.select("id", "token").distinct().join(_first(leads, "token", limit), "token").unionByName(
+        several.join(parts, "part").select("id", "token", "table_name", "ordinal"))
+    loose = loose.select(F.col("id").alias("prompt_id"), "table_name", "ordinal").distinct()
+    return out.unionByName(_first(loose, "prompt_id", limit).withColumn("kind", F.lit("contains")))
+
+
+def _available(hits: DataFrame, named: DataFrame) -> DataFrame:
+    """(prompt_id, table_name, ordinal): for each candidate the first table of its full or simple name.
+
+    Where there are no tables to choose from, the candidates themselves.
+    """
+    if named.isEmpty():
+        return hits.groupBy("prompt_id", F.col("candidate").alias("table_name")).agg(F.min("ordinal").alias("ordinal")).where(tx.strip(F.col("table_name")) != "")
+    wanted = hits.withColumn("simple", F.lower(tx.strip(sqltext.table_of(F.col("candidate")))))
+    first = named.groupBy("simple").agg(F.min_by("table_name", F.struct("ordinal", "table_name")).alias("table_name"))
+    return wanted.join(first, "simple").groupBy("prompt_id", "table_name").agg(F.min("ordinal").alias("ordinal"))
 
 
 def reconcile(current: DataFrame, live: DataFrame) -> DataFrame:

@@ -294,14 +294,21 @@ def _mapper_files(spark, sf):
     xml = F.concat(
         F.lit('<?xml version="1.0"?>\n<!DOCTYPE mapper PUBLIC "a" "b">\n<mapper namespace="com.acme.O'), key, F.lit('Mapper">\n<select id="find'), key,
         F.lit('" resultType="R">\nSELECT id FROM app.orders <where><if test="cust != null">AND cust &lt; '), cust,
-        F.lit('</if></where>\n</select>\n<!-- <update id="no">x</update> -->\n<update id="touch">UPDATE app.orders SET total = 1</update>\n</mapper>'))
+        F.lit('</if></where>\n</select>\n<!-- <update id="no">x</update> -->\n<update id="touch">UPDATE app.orders SET total = 1</update>\n'),
+        F.when(F.col("o_orderstatus") == "P", F.concat(
+            F.lit('<sql id="cols">${a}.id, <include refid="more"><property name="b" value="note"/></include></sql><sql id="more">${a}.${b}_'), cust,
+            F.lit('<include refid="cols"/></sql>\n<select id="open">SELECT <include refid="com.acme.O'), key,
+            F.lit('Mapper.cols"><property value="o" name="a"/></include> FROM app.orders o <include refid="gone"/><if test="x">WHERE o.id = 1</if></select>\n'))).otherwise(""),
+        F.lit('</mapper>'))
     return lake.texts(spark, sf, "orders").select("o_orderkey", F.lit("p").alias("project_id"), F.concat(F.lit("doc:"), key).alias("source_key"),
                                                F.concat(F.lit("m/O"), key, F.lit(".xml")).alias("file_path"), xml.alias("content"))
 
 
 @query("c10_mapper_statements", """SELECT 'com.acme.O' || o_orderkey || 'Mapper' AS namespace, 'find' || o_orderkey AS statement_id, 'SELECT' AS command, 'READ' AS operation,
     'SELECT id FROM app.orders AND cust < ' || o_custkey AS sql, 'cust != null' AS conditions FROM orders
-    UNION ALL SELECT 'com.acme.O' || o_orderkey || 'Mapper', 'touch', 'UPDATE', 'WRITE', 'UPDATE app.orders SET total = 1', '' FROM orders""")
+    UNION ALL SELECT 'com.acme.O' || o_orderkey || 'Mapper', 'touch', 'UPDATE', 'WRITE', 'UPDATE app.orders SET total = 1', '' FROM orders
+    UNION ALL SELECT 'com.acme.O' || o_orderkey || 'Mapper', 'open', 'SELECT', 'READ', 'SELECT o.id, o.note_' || o_custkey
+      || ' /* CYCLIC INCLUDE cols */ FROM app.orders o /* UNRESOLVED INCLUDE gone */ WHERE o.id = 1', 'cyclic-include:cols;unresolved-include:gone;x' FROM orders WHERE o_orderstatus = 'P'""")
 def mapper_statements(spark, sf):
     return x.mapper_statements(_mapper_files(spark, sf)).select(
         "namespace", "statement_id", "command", "operation", "sql", F.array_join("conditions", ";").alias("conditions"))
@@ -311,7 +318,10 @@ def mapper_statements(spark, sf):
     'MyBatis Mapper: com.acme.O' || o_orderkey || 'Mapper' || chr(10) || 'Statement: find' || o_orderkey || chr(10) || 'Command: SELECT' || chr(10) || 'SQL Template:' || chr(10)
     || 'SELECT id FROM app.orders AND cust < ' || o_custkey || chr(10) || 'Dynamic Conditions:' || chr(10) || '- cust != null' AS content FROM orders
     UNION ALL SELECT 'doc:' || o_orderkey || ':statement:touch', 'com.acme.O' || o_orderkey || 'Mapper.touch', 'MyBatis Mapper: com.acme.O' || o_orderkey || 'Mapper' || chr(10)
-    || 'Statement: touch' || chr(10) || 'Command: UPDATE' || chr(10) || 'SQL Template:' || chr(10) || 'UPDATE app.orders SET total = 1' FROM orders""")
+    || 'Statement: touch' || chr(10) || 'Command: UPDATE' || chr(10) || 'SQL Template:' || chr(10) || 'UPDATE app.orders SET total = 1' FROM orders
+    UNION ALL SELECT 'doc:' || o_orderkey || ':statement:open', 'com.acme.O' || o_orderkey || 'Mapper.open', 'MyBatis Mapper: com.acme.O' || o_orderkey || 'Mapper' || chr(10)
+    || 'Statement: open' || chr(10) || 'Command: SELECT' || chr(10) || 'SQL Template:' || chr(10) || 'SELECT o.id, o.note_' || o_custkey || ' /* CYCLIC INCLUDE cols */ FROM app.orders o /* UNRESOLVED INCLUDE gone */ WHERE o.id = 1'
+    || chr(10) || 'Dynamic Conditions:' || chr(10) || '- cyclic-include:cols' || chr(10) || '- unresolved-include:gone' || chr(10) || '- x' FROM orders WHERE o_orderstatus = 'P'""")
 def statement_chunks(spark, sf):
     st = x.mapper_statements(_mapper_files(spark, sf)).withColumn("variants", F.array("sql"))
     return ch.statement_chunks(st).select("chunk_id", "symbol", "content")
@@ -473,68 +483,92 @@ def clean_identifiers(spark, sf):
         sqltext.clean_column(F.concat(F.lit("* \"x.c_"), key, F.lit("\" : bigint"))).alias("column_name"))
 
 
-def _vocabulary(spark, sf, minimum):
-    """Distinct longer words of the benchmark items."""
+def _vocabulary(spark, sf):
+    """Distinct words of the benchmark items, of any script."""
     b = lake.raw(spark, sf, "benchmark")
-    words = b.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).distinct()
-    return words.where(F.length("w") >= minimum)
+    return b.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1))).alias("w")).distinct()
 
 
-_VOCAB = """vocab AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '([a-z]+)', 1)) AS w FROM benchmark) WHERE length(w) >= {n}),
-prompt AS (SELECT doc_id AS id, lower(text) AS t, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) AS ws FROM documents)"""
+_VOCAB = r"""vocab AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1)) AS w FROM benchmark)),
+plain AS (SELECT w FROM vocab WHERE regexp_full_match(w, '[a-z0-9_]+')), wide AS (SELECT w FROM vocab WHERE NOT regexp_full_match(w, '[a-z0-9_]+')),
+prompt AS (SELECT doc_id AS id, lower(text) AS t, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) AS ws FROM documents),
+hit AS (SELECT id, w FROM (SELECT id, unnest(ws) AS w FROM prompt) SEMI JOIN plain USING (w)
+  UNION ALL SELECT id, w FROM prompt JOIN wide ON contains(t, w) WHERE regexp_matches(t, '(^|[^a-z0-9_])' || w || '($|[^a-z0-9_])'))"""
 
 
-@query("j22_tool_mentions", f"""WITH {_VOCAB.format(n=6)}, hit AS (SELECT id, w FROM (SELECT id, unnest(ws) AS w FROM prompt) SEMI JOIN vocab USING (w))
+@query("j22_tool_mentions", f"""WITH {_VOCAB}
     SELECT id AS message_id, arg_min(w, (-length(w), w)) AS tool FROM hit GROUP BY 1""")
 def tool_mentions(spark, sf):
     messages = lake.texts(spark, sf, "documents").select(F.col("doc_id").alias("message_id"), "text")
-    tools = _vocabulary(spark, sf, 6).select(F.col("w").alias("id"), F.col("w").alias("tool"), F.length("w").alias("priority"))
+    tools = _vocabulary(spark, sf).select(F.col("w").alias("id"), F.col("w").alias("tool"), F.length("w").alias("priority"))
     return x.best_mention(messages, tools)
 
 
-@query("j18_prompt_tables", f"""WITH {_VOCAB.format(n=9)},
-    exact AS (SELECT id, w FROM (SELECT id, unnest(ws) AS w FROM prompt) SEMI JOIN vocab USING (w)),
-    loose AS (SELECT id, w FROM prompt JOIN vocab ON contains(t, w) OR (w LIKE '%s' AND contains(t, substr(w, 1, length(w) - 1))) WHERE id NOT IN (SELECT id FROM exact))
-    SELECT id AS prompt_id, 'app.' || w AS table_name, kind FROM (SELECT *, 'word' AS kind FROM exact UNION ALL SELECT *, 'contains' FROM loose)
+@query("j18_prompt_tables", f"""WITH {_VOCAB},
+    loose AS (SELECT id, w FROM prompt JOIN vocab ON contains(t, w) OR (length(w) > 3 AND w LIKE '%s' AND contains(t, substr(w, 1, length(w) - 1))) WHERE id NOT IN (SELECT id FROM hit))
+    SELECT id AS prompt_id, 'app.' || w AS table_name, kind FROM (SELECT *, 'word' AS kind FROM hit UNION ALL SELECT *, 'contains' FROM loose)
     QUALIFY row_number() OVER (PARTITION BY id ORDER BY w) <= 3""")
 def prompt_tables(spark, sf):
     prompts = lake.texts(spark, sf, "documents").select(F.col("doc_id").alias("prompt_id"), "text")
-    tables = _vocabulary(spark, sf, 9).select(F.concat(F.lit("app."), "w").alias("table_name"), F.col("w").alias("ordinal"))
+    tables = _vocabulary(spark, sf).select(F.concat(F.lit("app."), "w").alias("table_name"), F.col("w").alias("ordinal"))
     return x.match_tables(prompts, tables).select("prompt_id", "table_name", "kind")
 
 
+@query("j18_searched_tables", """WITH t AS (SELECT n_nationkey, 'app.' || n_name AS table_name, lower(n_name) AS simple FROM nation), d AS (SELECT doc_id, lower(text) AS t FROM documents),
+    hit AS (SELECT doc_id, n_nationkey, table_name FROM d JOIN t ON regexp_matches(d.t, '(^|[^a-z0-9_])' || simple || '($|[^a-z0-9_])'))
+    SELECT doc_id AS prompt_id, table_name, 'word' AS kind FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_nationkey) <= 3
+    UNION ALL SELECT doc_id, table_name, 'search' FROM documents JOIN t ON n_nationkey IN (n_chars % 25, doc_id % 25) WHERE doc_id NOT IN (SELECT doc_id FROM hit)""")
+def searched_tables(spark, sf):
+    """A search named two tables for every document, under another schema, and one that isn't there."""
+    d = lake.texts(spark, sf, "documents")
+    tables = lake.raw(spark, sf, "nation").select(F.concat(F.lit("app."), "n_name").alias("table_name"), F.col("n_nationkey").alias("ordinal"))
+    named = tables.select(F.col("ordinal").alias("k"), F.concat(F.lit(" OTHER."), F.substring_index("table_name", ".", -1)).alias("candidate"))
+    asked = d.select(F.col("doc_id").alias("prompt_id"), F.explode(F.array(F.col("n_chars") % 25, F.col("doc_id") % 25, F.lit(99).cast("long"))).alias("k"))
+    hits = asked.join(named, "k", "left").select("prompt_id", F.coalesce("candidate", F.lit("no_such")).alias("candidate"), F.col("k").alias("ordinal"))
+    return x.match_tables(d.select(F.col("doc_id").alias("prompt_id"), "text"), tables, hits=hits).select("prompt_id", "table_name", "kind")
+
+
 def _capabilities(spark, sf):
+    """Tools of parts and of customers; every line item and every order lists one, and customers without orders none."""
+    cap, tool = F.lit("cap"), F.lit("tool_")
     current = lake.raw(spark, sf, "part").select(
-        F.concat(F.lit("cap"), _s("p_partkey")).alias("capability_id"), F.concat(F.lit("tool_"), _s("p_partkey")).alias("tool"))
-    returned = lake.raw(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'O' AND l_quantity > 45")
-    live = returned.select(F.concat(F.lit(" tool_"), _s("l_partkey")).alias("tool")).unionByName(
+        F.concat(cap, _s("p_partkey")).alias("capability_id"), F.concat(tool, _s("p_partkey")).alias("tool")).unionByName(
+        lake.raw(spark, sf, "customer").select(
+            F.concat(F.lit("capc"), _s("c_custkey")).alias("capability_id"), F.concat(F.lit("client_"), _s("c_custkey")).alias("tool")))
+    live = lake.raw(spark, sf, "lineitem").select(F.concat(F.lit(" tool_"), _s("l_partkey")).alias("tool")).unionByName(
+        lake.raw(spark, sf, "orders").select(F.concat(F.lit("client_"), _s("o_custkey"), F.lit(" ")).alias("tool"))).unionByName(
         lake.raw(spark, sf, "supplier").select(F.concat(F.lit("Vendor Tool-"), _s("s_suppkey")).alias("tool")))
     return current, live
 
 
-_LIVE = "live AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O' AND l_quantity > 45)"
-
-
-@query("j21_catalog_reconcile", f"""WITH {_LIVE} SELECT 'cap' || p_partkey AS capability_id, 'tool_' || p_partkey AS tool,
-    CASE WHEN p_partkey IN (SELECT l_partkey FROM live) THEN 'retained' ELSE 'removed' END AS action FROM part
+@query("j21_catalog_reconcile", """SELECT 'cap' || p_partkey AS capability_id, 'tool_' || p_partkey AS tool,
+    CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem) THEN 'retained' ELSE 'removed' END AS action FROM part
+    UNION ALL SELECT 'capc' || c_custkey, 'client_' || c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'retained' ELSE 'removed' END FROM customer
     UNION ALL SELECT 'auto.vendor.tool.' || s_suppkey, 'Vendor Tool-' || s_suppkey, 'added' FROM supplier""")
 def catalog_reconcile(spark, sf):
     return x.reconcile(*_capabilities(spark, sf))
 
 
-@query("j21_living_references", f"""WITH {_LIVE} SELECT DISTINCT 'cap' || a.l_partkey AS capability_id, 'cap' || a.l_suppkey AS reference_id FROM lineitem a
-    WHERE a.l_partkey IN (SELECT l_partkey FROM live) AND a.l_suppkey IN (SELECT l_partkey FROM live)""")
+@query("j21_living_references", """SELECT DISTINCT 'cap' || l_partkey AS capability_id, 'capc' || o_custkey AS reference_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    WHERE l_partkey IN (SELECT p_partkey FROM part) AND o_custkey IN (SELECT c_custkey FROM customer)
+    UNION SELECT 'capc' || c_custkey, 'capc' || (c_custkey + 1) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
+      AND c_custkey + 1 IN (SELECT o_custkey FROM orders) AND c_custkey + 1 IN (SELECT c_custkey FROM customer)""")
 def living_references(spark, sf):
-    references = lake.raw(spark, sf, "lineitem").select(
-        F.concat(F.lit("cap"), _s("l_partkey")).alias("capability_id"), F.concat(F.lit("cap"), _s("l_suppkey")).alias("reference_id")).distinct()
-    return x.living_references(references, x.reconcile(*_capabilities(spark, sf)))
-
-
-@query("j23_rule_evidence", f"""WITH d AS (SELECT conv_id * 1000000 + turn AS id, text AS doc, 'generation-rag' AS source_key FROM conversations WHERE role = 'assistant' AND trim(text) <> ''
-      UNION ALL SELECT conv_id * 1000000 + turn, 'Rule [source: conv' || conv_id || ' ] body' || chr(10) || text, 'conv' || conv_id FROM conversations WHERE role = 'assistant')
+    """References of parts to the customers who ordered them, and of each customer to the next one."""
+    lines, orders = lake.raw(spark, sf, "lineitem"), lake.raw(spark, sf, "orders")
+    bought = lines.select("l_orderkey", "l_partkey").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    references = bought.select(
+        F.concat(F.lit("cap"), _s("l_partkey")).alias("capability_id"), F.concat(F.lit("capc"), _s("o_custkey")).alias("reference_id")).unionByName(
+        lake.raw(spark, sf, "customer").select(
+            F.concat(F.lit("capc"), _s("c_custkey")).alias("capability_id"), F.concat(F.lit("capc"), (F.col("c_custkey") + 1).cast("string")).alias("reference_id")))
+    return x.living_references(references.distinct(), x.reconcile(*_capabilities(spark, sf)))
+
+
+@query("j23_rule_evidence", f"""WITH d AS (SELECT conv_id * 1000000 + turn AS id, text AS doc, 'generation-rag' AS source_key FROM conversations WHERE trim(text) <> ''
+      UNION ALL SELECT conv_id * 1000000 + turn, 'Rule [source: conv' || conv_id || ' ] body' || chr(10) || text, 'conv' || conv_id FROM conversations)
     SELECT 'generation:' || id AS src, 'rule:p:' || {_uuid_sql('doc')} AS dst, substr(string_split_regex(trim(doc, chr(10) || chr(13) || chr(9) || ' '), '\\r\\n|[\\n\\r]')[1], 1, 160) AS name, source_key FROM d""")
 def rule_evidence(spark, sf):
-    c = lake.raw(spark, sf, "conversations").where("role = 'assistant'")
+    c = lake.raw(spark, sf, "conversations")
     marked = F.concat(F.lit("Rule [source: conv"), _s("conv_id"), F.lit(" ] body\n"), F.col("text"))
     history = c.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("id"), F.lit("p").alias("project_id"),
                        F.to_json(F.array("text", marked, F.lit(" "))).alias("rag_documents"))

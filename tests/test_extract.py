@@ -1,4 +1,5 @@
 from cairn.operators import extract as x
+from cairn.operators import mentions
 
 
 def test_mapper_statements(spark):
@@ -49,6 +50,39 @@ def test_tool_mentions(spark):
     assert {r.message_id: r.tool for r in x.best_mention(messages, tools).collect()} == {1: "scan_source", 3: "my-tool v2"}
 
 
+NAMES = ["app.order$items", "검색", "주문", "user", "my tool v2", "$$", "a", "über", "the", "the user", "검색 도구", "x\\Ey"]
+TEXTS = ["app.order$items!", "myapp.order$items", "지금 검색해", "x주문 주문y", "the 주문, the", "user_s user", "my tool  v2", "my tool v2.", "use $$ now", "a$$b", "naïve a", "überall über",
+         "the users", "the user", "새 검색 도구로", "검색  도구", "x\\Ey", "", None]
+
+
+def test_names_of_any_characters(spark):
+    import re
+
+    messages = spark.createDataFrame(list(enumerate(TEXTS)), "message_id int, text string")
+    tools = spark.createDataFrame([(n, 1, n) for n in NAMES], "tool string, priority int, id string")
+    got = sorted((r.message_id, r.tool) for r in x.mentioned(messages, tools).collect())
+    want = sorted((i, n) for i, t in enumerate(TEXTS) for n in NAMES
+                  if t is not None and re.search(rf"(?<![A-Za-z0-9_]){re.escape(n.lower())}(?![A-Za-z0-9_])", t.lower()))
+    assert got == want and (2, "검색") in got and (0, "app.order$items") in got and (14, "검색 도구") in got
+
+
+def test_parts_that_texts_contain(spark):
+    texts = spark.createDataFrame([(i, (t or "").lower()) for i, t in enumerate(TEXTS)], "id int, text string")
+    parts = spark.createDataFrame([(n,) for n in NAMES], "part string")
+    got = {(r.id, r.part) for r in mentions.contained(texts, parts).collect()}
+    assert got == {(i, n) for i, t in enumerate(TEXTS) for n in NAMES if n in (t or "").lower()}
+
+
+def test_tables_that_a_search_names(spark):
+    prompts = spark.createDataFrame([(1, "app.users now"), (2, "something else"), (3, "superusers"), (4, "모든 주문내역")], "prompt_id int, text string")
+    tables = spark.createDataFrame([("app.users", 1), ("app.orders", 2), ("old.orders", 3), ("app.주문", 4)], "table_name string, ordinal int")
+    hits = spark.createDataFrame([(1, "orders", 0), (2, " X.ORDERS", 0), (2, "nowhere", 1), (2, "users", 2)], "prompt_id int, candidate string, ordinal int")
+    got = sorted((r.prompt_id, r.table_name, r.kind) for r in x.match_tables(prompts, tables, hits=hits).collect())
+    assert got == [(1, "app.users", "word"), (2, "app.orders", "search"), (2, "app.users", "search"), (3, "app.users", "contains"), (4, "app.주문", "word")]
+    none = x.match_tables(prompts, tables.limit(0), hits=hits).collect()
+    assert sorted((r.prompt_id, r.table_name) for r in none) == [(1, "orders"), (2, " X.ORDERS"), (2, "nowhere"), (2, "users")]
+
+
 def test_names_and_references(spark):
     refs = spark.createDataFrame([("A.java", "p", "type:p:com.A", "com", n, "USES") for n in ("UserDto", "List", "java.io.File", "B", "A")],
                                  "file_path string, project_id string, type_uid string, package_name string, ref_name string, kind string")
@@ -90,4 +124,30 @@ def test_mapper_includes_quotes_and_entities(spark):
     </mapper>"""
     rows = {r.statement_id: r for r in x.mapper_statements(spark.createDataFrame([("p", xml)], "project_id string, content string")).collect()}
     assert rows["a"].sql == "SELECT id, name FROM app.users WHERE k = 1" and rows["a"].conditions == ['a < 2 && b == "x"']
-    assert rows["b"].sql == "SELECT name FROM t"
+    assert rows["b"].sql == "SELECT name FROM /* UNRESOLVED INCLUDE elsewhere */ t" and rows["b"].conditions == ["unresolved-include:elsewhere"]
+
+
+def test_includes_that_cannot_be_opened_leave_a_mark(spark):
+    many = "".join(f'<sql id="f{i}">x{i} <include refid="f{i}"/> <include refid="f{i}"/></sql>' for i in range(40))
+    chain = "".join(f'<sql id="c{i}">{i} <include refid="c{i + 1}"/></sql>' for i in range(12))
+    xml = f"""<mapper namespace="n.M">{many}{chain}<sql id="c12">end</sql><sql id="c12">second</sql>
+      <select id="loop">SELECT <include refid="f3"/><if test="a">AND b</if> <include refid="other.M.f1"/></select>
+      <select id="chain">SELECT <include refid="c0"/></select></mapper>"""
+    # Rows of the same content, and one file's fragments are no other file's.
+    other = '<mapper namespace="n.N"><select id="far">SELECT <include refid="c12"/></select></mapper>'
+    files = spark.createDataFrame([("p", xml), ("q", xml), ("r", other)], "project_id string, content string")
+    rows = {(r.project_id, r.statement_id): r for r in x.mapper_statements(files).collect()}
+    assert len(rows) == 5
+    loop = rows["q", "loop"]
+    assert loop.sql == "SELECT x3 /* CYCLIC INCLUDE f3 */ /* CYCLIC INCLUDE f3 */ AND b /* UNRESOLVED INCLUDE other.M.f1 */"
+    assert loop.conditions == ["cyclic-include:f3", "cyclic-include:f3", "a", "unresolved-include:other.M.f1"]
+    assert rows["p", "chain"].sql == "SELECT " + " ".join(map(str, range(12))) + " end"
+    assert rows["r", "far"].conditions == ["unresolved-include:c12"]
+
+
+def test_properties_are_put_into_included_fragments(spark):
+    xml = """<mapper namespace="n.M"><sql id="outer">${t}.id, <include refid="inner"><property name="c" value="${t}.name"/><property name="t" value="z"/></include></sql>
+      <sql id="inner">${c} AS ${t}<if test="${t} != null">!</if></sql>
+      <select id="a">SELECT <include refid="outer"><property value='u' name='t'/></include> FROM ${left}</select></mapper>"""
+    row = x.mapper_statements(spark.createDataFrame([("p", xml)], "project_id string, content string")).first()
+    assert row.sql == "SELECT u.id, z.name AS z ! FROM ${left}" and row.conditions == ["z != null"]
