@@ -68,20 +68,25 @@ def whole_word_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     ``names`` (name) are distinct, in lower case, stripped and not empty; they may have any characters.
     """
     pattern = F.concat(F.lit(f"(?<!{WORD})\\Q"), F.replace("name", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?!{WORD})"))
+    one_word = F.rlike("name", F.lit(f"^{WORD}+$"))
     words = cut(texts.select("id", F.explode(_words(F.col("text"))).alias("word")))
-    candidates = words.join(_rarest_words(words, names), "word")
-    whole = candidates.where(F.col("word") == F.col("name")).select("id", "name")
-    longer = candidates.where(F.col("word") != F.col("name")).select("id", "name")
+    whole = words.join(names.where(one_word).withColumnRenamed("name", "word"), "word").select("id", F.col("word").alias("name"))
 
-    # Names without a word of their own: of other scripts, or of punctuation.
-    wordless = names.where(~F.rlike("name", F.lit(WORD))).withColumn("part", _longest_part(F.col("name")))
+    # Other names without white space lie within one token, which has more than letters and digits.
     odd = cut(texts.select("id", F.explode(F.filter(_tokens(F.col("text")), lambda t: F.rlike(t, F.lit("[^a-z0-9_]")))).alias("token")))
-    held = holders(odd, wordless.select("part").distinct()).join(wordless, "part")
-    short = held.where(_one_part(F.col("name")) & F.rlike("token", pattern)).select("token", "name").distinct()
-    in_token = odd.join(short, "token").select("id", "name")
-    longer = longer.unionByName(odd.join(held.where(~_one_part(F.col("name"))).select("token", "name"), "token").select("id", "name"))
+    spread = ~_one_part(F.col("name"))
+    single = names.where(~one_word & ~spread)
+    wordless = names.where(spread & ~F.rlike("name", F.lit(WORD))).withColumn("part", _longest_part(F.col("name")))
+    parts = single.select(F.col("name").alias("part")).unionByName(wordless.select("part")).distinct()
+    held = cut(holders(odd, parts))
+    sure = held.withColumnRenamed("part", "name").join(single, "name", "left_semi").where(F.rlike("token", pattern))
+    in_token = odd.join(sure, "token").select("id", "name").distinct()
+
+    # Names of several tokens are looked for by their rarest word, or by their longest part, and found in the text.
+    longer = words.join(_rarest_words(words, names.where(spread)), "word").select("id", "name").unionByName(
+        odd.join(held.join(wordless, "part").select("token", "name"), "token").select("id", "name"))
     verified = longer.distinct().join(texts, "id").where(F.rlike("text", pattern)).select("id", "name")
-    return whole.unionByName(in_token.distinct()).unionByName(verified)
+    return whole.unionByName(in_token).unionByName(verified)
 
 
 def contained(texts: DataFrame, parts: DataFrame) -> DataFrame:

@@ -295,7 +295,7 @@ def _mapper_files(spark, sf):
         F.lit('<?xml version="1.0"?>\n<!DOCTYPE mapper PUBLIC "a" "b">\n<mapper namespace="com.acme.O'), key, F.lit('Mapper">\n<select id="find'), key,
         F.lit('" resultType="R">\nSELECT id FROM app.orders <where><if test="cust != null">AND cust &lt; '), cust,
         F.lit('</if></where>\n</select>\n<!-- <update id="no">x</update> -->\n<update id="touch">UPDATE app.orders SET total = 1</update>\n'),
-        F.when(F.col("o_orderstatus") == "P", F.concat(
+        F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"), F.concat(
             F.lit('<sql id="cols">${a}.id, <include refid="more"><property name="b" value="note"/></include></sql><sql id="more">${a}.${b}_'), cust,
             F.lit('<include refid="cols"/></sql>\n<select id="open">SELECT <include refid="com.acme.O'), key,
             F.lit('Mapper.cols"><property value="o" name="a"/></include> FROM app.orders o <include refid="gone"/><if test="x">WHERE o.id = 1</if></select>\n'))).otherwise(""),
@@ -308,7 +308,7 @@ def _mapper_files(spark, sf):
     'SELECT id FROM app.orders AND cust < ' || o_custkey AS sql, 'cust != null' AS conditions FROM orders
     UNION ALL SELECT 'com.acme.O' || o_orderkey || 'Mapper', 'touch', 'UPDATE', 'WRITE', 'UPDATE app.orders SET total = 1', '' FROM orders
     UNION ALL SELECT 'com.acme.O' || o_orderkey || 'Mapper', 'open', 'SELECT', 'READ', 'SELECT o.id, o.note_' || o_custkey
-      || ' /* CYCLIC INCLUDE cols */ FROM app.orders o /* UNRESOLVED INCLUDE gone */ WHERE o.id = 1', 'cyclic-include:cols;unresolved-include:gone;x' FROM orders WHERE o_orderstatus = 'P'""")
+      || ' /* CYCLIC INCLUDE cols */ FROM app.orders o /* UNRESOLVED INCLUDE gone */ WHERE o.id = 1', 'cyclic-include:cols;unresolved-include:gone;x' FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'""")
 def mapper_statements(spark, sf):
     return x.mapper_statements(_mapper_files(spark, sf)).select(
         "namespace", "statement_id", "command", "operation", "sql", F.array_join("conditions", ";").alias("conditions"))
@@ -321,7 +321,7 @@ def mapper_statements(spark, sf):
     || 'Statement: touch' || chr(10) || 'Command: UPDATE' || chr(10) || 'SQL Template:' || chr(10) || 'UPDATE app.orders SET total = 1' FROM orders
     UNION ALL SELECT 'doc:' || o_orderkey || ':statement:open', 'com.acme.O' || o_orderkey || 'Mapper.open', 'MyBatis Mapper: com.acme.O' || o_orderkey || 'Mapper' || chr(10)
     || 'Statement: open' || chr(10) || 'Command: SELECT' || chr(10) || 'SQL Template:' || chr(10) || 'SELECT o.id, o.note_' || o_custkey || ' /* CYCLIC INCLUDE cols */ FROM app.orders o /* UNRESOLVED INCLUDE gone */ WHERE o.id = 1'
-    || chr(10) || 'Dynamic Conditions:' || chr(10) || '- cyclic-include:cols' || chr(10) || '- unresolved-include:gone' || chr(10) || '- x' FROM orders WHERE o_orderstatus = 'P'""")
+    || chr(10) || 'Dynamic Conditions:' || chr(10) || '- cyclic-include:cols' || chr(10) || '- unresolved-include:gone' || chr(10) || '- x' FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'""")
 def statement_chunks(spark, sf):
     st = x.mapper_statements(_mapper_files(spark, sf)).withColumn("variants", F.array("sql"))
     return ch.statement_chunks(st).select("chunk_id", "symbol", "content")

@@ -403,29 +403,43 @@ _GONE = "gone AS (SELECT DISTINCT 'ship:' || year(l_shipdate) AS graph_key FROM
     n2 AS (SELECT * FROM n1 WHERE label <> 'Package' OR uid IN (SELECT src FROM e1 WHERE type = 'CONTAINS' AND dst IN (SELECT uid FROM n1 WHERE label = 'JavaType')))
     SELECT uid, label FROM n2""", GRAPH))
 def graph_delete(spark, sf):
-    return _after_deletion(spark, sf).nodes().select("uid", "label")
+    kept, _ = g.delete_graph(*_graph(spark, sf), _gone_keys(spark, sf), containment=(("Package", "JavaType"),))
+    return kept.select("uid", "label")
 
 
-def _after_deletion(spark, sf):
-    """A store of the graph that two sorts of keys were deleted from."""
-    store = _store(spark, *_graph(spark, sf))
+def _gone_keys(spark, sf):
     ships = lake.raw(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y")).where("y < 1999").distinct().select(
         F.concat(F.lit("ship:"), F.col("y").cast("string")).alias("graph_key"))
     nations = lake.raw(spark, sf, "nation").where("n_regionkey < 2").select(
         F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("graph_key"))
-    store.delete(ships.unionByName(nations), containment=(("Package", "JavaType"),))
-    return store
+    return ships.unionByName(nations)
 
 
-@query("g6_orphan_cascade", with_tables(
-    f"""{_GONE}, e1 AS (SELECT DISTINCT src, dst, type, graph_key FROM edge WHERE graph_key NOT IN (SELECT graph_key FROM gone)
+_LEFT = f"""{_GONE}, e1 AS (SELECT DISTINCT src, dst, type, graph_key FROM edge WHERE graph_key NOT IN (SELECT graph_key FROM gone)
       AND src IN (SELECT uid FROM node) AND dst IN (SELECT uid FROM node)),
     n1 AS (SELECT * FROM node n WHERE label NOT IN ('JavaType', 'Method', 'DatabaseTable', 'SqlStatement') OR uid IN (SELECT src FROM e1 UNION SELECT dst FROM e1)),
-    n2 AS (SELECT * FROM n1 WHERE label <> 'Package' OR uid IN (SELECT src FROM e1 WHERE type = 'CONTAINS' AND dst IN (SELECT uid FROM n1 WHERE label = 'JavaType')))
+    n2 AS (SELECT * FROM n1 WHERE label <> 'Package' OR uid IN (SELECT src FROM e1 WHERE type = 'CONTAINS' AND dst IN (SELECT uid FROM n1 WHERE label = 'JavaType')))"""
+
+
+@query("d8_stored_delete", with_tables(
+    f"""{_LEFT} SELECT 'node' AS kind, label AS name, count(*) AS n FROM n2 GROUP BY 2
+    UNION ALL SELECT 'edge', type, count(*) FROM e1 WHERE src NOT IN (SELECT uid FROM n1 WHERE uid NOT IN (SELECT uid FROM n2))
+      AND dst NOT IN (SELECT uid FROM n1 WHERE uid NOT IN (SELECT uid FROM n2)) GROUP BY 2""", GRAPH))
+def stored_delete(spark, sf):
+    """The same deletion from a stored graph: buckets of the keys are rewritten, orphans looked for among touched nodes."""
+    store = _store(spark, *_graph(spark, sf))
+    store.delete(_gone_keys(spark, sf), containment=(("Package", "JavaType"),))
+    nodes = store.nodes().groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return nodes.unionByName(store.edges().groupBy(F.lit("edge").alias("kind"), F.col("type").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("g6_orphan_cascade", with_tables(
+    f"""{_LEFT.replace("AND src IN (SELECT uid FROM node) AND dst IN (SELECT uid FROM node)", "").replace("SELECT DISTINCT src, dst, type, graph_key", "SELECT *")}
     SELECT type, graph_key, count(*) AS edge_count FROM e1 WHERE src NOT IN (SELECT uid FROM n1 WHERE uid NOT IN (SELECT uid FROM n2))
     AND dst NOT IN (SELECT uid FROM n1 WHERE uid NOT IN (SELECT uid FROM n2)) GROUP BY ALL""", GRAPH))
 def orphan_cascade(spark, sf):
-    return _after_deletion(spark, sf).edges().groupBy("type", "graph_key").agg(F.count(F.lit(1)).alias("edge_count"))
+    _, left = g.delete_graph(*_graph(spark, sf), _gone_keys(spark, sf), containment=(("Package", "JavaType"),))
+    return left.groupBy("type", "graph_key").agg(F.count(F.lit(1)).alias("edge_count"))
 
 
 _WALK = """seed AS (SELECT uid FROM node WHERE label = 'JavaType' AND name LIKE 'Base%' ORDER BY uid LIMIT 100),

@@ -15,7 +15,7 @@ from cairn.sources import lake
 from cairn.sources.batches import BatchTable
 from cairn.sources.hash_index import HashIndex
 from cairn.streaming import jobs
-from cairn.streaming.keyed import ExecutionState, LastCheck, Progress
+from cairn.streaming.keyed import ExecutionState
 
 #: How long after its last event a key's state is kept, in milliseconds.
 _WEEK = 7 * 24 * 3600 * 1000
@@ -74,8 +74,9 @@ def inbox_chunks(spark, sf):
 def scan_progress(spark, sf):
     outcomes = lake.scan_results(_Streamed(spark, "events"), sf).select("scan_job_id", F.col("created_at").alias("ts"), "status")
     table, checkpoint = _place(spark, "progress")
-    schema = jobs.keyed_log(outcomes, "scan_job_id", Progress(_WEEK), table, checkpoint, "1 day")
-    return jobs.latest(table.all(schema), "scan_job_id")
+    counted = jobs.progress_counters(outcomes, "7 days", "1 day")
+    jobs.changelog(counted, table, checkpoint, "scan_job_id", "span")
+    return jobs.progress(table.all(counted.schema))
 
 
 def _executions(spark, sf):
@@ -111,8 +112,9 @@ def health_snapshot(spark, sf):
 
     checks = health_events(_Streamed(spark, "events"), sf).withColumn("id", F.col("user_id").cast("string"))
     table, checkpoint = _place(spark, "health")
-    schema = jobs.keyed_log(checks.select("id", "ts", "event_id", "status", "critical"), "id", LastCheck(_WEEK), table, checkpoint, "1 day")
-    return health_rollup(jobs.latest(table.all(schema), "id"))
+    newest = jobs.last_checks(checks.select("id", "ts", "event_id", "status", "critical"), "7 days", "1 day")
+    jobs.changelog(newest, table, checkpoint, "id", "span")
+    return health_rollup(jobs.last_known(table.all(newest.schema)))
 
 
 @query("st5_changed_snapshots", """SELECT project_key, id FROM (SELECT 'c' || o_custkey AS project_key, o_orderkey AS id, floor(o_totalprice / 40000) AS now,

@@ -142,9 +142,11 @@ class GraphStore:
             "uid", F.coalesce("_label", "label").alias("label"), F.coalesce(props["graphKey"], "_key").alias("graph_key"), props.alias("props"))
         merged = cut(merged.withColumn("key_bucket", self._bucket("graph_key")))
         typed = edges.withColumn("type", safe_relationship(F.col("type"))).dropDuplicates(["src", "dst", "type", "graph_key"])
-        ends = typed.select(F.explode(F.array("src", "dst")).alias("uid")).distinct()
-        here = cut(ends.join(merged.select("uid"), "uid", "left_anti"))
-        known = merged.select("uid").union(self._at("places", here).where("node_bucket IS NOT NULL").select("uid"))
+        known = merged.select("uid")
+        if not self._table("places").isEmpty():
+            typed = cut(typed)
+            elsewhere = typed.select(F.explode(F.array("src", "dst")).alias("uid")).distinct().join(known, "uid", "left_anti")
+            known = known.union(self._at("places", cut(elsewhere)).where("node_bucket IS NOT NULL").select("uid"))
         whole = cut(typed.join(known.withColumnRenamed("uid", "src"), "src", "left_semi").join(
             known.withColumnRenamed("uid", "dst"), "dst", "left_semi").select(*edges.columns).withColumn("key_bucket", self._bucket("graph_key")))
 

@@ -1,7 +1,7 @@
 """Incremental versions of the pollers and watchers, on Structured Streaming.
 
-State of a job, an execution or a dependency lives in Spark's state store and expires (``keyed``); other
-state lives in tables made of one folder per micro-batch, where a batch that is run again overwrites its own
+State of a job, an execution or a dependency lives in Spark's state store and expires: counters and newest checks
+as aggregates per span of time, executions with a timer each (``keyed``). Other state lives in tables made of one folder per micro-batch, where a batch that is run again overwrites its own
 folder, and in the hash index of the inbox. So retries and restarts leave no duplicates.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -79,6 +79,39 @@ def keyed_log(rows: DataFrame, key: str, processor: Expiring, table: BatchTable,
     return changes.schema
 
 
+def in_spans(rows: DataFrame, key: str, span: str, delay: str) -> GroupedData:
+    """Rows with a timestamp ``ts`` by key and span of time: a span's state goes when the watermark has passed it."""
+    timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return timed.groupBy(key, F.window("ts", span).alias("span"))
+
+
+def progress_counters(outcomes: DataFrame, span: str, delay: str) -> DataFrame:
+    """Counters per job and span of a stream of file outcomes (one event per file); spans add up."""
+    def n(status):
+        return F.count_if(F.col("status") == status)
+
+    return in_spans(outcomes, "scan_job_id", span, delay).agg(
+        F.count(F.lit(1)).alias("processed_files"), n("PASSED").alias("passed_files"), n("FINDING").alias("finding_count"), n("ERROR").alias("error_files"))
+
+
+def progress(log: DataFrame) -> DataFrame:
+    """Counters per job out of their changelog."""
+    counts = ("processed_files", "passed_files", "finding_count", "error_files")
+    return latest(log, "scan_job_id", "span").groupBy("scan_job_id").agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def last_checks(checks: DataFrame, span: str, delay: str) -> DataFrame:
+    """Newest check per dependency and span."""
+    at = F.struct("ts", "event_id")
+    return in_spans(checks, "id", span, delay).agg(F.max_by(F.struct("status", "critical"), at).alias("check"), F.max(at).alias("at"))
+
+
+def last_known(log: DataFrame) -> DataFrame:
+    """Newest check per dependency out of the changelog."""
+    newest = latest(log, "id", "span").groupBy("id").agg(F.max_by("check", "at").alias("check"))
+    return newest.select("id", "check.status", "check.critical")
+
+
 def snapshots(summaries: DataFrame, table: BatchTable, checkpoint: str) -> None:
     """Quality summaries as they are evaluated; every change is stored, the last good ones stay."""
     def store(batch: DataFrame, batch_id: int) -> None:

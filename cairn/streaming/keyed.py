@@ -113,41 +113,6 @@ class ExecutionState(Expiring):
         return ("STARTED", us, None) if after is None else (after[2], us, after[0])
 
 
-class Progress(Expiring):
-    """Counters of a job's file outcomes."""
-
-    schema = "timer long, passed long, findings long, errors long, others long"
-    columns = "processed_files long, passed_files long, finding_count long, error_files long"
-    kinds = ("PASSED", "FINDING", "ERROR")
-
-    def start(self) -> tuple:
-        return 0, 0, 0, 0
-
-    def change(self, state: tuple, row: Row) -> tuple:
-        at = self.kinds.index(row["status"]) if row["status"] in self.kinds else 3
-        return tuple(n + (i == at) for i, n in enumerate(state))
-
-    def shown(self, state: tuple) -> tuple | None:
-        return sum(state), *state[:3]
-
-
-class LastCheck(Expiring):
-    """The newest check of a dependency."""
-
-    schema = "timer long, us long, id long, status string, critical boolean"
-    columns = "status string, critical boolean"
-
-    def start(self) -> tuple:
-        return -1, -1, None, None
-
-    def change(self, state: tuple, row: Row) -> tuple:
-        at = (row["us"], row["event_id"])
-        return (*at, row["status"], row["critical"]) if at > state[:2] else state
-
-    def shown(self, state: tuple) -> tuple | None:
-        return state[2:]
-
-
 def keyed(rows: DataFrame, key: str, processor: Expiring, delay: str) -> DataFrame:
     """The changed rows (key and the processor's columns) of a stream with a timestamp ``ts``, in any order within ``delay``."""
     timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)

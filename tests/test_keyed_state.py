@@ -2,11 +2,10 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from cairn.sources.batches import BatchTable
 from cairn.streaming import jobs
-from cairn.streaming.keyed import ExecutionState, LastCheck, Progress, keyed, timers_supported
+from cairn.streaming.keyed import ExecutionState, keyed, timers_supported
 
 SCHEMA = "id string, ts timestamp, event_id long, status string, critical boolean"
 DAY = 24 * 3600 * 1000
@@ -52,9 +51,27 @@ def test_state_is_empty_after_its_time(spark, tmp_path):
     assert {k: v[0] for k, v in found.items()} == {"x": "STARTED", "y": "STARTED", "z": "SUCCEEDED"}
 
 
-def test_counters_and_last_checks(spark, tmp_path):
-    rows = [("a", at(1), 1, "PASSED", True), ("a", at(3), 2, "ERROR", False), ("b", at(2), 3, "FINDING", True), ("a", at(2), 4, "PASSED", True), ("a", at(9), 5, "NEW", None)]
-    found, _ = run(spark, tmp_path / "count", [rows[:2], rows[2:]], Progress(DAY))
-    assert found == {"a": (4, 2, 0, 1), "b": (1, 0, 1, 0)}
-    found, _ = run(spark, tmp_path / "check", [rows[:2], rows[2:4]], LastCheck(DAY))
-    assert found == {"a": ("ERROR", False), "b": ("FINDING", True)}
+def test_counters_and_last_checks_by_span(spark, tmp_path):
+    rows = [("a", at(1), 1, "PASSED", True), ("a", at(3), 2, "ERROR", False), ("b", at(2), 3, "FINDING", True), ("a", at(2 * 24 * 60), 4, "PASSED", True), ("a", at(9), 5, "NEW", None)]
+    source = tmp_path / "source"
+    counts, checks = BatchTable(spark, str(tmp_path / "counts")), BatchTable(spark, str(tmp_path / "checks"))
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(source))
+        counted = jobs.progress_counters(stream.withColumnRenamed("id", "scan_job_id"), "1 day", "3 days")
+        jobs.changelog(counted, counts, str(tmp_path / "c1"), "scan_job_id", "span")
+        newest = jobs.last_checks(stream, "1 day", "3 days")
+        jobs.changelog(newest, checks, str(tmp_path / "c2"), "id", "span")
+    assert {tuple(r) for r in jobs.progress(counts.all(counted.schema)).collect()} == {("a", 4, 2, 0, 1), ("b", 1, 0, 1, 0)}
+    assert {tuple(r) for r in jobs.last_known(checks.all(newest.schema)).collect()} == {("a", "PASSED", True), ("b", "FINDING", True)}
+
+
+def test_spans_behind_the_watermark_leave_the_store(spark, tmp_path):
+    source, table = tmp_path / "source", BatchTable(spark, str(tmp_path / "table"))
+    for day in (0, 10, 20):
+        spark.createDataFrame([("a", at(day * 24 * 60), day, "PASSED", True)], SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(source)).withColumnRenamed("id", "scan_job_id")
+        counted = jobs.progress_counters(stream, "1 day", "1 hour")
+        jobs.changelog(counted, table, str(tmp_path / "checkpoint"), "scan_job_id", "span")
+    assert spark.read.format("statestore").load(str(tmp_path / "checkpoint")).count() == 1
+    assert [tuple(r)[:2] for r in jobs.progress(table.all(counted.schema)).collect()] == [("a", 3)]
