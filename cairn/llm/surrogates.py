@@ -6,7 +6,9 @@ case, everything else stays, so length, grouping and script of the format surviv
 card (whose checksum holds again) and the prefix of an access key stay; addresses move to reserved ranges and domains; names become names of the
 title's gender in the name's script.
 
-Coreference: what is replaced depends on the canonical form only. Distinctness: all distinct entities of the corpus
+Coreference: what is replaced depends on the canonical form only: a phone number's digits in any grouping, a family
+name (so `Mr Adam Smith`, `Mr. Smith` and `Mrs Smith` keep theirs in common; a given name has a surrogate of its own,
+two given names of one family can meet in one of sixteen). Distinctness: all distinct entities of the corpus
 and their surrogates are compared; where two share a surrogate, or a surrogate is itself an entity of the corpus, all
 but the least of them get the next surrogate (a counter goes into the hash), until none is left. Only entities whose
 counter isn't 0 travel back to the texts, with the rows that hold them; all others are rewritten in the row.
@@ -33,19 +35,19 @@ from cairn.llm.common import columns_of, fresh, table, text_of
 from cairn.llm.registry import query
 from cairn.session import cut
 
-KEY = "surrogates-1"
-
 # Forms of personal data, in the order in which they are tried.
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # Every repetition is bounded or possessive and none begins inside a run of its own characters: a text is read once.
+    "email": r"(?<![\p{L}0-9])[\p{L}0-9][\p{L}0-9._%+-]{0,255}+@(?:[\p{L}0-9-]{1,63}+\.){1,32}[\p{L}]{2,63}",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "token": r"(?<![A-Za-z0-9])(?=[0-9a-fA-F]*[a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9+])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,4}(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "ip": rf"(?<![A-Za-z0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![A-Za-z0-9]|\.[0-9])",
     "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![A-Za-z0-9])",
-    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?![\p{L}])",
+    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|MR|MRS|MS|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа)\.? "
+            r"\p{Lu}[\p{L}\p{M}]{0,63}+(?:['’-]\p{L}[\p{L}\p{M}]{0,63}+){0,3}(?: \p{Lu}[\p{L}\p{M}]{0,63}+(?:['’-]\p{L}[\p{L}\p{M}]{0,63}+){0,3})?(?![\p{L}])",
 }
 #: What may begin within a row of numbers; the two forms below end before it, so they hide nothing.
 _INNER = "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "token", "card", "ssn", "ip", "phone"))
@@ -55,8 +57,11 @@ PATTERNS = {k: v for k, v in PATTERNS.items() if k != "name"} | {
     "digits": rf"(?<![A-Za-z0-9+])[0-9](?:(?:[ -](?!{_INNER}))?[0-9]){{11,18}}(?![A-Za-z0-9])", "name": PATTERNS["name"]}
 #: The form of a whole entity, whatever may begin within it.
 WHOLE = PATTERNS | {"digits": "[0-9](?:[ -]?[0-9]){11,18}", "phone": PATTERNS["phone"].replace(f"(?!{_INNER})", "")}
-# Titles by the gender that they tell; given names by script and gender, parts of family names by script.
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Господин")
+# Country calling codes of one and two digits; all others have three.
+CALLING_CODE = r"^(\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}))"
+# Titles by the gender that they tell (those of neither leave it to the hash); given names by script and gender, parts of family names by script.
+MALE = ("Mr", "MR", "Herr", "Monsieur", "Señor", "Господин")
+NEUTRAL = ("Dr", "Prof")
 GIVEN = {
     ("latin", "male"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Marco", "Nils", "Oscar", "Paul"),
     ("latin", "female"): ("Anna", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Ida", "Julia", "Klara", "Lena", "Maria", "Nora", "Olivia", "Paula"),
@@ -71,7 +76,7 @@ ENDINGS = {"latin": ("n", "r", "s", "l", "nd", "rt", "st", "ng"), "cyrillic": ("
 
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Cheap test: a text without any of these characters, beginnings of keys, runs of hexadecimal letters or titles holds no entity.
-HINT = r"[0-9@]|AKIA|ASIA|[a-fA-F]{32}|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Господин|Госпожа"
+HINT = r"[0-9@]|AKIA|ASIA|[a-fA-F]{32}|M[rR]|M[sS]|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Господин|Госпожа"
 
 
 def _luhn(number: Column) -> Column:
@@ -100,7 +105,7 @@ def canonical(entity: Column, kind: Column) -> Column:
     bare = F.regexp_replace(entity, "[^0-9+]", "")
     return (
         F.when(kind.isin("card", "ssn", "phone"), bare).when(kind.isin("email", "token"), F.lower(entity))
-        .when(kind == "name", F.regexp_replace(entity, r"^\S+ ", "")).otherwise(entity)
+        .when(kind == "name", F.lower(F.element_at(F.split(entity, " "), -1))).otherwise(entity)
     )
 
 
@@ -122,13 +127,19 @@ class _Stream:
         return F.get(F.array(*[F.lit(v) for v in values]), self.at(i) % len(values))
 
 
+def _plain_letter(c: Column) -> Column:
+    """A letter beyond a to z, which no stream has, as one of its case."""
+    return F.when(c.rlike(r"[\p{L}&&[^A-Za-z]]"), F.when(c.rlike(r"\p{Lu}"), "X").otherwise("x")).otherwise(c)
+
+
 def _scrambled(text: Column, s: _Stream, hexadecimal: bool = False) -> Column:
     """Each digit, small and capital letter replaced by another of its kind; equal digits of a number are independent.
 
     Only digits and letters take numbers from the stream, so punctuation doesn't change what they become.
     """
     def change(c: Column, i: Column) -> Column:
-        taken = F.length(F.regexp_replace(F.substr(text, F.lit(1), i), "[^A-Za-z0-9]", ""))
+        c = let(c, _plain_letter)
+        taken = F.length(F.regexp_replace(F.substr(text, F.lit(1), i), "[^\\p{L}0-9]", ""))
         n = s.at(taken)
         if hexadecimal:
             small, large = F.substr(F.lit("0123456789abcdef"), n % 16 + 1, F.lit(1)), F.substr(F.lit("0123456789ABCDEF"), n % 16 + 1, F.lit(1))
@@ -142,22 +153,28 @@ def _scrambled(text: Column, s: _Stream, hexadecimal: bool = False) -> Column:
     return F.array_join(F.transform(F.split(text, ""), change), "")
 
 
-def _name(entity: Column, s: _Stream, counter: Column) -> Column:
+def _name(entity: Column, s: _Stream, counter: Column, key: str) -> Column:
+    """Title, a given name if there was one, and a family name that depends on the old one only."""
     title = F.regexp_extract(entity, r"^(\p{L}+)", 1)
     lead = F.regexp_extract(entity, r"^(\S+ )", 1)
+    parts = F.split(entity, " ")
+    own = _Stream(_Stream.of(key, F.concat(F.lit("given:"), F.lower(entity)), F.lit(0)))
+    first = _Stream(_Stream.of(key, F.concat(F.lit("given:"), F.lower(F.get(parts, 1))), F.lit(0)))
     out = None
     for script in ("cyrillic", "latin"):
         family = F.concat(F.initcap(F.concat(s.pick(SYLLABLES[script], 2), s.pick(SYLLABLES[script], 3), s.pick(SYLLABLES[script], 4))), s.pick(ENDINGS[script], 5))
         # A name that had to be changed twice gets a double family name: there are always more names than entities.
         second = F.concat(F.initcap(F.concat(s.pick(SYLLABLES[script], 6), s.pick(SYLLABLES[script], 7))), s.pick(ENDINGS[script], 8))
         family = F.when(counter > 1, F.concat(family, F.lit("-"), second)).otherwise(family)
-        given = F.when(title.isin(*MALE), s.pick(GIVEN[script, "male"], 1)).otherwise(s.pick(GIVEN[script, "female"], 1))
-        whole = F.when(F.size(F.split(entity, " ")) > 2, F.concat_ws(" ", given, family)).otherwise(family)
+        male = F.when(title.isin(*NEUTRAL), own.at(0) % 2 == 0).otherwise(title.isin(*MALE))
+        given = F.when(male, first.pick(GIVEN[script, "male"], 1)).otherwise(first.pick(GIVEN[script, "female"], 1))
+        whole = F.when(F.size(parts) > 2, F.concat_ws(" ", given, family)).otherwise(family)
+        whole = F.when((F.length(F.element_at(parts, -1)) > 1) & (F.element_at(parts, -1) == F.upper(F.element_at(parts, -1))), F.upper(whole)).otherwise(whole)
         out = F.concat(lead, whole) if out is None else F.when(entity.rlike(r"\p{IsCyrillic}"), out).otherwise(F.concat(lead, whole))
     return out
 
 
-def surrogate(entity: Column, counter: Column, key: str = KEY) -> Column:
+def surrogate(entity: Column, counter: Column, key: str) -> Column:
     """The replacement of an entity, by its counter."""
 
     def by_kind(kind: Column) -> Column:
@@ -170,7 +187,7 @@ def surrogate(entity: Column, counter: Column, key: str = KEY) -> Column:
             letters = F.concat(*[F.char(domain.at(i) % 26 + 97) for i in range(8)])
             address = F.concat(_scrambled(local, s), F.lit("@"), letters, F.lit(".example"))
             ip = F.concat_ws(".", (s.at(0) % 15 + 240).cast("string"), *[s.at(i).cast("string") for i in (1, 2, 3)])
-            country = F.regexp_extract(entity, r"^(\+[0-9]{1,3})[ .(-]", 1)
+            country = F.regexp_extract(entity, CALLING_CODE, 1)
             number = F.concat(country, _scrambled(F.substr(entity, F.length(country) + 1), s))
 
             def checked(body: Column) -> Column:
@@ -183,7 +200,7 @@ def surrogate(entity: Column, counter: Column, key: str = KEY) -> Column:
                 .when(kind == "access_key", F.concat(F.substring(entity, 1, 4), _scrambled(F.substr(entity, F.lit(5)), s)))
                 .when(kind == "token", _scrambled(entity, s, hexadecimal=True))
                 .when(kind == "ssn", F.concat(F.lit("9"), _scrambled(F.substr(entity, F.lit(2)), s)))
-                .otherwise(_name(entity, s, counter))
+                .otherwise(_name(entity, s, counter, key))
             )
 
         return let(_Stream.of(key, what, counter), made)
@@ -195,7 +212,7 @@ def entities_in(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
-def counters(found: DataFrame, key: str = KEY) -> DataFrame:
+def counters(found: DataFrame, key: str) -> DataFrame:
     """(what, counter) of the entities that can't have their first surrogate; ``found`` has one column ``entity``.
 
     ``what`` is type and canonical form. A round compares surrogates among themselves and with the entities, both in
@@ -219,7 +236,7 @@ def counters(found: DataFrame, key: str = KEY) -> DataFrame:
             return state.where("counter > 0").select("what", "counter")
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with its texts rewritten, all columns kept, and ``n_entities`` (or a name like it that is free)."""
     n = fresh(docs, "n_entities")
     row, ents, fixed = fresh(docs, "row_"), fresh(docs, "ents_"), fresh(docs, "fixed_")
@@ -247,4 +264,5 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 @query("op6_surrogates")
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The key is no secret here; a caller who wants the map to stay unknown passes one."""
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), "op6_surrogates")
