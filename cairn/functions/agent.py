@@ -18,12 +18,13 @@ JAVA_SOURCE = (
 )
 PROJECT_STRUCTURE = ("project structure", "project analysis", "analyze project", "spring boot", "springboot", "프로젝트", "구조", "분석")
 WINDOWS_PATH = "(?i)([a-z]:\\\\[^\\s\"'<>|]+)"
-FILE_PATH = "(?i)((?:[A-Za-z]:\\\\|/)?[A-Za-z0-9_.-]+(?:[\\\\/][A-Za-z0-9_.-]+)+)"
-FILE_NAME = "(?i)([A-Za-z0-9_.-]+\\.(?:java|sql|xml|pdf|png|jpe?g|bmp|gif|tiff?|webp))"
+# Possessive groups are matched in a loop, others call themselves; nothing begins inside a run it has been through.
+FILE_PATH = "(?i)((?:(?=[A-Za-z]:\\\\)|(?<![A-Za-z0-9_.-]))(?:[A-Za-z]:\\\\|/)?[A-Za-z0-9_.-]++(?:[\\\\/][A-Za-z0-9_.-]++)++)"
+FILE_NAME = "(?i)((?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]+\\.(?:java|sql|xml|pdf|png|jpe?g|bmp|gif|tiff?|webp))"
 TABLE_REFERENCE = "(?i)([A-Za-z][A-Za-z0-9_]*(?:\\.[A-Za-z][A-Za-z0-9_]*)?)\\s*(?:테이블|table\\b)"
 QUOTED = "\"([^\"]+)\"|'([^']+)'"
 CODE_FENCE = "(?s)```(?:java|sql|xml)?\\s*(.*?)```"
-JAVA_REFERENCE = "(?<![A-Za-z0-9_$])((?:[A-Za-z_$][A-Za-z0-9_$]*\\.)*[A-Za-z_$][A-Za-z0-9_$]*(?:\\.java)?)(?![A-Za-z0-9_$])"
+JAVA_REFERENCE = "(?<![A-Za-z0-9_$])([A-Za-z_$][A-Za-z0-9_$]*+(?:\\.[A-Za-z_$][A-Za-z0-9_$]*+)*+)"
 JAVA_SUFFIXES = (
     "Controller", "ServiceImpl", "Service", "Repository", "Mapper", "Dto", "DTO", "Entity", "Domain", "Configuration", "Config",
     "Exception", "Client", "Gateway", "Adapter",

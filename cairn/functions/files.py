@@ -111,6 +111,14 @@ def archive_report(entries: DataFrame) -> DataFrame:
     return counted.withColumn("rejected", rejected)
 
 
+def archive_failures(entries: DataFrame) -> DataFrame:
+    """The entries of an archive that fail, each with its reason; a path that leaves the archive counts first."""
+    path = F.col("path")
+    unsafe = is_unsafe_entry(path)
+    too_big = is_vector_source(path) & ~is_test_source(path) & (F.col("size") > ARCHIVE_MAX_ENTRY_BYTES)
+    return entries.withColumn("reason", F.when(unsafe, "UNSAFE_PATH").when(too_big, "TOO_LARGE")).where("reason IS NOT NULL")
+
+
 def admission_error(content: Column) -> Column:
     """Why a file is not scanned: too large or not UTF-8; null when it is admitted."""
     return (

@@ -196,6 +196,11 @@ def dashboard(documents: DataFrame, projects: DataFrame, scans: DataFrame) -> Da
     return counted.join(F.broadcast(scanned))  # one row on each side
 
 
+def batch_failures(outcomes: DataFrame) -> DataFrame:
+    """The failed items of a batch (id, file_name, error), each with its message."""
+    return outcomes.where(F.col("error").isNotNull()).select("id", "file_name", F.col("error").alias("message"))
+
+
 def batch_outcome(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(
         F.count(F.lit(1)).alias("total"),

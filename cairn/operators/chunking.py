@@ -66,5 +66,16 @@ def replace_sources(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return stored.join(keys, "source_key", "left_anti").unionByName(incoming)
 
 
+def ingest_totals(base: DataFrame, statements: DataFrame, methods: DataFrame) -> DataFrame:
+    """Numbers of chunks per source (source_key) by the way they were made, and in all."""
+    kinds = {"base_chunks": base, "statement_chunks": statements, "method_chunks": methods}
+    every = None
+    for name, chunks in kinds.items():
+        counted = chunks.groupBy("source_key").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(name))
+        every = counted if every is None else every.unionByName(counted)
+    totals = [F.sum(F.when(F.col("kind") == name, F.col("n")).otherwise(0)).alias(name) for name in kinds]
+    return every.groupBy("source_key").agg(*totals, F.sum("n").alias("chunk_count"))
+
+
 def ingest_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id", "content_type").agg(F.count(F.lit(1)).alias("chunk_count"))

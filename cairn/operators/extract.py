@@ -37,6 +37,13 @@ def member_edges(methods: DataFrame, fields: DataFrame) -> DataFrame:
         fields.select(F.col("type_uid").alias("src"), F.col("field_uid").alias("dst"), F.lit("HAS_FIELD").alias("type"))).distinct()
 
 
+def evidence_edges(facts: DataFrame) -> DataFrame:
+    """Edges of the chunks that a type or statement (uid, evidence_chunk_ids) was read from to it."""
+    chunks = F.array_distinct(F.filter("evidence_chunk_ids", lambda x: tx.strip(F.coalesce(x, F.lit(""))) != ""))
+    kinds = F.array(F.lit("DESCRIBES"), F.lit("EVIDENCE_FOR"))
+    return facts.select("uid", F.explode(chunks).alias("src")).select("src", F.col("uid").alias("dst"), F.explode(kinds).alias("type")).distinct()
+
+
 def resolve_names(references: DataFrame, imports: DataFrame) -> DataFrame:
     """Qualified name of each reference: dotted as it is, else the file's import, else the own package."""
     one = imports.groupBy("file_path", "simple_name").agg(F.max("fqn").alias("_imported"))
@@ -104,11 +111,13 @@ def endpoints(methods: DataFrame) -> DataFrame:
 
 
 def table_lineage(statements: DataFrame) -> DataFrame:
-    """Statement -> table edges."""
+    """Statement -> table edges, and those of the mapper that has the statement (MAPS_TO)."""
     q = F.explode(sqltext.statement_tables(F.col("sql"), F.col("operation"))).alias("qualified")
-    return statements.select("project_id", "statement_uid", "operation", q).select(
-        F.col("statement_uid").alias("src"), ids.table_uid(F.col("project_id"), sqltext.schema_of(F.col("qualified")), sqltext.table_of(F.col("qualified"))).alias("dst"),
-        F.when(F.col("operation") == "READ", "READS_FROM").otherwise("WRITES_TO").alias("type")).distinct()
+    access = F.when(F.col("operation") == "READ", "READS_FROM").otherwise("WRITES_TO")
+    links = F.array(F.struct(F.col("statement_uid").alias("src"), access.alias("type")), F.struct(F.col("mapper_uid").alias("src"), F.lit("MAPS_TO").alias("type")))
+    table = ids.table_uid(F.col("project_id"), sqltext.schema_of(F.col("qualified")), sqltext.table_of(F.col("qualified")))
+    return statements.select("project_id", "statement_uid", "mapper_uid", "operation", q).select(
+        F.explode(links).alias("e"), table.alias("dst")).select("e.src", "dst", "e.type").distinct()
 
 
 def column_lineage(statements: DataFrame) -> DataFrame:
@@ -336,11 +345,13 @@ def standard_rules(documents: DataFrame) -> DataFrame:
         F.when(template, "StandardTemplate").otherwise("StandardRule").alias("label"), rule_type(F.col("section")).alias("rule_type"), stable.alias("stable_id"))
 
 
-def stamped(df: DataFrame, source_key: Column, file_hash: Column, at: Column, extractor: str, version: str, confidence: float) -> DataFrame:
-    """Provenance columns every node and edge carries."""
+def stamped(df: DataFrame, source_key: Column, file_hash: Column, at: Column, extractor: str, version: str, confidence: float,
+            project_id: Column, evidence: Column) -> DataFrame:
+    """Provenance columns every node and edge carries; what is still valid ends at the empty text."""
     return df.withColumns({
+        "project_id": project_id, "evidence_chunk_ids": F.coalesce(evidence, F.array().cast("array<string>")),
         "source_key": source_key, "file_hash": F.coalesce(file_hash, F.lit("")), "analysis_version": F.lit(version), "valid_from": at,
-        "valid_to": F.lit(None).cast("timestamp_ntz"), "confidence": F.lit(confidence), "extractor": F.lit(extractor), "created_at": at,
+        "valid_to": F.lit(""), "confidence": F.lit(confidence), "extractor": F.lit(extractor), "created_at": at,
         "graph_key": ids.graph_key(source_key)})
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cairn.functions.text import clamp, first_text, non_blank
+from cairn.operators.ordering import positions
 from cairn.session import cut
 
 # The closed ontology and the relationship sets of the analyses.
@@ -312,11 +313,17 @@ def overview(nodes: DataFrame, limit: int = 600) -> DataFrame:
     return both.withColumn("_place", place).where((F.col("phase") == 0) | (F.col("_place") <= limit)).drop("_place")
 
 
+# The properties that an overview's search looks into, besides the labels.
+SEARCHED = ("name", "fileName", "simpleName", "fqn", "source", "sourceKind")
+
+
 def matched_scope(nodes: DataFrame, text: str, max_keys: int = 20) -> DataFrame:
     """Nodes that match a text, and every node of the first graph keys among the matches."""
     q = F.lit(text.strip().lower())
-    hit = F.lit(False)
-    for c in ("name", "label", "package_name"):
+    hit = F.contains(F.lower(F.col("label")), q)
+    if "layer" in nodes.columns:
+        hit = hit | F.coalesce(F.contains(F.lower(classification(F.col("label"), F.col("layer"))), q), F.lit(False))
+    for c in [c for c in SEARCHED if c in nodes.columns]:
         hit = hit | F.coalesce(F.contains(F.lower(F.col(c)), q), F.lit(False))
     matched = nodes.where(hit)
     keys = matched.where(F.col("graph_key").isNotNull()).select("graph_key").distinct().orderBy("graph_key").limit(max_keys)
@@ -374,6 +381,14 @@ def storable_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         ids.withColumnRenamed("uid", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
+def history_graph(nodes: DataFrame, edges: DataFrame, history_id: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes of one generation (``history_id``) in the order of label and name, and the edges between two of them."""
+    mine = nodes.where(F.col("history_id") == history_id)
+    ids = mine.select("uid")
+    inside = edges.join(ids.withColumnRenamed("uid", "src"), "src", "left_semi").join(ids.withColumnRenamed("uid", "dst"), "dst", "left_semi")
+    return mine.orderBy("label", "name", "uid"), inside.select("src", "dst", "type", "graph_key").orderBy("type", "src", "dst")
+
+
 def same_generation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose two ends belong to the same generated graph, with its key."""
     keys = nodes.select("uid", "graph_key")
@@ -452,6 +467,32 @@ def common_prefix(packages: DataFrame, package: str = "package_name") -> DataFra
     return ends.select(F.when(shared >= 2, F.array_join(common, ".")).otherwise("").alias("root"))
 
 
+def package_entries(packages: DataFrame, package: str = "package_name") -> DataFrame:
+    """Each package with its name below the common prefix and its depth there."""
+    names = packages.select(F.col(package).alias("package")).distinct()
+    root = common_prefix(packages, package)
+    joined = names.join(F.broadcast(root))  # one row
+    inside = F.startswith("package", F.concat("root", F.lit(".")))
+    relative = (F.when((F.col("root") != "") & inside, F.substr("package", F.length("root") + 2))
+                .when(F.col("package") == F.col("root"), "(root)").otherwise(F.col("package")))
+    depth = F.size(F.filter(F.split(relative, "\\."), lambda s: s != "")) - 1
+    return joined.select("package", relative.alias("relative_name"), F.greatest(depth, F.lit(0)).cast("long").alias("depth"))
+
+
+def package_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes of the package view: one for each package with the number of its types."""
+    types = internal_types(nodes).select(package_of(F.col("package_name"), F.lit("")).alias("name"))
+    return types.groupBy("name").agg(F.count(F.lit(1)).alias("type_count")).select(
+        F.concat(F.lit("package:"), "name").alias("id"), F.lit("Package").alias("label"), "name", "type_count")
+
+
+def package_members(nodes: DataFrame) -> DataFrame:
+    """The types of each package with their place in it, by display name; a package may hold most types."""
+    types = internal_types(nodes).withColumn("display", F.coalesce(display_name(nodes), F.col("uid"))).select(
+        F.concat(F.lit("package:"), package_of(F.col("package_name"), F.lit(""))).alias("package"), "uid", "display")
+    return positions(types, ["package"], ["display", "uid"], "position").select("package", "uid", "position")
+
+
 def nearest_parent(packages: DataFrame, package: str = "package_name") -> DataFrame:
     """Nearest existing ancestor of each package, null at the top."""
     names = packages.select(F.col(package).alias("package")).distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import files
 from cairn.functions.text import non_blank
+from cairn.operators.ordering import positions
 
 CONTENT_KEY = ("project_key", "file_hash", "document_type")
 
@@ -80,6 +81,28 @@ def first_outcome(events: DataFrame, key: str, order: list[str], start: str, out
     return joined.select(key, status.alias("status"), F.col(f"_start.{order[0]}").alias("started_at"), "completed_at")
 
 
+def job_states(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """State of each job (job, total_files) after its events (job, at, kind, outcome), under the guards of a scan.
+
+    RUN takes a queued job on; FILE counts while it runs; after each file the job is finished if all files have been
+    counted, with errors if any had one; FAIL ends a queued or running job. What comes after the end does nothing, as
+    do files before the start. ``at`` orders a job's events.
+    """
+    start = events.where("kind = 'RUN'").groupBy("job").agg(F.min("at").alias("start"))
+    fail = events.where("kind = 'FAIL'").groupBy("job").agg(F.min("at").alias("fail"))
+    files = events.where("kind = 'FILE'").join(start, "job").where(F.col("at") > F.col("start"))
+    counted = positions(files.select("job", "at", "outcome"), ["job"], ["at"], "n").join(jobs, "job").where(F.col("n") <= F.col("total_files"))
+    ended = counted.join(fail, "job", "left").where(F.col("fail").isNull() | (F.col("at") < F.col("fail"))).groupBy("job").agg(
+        F.count(F.lit(1)).alias("processed"), F.count_if(F.col("outcome") == "PASSED").alias("passed"),
+        F.count_if(F.col("outcome") == "FINDING").alias("findings"), F.count_if(F.col("outcome") == "ERROR").alias("errors"))
+    every = jobs.join(start, "job", "left").join(fail, "job", "left").join(ended, "job", "left")
+    done = F.coalesce("processed", F.lit(0)) >= F.col("total_files")
+    status = (F.when(done & F.col("start").isNotNull() & (F.col("total_files") > 0), F.when(F.col("errors") > 0, "COMPLETED_WITH_ERRORS").otherwise("COMPLETED"))
+              .when(F.col("fail").isNotNull(), "FAILED").when(F.col("start").isNotNull(), "RUNNING").otherwise("QUEUED"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("processed", "passed", "findings", "errors")]
+    return every.select("job", status.alias("status"), *counts)
+
+
 def repair_documents(documents: DataFrame) -> DataFrame:
     """Blank project becomes the default; source keys follow from id and file type."""
     key = F.concat(F.lit("document:"), F.col("id").cast("string"))

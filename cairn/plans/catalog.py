@@ -37,8 +37,8 @@ def optional_filter(spark, sf):
 
 
 def history(spark, sf):
-    """Generation history: an assistant turn is a generation, its conversation the project structure."""
-    m = lake.chat_messages(spark, sf).where("role = 'assistant'")
+    """Generation history: a turn is a generation, its role the target type."""
+    m = lake.chat_messages(spark, sf)
     return m.select(
         (F.col("conversation_id") * 1000000 + F.col("id")).alias("id"), F.col("role").alias("target_type"),
         F.concat(F.lit('["mapper", "'), F.col("role"), F.lit('"]')).alias("target_types"),
@@ -47,7 +47,7 @@ def history(spark, sf):
 
 _HISTORY = """message AS (SELECT conv_id * 1000000 + turn AS id, role AS target_type, '["mapper", "' || role || '"]' AS target_types,
     text AS prompt, text AS generated_code,
-    TIMESTAMP '2024-01-01' + to_minutes((conv_id * 60 + turn)::INTEGER) AS created_at FROM conversations WHERE role = 'assistant')"""
+    TIMESTAMP '2024-01-01' + to_minutes((conv_id * 60 + turn)::INTEGER) AS created_at FROM conversations)"""
 
 
 @query("p3_history_search", with_tables(
@@ -72,7 +72,7 @@ def summary_projection(spark, sf):
 
 
 @query("s7_history_json_lists", with_tables(
-    """SELECT id, 'mapper,assistant' AS targets, 2::BIGINT AS target_count FROM message""", _HISTORY))
+    """SELECT id, 'mapper,' || target_type AS targets, 2::BIGINT AS target_count FROM message""", _HISTORY))
 def history_json(spark, sf):
     types = tx.json_list(F.col("target_types"))
     return history(spark, sf).select(
@@ -303,6 +303,17 @@ def batch_outcome(spark, sf):
     return c.batch_outcome(d.select(F.when(F.col("index_status") == "FAILED", "failed").alias("error")))
 
 
+@query("a25_failures", with_tables(
+    """SELECT id, original_file_name AS file_name, 'size ' || file_size AS message FROM document
+    WHERE deleted_at IS NULL AND original_file_name LIKE '%.java' AND file_path NOT LIKE '%/src/test/%' AND index_status = 'FAILED'""", DOCUMENT))
+def batch_failures(spark, sf):
+    """The documents that failed, with the reason."""
+    d = c.active(lake.documents_catalog(spark, sf)).where(
+        F.lower("file_path").endswith(".java") & ~F.contains(F.lower("file_path"), F.lit("/src/test/")))
+    error = F.when(F.col("index_status") == "FAILED", F.concat(F.lit("size "), F.col("file_size").cast("string")))
+    return c.batch_failures(d.select("id", F.col("original_file_name").alias("file_name"), error.alias("error")))
+
+
 @query("s2_source_files", with_tables(
     """SELECT id, file_path FROM document WHERE regexp_matches(original_file_name, '\\.(java|kt|xml|sql|yml|md)$')
     AND NOT (original_file_name LIKE '%.java' AND file_path LIKE '%/test/%')""", DOCUMENT))
@@ -317,12 +328,27 @@ _ARCHIVE = """entry AS (SELECT id, project_key, file_path, file_size,
 
 
 @query("s3_archive_report", with_tables(
-    f"""{_ARCHIVE} SELECT project_key, count(*) AS discovered, count(*) FILTER (accepted) AS indexed, count(*) FILTER (NOT accepted) AS skipped,
-    sum(CASE WHEN accepted THEN file_size ELSE 0 END)::BIGINT AS total_bytes FROM entry GROUP BY project_key""", DOCUMENT))
+    f"""{_ARCHIVE}, judged AS (SELECT *, file_size % 97 = 0 AS unsafe, NOT file_size % 97 = 0 AND accepted AND file_size * 1000 > 10485760 AS too_big FROM entry)
+    SELECT project_key, count(*) AS discovered, count(*) FILTER (accepted AND NOT unsafe AND NOT too_big) AS indexed, count(*) FILTER (NOT accepted AND NOT unsafe) AS skipped,
+    count(*) FILTER (unsafe OR too_big) AS failed, count(*) FILTER (unsafe) AS unsafe, sum(CASE WHEN accepted AND NOT unsafe THEN file_size * 1000 ELSE 0 END)::BIGINT AS total_bytes,
+    count(*) > 5000 OR sum(CASE WHEN accepted AND NOT unsafe THEN file_size * 1000 ELSE 0 END) > 209715200 OR count(*) FILTER (unsafe OR too_big) > 0 AS rejected FROM judged GROUP BY project_key""", DOCUMENT))
 def archive_report(spark, sf):
-    d = lake.documents_catalog(spark, sf)
-    return ff.archive_report(d.select(F.col("project_key"), F.col("file_path").alias("path"), F.col("file_size").alias("size"))).select(
-        "project_key", "discovered", "indexed", "skipped", "total_bytes")
+    return ff.archive_report(_archive_entries(spark, sf)).select(
+        "project_key", "discovered", "indexed", "skipped", "failed", "unsafe", "total_bytes", "rejected")
+
+
+def _archive_entries(spark, sf):
+    """Files a thousand times as large as their documents; some paths lead out of the archive."""
+    path = F.when(F.col("file_size") % 97 == 0, F.concat(F.lit("a/../../"), "file_path")).otherwise(F.col("file_path"))
+    return lake.documents_catalog(spark, sf).select("id", "project_key", path.alias("path"), (F.col("file_size") * 1000).alias("size"))
+
+
+@query("s3_archive_failures", with_tables(
+    f"""{_ARCHIVE} SELECT id, project_key, CASE WHEN file_size % 97 = 0 THEN 'UNSAFE_PATH' ELSE 'TOO_LARGE' END AS reason FROM entry
+    WHERE file_size % 97 = 0 OR (accepted AND file_size * 1000 > 10485760)""", DOCUMENT))
+def archive_failures(spark, sf):
+    """The entries an ingest refuses, with the reason."""
+    return ff.archive_failures(_archive_entries(spark, sf)).select("id", "project_key", "reason")
 
 
 @query("w9_running_quota", with_tables(

@@ -109,6 +109,15 @@ def structure_edges(spark, sf):
     return x.structure_edges(_types(spark, sf))
 
 
+@query("c5_evidence_edges", f"""WITH {_TYPE_SQL} SELECT 'doc:' || c_custkey || ':chunk:' || i AS src, 'type:p:' || package_name || '.' || simple_name AS dst, kind AS type
+    FROM t, (SELECT unnest([0, 1]) AS i), (SELECT unnest(['DESCRIBES', 'EVIDENCE_FOR']) AS kind) WHERE c_acctbal >= 0""")
+def evidence_edges(spark, sf):
+    """Chunks that a type was read from; types of negative balance have none."""
+    chunk = F.concat(F.lit("doc:"), _s("c_custkey"), F.lit(":chunk:"))
+    chunks = F.when(F.col("c_acctbal") >= 0, F.array(F.concat(chunk, F.lit("0")), F.concat(chunk, F.lit("1")), F.lit(" "), F.concat(chunk, F.lit("0"))))
+    return x.evidence_edges(_types(spark, sf).select(F.col("type_uid").alias("uid"), chunks.alias("evidence_chunk_ids")))
+
+
 @query("c5_member_edges", """SELECT DISTINCT 'T' || l_orderkey AS src, 'm' || l_partkey AS dst, 'HAS_METHOD' AS type FROM lineitem
     UNION SELECT 'T' || l_orderkey, 'f' || l_suppkey, 'HAS_FIELD' FROM lineitem""")
 def member_edges(spark, sf):
@@ -130,13 +139,13 @@ def _references(spark, sf):
 
 
 def _imports(spark, sf):
-    li = lake.raw(spark, sf, "lineitem").where("l_linenumber <= 3")
-    simple = F.concat(F.lit("S"), _s("l_suppkey"), F.lit("Dto"))
+    li = lake.raw(spark, sf, "lineitem")
+    simple = F.concat(F.when(F.col("l_linestatus") == "O", "S").otherwise("Other"), _s("l_suppkey"), F.lit("Dto"))
     return li.select(F.concat(F.lit("T"), _s("l_orderkey"), F.lit(".java")).alias("file_path"), simple.alias("simple_name"),
                      F.concat(F.lit("org.dto."), simple).alias("fqn"))
 
 
-_REF_SQL = """imp AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber <= 3),
+_REF_SQL = """imp AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O'),
 ref AS (SELECT l.l_orderkey, CASE WHEN l_linenumber <= 4 THEN 'USES' ELSE 'INJECTS' END AS kind, l_returnflag, l_linestatus,
   CASE WHEN l_returnflag = 'A' AND i.l_suppkey IS NOT NULL THEN 'org.dto.S' || l.l_suppkey || 'Dto' WHEN l_returnflag = 'A' THEN 'com.acme.S' || l.l_suppkey || 'Dto'
        WHEN l_returnflag = 'R' THEN 'java.util.List' WHEN l_linestatus = 'O' THEN 'com.acme.String' ELSE 'com.acme.P' || l_partkey END AS fqn
@@ -250,6 +259,7 @@ def _statements(spark, sf):
     status = F.col("o_orderstatus")
     return o.select(
         "o_orderkey", F.lit("p").alias("project_id"), F.concat(F.lit("statement:"), _s("o_orderkey")).alias("statement_uid"),
+        F.concat(F.lit("mapper:"), _s("o_custkey")).alias("mapper_uid"),
         F.when(status == "O", "READ").otherwise("WRITE").alias("operation"),
         F.when(status == "O", select).when(status == "F", insert).otherwise(update).alias("sql"))
 
@@ -258,8 +268,11 @@ _TABLE = "'table:p:app:orders_' || left(o_orderpriority, 1)"
 
 
 @query("c8_table_lineage", f"""SELECT 'statement:' || o_orderkey AS src, {_TABLE} AS dst, CASE o_orderstatus WHEN 'O' THEN 'READS_FROM' ELSE 'WRITES_TO' END AS type FROM orders
-    UNION ALL SELECT 'statement:' || o_orderkey, 'table:p:public:customer_' || o_custkey, 'READS_FROM' FROM orders WHERE o_orderstatus = 'O'""")
+    UNION ALL SELECT 'statement:' || o_orderkey, 'table:p:public:customer_' || o_custkey, 'READS_FROM' FROM orders WHERE o_orderstatus = 'O'
+    UNION SELECT 'mapper:' || o_custkey, {_TABLE}, 'MAPS_TO' FROM orders
+    UNION SELECT 'mapper:' || o_custkey, 'table:p:public:customer_' || o_custkey, 'MAPS_TO' FROM orders WHERE o_orderstatus = 'O'""")
 def table_lineage(spark, sf):
+    """Statements of a customer's orders are one mapper's."""
     return x.table_lineage(_statements(spark, sf))
 
 
@@ -323,21 +336,28 @@ def mapper_statements(spark, sf):
     || 'Statement: open' || chr(10) || 'Command: SELECT' || chr(10) || 'SQL Template:' || chr(10) || 'SELECT o.id, o.note_' || o_custkey || ' /* CYCLIC INCLUDE cols */ FROM app.orders o /* UNRESOLVED INCLUDE gone */ WHERE o.id = 1'
     || chr(10) || 'Dynamic Conditions:' || chr(10) || '- cyclic-include:cols' || chr(10) || '- unresolved-include:gone' || chr(10) || '- x' FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'""")
 def statement_chunks(spark, sf):
-    st = x.mapper_statements(_mapper_files(spark, sf)).withColumn("variants", F.array("sql"))
-    return ch.statement_chunks(st).select("chunk_id", "symbol", "content")
+    return statement_chunk_rows(spark, sf).select("chunk_id", "symbol", "content")
+
+
+def statement_chunk_rows(spark, sf):
+    return ch.statement_chunks(x.mapper_statements(_mapper_files(spark, sf)).withColumn("variants", F.array("sql")))
 
 
 @query("c15_method_chunks", """SELECT 'doc:' || o_custkey || ':java-method:' || sha256(u) AS chunk_id, 'com.acme.C' || o_custkey || '.order' || o_orderkey || '()' AS symbol,
     u || '|type:p:com.acme.C' || o_custkey || '|file:p:src/C' || o_custkey || '.java' AS entities, 'Java Method: com.acme.C' || o_custkey || '.order' || o_orderkey || '()' || chr(10) || '{ return ' || o_orderkey || '; }' AS content
     FROM (SELECT *, 'method:p:com.acme.C' || o_custkey || ':order' || o_orderkey || '()' AS u FROM orders)""")
 def method_chunks(spark, sf):
+    return method_chunk_rows(spark, sf).select("chunk_id", "symbol", F.array_join("entity_ids", "|").alias("entities"), "content")
+
+
+def method_chunk_rows(spark, sf):
     key, cust = _s("o_orderkey"), _s("o_custkey")
     m = lake.raw(spark, sf, "orders").select(
         F.concat(F.lit("doc:"), cust).alias("source_key"), F.lit("p").alias("project_id"), F.concat(F.lit("src/C"), cust, F.lit(".java")).alias("file_path"),
         F.concat(F.lit("com.acme.C"), cust).alias("declaring_type"), F.concat(F.lit("order"), key, F.lit("()")).alias("signature"),
         F.lit("main").alias("module_name"), F.concat(F.lit("{ return "), key, F.lit("; }")).alias("method_body"))
     m = m.withColumn("method_uid", ids.uid("method", F.col("project_id"), F.col("declaring_type"), F.col("signature")))
-    return ch.method_chunks(m).select("chunk_id", "symbol", F.array_join("entity_ids", "|").alias("entities"), "content")
+    return ch.method_chunks(m)
 
 
 def _yaml(spark, sf):
@@ -391,11 +411,14 @@ def name_uuid(spark, sf):
 
 
 @query("c20_metadata_stamp", f"""SELECT 'package:' || c_nationkey AS src, c_custkey, 'doc:' || c_custkey AS source_key, sha256(c_name) AS file_hash, 'v1' AS analysis_version, 1.0::DOUBLE AS confidence,
-    'CodeFacts' AS extractor, 'rag-source:' || {_uuid_sql("'doc:' || c_custkey")} AS graph_key, true AS still_valid FROM customer""")
+    'CodeFacts' AS extractor, 'rag-source:' || {_uuid_sql("'doc:' || c_custkey")} AS graph_key, '' AS valid_to, 'p' || c_nationkey AS project_id,
+    'doc:' || c_custkey || ':chunk:0' AS evidence FROM customer""")
 def metadata_stamp(spark, sf):
-    c = lake.raw(spark, sf, "customer").select(F.concat(F.lit("package:"), _s("c_nationkey")).alias("src"), "c_custkey", "c_name")
-    out = x.stamped(c, F.concat(F.lit("doc:"), _s("c_custkey")), F.sha2("c_name", 256), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "CodeFacts", "v1", x.CODE_CONFIDENCE)
-    return out.select("src", "c_custkey", "source_key", "file_hash", "analysis_version", "confidence", "extractor", "graph_key", F.col("valid_to").isNull().alias("still_valid"))
+    c = lake.raw(spark, sf, "customer").select(F.concat(F.lit("package:"), _s("c_nationkey")).alias("src"), "c_custkey", "c_name", "c_nationkey")
+    out = x.stamped(c, F.concat(F.lit("doc:"), _s("c_custkey")), F.sha2("c_name", 256), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "CodeFacts", "v1", x.CODE_CONFIDENCE,
+                    F.concat(F.lit("p"), _s("c_nationkey")), F.array(F.concat(F.lit("doc:"), _s("c_custkey"), F.lit(":chunk:0"))))
+    return out.select("src", "c_custkey", "source_key", "file_hash", "analysis_version", "confidence", "extractor", "graph_key", "valid_to", "project_id",
+                      F.array_join("evidence_chunk_ids", ",").alias("evidence"))
 
 
 @query("c21_project_listing", """WITH p AS (SELECT doc_id, lang, CASE source WHEN 'src3' THEN 'build/' WHEN 'src4' THEN 'a/.git/' ELSE 'Src/' END || 'Doc' || doc_id AS path FROM documents)

@@ -286,7 +286,8 @@ def overview(spark, sf):
     return g.overview(lake.graph_nodes(spark, sf), 600).select("uid", "label", "name", "phase")
 
 
-_MATCHED = """matched AS (SELECT * FROM node WHERE lower(name) LIKE '%nation_%' OR lower(label) LIKE '%nation_%' OR lower(package_name) LIKE '%nation_%'),
+_MATCHED = """matched AS (SELECT * FROM node WHERE contains(lower(concat_ws(chr(10), name, label, CASE WHEN label = 'JavaType' THEN name || '.java' END,
+    CASE WHEN label = 'JavaType' THEN package_name || '.' || name END, graph_key, layer)), 'nation_')),
 keys AS (SELECT DISTINCT graph_key FROM matched ORDER BY 1 LIMIT 20),
 scope AS (SELECT * FROM node WHERE graph_key IN (SELECT graph_key FROM keys) OR uid IN (SELECT uid FROM matched))"""
 
@@ -294,7 +295,11 @@ scope AS (SELECT * FROM node WHERE graph_key IN (SELECT graph_key FROM keys) OR
 @query("w5_matched_overview", with_tables(
     f"{_MATCHED}, {_OVERVIEW.format(scope='scope', quota=3, limit=60)} SELECT uid, label, name, phase FROM shown", GRAPH))
 def matched_overview(spark, sf):
-    return g.overview(g.matched_scope(lake.graph_nodes(spark, sf), " Nation_ "), 60).select("uid", "label", "name", "phase")
+    is_type = F.col("label") == "JavaType"
+    nodes = lake.graph_nodes(spark, sf).withColumns({
+        "fileName": F.when(is_type, F.concat("name", F.lit(".java"))), "fqn": F.when(is_type, F.concat_ws(".", "package_name", "name")),
+        "source": F.col("graph_key"), "sourceKind": F.col("layer")})
+    return g.overview(g.matched_scope(nodes, " Nation_ "), 60).select("uid", "label", "name", "phase")
 
 
 @query("u4_not_yet_selected", with_tables(
@@ -331,6 +336,18 @@ def common_package_prefix(spark, sf):
     return g.common_prefix(packages)
 
 
+@query("a20_package_entries", """
+    WITH p AS (SELECT DISTINCT 'com.acme.' || lang || '.' || source AS package FROM documents UNION SELECT 'com.acme'),
+    r AS (SELECT CASE WHEN count(DISTINCT lang) > 1 OR true THEN 'com.acme' END AS root FROM documents)
+    SELECT package, CASE WHEN package = root THEN '(root)' ELSE substr(package, length(root) + 2) END AS relative_name,
+      CASE WHEN package = root THEN 0 ELSE 1 END::BIGINT AS depth FROM p, r""")
+def package_entries(spark, sf):
+    """Names relative to the common prefix, which is a package itself here."""
+    d = lake.raw(spark, sf, "documents")
+    names = F.explode(F.array(F.concat_ws(".", F.lit("com.acme"), "lang", "source"), F.lit("com.acme")))
+    return g.package_entries(d.select(names.alias("package_name")))
+
+
 @query("g7_package_hierarchy", """
     WITH page AS (SELECT DISTINCT 'web' || replace(regexp_extract(url, '^https?://[^/]*([^?#]*)', 1), '/', '.') AS package FROM pages),
     pkg AS (SELECT package FROM page UNION SELECT DISTINCT regexp_extract(package, '^(web\\.[^.]+)\\.', 1) FROM page WHERE package LIKE 'web.%.%')
@@ -350,6 +367,37 @@ def package_containers(spark, sf):
     return g.container_links(*_graph(spark, sf))
 
 
+@query("g9_package_nodes", with_tables(
+    f"{_TYPES} SELECT 'package:' || package_name AS id, 'Package' AS label, package_name AS name, count(*) AS type_count FROM itype GROUP BY package_name", GRAPH))
+def package_nodes(spark, sf):
+    return g.package_nodes(lake.graph_nodes(spark, sf))
+
+
+@query("g9_package_members", with_tables(
+    f"{_TYPES} SELECT 'package:' || package_name AS package, uid, row_number() OVER (PARTITION BY package_name ORDER BY name, uid) AS position FROM itype", GRAPH))
+def package_members(spark, sf):
+    return g.package_members(lake.graph_nodes(spark, sf))
+
+
+_OF_HISTORY = "gen AS (SELECT *, TRY_CAST(regexp_extract(graph_key, '([0-9]+)$', 1) AS BIGINT) AS history_id FROM node)"
+
+
+def _generated_nodes(spark, sf):
+    """Nodes of a generation: the number at the end of their graph key."""
+    return lake.graph_nodes(spark, sf).withColumn("history_id", F.regexp_extract("graph_key", "([0-9]+)$", 1).try_cast("long"))
+
+
+@query("g10_history_nodes", with_tables("SELECT uid, label, name FROM gen WHERE history_id = 12", GRAPH, _OF_HISTORY))
+def history_nodes(spark, sf):
+    return g.history_graph(_generated_nodes(spark, sf), lake.graph_edges(spark, sf), 12)[0].select("uid", "label", "name")
+
+
+@query("g10_history_edges", with_tables(
+    "SELECT src, dst, type, graph_key FROM edge WHERE src IN (SELECT uid FROM gen WHERE history_id = 12) AND dst IN (SELECT uid FROM gen WHERE history_id = 12)", GRAPH, _OF_HISTORY))
+def history_edges(spark, sf):
+    return g.history_graph(_generated_nodes(spark, sf), lake.graph_edges(spark, sf), 12)[1]
+
+
 @query("g10_generation_graph", with_tables(
     """SELECT a.graph_key AS generation, e.type, count(*) AS edge_count FROM edge e JOIN node a ON e.src = a.uid JOIN node b ON e.dst = b.uid
     WHERE a.graph_key = b.graph_key GROUP BY ALL""", GRAPH))

@@ -85,6 +85,29 @@ def guarded_transitions(spark, sf):
     return m.first_outcome(transitions(spark, sf), "item", ["ts", "event_id"], "RUNNING", ["PASSED", "ERROR", "FINDING"]).select("item", "status")
 
 
+_JOB_EVENTS = """ev AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS job, (ts, event_id) AS tick, CASE WHEN event_type = 'view' THEN 'RUN' WHEN event_type = 'error' AND value > 20 THEN 'FAIL' ELSE 'FILE' END AS kind,
+      CASE event_type WHEN 'click' THEN 'FINDING' WHEN 'error' THEN 'ERROR' ELSE 'PASSED' END AS outcome FROM events),
+job AS (SELECT job, 1 + length(job) % 2 AS total_files FROM (SELECT DISTINCT job FROM ev)),
+s AS (SELECT job, min(tick) AS start FROM ev WHERE kind = 'RUN' GROUP BY 1), f AS (SELECT job, min(tick) AS fail FROM ev WHERE kind = 'FAIL' GROUP BY 1),
+counted AS (SELECT * FROM (SELECT ev.job, tick, outcome, row_number() OVER (PARTITION BY ev.job ORDER BY tick) AS n FROM ev JOIN s ON ev.job = s.job WHERE kind = 'FILE' AND tick > start)
+    JOIN job USING (job) LEFT JOIN f USING (job) WHERE n <= total_files AND (fail IS NULL OR tick < fail)),
+agg AS (SELECT job, count(*) AS processed, count(*) FILTER (outcome = 'PASSED') AS passed, count(*) FILTER (outcome = 'FINDING') AS findings, count(*) FILTER (outcome = 'ERROR') AS errors FROM counted GROUP BY 1)"""
+
+
+@query("d4_job_states", f"""WITH {_JOB_EVENTS} SELECT job, CASE WHEN processed >= total_files THEN CASE WHEN errors > 0 THEN 'COMPLETED_WITH_ERRORS' ELSE 'COMPLETED' END
+    WHEN fail IS NOT NULL THEN 'FAILED' WHEN start IS NOT NULL THEN 'RUNNING' ELSE 'QUEUED' END AS status, coalesce(processed, 0) AS processed, coalesce(passed, 0) AS passed,
+    coalesce(findings, 0) AS findings, coalesce(errors, 0) AS errors FROM job LEFT JOIN s USING (job) LEFT JOIN f USING (job) LEFT JOIN agg USING (job)""")
+def job_states(spark, sf):
+    """Events of a user and day as those of a job of one or two files."""
+    kind = F.col("event_type")
+    events = lake.raw(spark, sf, "events").select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("job"), F.struct("ts", "event_id").alias("at"),
+        F.when(kind == "view", "RUN").when((kind == "error") & (F.col("value") > 20), "FAIL").otherwise("FILE").alias("kind"),
+        F.when(kind == "click", "FINDING").when(kind == "error", "ERROR").otherwise("PASSED").alias("outcome"))
+    jobs = events.select("job").distinct().withColumn("total_files", 1 + F.length("job") % 2)
+    return m.job_states(jobs, events)
+
+
 @query("d9_recover_interrupted", f"WITH {_TRANSITIONS} SELECT CASE status WHEN 'RUNNING' THEN 'QUEUED' ELSE status END AS status, count(*) AS n FROM state GROUP BY 1")
 def recover_interrupted(spark, sf):
     state = m.first_outcome(transitions(spark, sf), "item", ["ts", "event_id"], "RUNNING", ["PASSED", "ERROR", "FINDING"])

@@ -56,6 +56,20 @@ def ingest_counts(spark, sf):
     return ch.ingest_counts(text_chunks(spark, sf).withColumn("content_type", F.lit("text")))
 
 
+@query("a22_ingest_totals", with_tables(
+    f"""{_CHUNKS}, every AS (SELECT source_key, 'base' AS kind FROM chunk
+      UNION ALL SELECT 'doc:' || o_orderkey, 'statement' FROM orders UNION ALL SELECT 'doc:' || o_orderkey, 'statement' FROM orders
+      UNION ALL SELECT 'doc:' || o_orderkey, 'statement' FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'
+      UNION ALL SELECT 'doc:' || o_custkey, 'method' FROM orders)
+    SELECT source_key, count(*) FILTER (kind = 'base') AS base_chunks, count(*) FILTER (kind = 'statement') AS statement_chunks,
+      count(*) FILTER (kind = 'method') AS method_chunks, count(*) AS chunk_count FROM every GROUP BY 1""", DOCUMENT))
+def ingest_totals(spark, sf):
+    """What an ingest reports for each source: chunks of text, of mapper statements and of methods."""
+    from cairn.plans.extract import method_chunk_rows, statement_chunk_rows
+
+    return ch.ingest_totals(text_chunks(spark, sf), statement_chunk_rows(spark, sf), method_chunk_rows(spark, sf))
+
+
 @query("s10_chunk_replace", with_tables(
     f"""{_CHUNKS} SELECT chunk_id, length(content) AS size FROM chunk WHERE source_key NOT IN (SELECT 'document:' || doc_id FROM labels WHERE quality = 0)
     UNION ALL SELECT 'document:' || doc_id || ':chunk:0', 7 FROM labels WHERE quality = 0""", DOCUMENT))
