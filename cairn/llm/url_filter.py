@@ -5,15 +5,18 @@ context mixes the context's own counts with the chance after the context's short
 context seen less than ``LEAST_CONTEXT`` times is skipped for its shorter one. A URL's score is the difference of the
 two log-likelihoods over its length, and it is blocked above a threshold calibrated on held-out labelled URLs.
 
-Which URLs are labelled is the caller's affair (``label``: 1 rejected, 0 accepted, null neither). The query rejects
-hosts that hold a term of ``REJECTED_TERMS`` as a word of their name, and accepts the others that no rule blocks.
+The models read the whole URL behind its scheme, query and fragment too, or all of a text without one, in lower case
+with digit runs folded; every other character is its own. Contexts go up to ``ORDER`` - 1 characters.
 
-Characters are folded to ``ALPHABET`` letters, digit runs to one, so there are at most 34^4 windows of four characters
-in all, whatever the corpus: counts, model and scores are tables of windows, made by grouping and small windows. The
-model is broadcast only if it has at most ``BROADCAST_ROWS`` rows, otherwise joined with Spark's skew handling.
+Which URLs are labelled is the caller's affair (``label``: 1 rejected, 0 accepted, null neither). No table says it, so
+the query takes seeds: URLs with one of ``REJECTED_TERMS`` as a word are rejected, URLs without any of them in any place
+that no rule blocks are accepted. What only contains a term, or is blocked by a rule, teaches nothing and is judged.
 
-Defined cases: a null URL or one without ``://`` has empty host and path, no rule, and the score of an empty text;
-without accepted or rejected examples nothing is blocked by the models; repeated rows are judged one by one; an empty
+Counts, model and scores are tables of windows, made by grouping and small windows; they grow with the corpus, and how
+the model is joined is left to Spark's size check.
+
+Defined cases: a null URL or one without ``://`` has empty host and path and no rule, and is judged by its text; an empty
+text has score 0 and is allowed; without accepted or rejected examples nothing is blocked by the models; repeated rows are judged one by one; an empty
 table gives no rows.
 """
 
@@ -26,14 +29,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cairn.functions.code import let
 from cairn.llm.common import table
 from cairn.llm.registry import query
 from cairn.session import cut
 
-ORDER = 4
-ALPHABET = 34
+#: Characters of a window, the last one after the others; a context seen less often is skipped for its ending.
+ORDER = 7
 LEAST_CONTEXT = 2
-BROADCAST_ROWS = 200_000
+#: Marks of the beginning and the end, of the private use area.
+START, END = "\ue000", "\ue001"
 FOLDS = 5
 BINS = 64
 
@@ -90,16 +95,20 @@ def verdict_of(rule: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return said
 
 
-def spelled(host: Column, path: Column) -> Column:
-    """What the models read: three start marks, the folded characters, an end mark."""
-    text = F.regexp_replace(F.lower(F.concat(host, path)), "[0-9]+", "0")
-    return F.concat(F.lit("^^^"), F.regexp_replace(text, "[^a-z0./_~-]", "~"), F.lit("$"))
+def spelled(url: Column) -> Column:
+    """What the models read: start marks, the text behind the scheme, an end mark."""
+    text = F.coalesce(url, F.lit(""))
+    text = F.when(F.instr(text, "://") > 0, _after_scheme(text)).otherwise(text)
+    return F.concat(F.lit(START * (ORDER - 1)), F.regexp_replace(F.lower(text), "[0-9]+", "0"), F.lit(END))
 
 
 def _windows(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """One row for each window of four characters: column ``gram``."""
-    at = F.explode(F.sequence(F.lit(1), F.length(text) - 3)).alias("at")
-    return df.select(*keep, text, at).select(*keep, F.substr(F.col(text), F.col("at"), F.lit(ORDER)).alias("gram"))
+    """One row for each window of a text: column ``gram``. The text is taken apart once, whatever its length."""
+    def grams(characters: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(characters) - (ORDER - 1))
+        return F.transform(places, lambda i: F.array_join(F.slice(characters, i, ORDER), ""))
+
+    return df.select(*keep, F.explode(let(F.split(text, ""), grams)).alias("gram"))
 
 
 def window_counts(urls: DataFrame) -> DataFrame:
@@ -111,14 +120,15 @@ def window_counts(urls: DataFrame) -> DataFrame:
 
 
 def window_scores(counts: DataFrame) -> DataFrame:
-    """gram, llr: log-likelihood of its last character after the three before it, rejected less accepted."""
+    """gram, llr: log-likelihood of its last character after those before it, rejected less accepted."""
     lower = None
     for k in range(1, ORDER + 1):
         ending = F.substring("gram", ORDER + 1 - k, k)
         level = counts.groupBy(ending.alias("s")).agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej"))
-        same = W.partitionBy(F.substring("s", 1, k - 1))  # at most ALPHABET rows share a context
+        same = W.partitionBy(F.substring("s", 1, k - 1))  # one row for each character that follows the context
         if lower is None:
-            level = level.withColumn("acc_below", F.lit(1.0 / ALPHABET)).withColumn("rej_below", F.lit(1.0 / ALPHABET))
+            # Below the single characters all that occur are equally likely.
+            level = level.withColumn("acc_below", 1 / F.count(F.lit(1)).over(same)).withColumn("rej_below", F.col("acc_below"))
         else:
             level = level.withColumn("end", F.substring("s", 2, k - 1)).join(lower, "end")
         for c in ("acc", "rej"):
@@ -131,10 +141,10 @@ def window_scores(counts: DataFrame) -> DataFrame:
 
 def scored(urls: DataFrame) -> DataFrame:
     """``urls`` (row, spelled, label, fold and more) with ``score``; the rows are read twice, so pass a stored table."""
-    grams = cut(window_scores(cut(window_counts(urls))))
-    model = F.broadcast(grams) if grams.count() <= BROADCAST_ROWS else grams
+    model = cut(window_scores(cut(window_counts(urls))))
     sums = _windows(urls, "spelled", "row").join(model, "gram").groupBy("row").agg(F.sum("llr").alias("sum"))
-    return urls.join(sums, "row").withColumn("score", F.col("sum") / (F.length("spelled") - 3)).drop("sum")
+    n = F.length("spelled") - (ORDER - 1)
+    return urls.join(sums, "row").withColumn("score", F.when(n > 1, F.col("sum") / n).otherwise(0.0)).drop("sum")
 
 
 def threshold(rows: DataFrame) -> float:
@@ -164,7 +174,7 @@ def prepared(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     parts = parts.na.fill("", ["host", "path"])
     ruled = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     return ruled.select(
-        "*", verdict_of(F.col("rule"), rules).alias("ruled"), spelled(F.col("host"), F.col("path")).alias("spelled"),
+        "*", verdict_of(F.col("rule"), rules).alias("ruled"), spelled(F.col("url")).alias("spelled"),
         F.pmod(F.crc32(F.encode(F.coalesce("url", F.lit("")), "UTF-8")), F.lit(FOLDS)).alias("fold"),
         F.monotonically_increasing_id().alias("row"))
 
@@ -172,10 +182,12 @@ def prepared(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, terms: tuple[str, ...] = REJECTED_TERMS) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every URL."""
     rows = prepared(pages, rules)
-    marked = F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(t) for t in terms]))
-    label = F.when(F.col("host") == "", F.lit(None)).when(marked, 1).when(F.coalesce("ruled", F.lit("allow")) == "allow", 0)
+    text = F.lower(F.coalesce("url", F.lit("")))
+    marked = F.arrays_overlap(F.split(text, "[^\\p{L}]+"), F.array(*[F.lit(t) for t in terms]))
+    hinted = text.rlike("|".join(terms))
+    label = F.when(marked, 1).when(~hinted & (text != "") & (F.coalesce("ruled", F.lit("allow")) == "allow"), 0)
     out = scored(cut(rows.withColumn("label", label.cast("int"))))
-    bound = threshold(out)
+    bound = max(threshold(out), 0.0)  # what is likelier among the accepted isn't blocked
     own = F.when(F.col("score") > F.lit(bound), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
 

@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from cairn.llm import url_filter as uf
 
 URLS = [
@@ -35,12 +37,14 @@ def test_hosts_paths_and_rules(spark):
 
 def brute_llr(texts, labels, gram):
     """Log-likelihood of a window's last character, rejected less accepted, by the recursion itself."""
-    grams = [[t[i:i + 4] for i in range(len(t) - 3)] for t in texts]
+    k = uf.ORDER
+    grams = [[t[i:i + k] for i in range(len(t) - k + 1)] for t in texts]
+    alphabet = len({g[-1] for gs in grams for g in gs})
 
     def p(label, s):
         if not s:
-            return 1 / uf.ALPHABET
-        ends = Counter(g[4 - len(s):] for gs, x in zip(grams, labels) for g in gs if x == label)
+            return 1 / alphabet
+        ends = Counter(g[k - len(s):] for gs, x in zip(grams, labels) for g in gs if x == label)
         n = sum(c for e, c in ends.items() if e[:-1] == s[:-1])
         kinds = sum(e[:-1] == s[:-1] for e in ends)
         below = p(label, s[1:])
@@ -50,15 +54,45 @@ def brute_llr(texts, labels, gram):
 
 
 def test_window_scores_match_the_recursion(spark):
-    texts = ["^^^abab$", "^^^abc$", "^^^casino$", "^^^casa$", "^^^bcd$"]
+    texts = [uf.START * (uf.ORDER - 1) + t + uf.END for t in ("abab", "abc漢", "casino", "casa", "bcd?é")]
     labels = [0, 0, 1, 1, None]
     urls = spark.createDataFrame([(t, x, 1) for t, x in zip(texts, labels)], "spelled string, label int, fold int")
     got = {r.gram: r.llr for r in uf.window_scores(uf.window_counts(urls)).collect()}
-    assert set(got) == {t[i:i + 4] for t in texts for i in range(len(t) - 3)}
+    assert set(got) == {t[i:i + uf.ORDER] for t in texts for i in range(len(t) - uf.ORDER + 1)}
     for g, llr in got.items():
         assert math.isclose(llr, brute_llr(texts, labels, g), abs_tol=1e-9), g
 
 
+def brute_bound(rows):
+    """The threshold by trying the middle between any two scores, and its mean of shares; ties by the first."""
+    held = sorted((r.score, r.label) for r in rows if r.fold == 0 and r.label is not None)
+    rej, acc = sum(x for _, x in held), sum(1 - x for _, x in held)
+    return max(sum(s <= b for s, x in held if not x) / acc + sum(s > b for s, x in held if x) / rej for b, _ in held)
+
+
+def test_threshold_parts_the_held_out_urls_best(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    text = F.lower("url")
+    marked = F.arrays_overlap(F.split(text, "[^a-z]+"), F.array(*[F.lit(t) for t in uf.REJECTED_TERMS]))
+    out = uf.scored(uf.cut(uf.prepared(pages).withColumn("label", marked.cast("int"))))
+    rows = out.collect()
+    bound = uf.threshold(out)
+    held = [r for r in rows if r.fold == 0]
+    share = sum(r.score <= bound for r in held if not r.label) / sum(not r.label for r in held) + sum(
+        r.score > bound for r in held if r.label) / sum(bool(r.label) for r in held)
+    assert share >= brute_bound(rows) - 0.02
+
+
+def test_hosts_never_seen_are_judged_by_their_letters(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    new = ["http://m.megacasino.example.org/en/1", "http://the-casinos.example.org/en/2", "https://clean.example.org/en/3?u=casino-win-free-bets", "casino-win",
+           "http://www.thersion.example.org/en/4", None, "", "hello world", "http://x" + "casino" * 50_000 + ".org/"]
+    more = spark.createDataFrame([(10**9 + i, u) for i, u in enumerate(new)], "page_id long, url string")
+    got = {r.page_id - 10**9: r for r in uf.judge(pages.select("page_id", "url").unionByName(more)).collect() if r.page_id >= 10**9}
+    assert [got[i].verdict for i in range(9)] == ["block", "block", "block", "block", "allow", "allow", "allow", got[7].verdict, "block"]
+    assert got[5].score == got[6].score == 0.0
+
+
 def test_rejected_hosts_are_blocked_and_clean_ones_allowed(spark):
     rows = uf.op3_url_filter(spark, "/root/testdata/sf0.01").collect()
     bad = [r for r in rows if r.rule is None and set(re.split("[.-]", r.host)) & set(uf.REJECTED_TERMS)]
@@ -67,8 +101,8 @@ def test_rejected_hosts_are_blocked_and_clean_ones_allowed(spark):
     assert sum(r.verdict == "allow" for r in clean) >= 0.99 * len(clean) > 0
 
 
-def test_large_model_is_joined_alike(spark, monkeypatch):
+def test_repeated_rows_and_clashing_columns(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
-    one = sorted((r.page_id, round(r.score, 9)) for r in uf.judge(pages).collect())
-    monkeypatch.setattr(uf, "BROADCAST_ROWS", 0)
-    assert one == sorted((r.page_id, round(r.score, 9)) for r in uf.judge(pages).collect())
+    docs = pages.unionByName(pages.limit(3)).withColumns({"row": F.lit(1), "score": F.lit("x"), "label": F.lit(9)})
+    got = uf.judge(docs).collect()
+    assert len(got) == docs.count() and len({(r.page_id, round(r.score, 9), r.verdict) for r in got}) == pages.count()
