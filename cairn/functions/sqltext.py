@@ -20,6 +20,8 @@ GENERATED_IGNORE = (
 )
 TABLE_FIELDS = ("table_name", "tablename", "table", "name")
 IGNORED_TABLE_TOKENS = ("table", "tables", "schema", "database", "public", "name", "type", "comment", "comments", "tb", "tbl", "t", "m")
+TABLE_KEYS = ("table_name", "tableName", "tablename", "table", "name")
+COLUMN_KEYS = ("column_name", "columnName", "column", "field", "name")
 COLUMN_FIELDS = ("column_name", "columnname", "column", "field", "name")
 IGNORED_COLUMN_TOKENS = (
     "column", "column_name", "columnname", "name", "type", "data_type", "datatype", "nullable", "null", "default", "comment",
@@ -136,32 +138,24 @@ def clean_column(candidate: Column) -> Column:
     return tx.strip(table_of(token))
 
 
-def _named_in_json(text: Column, fields: str) -> Column:
-    """String values of the naming fields anywhere in a JSON text."""
-    looks_json = F.ltrim(text).rlike("^[\\[{]")
-    values = F.regexp_extract_all(text, F.lit(f'"(?:{fields})"\\s*:\\s*"([^"]*)"'), F.lit(1))
-    return F.when(looks_json, values).otherwise(F.array().cast("array<string>"))
-
-
-def table_names(text: Column) -> Column:
-    """Table names in a tool's reply: JSON fields, ``table: x`` labels, piped cells, whole lines and their heads."""
+def table_names(text: Column, in_json: Column) -> Column:
+    """Table names in a tool's reply: those in its JSON, ``table: x`` labels, piped cells, whole lines and their heads."""
     lines = F.filter(F.transform(F.split(text, "\\R"), lambda s: tx.strip(s)), lambda s: s != "")
     from_lines = F.flatten(F.transform(lines, lambda s: F.when(F.contains(s, F.lit("|")), F.split(s, "\\|")).otherwise(
         F.array(s, F.when(F.instr(s, ":") > 1, F.substring_index(s, ":", 1)).otherwise(""),
                 F.when(F.instr(s, " - ") > 1, F.substring_index(s, " - ", 1)).otherwise("")))))
-    every = F.concat(
-        _named_in_json(text, "table_name|tableName|tablename|table|name"),
-        F.regexp_extract_all(text, F.lit(LABELED_TABLE), F.lit(1)), from_lines)
+    every = F.concat(in_json, F.regexp_extract_all(text, F.lit(LABELED_TABLE), F.lit(1)), from_lines)
     names = F.array_distinct(F.filter(
         F.transform(every, clean_table),
         lambda t: t.rlike(TABLE_PATTERN) & ~F.lower(t).isin(*TABLE_FIELDS) & ~F.lower(t).isin(*IGNORED_TABLE_TOKENS)))
     return F.slice(names, 1, TABLE_NAME_LIMIT)
 
 
-def column_names(text: Column) -> Column:
+def column_names(text: Column, in_json: Column) -> Column:
+    """Column names in a tool's reply: those in its JSON, first cells of piped lines and whole lines."""
     lines = F.filter(F.transform(F.split(text, "\\R"), lambda s: tx.strip(s)), lambda s: s != "")
     heads = F.transform(lines, lambda s: F.substring_index(s, "|", 1))
-    every = F.concat(_named_in_json(text, "column_name|columnName|column|field|name"), heads)
+    every = F.concat(in_json, heads)
     return F.array_distinct(F.filter(
         F.transform(every, clean_column),
         lambda c: c.rlike(COLUMN_PATTERN) & ~F.lower(c).isin(*COLUMN_FIELDS) & ~F.lower(c).isin(*IGNORED_COLUMN_TOKENS)))

@@ -355,6 +355,62 @@ def stamped(df: DataFrame, source_key: Column, file_hash: Column, at: Column, ex
         "graph_key": ids.graph_key(source_key)})
 
 
+def json_names(texts: DataFrame, keys: tuple[str, ...], every_string: bool) -> DataFrame:
+    """(id, place, name): what the JSON of ``texts`` (id, text) names, ordered by ``place``.
+
+    Of an object the first of the keys that has a text, before what the object holds; with ``every_string`` all texts
+    that aren't keys as well. Values keep their order and their kind (a text with JSON in it is a text). One level of
+    nesting is taken apart at a time, so the rounds are the depth of the deepest text.
+    """
+    none = F.array().cast("array<struct<key:string,raw:string,kind:string>>")
+
+    def entries(names, raw, kinds):
+        return F.transform(F.arrays_zip(names.alias("n"), raw.alias("r"), kinds.alias("k")), lambda e: F.struct(
+            e["n"].alias("key"), e["r"].alias("raw"), F.get(F.split(e["k"], "<"), 0).alias("kind")))
+
+    def kinds_of(values):
+        return F.transform(values, F.schema_of_variant)
+
+    def of_key(key):
+        return lambda e: (e["key"] == key) & (e["kind"] == "STRING") & (tx.strip(e["raw"]) != "")
+
+    def opened(level):
+        raw = F.col("raw")
+        fields = entries(F.map_keys(F.from_json(raw, "map<string,string>")), F.map_values(F.from_json(raw, "map<string,string>")),
+                         kinds_of(F.map_values(F.from_json(raw, "map<string,variant>"))))
+        items = F.from_json(raw, "array<string>")
+        listed = entries(F.transform(items, lambda _: F.lit(None).cast("string")), items, kinds_of(F.from_json(raw, "array<variant>")))
+        return level.withColumn("inside", F.coalesce(F.when(F.ltrim(raw).startswith("{"), fields).otherwise(listed), none))
+
+    valid = texts.where(F.try_parse_json("text").isNotNull()).select("id", F.array().cast("array<int>").alias("place"), F.col("text").alias("raw"))
+    alone = valid.where((F.schema_of_variant(F.try_parse_json("raw")) == "STRING") & F.lit(every_string))
+    made = [alone.select("id", "place", F.try_variant_get(F.try_parse_json("raw"), "$", "string").alias("name"))]
+    level = valid.where(F.ltrim("raw").rlike("^[\\[{]"))
+    while True:
+        parsed = cut(opened(level).select("id", "place", "inside"))
+        said = [F.get(F.filter("inside", of_key(k)), 0)["raw"] for k in keys]
+        made.append(parsed.select("id", F.array_append("place", F.lit(-1)).alias("place"), F.coalesce(*said).alias("name")).where("name IS NOT NULL"))
+        items = parsed.select("id", "place", F.posexplode("inside").alias("n", "e")).select("id", F.array_append("place", F.col("n")).alias("place"), "e.raw", "e.kind")
+        if every_string:
+            made.append(items.where("kind = 'STRING'").select("id", "place", F.col("raw").alias("name")))
+        level = items.where("kind IN ('OBJECT', 'ARRAY')").select("id", "place", "raw")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, made)
+
+
+def tool_names(replies: DataFrame) -> DataFrame:
+    """id, tables, columns: the names in tools' replies (id, text; one row for each id)."""
+    def gathered(found, name):
+        return found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("_l")).select(
+            "id", F.transform("_l", lambda x: x["name"]).alias(name))
+
+    none = F.array().cast("array<string>")
+    known = replies.join(gathered(json_names(replies, sqltext.TABLE_KEYS, True), "_tables"), "id", "left").join(
+        gathered(json_names(replies, sqltext.COLUMN_KEYS, False), "_columns"), "id", "left")
+    return known.select("id", sqltext.table_names(F.col("text"), F.coalesce("_tables", none)).alias("tables"),
+                        sqltext.column_names(F.col("text"), F.coalesce("_columns", none)).alias("columns"))
+
+
 def source_block(answers: DataFrame, requested: DataFrame) -> DataFrame:
     """First code block of an answer that declares the requested type; both carry ``answer_id``."""
     blocks = answers.select("answer_id", F.posexplode(code.code_blocks(F.col("content"))).alias("pos", "block"))

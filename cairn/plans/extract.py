@@ -482,20 +482,19 @@ def invalid_columns(spark, sf):
 
 def _tool_texts(spark, sf):
     key = _s("p_partkey")
-    j = F.concat(F.lit('{"tables":[{"table_name":"app.t_'), key, F.lit('","columns":[{"column_name":"c_'), key, F.lit('"}]}]}'))
+    j = F.concat(F.lit('{"tables":[{"kind":"base_'), key, F.lit('","table_name":"app.t_'), key, F.lit('","columns":[{"column_name":"c_'), key, F.lit('"}]},"u_'), key, F.lit('",["v_'), key, F.lit('"]]}'))
     labeled = F.concat(F.lit("Table: app.t_"), key, F.lit("\n- c_"), key, F.lit(": bigint, key"))
     piped = F.concat(F.lit("| a_"), key, F.lit(" | `b_"), key, F.lit("` |\nc_"), key, F.lit(" | int"))
     return lake.raw(spark, sf, "part").select(
         "p_partkey", F.when(F.col("p_size") < 15, j).when(F.col("p_size") < 30, labeled).otherwise(piped).alias("text"))
 
 
-@query("c19_tool_text_names", """SELECT p_partkey, CASE WHEN p_size < 15 THEN 'app.t_' || p_partkey WHEN p_size < 30 THEN 'app.t_' || p_partkey || ',c_' || p_partkey
+@query("c19_tool_text_names", """SELECT p_partkey, CASE WHEN p_size < 15 THEN 'app.t_' || p_partkey || ',base_' || p_partkey || ',c_' || p_partkey || ',u_' || p_partkey || ',v_' || p_partkey WHEN p_size < 30 THEN 'app.t_' || p_partkey || ',c_' || p_partkey
     ELSE 'a_' || p_partkey || ',b_' || p_partkey || ',c_' || p_partkey || ',int' END AS tables,
     CASE WHEN p_size < 15 THEN 'c_' || p_partkey WHEN p_size < 30 THEN 'Table,c_' || p_partkey ELSE 'c_' || p_partkey END AS columns FROM part""")
 def tool_text_names(spark, sf):
-    t = F.col("text")
-    return _tool_texts(spark, sf).select(
-        "p_partkey", F.array_join(sqltext.table_names(t), ",").alias("tables"), F.array_join(sqltext.column_names(t), ",").alias("columns"))
+    found = x.tool_names(_tool_texts(spark, sf).withColumnRenamed("p_partkey", "id"))
+    return found.select(F.col("id").alias("p_partkey"), F.array_join("tables", ",").alias("tables"), F.array_join("columns", ",").alias("columns"))
 
 
 @query("f17_clean_identifiers", """SELECT p_partkey, 'app.t_' || p_partkey AS table_name, 'c_' || p_partkey AS column_name FROM part""")

