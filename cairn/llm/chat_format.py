@@ -1,16 +1,24 @@
 """Chat formatting: records of any known layout become one marked text with a loss mask.
 
 A record's layout is told by its fingerprint, a hash of its sorted nested field paths (``messages[].role``). The
-fingerprint selects a declarative mapping that says where the turns are; unknown layouts give no turns and keep a
-null layout, so that they can be counted.
+fingerprint selects a declarative mapping that says where the turns are. Fields that no mapping knows don't hide a
+layout: a record whose fingerprint is unknown is looked up again by its known fields alone, a list or object in the
+place of a text counting as that text. Layouts unknown even then give no turns and keep a null layout, so that they can
+be counted.
 
 Template: ``### <role>: <text></turn>\\n`` for each turn. Inside role and text a backslash, the mark ``###``, the mark
 ``</turn>`` and, in a role, a colon or line break are escaped by a backslash before them; taking one backslash away
 before any character restores the text. The loss mask is a list of half-open ranges of code points of the formatted
 text, one for each assistant turn's escaped text.
 
-Defined cases: null texts and roles are empty; turns are ordered by turn, then role and text, null turns first; repeated
-rows are repeated turns; rows without a conv_id form one conversation; an empty table gives no rows.
+A conversation may come in pieces, records with a place in it. They are sorted over all partitions and formatted where
+they lie, so a long conversation is spread over many tasks; neighbours are put together in blocks of up to ``BLOCK``
+characters, and the conversation's text is that of its blocks in order. Reading back goes through a conversation's
+blocks one after the other, holding digests and one block, so no conversation is gathered, however long.
+
+Defined cases: null texts and roles are empty; a list of text parts is their text joined, anything else that isn't a
+string its JSON; pieces are ordered by place, then by a hash of their record, null places first; repeated rows are
+repeated pieces; rows without a conv_id form one conversation; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +27,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import sha1, sha256
 from itertools import combinations
 
@@ -26,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.bytescan import slices
 from cairn.llm.common import map_batches, table
 from cairn.llm.registry import query
 from cairn.session import cut
 
 LEARNED = "assistant"
+BLOCK = 1 << 20
 SPECIAL = -7
 SPECIAL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -67,8 +78,11 @@ MAPPINGS = (
             optional=("system", "input")),
     Mapping("messages", each=("messages", "role", "content"), roles=NAMES),
     Mapping("conversations", each=("conversations", "from", "value"), roles=NAMES),
-    Mapping("turn-rows", each=("turns", "role", "text"), ignored=("turns[].turn",)),
+    Mapping("turn-rows", each=("turns", "role", "text"), optional=("turns[].turn",), ignored=("turns[].turn",)),
+    Mapping("dialogue", each=("dialogue", "speaker", "utterance")),
+    Mapping("thread", each=("thread", "author", "body")),
 )
+ROW_LAYOUTS = ("turn-rows", "dialogue", "thread")  # they rename no role, so rows of turns can be told in any of them
 
 
 def field_paths(value, at: str = "") -> set[str]:
@@ -97,18 +111,41 @@ def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
 
 
 def _said(value) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value)
+    if isinstance(value, str):
+        return value
+    if isinstance(value, list):
+        parts = [x.get("text") if isinstance(x, dict) else x for x in value]
+        if any(isinstance(x, str) for x in parts):
+            return "".join(x for x in parts if isinstance(x, str))
+    return "" if value is None else json.dumps(value, ensure_ascii=False)
+
+
+@lru_cache
+def _known_fields(mappings: tuple[Mapping, ...]) -> tuple[frozenset[str], frozenset[str]]:
+    """Paths of texts, and names of lists of turns, which count only where the list is empty."""
+    return frozenset(p for m in mappings for p in m.paths()), frozenset(m.each[0] for m in mappings if m.each)
+
+
+def known_paths(paths: set[str], mappings: tuple[Mapping, ...]) -> set[str]:
+    """What the mappings know of a record's paths."""
+    texts, lists = _known_fields(mappings)
+    out = paths & lists
+    for p in paths:
+        ends = [len(p), *(m.start() for m in re.finditer(r"[.\[]", p))]
+        out |= {p[:e] for e in ends} & texts
+    return out
 
 
 def canonical(record: dict, known: dict[str, Mapping]) -> tuple[str | None, list[tuple[str, str]]]:
     """The record's layout and its turns as (role, text)."""
-    m = known.get(fingerprint(field_paths(record)))
-    if m is None:
+    paths = field_paths(record)
+    m = known.get(fingerprint(paths)) or known.get(fingerprint(known_paths(paths, tuple(dict.fromkeys(known.values())))))
+    if m is None or not isinstance(record, dict):
         return None, []
     if m.each:
         items, role, text = m.each
         rename = dict(m.roles)
-        turns = [(_said(x.get(role)), _said(x.get(text))) for x in record[items] or []]
+        turns = [(_said(x.get(role)), _said(x.get(text))) for x in record[items] or [] if isinstance(x, dict)]
         return m.name, [(rename.get(r, r), t) for r, t in turns]
     return m.name, [(role, _said(record[field])) for role, field in m.turns if field in record]
 
@@ -147,57 +184,140 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-FORMATTED = "conv_id long, layout string, formatted string, loss array<struct<start:long,end:long>>"
+FORMATTED = "conv_id long, place long, tie long, part long, layout string, formatted string, loss array<struct<start:long,end:long>>"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+class _Block:
+    """Formatted neighbours of one conversation, under the place of the first of them."""
+
+    def __init__(self, at: tuple, layout: str | None):
+        self.at, self.layout, self.size = at, layout, 0
+        self.texts: list[str] = []
+        self.loss: list[dict] = []
+
+    def takes(self, conv_id, layout: str | None, text: str) -> bool:
+        return self.at[0] == conv_id and self.layout == layout and self.size + len(text) <= BLOCK
+
+    def add(self, text: str, loss: list[tuple[int, int]]) -> None:
+        self.texts.append(text)
+        self.loss += [{"start": self.size + a, "end": self.size + b} for a, b in loss]
+        self.size += len(text)
+
 
+def _blocks_batch(blocks: list[_Block]) -> pa.RecordBatch:
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    at = [pa.array([b.at[k] for b in blocks], pa.int64()) for k in range(4)]
+    return pa.RecordBatch.from_arrays(
+        [*at, pa.array([b.layout for b in blocks], pa.string()), pa.array(["".join(b.texts) for b in blocks], pa.string()),
+         pa.array([b.loss for b in blocks], spans)], names=["conv_id", "place", "tie", "part", "layout", "formatted", "loss"])
 
-def format_records(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """``records`` (conv_id, record as JSON) formatted: conv_id, layout, formatted, loss. Broken JSON has no layout."""
+
+def format_records(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS, place: str | None = None) -> DataFrame:
+    """``records`` (conv_id, record as JSON) formatted: conv_id, layout, formatted, loss. Broken JSON has no layout.
+
+    ``place`` names the column that orders the records of one conversation, where it comes in pieces; without it every
+    record gives a row of its own. A conversation's rows are in order by place, tie and part; ranges of a row's loss
+    mask count from the start of its own text.
+    """
+    joined = place is not None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = registry(mappings)
-        for batch in batches:
-            rows = []
-            for text in batch.column("record").to_pylist():
-                try:
-                    layout, turns = canonical(json.loads(text or "null"), known)
-                except ValueError:
-                    layout, turns = None, []
-                formatted, loss = format_turns(turns)
-                rows.append((layout, formatted, [{"start": a, "end": b} for a, b in loss]))
-            spans = pa.array([r[2] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), spans],
-                names=["conv_id", "layout", "formatted", "loss"])
-
-    return map_batches(records.select(F.col("conv_id").cast("long").alias("conv_id"), "record"), work, FORMATTED)
+        block, part = None, 0
+        for whole in batches:
+            for batch in slices(whole, "record"):
+                done = []
+                columns = (batch.column(c).to_pylist() for c in ("conv_id", "place", "tie", "record"))
+                for conv_id, at, tie, record in zip(*columns, strict=True):
+                    try:
+                        layout, turns = canonical(json.loads(record or "null"), known)
+                    except (ValueError, RecursionError):
+                        layout, turns = None, []
+                    text, loss = format_turns(turns)
+                    if block is None or not joined or not block.takes(conv_id, layout, text):
+                        done += [block] if block else []
+                        block, part = _Block((conv_id, at, tie, part), layout), part + 1
+                    block.add(text, loss)
+                if done:
+                    yield _blocks_batch(done)
+        if block:
+            yield _blocks_batch([block])
+
+    rows = records.select(
+        F.col("conv_id").cast("long").alias("conv_id"), (F.col(place) if joined else F.lit(0)).cast("long").alias("place"),
+        F.xxhash64("record").alias("tie"), "record")
+    if joined:
+        rows = rows.repartitionByRange("conv_id", "place", "tie").sortWithinPartitions("conv_id", "place", "tie")
+    return map_batches(rows, work, FORMATTED)
+
+
+class _Read:
+    """What has been read of one conversation."""
+
+    def __init__(self, conv_id):
+        self.conv_id, self.n_turns, self.n_loss, self.n_chars = conv_id, 0, 0, 0
+        self.turns, self.loss = sha256(), sha256()
+
+    def add(self, text: str, loss: list[dict]) -> None:
+        for role, said in parse_turns(text):
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{said}\n".encode())
+        for x in loss:
+            learned = unescape(text[x["start"]: x["end"]])
+            self.n_loss += len(learned)
+            self.loss.update(learned.encode())
+        self.n_chars += len(text)
+
+    def row(self) -> tuple:
+        return self.conv_id, self.n_turns, self.turns.hexdigest(), self.n_loss, self.loss.hexdigest(), self.n_chars
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what formatted texts and their loss masks say."""
+    """Digests of what the conversations' formatted texts and their loss masks say.
+
+    A digest depends on all turns in order, so the blocks of a conversation go through one task, one at a time.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = [c.split()[0] for c in DIGESTS.split(", ")]
+
+    def told(done: list[_Read]) -> pa.RecordBatch:
+        columns = zip(*(r.row() for r in done), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, loss in zip(batch.column("formatted").to_pylist(), batch.column("loss").to_pylist(), strict=True):
-                turns = parse_turns(text)
-                all_turns = sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                learned = "".join(unescape(text[x["start"]: x["end"]]) for x in loss)
-                rows.append((len(turns), all_turns, len(learned), sha256(learned.encode()).hexdigest(), len(text)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))],
-                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return map_batches(
-        formatted.select("conv_id", "formatted", "loss"), work,
-        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+        now = None
+        for whole in batches:
+            for batch in slices(whole, "formatted"):
+                done = []
+                columns = (batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss"))
+                for conv_id, text, loss in zip(*columns, strict=True):
+                    if now is None or now.conv_id != conv_id:
+                        done += [now] if now else []
+                        now = _Read(conv_id)
+                    now.add(text, loss)
+                if done:
+                    yield told(done)
+        if now:
+            yield told([now])
+
+    ordered = formatted.drop("layout").repartition("conv_id").sortWithinPartitions("conv_id", "place", "tie", "part")
+    return map_batches(ordered, work, DIGESTS)
 
 
 def turn_records(turns: DataFrame) -> DataFrame:
-    """Rows of turns (conv_id, turn, role, text) as one record for each conversation."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return listed.select("conv_id", F.to_json(F.struct("turns"), {"ignoreNullFields": "false"}).alias("record"))
+    """Rows of turns (conv_id, turn, role, text) as records of one turn each: conv_id, turn, record.
+
+    The conversation's id decides in which of ``ROW_LAYOUTS`` its turns are told.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    kind = F.pmod(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)), F.lit(len(ROW_LAYOUTS)))
+    record = None
+    for k, name in enumerate(ROW_LAYOUTS):
+        items, of_role, of_text = next(m.each for m in MAPPINGS if m.name == name)
+        told = F.to_json(F.struct(F.array(F.struct(role.alias(of_role), text.alias(of_text))).alias(items)))
+        record = F.when(kind == k, told) if record is None else record.when(kind == k, told)
+    return turns.select("conv_id", "turn", record.alias("record"))
 
 
 @query("op8_chat_format")
@@ -206,4 +326,4 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     special = spark.createDataFrame(
         [(SPECIAL, 0, "user", SPECIAL_TEXT), (SPECIAL, 1, LEARNED, SPECIAL_TEXT)], stored.schema)
-    return read_back(cut(format_records(turn_records(stored.unionByName(special)))))
+    return read_back(cut(format_records(turn_records(stored.unionByName(special)), place="turn")))
