@@ -7,7 +7,8 @@ label. A document's score is the mean of its lines' marginal probabilities of go
 algorithm, weighted by line length.
 
 The fit takes ``PER_LABEL`` documents of each label at most (those with the least hashes, a bounded sample) from the
-training rows alone; their line features are gathered and fitted on the driver. Scoring is row-wise: whole texts, no
+training rows alone, and of these only such as have up to ``LINES_OF_ONE`` lines, until ``FIT_LINES`` lines of a label
+are reached; the features of these lines are gathered and fitted on the driver. Scoring is row-wise: whole texts, no
 shuffle, and the model that tasks get has a fixed size.
 
 Defined cases: a null or empty text is one empty line; with one label or none to learn from, every score is the share
@@ -23,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cairn.llm.bytescan import joined, mix, slices, spans, word_hashes
 from cairn.llm.common import map_batches, table, text_of
 from cairn.llm.registry import query
 
 PER_LABEL = 1500
+FIT_LINES, LINES_OF_ONE = 200_000, 5_000
 HELD_OUT = 1
 WINDOW = 3
 
@@ -165,15 +168,23 @@ def fold(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and quality of up to ``PER_LABEL`` documents of each label that are not held out.
+    """text and quality of up to ``PER_LABEL`` documents and ``FIT_LINES`` lines of each label that are not held out.
 
-    The chosen ids are at most twice ``PER_LABEL`` rows, which bounds what is broadcast.
+    The chosen ids are at most twice ``PER_LABEL`` rows, which bounds what is broadcast and what the window orders.
     """
     free = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(fold(F.col("doc_id")) != HELD_OUT)
     free = free.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     some = [free.where(F.col("quality") == q).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(PER_LABEL) for q in (0, 1)]
     chosen = some[0].union(some[1]).withColumnRenamed("doc_id", "chosen")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("quality", text_of().alias("text"))
+
+    def of(ids: DataFrame) -> DataFrame:
+        return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("chosen"))
+
+    lines = F.length(text_of()) - F.length(F.replace(text_of(), F.lit("\n"))) + 1
+    sized = of(chosen).groupBy("chosen", "quality").agg(F.sum(lines).alias("lines")).where(F.col("lines") <= LINES_OF_ONE)
+    so_far = F.sum("lines").over(W.partitionBy("quality").orderBy(F.md5(F.col("chosen").cast("string"))))
+    taken = sized.withColumn("so_far", so_far).where(F.col("so_far") <= FIT_LINES).select("chosen", "quality")
+    return of(taken).select("quality", text_of().alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Chain | float:

@@ -2,6 +2,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from cairn.llm import line_crf as lc
 from tests.llm.helpers import awkward, empty
@@ -60,3 +61,17 @@ def test_awkward_rows(spark):
     assert {r.score for r in lc.score_documents(docs, 0.5).collect()} == {0.5}
     assert lc.score_documents(empty(spark), model).count() == 0
     assert lc.train(empty(spark), labels) == 0.5
+
+
+def test_lines_of_the_fit_are_bounded(spark, monkeypatch):
+    rows = [(k, "\n".join(["x"] * k)) for k in range(1, 60)] + [(7, "again\nand again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("quality", F.lit("clash"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 60)], "doc_id long, quality int")
+    free = {r.doc_id for r in labels.where(lc.fold(F.col("doc_id")) != lc.HELD_OUT).collect()}
+    everything = [(r.quality, r.text) for r in lc.training_rows(docs, labels).collect()]
+    assert sorted(everything) == sorted((k % 2, t) for k, t in rows if k in free)
+    monkeypatch.setattr(lc, "FIT_LINES", 100)
+    monkeypatch.setattr(lc, "LINES_OF_ONE", 40)
+    some = [(r.quality, r.text.count("\n") + 1) for r in lc.training_rows(docs, labels).collect()]
+    assert {q for q, _ in some} == {0, 1} and max(n for _, n in some) <= 40
+    assert all(sum(n for q, n in some if q == k) <= 100 for k in (0, 1))
