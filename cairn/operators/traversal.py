@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cairn.functions.text import clamp, non_blank
 from cairn.operators.graph import RELATIONSHIP_TYPES, internal_types, role, table_edges, type_edges
@@ -70,6 +71,47 @@ def neighbourhood_edges(edges: DataFrame, visited: DataFrame, limit: int = MAX_E
     return inside.select("type", "src", "dst", "graph_key").orderBy("type", "src", "dst", "graph_key").limit(clamp(limit, 1, MAX_EDGES))
 
 
+def neighbourhoods(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, project: str = "",
+                   max_nodes: int = MAX_NODES, types: tuple[str, ...] = NEIGHBOURHOOD_TYPES) -> DataFrame:
+    """``neighbourhood`` of many requests at once: request, uid, depth from the seeds (request, uid) of each.
+
+    Frontier and visited nodes are keyed by request and grow together, so hops and not requests set the number of jobs.
+    Every request has a node limit of its own. Their number isn't bounded, so nothing is broadcast by hand.
+    """
+    depth, max_nodes = clamp(depth, 1, MAX_DEPTH), clamp(max_nodes, 1, MAX_NODES)
+    allowed = (nodes.where(F.col("project_id") == project) if project else nodes).select("uid")
+    both_ways = edges.where(F.col("type").isin(*types)).select(
+        F.explode(F.array(F.struct(F.col("src").alias("near"), F.col("dst").alias("uid")),
+                          F.struct(F.col("dst").alias("near"), F.col("src").alias("uid")))).alias("e")).select("e.*").distinct()
+
+    def first(rows: DataFrame, limit, *order: str) -> DataFrame:
+        return rows.withColumn("_n", F.row_number().over(W.partitionBy("request").orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
+
+    hit = F.col("hit") if "hit" in seeds.columns else F.lit(0)
+    named = seeds.select("request", non_blank(F.col("uid")).alias("uid"), hit.alias("hit")).where("uid IS NOT NULL AND request IS NOT NULL")
+    asked = first(named.groupBy("request", "uid").agg(F.min("hit").alias("hit")), MAX_SEEDS, "hit", "uid")
+    visited = cut(first(asked.join(allowed, "uid", "left_semi"), max_nodes, "hit", "uid").select("request", "uid", F.lit(0).alias("depth")))
+    frontier = visited
+    for hop in range(1, depth + 1):
+        room = visited.groupBy("request").agg((max_nodes - F.count(F.lit(1))).alias("room")).where("room > 0")
+        step = frontier.join(room, "request").select("request", "room", F.col("uid").alias("near")).join(both_ways, "near")
+        new = step.select("request", "room", "uid").distinct().join(visited, ["request", "uid"], "left_anti").join(allowed, "uid", "left_semi")
+        frontier = cut(first(new, F.least(F.col("room"), F.lit(max_nodes)), "uid").select("request", "uid", F.lit(hop).alias("depth")))
+        if frontier.isEmpty():
+            break
+        visited = cut(visited.unionByName(frontier))
+    return visited
+
+
+def neighbourhoods_edges(edges: DataFrame, visited: DataFrame, limit: int = MAX_EDGES) -> DataFrame:
+    """Relationships inside each request's neighbourhood, ordered and capped for each request."""
+    ends = visited.select("request", "uid")
+    inside = edges.select("type", "src", "dst", "graph_key").join(ends.withColumnRenamed("uid", "src"), "src").join(
+        ends.withColumnRenamed("uid", "dst"), ["request", "dst"], "left_semi")
+    place = F.row_number().over(W.partitionBy("request").orderBy("type", "src", "dst", "graph_key"))
+    return inside.withColumn("_n", place).where(F.col("_n") <= clamp(limit, 1, MAX_EDGES)).select("request", "type", "src", "dst", "graph_key")
+
+
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """All nodes reachable along ``edges`` (src, dst) from ``start`` (uid), the start included."""
     frontier = cut(start.select("uid").distinct())

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
 from cairn.operators import graph as g
+from cairn.operators import source_routes as sr
 from cairn.operators import traversal as tr
 from cairn.plans.oracle_tables import DOCUMENT, GRAPH, with_tables
 from cairn.plans.registry import query
@@ -101,6 +102,53 @@ def node_source(spark, sf):
     return g.node_source(*_graph(spark, sf), declares="CONTAINS")
 
 
+_ROUTES = """part_of AS (SELECT dst AS uid, min(src) AS file FROM edge WHERE type = 'CONTAINS' GROUP BY 1),
+has AS (SELECT dst AS uid, min(src) AS owner FROM edge WHERE type = 'HAS_METHOD' GROUP BY 1),
+told AS (SELECT n.*, f.name AS f_name, o.name AS o_name, o.package_name AS o_package, o.uid AS o_uid, tf.name AS tf_name,
+    CASE WHEN n.uid LIKE 'method:s:%' THEN substr(n.uid, 10)::BIGINT END AS history_id
+    FROM node n LEFT JOIN part_of p ON n.uid = p.uid LEFT JOIN node f ON f.uid = p.file LEFT JOIN has h ON n.uid = h.uid LEFT JOIN node o ON o.uid = h.owner
+    LEFT JOIN part_of tp ON tp.uid = o.uid LEFT JOIN node tf ON tf.uid = tp.file),
+named AS (SELECT *, CASE WHEN label = 'JavaType' THEN package_name || '.' || name WHEN o_name IS NOT NULL THEN o_package || '.' || o_name ELSE '' END AS fqn,
+    CASE WHEN label = 'JavaType' THEN name WHEN o_name IS NOT NULL THEN o_name ELSE name END AS simple_name,
+    CASE WHEN uid LIKE 'type:c:%' THEN 'document:' || substr(uid, 8) WHEN o_uid LIKE 'type:c:%' THEN 'document:' || substr(o_uid, 8) ELSE '' END AS source_key FROM told),
+cat AS (SELECT graph_source_key, arg_min(original_file_name, id) AS file, arg_min(file_path, id) AS path, arg_min(CASE WHEN index_status <> 'FAILED' THEN content END, id) AS body
+    FROM document WHERE deleted_at IS NULL AND graph_source_key IS NOT NULL GROUP BY 1),
+made AS (SELECT conv_id, arg_min(text, turn) AS body FROM conversations WHERE turn % 2 = 1 GROUP BY 1),
+joined AS (SELECT n.*, c.file, coalesce(c.path, '') AS file_path, CASE WHEN trim(c.body) <> '' THEN c.body END AS c_body,
+    CASE WHEN trim(m.body) <> '' THEN m.body END AS m_body,
+    CASE WHEN label = 'Package' THEN 'package ' || name WHEN f_name IS NOT NULL THEN 'package ' || f_name WHEN tf_name IS NOT NULL THEN 'package ' || tf_name END AS own
+    FROM named n LEFT JOIN cat c ON n.source_key = c.graph_source_key LEFT JOIN made m ON n.history_id = m.conv_id)"""
+
+
+@query("j12_source_routes", with_tables(
+    f"""{_ROUTES} SELECT uid, label, name, fqn, simple_name,
+    coalesce(file, CASE WHEN label = 'Package' THEN name || '.txt' ELSE coalesce(f_name, tf_name) || '.txt' END, simple_name || '.java') AS file_name,
+    CASE WHEN label = 'Package' OR f_name IS NOT NULL THEN 'package' WHEN tf_name IS NOT NULL THEN 'package' ELSE '' END AS source_kind,
+    source_key, file_path, length(coalesce(c_body, m_body, own, '')) AS content_chars,
+    CASE WHEN coalesce(c_body, m_body, own, '') <> '' THEN '' WHEN file_path <> '' THEN 'file' WHEN source_key <> '' THEN 'catalog row' ELSE 'source' END AS missing FROM joined""",
+    GRAPH, DOCUMENT))
+def source_routes(spark, sf):
+    """Packages stand for source files, customer types come from a document, methods of suppliers from a generation."""
+    nodes, edges = _graph(spark, sf)
+    of_type = F.col("label") == "JavaType"
+    is_package = F.col("label") == "Package"
+    own = {
+        "fqn": F.when(of_type, F.concat_ws(".", "package_name", "name")), "simpleName": F.when(of_type, F.col("name")),
+        "source": F.when(F.col("uid").startswith("type:c:"), F.concat(F.lit("document:"), F.substr("uid", F.lit(8)))),
+        "historyId": F.when(F.col("uid").startswith("method:s:"), F.substr("uid", F.lit(10))),
+        "fileName": F.when(is_package, F.concat("name", F.lit(".txt"))), "sourceKind": F.when(is_package, F.lit("package")),
+        "sourceContent": F.when(is_package, F.concat(F.lit("package "), "name"))}
+    props = F.map_from_arrays(F.array(*[F.lit(k) for k in own]), F.array(*own.values()))
+    docs = lake.documents_catalog(spark, sf).where("deleted_at IS NULL").select(
+        "id", "graph_source_key", "original_file_name", "file_path", F.when(F.col("index_status") != "FAILED", F.col("content")).alias("content"))
+    turns = lake.raw(spark, sf, "conversations").where("turn % 2 = 1")
+    supplier = F.concat(F.lit("Supplier#"), F.lpad(F.col("conv_id").cast("string"), 9, "0"))
+    blocks = turns.select(F.col("conv_id").cast("long").alias("history_id"), F.col("turn").alias("place"), F.lit(None).cast("string").alias("fqn"),
+                          supplier.alias("simple_name"), F.col("text").alias("content"))
+    found = sr.node_sources(nodes.withColumn("props", props), edges, docs, blocks, declares="CONTAINS", file_label="Package")
+    return found.select(*[c for c in found.columns if c not in ("content", "missing")], F.length("content").cast("long").alias("content_chars"), "missing")
+
+
 @query("a5_label_counts", with_tables(
     f"{_LABELS_SQL} SELECT label, count(*) AS node_count FROM (SELECT unnest(labels) AS label FROM tagged) GROUP BY 1", GRAPH))
 def label_counts(spark, sf):
@@ -490,6 +538,36 @@ def orphan_cascade(spark, sf):
     return left.groupBy("type", "graph_key").agg(F.count(F.lit(1)).alias("edge_count"))
 
 
+_MANY = """und AS (SELECT DISTINCT src AS near, dst AS uid FROM edge WHERE type NOT IN ('CONTAINS', 'GENERATED', 'INGESTED')
+        UNION SELECT DISTINCT dst, src FROM edge WHERE type NOT IN ('CONTAINS', 'GENERATED', 'INGESTED')),
+ok AS (SELECT uid FROM node WHERE project_id = 'commerce'),
+h0 AS (SELECT uid AS request, uid, 0 AS depth FROM node WHERE uid LIKE 'type:s:%' AND project_id = 'commerce'),
+h1 AS (SELECT DISTINCT h.request, u.uid, 1 AS depth FROM h0 h JOIN und u ON u.near = h.uid SEMI JOIN ok ON u.uid = ok.uid WHERE u.uid <> h.request),
+h2 AS (SELECT DISTINCT h.request, u.uid, 2 AS depth FROM h1 h JOIN und u ON u.near = h.uid SEMI JOIN ok ON u.uid = ok.uid
+       ANTI JOIN h1 x ON x.request = h.request AND x.uid = u.uid WHERE u.uid <> h.request),
+around AS (SELECT * FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2) QUALIFY row_number() OVER (PARTITION BY request ORDER BY depth, uid) <= 50)"""
+
+
+def _all_around(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    asked = nodes.where(F.col("uid").startswith("type:s:")).select(F.col("uid").alias("request"), "uid")
+    return tr.neighbourhoods(nodes, edges, asked, 2, "commerce", max_nodes=50), edges
+
+
+@query("g1_many_neighbourhoods", with_tables(f"{_MANY} SELECT request, uid, depth FROM around", GRAPH))
+def many_neighbourhoods(spark, sf):
+    """The surroundings of every supplier type, each with its own limit, in one loop."""
+    return _all_around(spark, sf)[0]
+
+
+@query("g1_many_neighbourhood_edges", with_tables(
+    f"""{_MANY} SELECT a.request, e.type, e.src, e.dst, e.graph_key FROM edge e JOIN around a ON e.src = a.uid SEMI JOIN around b ON b.request = a.request AND b.uid = e.dst
+    QUALIFY row_number() OVER (PARTITION BY a.request ORDER BY e.type, e.src, e.dst, e.graph_key) <= 60""", GRAPH))
+def many_neighbourhood_edges(spark, sf):
+    visited, edges = _all_around(spark, sf)
+    return tr.neighbourhoods_edges(edges, visited, 60)
+
+
 _WALK = """seed AS (SELECT uid FROM node WHERE label = 'JavaType' AND name LIKE 'Base%' ORDER BY uid LIMIT 100),
 und AS (SELECT DISTINCT src AS near, dst AS uid FROM edge WHERE type NOT IN ('CONTAINS', 'GENERATED', 'INGESTED')
         UNION SELECT DISTINCT dst, src FROM edge WHERE type NOT IN ('CONTAINS', 'GENERATED', 'INGESTED')),

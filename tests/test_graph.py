@@ -147,3 +147,37 @@ def test_seeds_are_taken_in_the_order_of_their_hits(spark):
     rows = [("a", 3), ("b", 1), ("c", 2), (" ", 0), ("b", 9)]
     seeds = tr.seed_ids(spark.createDataFrame(rows, "uid string, hit int"), limit=2)
     assert {r.uid for r in seeds.collect()} == {"b", "c"}
+
+
+def test_a_thousand_requests_equal_their_single_answers(spark):
+    rng = random.Random(5)
+    names = [f"n{i:03d}" for i in range(300)]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(500)] + [("n000", n) for n in names[100:200]]
+    nodes, edges = frames(spark, [node(n, project="q" if n.endswith("7") else "p") for n in names], [(a, b, "CALLS") for a, b in pairs])
+    asked = [(r, uid) for r in range(1000) for uid in rng.sample([*names, "absent", " "], rng.choice((1, 1, 3)))]
+    seeds = spark.createDataFrame(asked, "request int, uid string")
+    got = {}
+    for r in tr.neighbourhoods(nodes, edges, seeds, 3, "p", max_nodes=40).collect():
+        got.setdefault(r.request, []).append((r.depth, r.uid))
+    near = {n: set() for n in names}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    wanted = {}
+    for r, uid in asked:
+        wanted.setdefault(r, set()).add(uid)
+    for r, start in wanted.items():
+        found = {u: 0 for u in start if u in near and not u.endswith("7")}
+        for hop in (1, 2, 3):
+            for u in [u for u, d in found.items() if d == hop - 1]:
+                for v in near[u]:
+                    if not v.endswith("7"):
+                        found.setdefault(v, hop)
+        assert sorted(got.get(r, [])) == sorted((d, u) for u, d in found.items())[:40]
+    some = [r for r in range(1000) if r in got][:2]
+    for r in some:
+        one = tr.neighbourhood(nodes, edges, seeds.where(F.col("request") == r).select("uid"), 3, "p", max_nodes=40)
+        assert sorted((x.depth, x.uid) for x in one.collect()) == sorted(got[r])
+    visited = spark.createDataFrame([(r, u) for r in some for _, u in got[r]], "request int, uid string")
+    inside = {(x.request, x.src, x.dst) for x in tr.neighbourhoods_edges(edges, visited).collect()}
+    assert inside == {(r, a, b) for r in some for a, b in pairs if {a, b} <= {u for _, u in got[r]}}
