@@ -77,15 +77,19 @@ def neighbourhoods(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth:
 
     Frontier and visited nodes are keyed by request and grow together, so hops and not requests set the number of jobs.
     Every request has a node limit of its own. Their number isn't bounded, so nothing is broadcast by hand.
+
+    Only the first ``max_nodes`` allowed neighbours of a node are joined to the requests that reach it: no more than the
+    visited ones of a request drop out, and the others fill its room. So a node of high degree doesn't send all its
+    neighbours to each of its many requests.
     """
     depth, max_nodes = clamp(depth, 1, MAX_DEPTH), clamp(max_nodes, 1, MAX_NODES)
     allowed = (nodes.where(F.col("project_id") == project) if project else nodes).select("uid")
     both_ways = edges.where(F.col("type").isin(*types)).select(
         F.explode(F.array(F.struct(F.col("src").alias("near"), F.col("dst").alias("uid")),
-                          F.struct(F.col("dst").alias("near"), F.col("src").alias("uid")))).alias("e")).select("e.*").distinct()
+                          F.struct(F.col("dst").alias("near"), F.col("src").alias("uid")))).alias("e")).select("e.*")
 
-    def first(rows: DataFrame, limit, *order: str) -> DataFrame:
-        return rows.withColumn("_n", F.row_number().over(W.partitionBy("request").orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
+    def first(rows: DataFrame, limit, *order: str, by: str = "request") -> DataFrame:
+        return rows.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
 
     hit = F.col("hit") if "hit" in seeds.columns else F.lit(0)
     named = seeds.select("request", non_blank(F.col("uid")).alias("uid"), hit.alias("hit")).where("uid IS NOT NULL AND request IS NOT NULL")
@@ -94,8 +98,10 @@ def neighbourhoods(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth:
     frontier = visited
     for hop in range(1, depth + 1):
         room = visited.groupBy("request").agg((max_nodes - F.count(F.lit(1))).alias("room")).where("room > 0")
-        step = frontier.join(room, "request").select("request", "room", F.col("uid").alias("near")).join(both_ways, "near")
-        new = step.select("request", "room", "uid").distinct().join(visited, ["request", "uid"], "left_anti").join(allowed, "uid", "left_semi")
+        asking = frontier.join(room, "request").select("request", "room", F.col("uid").alias("near"))
+        found = both_ways.join(asking.select("near").distinct(), "near", "left_semi").distinct().join(allowed, "uid", "left_semi")
+        step = asking.join(first(found, max_nodes, "uid", by="near"), "near")
+        new = step.select("request", "room", "uid").distinct().join(visited, ["request", "uid"], "left_anti")
         frontier = cut(first(new, F.least(F.col("room"), F.lit(max_nodes)), "uid").select("request", "uid", F.lit(hop).alias("depth")))
         if frontier.isEmpty():
             break

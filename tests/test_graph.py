@@ -181,3 +181,35 @@ def test_a_thousand_requests_equal_their_single_answers(spark):
     visited = spark.createDataFrame([(r, u) for r in some for _, u in got[r]], "request int, uid string")
     inside = {(x.request, x.src, x.dst) for x in tr.neighbourhoods_edges(edges, visited).collect()}
     assert inside == {(r, a, b) for r in some for a, b in pairs if {a, b} <= {u for _, u in got[r]}}
+
+
+def _written(spark, action):
+    """Records that an action's stages shuffled, with joins that shuffle."""
+    status, gateway = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def total():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        empty = spark._jvm.java.util.ArrayList
+        stages = status.stageList(empty(), False, False, gateway.new_array(gateway.jvm.double, 0), empty())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before, limit = total(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        result = action()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    return result, sum(n for k, n in total().items() if k not in before)
+
+
+def test_requests_at_one_hub_do_not_each_fetch_all_its_neighbours(spark):
+    names = [f"t{i:04}" for i in range(600)]
+    nodes, edges = frames(spark, [node(n) for n in [*names, "hub"]], [("hub", n, "CALLS") for n in names])
+    seeds = spark.createDataFrame([(n, n) for n in names], "request string, uid string")
+    got, written = _written(spark, lambda: tr.neighbourhoods(nodes, edges, seeds, 2, "p", max_nodes=5).collect())
+    around = {}
+    for r in got:
+        around.setdefault(r.request, {})[r.uid] = r.depth
+    for n in names:
+        assert around[n] == {n: 0, "hub": 1, **dict.fromkeys([m for m in names if m != n][:3], 2)}
+    assert written < 100_000  # 360,000 neighbours in all
