@@ -110,10 +110,18 @@ def neighbourhoods(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth:
 
 
 def neighbourhoods_edges(edges: DataFrame, visited: DataFrame, limit: int = MAX_EDGES) -> DataFrame:
-    """Relationships inside each request's neighbourhood, ordered and capped for each request."""
+    """Relationships inside each request's neighbourhood, ordered and capped for each request.
+
+    An edge is handed to the requests that hold the rarer of its ends, and they are asked for the other one.
+    """
     ends = visited.select("request", "uid")
-    inside = edges.select("type", "src", "dst", "graph_key").join(ends.withColumnRenamed("uid", "src"), "src").join(
-        ends.withColumnRenamed("uid", "dst"), ["request", "dst"], "left_semi")
+    held = ends.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+    known = edges.select("type", "src", "dst", "graph_key").join(held.select(F.col("uid").alias("src"), F.col("n").alias("_s")), "src").join(
+        held.select(F.col("uid").alias("dst"), F.col("n").alias("_d")), "dst")
+    rarer = F.col("_s") <= F.col("_d")
+    sided = known.select("type", "src", "dst", "graph_key", F.when(rarer, F.col("src")).otherwise(F.col("dst")).alias("near"),
+                         F.when(rarer, F.col("dst")).otherwise(F.col("src")).alias("far"))
+    inside = sided.join(ends.withColumnRenamed("uid", "near"), "near").join(ends.withColumnRenamed("uid", "far"), ["request", "far"], "left_semi")
     place = F.row_number().over(W.partitionBy("request").orderBy("type", "src", "dst", "graph_key"))
     return inside.withColumn("_n", place).where(F.col("_n") <= clamp(limit, 1, MAX_EDGES)).select("request", "type", "src", "dst", "graph_key")
 

@@ -213,3 +213,7 @@ def test_requests_at_one_hub_do_not_each_fetch_all_its_neighbours(spark):
     for n in names:
         assert around[n] == {n: 0, "hub": 1, **dict.fromkeys([m for m in names if m != n][:3], 2)}
     assert written < 100_000  # 360,000 neighbours in all
+    visited = spark.createDataFrame([(r.request, r.uid) for r in got], "request string, uid string")
+    inside, written = _written(spark, lambda: tr.neighbourhoods_edges(edges, visited).collect())
+    assert {(x.request, x.dst) for x in inside} == {(n, m) for n in names for m in around[n] if m != "hub"} and len(inside) == 4 * 600
+    assert written < 50_000
