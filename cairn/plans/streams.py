@@ -41,8 +41,8 @@ class _Streamed:
         return self
 
     def parquet(self, path):
-        folder, file = path.rsplit("/", 1)
-        return self.reader.option("pathGlobFilter", file).parquet(folder)
+        """A table is a file or a folder of files; a stream takes a single file only by a pattern."""
+        return self.reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 @query("st1_inbox_ingest", with_tables(

@@ -39,3 +39,11 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+
+
+@pytest.mark.parametrize("name", ["s4_inbox_chunks", "st1_inbox_ingest"])
+def test_streams_read_tables_of_many_files(spark, duck, name, tmp_path):
+    spark.read.parquet(f"{SF_DIR}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    cur = duck.execute(ORACLE[name])
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([d[0] for d in cur.description], cur.fetchall())
