@@ -97,13 +97,16 @@ class GraphStore:
     # Replacing
 
     def _replace(self, name: str, rows: DataFrame, within: list[int]) -> None:
-        """The buckets ``within`` get these rows instead of theirs."""
+        """The buckets ``within`` get these rows instead of theirs.
+
+        A bucket can hold a key with most of all rows, so a large one is dealt to several tasks and files.
+        """
         if not within:
             return
         schema, bucket = _KEYED[name]
         columns = [*self.spark.createDataFrame([], schema).columns, bucket]
         marker = self.spark.createDataFrame([(b,) for b in within], f"{bucket} int")
-        full = cut(rows.select(*columns).unionByName(marker, allowMissingColumns=True).repartition(len(within), bucket))
+        full = cut(rows.select(*columns).unionByName(marker, allowMissingColumns=True).hint("rebalance", F.col(bucket)))
         full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(f"{self.path}/{name}")
 
     def _without(self, name: str, gone: DataFrame, keys: list[str], within: list[int]) -> None:

@@ -124,3 +124,18 @@ def test_an_empty_store(spark, tmp_path):
     assert stored(store) == ([], [])
     store.delete(spark.createDataFrame([("k",)], "graph_key string"))
     assert stored(store) == ([], [])
+
+
+def test_a_key_with_most_rows_is_written_by_several_tasks(spark, tmp_path):
+    names = spark.range(0, 60000, 1, 8).select(F.concat(F.lit("n"), F.sha2(F.col("id").cast("string"), 256)).alias("uid"))
+    nodes = names.select("uid", F.lit(0).alias("seq"), F.lit("Method").alias("label"), F.create_map(F.lit("graphKey"), F.lit("one")).alias("props"))
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        store = GraphStore(spark, f"{tmp_path}/store", 4)
+        store.write(nodes, spark.createDataFrame([], "src string, dst string, type string, graph_key string, props map<string,string>"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    stored = store.nodes()
+    assert stored.select("uid").exceptAll(names).isEmpty() and stored.count() == 60000
+    assert stored.select(F.input_file_name()).distinct().count() > 1
