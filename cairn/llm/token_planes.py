@@ -49,6 +49,8 @@ CHUNK_IDS = 1 << 16
 FILE_BYTES = 64 << 20
 #: Words of a generation that a task's process remembers the ids of.
 KNOWN_WORDS = 300_000
+#: New words that are encoded in a row.
+ROW_WORDS = 4096
 
 
 #: Two line breaks and more white space are one unit of the pre-tokenizer, two before a visible character are two.
@@ -71,6 +73,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space or line break
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(("\u0120", "\u010a"))]] = True
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -79,6 +84,21 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space or line break before each: encoded in a row, parted at the tokens that begin with one."""
+        out = []
+        for i in range(0, len(words), ROW_WORDS):
+            some = words[i: i + ROW_WORDS]
+            row = "".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([row], add_special_tokens=False)[0].ids, "<u4")
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) != len(some) or any(a in row for a in self.added):
+                out += self._encode(some)
+                continue
+            packed, places = ids.tobytes(), [*(first * 4).tolist(), 4 * len(ids)]
+            out += [packed[a:b] for a, b in zip(places, places[1:], strict=False)]
+        return out
+
     def _learn(self, parts: list[str]) -> None:
         known, old, tails = self.known, self.old, self.tails
         if len(tails) > KNOWN_WORDS:
@@ -88,6 +108,9 @@ class Encoder:
             if (ids := old.get(p)) is not None:
                 known[p] = ids
                 continue
+            if p.isalnum():
+                whole[p] = " " + p
+                continue
             word = p[1:] if p[:1] == "\n" else p
             if word and not word[0].isspace() and not word[-1].isspace():
                 head = p.rstrip(punctuation)
@@ -101,8 +124,8 @@ class Encoder:
                 else:
                     whole[p] = p if p[0] == "\n" else " " + p
             elif p == "\n":
-                whole[p] = p
-        known.update(zip(whole, self._encode(list(whole.values())), strict=True))
+                known[p] = self._encode([p])[0]
+        known.update(zip(whole, self._encode_words(list(whole.values())), strict=True))
         new = list({t for _, _, t in split} - tails.keys())
         tails.update(zip(new, self._encode(new), strict=True))
         for p, head, tail in split:

@@ -34,6 +34,20 @@ def test_words_encode_as_the_whole_text():
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_new_words_are_encoded_in_rows(monkeypatch):
+    path = tp.public_tokenizers.path("byte_bpe_50k.json")
+    whole = tp.Tokenizer.from_file(path)
+    encode, rows = tp.Encoder(path), []
+    single = encode._encode
+    monkeypatch.setattr(tp, "ROW_WORDS", 7)
+    monkeypatch.setattr(encode, "_encode", lambda texts: rows.append(len(texts)) or single(texts))
+    words = [f"w{i}x\u00e9{i}" for i in range(500)] + ["don't", "a\tb", "x\u00a0y", "\u4e2d\u6587", "1,234.5", "\u0301e", "end\u2028on", "#!", "Q\u0120z"]
+    texts = [" ".join(words), "\n".join(words), " ".join(words[::-1]), f"a {whole.decode([0], skip_special_tokens=False)}b c"]
+    for t, ids in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert sum(rows) < 100  # the first words, tails and what can't be parted
+
+
 def test_planes_round_trip():
     for bits in (False, True):
         for ids in ([0], [1, 2, 3], list(range(0, 70000, 7)), [4294967295, 0]):
