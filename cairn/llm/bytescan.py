@@ -42,8 +42,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE) -> It
 
 
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts, and where each begins (one more entry for the end). Null texts are empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """The bytes of all texts (or binary values), and where each begins (one more entry for the end). Null ones are empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset: column.offset + len(column) + 1]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

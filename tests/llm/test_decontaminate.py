@@ -124,3 +124,34 @@ def test_lookup_has_every_stretch_in_common(monkeypatch):
                     low, high = first[d] + a, first[d] + a + len(near)
                     assert any(f[:2] == (d, i) and items.judged(i, words[f[2]: f[3]]) for f in found), (text, item)
                     assert any(f[:2] == (d, i) and f[2] < high and low < f[3] for f in found)
+
+
+def test_all_documents_fit_the_latent_space(spark, monkeypatch):
+    seen = []
+    known = dc.latent_terms
+    monkeypatch.setattr(dc, "latent_terms", lambda passages, idf: seen.append(passages.count()) or known(passages, idf))
+    docs = spark.createDataFrame([(i, f"a{i % 40} b{i % 7} c{i}") for i in range(3500)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")
+    dc.fitted(docs, bench)
+    assert seen == [3501]
+
+
+def test_gram_product_of_all_passages(spark, monkeypatch):
+    monkeypatch.setattr(dc, "TERM_SLICE", 300)
+    monkeypatch.setattr(dc, "PROJECTED", 3)
+    n, width, rng = 512, dc.STEP * max(dc.WINDOWS), random.Random(11)
+    texts = [" ".join(f"t{min(rng.randrange(90), rng.randrange(90))}" for _ in range(rng.choice([0, 1, 47, 48, 49, 200]))) for _ in range(60)]
+    idf, thin = np.random.default_rng(3).random(n).astype(np.float32), np.random.default_rng(4).standard_normal((n, 5))
+    rows = []
+    for t in texts:
+        words, _ = text_words(pa.array([t]), lower=True)
+        for i in range(0, len(words), width):
+            v = np.bincount(dc._terms(words[i: i + width], n), minlength=n) * idf
+            rows.append(v / np.linalg.norm(v))
+    a = np.array(rows)
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    got = dc._gram_times(dc.term_rows(frame, n), idf, thin)
+    assert np.allclose(got, a.T @ (a @ thin), atol=1e-4)
+    df = dc.document_frequencies(frame, n)
+    want = sum(np.bincount(np.unique(dc._terms(text_words(pa.array([t]), lower=True)[0], n)), minlength=n) for t in texts)
+    assert (df[:-1] == want).all() and df[-1] == 61
