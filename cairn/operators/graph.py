@@ -185,21 +185,23 @@ def dependencies(nodes: DataFrame, edges: DataFrame, reverse: bool = False, sele
 
 
 def node_source(nodes: DataFrame, edges: DataFrame, declares: str = "DECLARES") -> DataFrame:
-    """Where the source of a node is found: its own columns, else its file's, its type's, or that type's file."""
-    def parents(kind):
-        return edges.where(F.col("type") == kind).groupBy(F.col("dst").alias("child")).agg(F.min("src").alias("parent"))
+    """Where the source of a node is found: its own columns, else its file's, its type's, or that type's file.
 
-    files, types = parents(declares), parents("HAS_METHOD")
-    info = nodes.select("uid", "name", "graph_key", "package_name")
-
-    def attach(df, link, on, prefix):
-        renamed = link.select(F.col("child").alias(f"_{prefix}_child"), F.col("parent").alias(f"{prefix}_uid"))
-        cols = info.select(F.col("uid").alias(f"{prefix}_uid"), *[F.col(c).alias(f"{prefix}_{c}") for c in ("name", "graph_key", "package_name")])
-        return df.join(renamed, F.col(on) == F.col(f"_{prefix}_child"), "left").drop(f"_{prefix}_child").join(cols, f"{prefix}_uid", "left")
-
-    out = attach(nodes, files, "uid", "file")
-    out = attach(out, types, "uid", "owner")
-    out = attach(out, files, "owner_uid", "owner_file")
+    What a file or type says is added to the edges from it, so that every join is by the id of a node that edges lead
+    to, never by a parent that most nodes share or lack.
+    """
+    info = nodes.select("uid", F.struct("name", "graph_key", "package_name").alias("says"))
+
+    def parents(kind, heads):
+        links = edges.where(F.col("type") == kind).select(F.col("src").alias("uid"), F.col("dst").alias("child"))
+        says = F.struct(*[c for c in heads.columns if c != "uid"])
+        return links.join(heads, "uid", "left").groupBy("child").agg(F.min_by(says, "uid").alias("_p")).select(F.col("child").alias("uid"), "_p.*")
+
+    files = parents(declares, info).withColumnRenamed("says", "file")
+    # A type without a node of its own may still have a file.
+    types = info.withColumnRenamed("says", "owner").join(files.withColumnRenamed("file", "owner_file"), "uid", "full")
+    out = nodes.join(files, "uid", "left").join(parents("HAS_METHOD", types), "uid", "left")
+    out = out.select("*", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("file", "owner", "owner_file") for c in ("name", "graph_key", "package_name")])
     pick = lambda c: first_text(F.col(c), F.col(f"file_{c}"), F.col(f"owner_{c}"), F.col(f"owner_file_{c}"))
     return out.select(
         "uid", "label", pick("package_name").alias("package_name"),

@@ -1,4 +1,5 @@
 from cairn.operators import source_routes as sr
+from cairn.operators.graph import node_source
 
 NODE = "uid string, label string, name string, props map<string,string>"
 EDGE = "src string, dst string, type string, graph_key string"
@@ -43,3 +44,30 @@ def test_what_is_missing_is_told(spark):
     assert [got[u].missing for u in "abcd"] == ["file", "catalog row", "source", "source"]
     assert got["c"].name == "c" and got["d"].file_name == "D.java" and got["b"].file_name == "B.java"
     assert sources(spark, nodes[:1])["a"].missing == "catalog row"
+
+
+def joins(df):
+    """The joins of a plan without broadcasts, outermost first."""
+    spark = df.sparkSession
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    return [line for line in plan.splitlines() if "Join" in line]
+
+
+def test_texts_are_joined_last(spark):
+    frames = [spark.createDataFrame([], s) for s in (NODE, EDGE, CATALOG, BLOCK)]
+    assert "[source_key" in joins(sr.node_sources(*frames))[0]
+
+
+def test_nodes_are_joined_by_their_own_id_only(spark):
+    nodes = spark.createDataFrame([(u, la, u, "g", p, u) for u, la, p in [("m", "Method", None), ("t", "JavaType", None), ("f", "Package", "p")]],
+                                  "uid string, label string, name string, graph_key string, package_name string, other string")
+    edges = spark.createDataFrame([("f", "t", "DECLARES", "k"), ("t", "m", "HAS_METHOD", "k"), ("f", "gone", "DECLARES", "k"), ("gone", "f", "HAS_METHOD", "k")], EDGE)
+    found = node_source(nodes, edges)
+    assert {r.uid: (r.package_name, r.source_file, r.type_name) for r in found.collect()} == {
+        "m": ("p", "f", "t"), "t": ("p", "f", "t"), "f": ("p", "f", "f")}
+    assert all(line.count("[uid#") == 2 for line in joins(found))
