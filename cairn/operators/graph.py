@@ -98,11 +98,27 @@ def lifted_calls(edges: DataFrame) -> DataFrame:
     return _lifted(edges).distinct()
 
 
-def _lifted(edges: DataFrame) -> DataFrame:
-    owner = owners(edges.where(F.col("type") == "HAS_METHOD"))
+def _lifted(edges: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """Calls by owner; with ``types`` (uid and more columns) only between these, and what they say as src_… and dst_….
+
+    The few owners are chosen before the many calls meet them.
+    """
+    owner, more = owners(edges.where(F.col("type") == "HAS_METHOD")), []
+    if types is not None:
+        more = [c for c in types.columns if c != "uid"]
+        owner = owner.join(types.withColumnRenamed("uid", "owner"), "owner")
     calls = edges.where(F.col("type") == "CALLS").select("src", "dst")
-    from_types = calls.join(owner, F.col("src") == F.col("member")).select(F.col("owner").alias("src"), "dst").distinct()
-    return from_types.join(owner, F.col("dst") == F.col("member")).select("src", F.col("owner").alias("dst"))
+    from_types = calls.join(owner, F.col("src") == F.col("member")).select(
+        F.col("owner").alias("src"), "dst", *[F.col(c).alias(f"src_{c}") for c in more]).distinct()
+    return from_types.join(owner, F.col("dst") == F.col("member")).select(
+        "src", F.col("owner").alias("dst"), *[f"src_{c}" for c in more], *[F.col(c).alias(f"dst_{c}") for c in more])
+
+
+def _between(links: DataFrame, types: DataFrame) -> DataFrame:
+    """Links (src, dst and more) between these types (uid and more columns), with what they say as src_… and dst_…."""
+    for end in ("src", "dst"):
+        links = links.join(types.select(F.col("uid").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in types.columns if c != "uid"]), end)
+    return links
 
 
 def _type_bit(kind: Column) -> Column:
@@ -521,19 +537,13 @@ def container_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def package_scope(nodes: DataFrame, edges: DataFrame, package: str, related: bool = True) -> DataFrame:
     """Links of one package: its types, optionally neighbours outside, statements and tables they reach."""
-    types = nodes.where(F.col("label") == "JavaType")
-    inside = internal_types(nodes).where(package_of(F.col("package_name"), F.lit("")) == package).select("uid", F.lit(True).alias("sel"))
     # External types stay out of the related ones, so only internal ends are considered.
-    candidates = internal_types(nodes).select("uid")
-    direct = edges.where(F.col("type").isin(*TYPE_RELATIONSHIPS)).select("src", "dst", "type")
-    links = direct.unionByName(lifted_calls(edges).withColumn("type", F.lit("CALLS"))).where(F.col("src") != F.col("dst")).distinct()
-    links = links.join(candidates.withColumnRenamed("uid", "src"), "src", "left_semi").join(
-        candidates.withColumnRenamed("uid", "dst"), "dst", "left_semi")
-    flagged = links.join(inside.select(F.col("uid").alias("src"), F.col("sel").alias("src_in")), "src", "left").join(
-        inside.select(F.col("uid").alias("dst"), F.col("sel").alias("dst_in")), "dst", "left")
-    both = F.col("src_in").isNotNull() & F.col("dst_in").isNotNull()
-    one = F.col("src_in").isNotNull() | F.col("dst_in").isNotNull()
-    type_links = flagged.where(one if related else both).select("src", "dst", "type")
+    types = internal_types(nodes).select("uid", (package_of(F.col("package_name"), F.lit("")) == package).alias("in"))
+    inside = types.where("in")
+    direct = _between(edges.where(F.col("type").isin(*TYPE_RELATIONSHIPS)).select("src", "dst", "type"), types)
+    links = direct.unionByName(_lifted(edges, types).withColumn("type", F.lit("CALLS")))
+    wanted = F.col("src_in") | F.col("dst_in") if related else F.col("src_in") & F.col("dst_in")
+    type_links = links.where(wanted).select("src", "dst", "type")
 
     mine = inside.select("uid")
     statements = edges.where(F.col("type") == "HAS_STATEMENT").join(mine.withColumnRenamed("uid", "src"), "src", "left_semi").select("src", "dst", "type")

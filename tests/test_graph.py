@@ -217,3 +217,18 @@ def test_requests_at_one_hub_do_not_each_fetch_all_its_neighbours(spark):
     inside, written = _written(spark, lambda: tr.neighbourhoods_edges(edges, visited).collect())
     assert {(x.request, x.dst) for x in inside} == {(n, m) for n in names for m in around[n] if m != "hub"} and len(inside) == 4 * 600
     assert written < 50_000
+
+
+def test_calls_outside_a_package_leave_before_they_are_gathered(spark):
+    nodes = spark.createDataFrame([(u, "JavaType", x, p) for u, x, p in [("A", False, "p"), ("B", False, "q"), ("C", False, "q"), ("X", True, "p")]]
+                                  + [("T", "DatabaseTable", False, None)], "uid string, label string, external boolean, package_name string")
+    edges = spark.createDataFrame(
+        [(t, f"{t}.m", "HAS_METHOD") for t in "ABCX"]
+        + [(f"{a}.m", f"{b}.m", "CALLS") for a, b in ["AB", "CA", "BC", "AX", "XA", "AA"]]
+        + [("A", "C", "USES"), ("B", "C", "USES"), ("X", "A", "USES")], "src string, dst string, type string")
+    found = g.package_scope(nodes, edges, "p")
+    assert {tuple(r) for r in found.collect()} == {("A", "B", "CALLS"), ("C", "A", "CALLS"), ("A", "C", "USES")}
+    assert {tuple(r) for r in g.package_scope(nodes, edges, "q", related=False).collect()} == {("B", "C", "CALLS"), ("B", "C", "USES")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The types' package is known where calls meet their owners, and is asked there.
+    assert "src_in" in plan and "sel" not in plan
