@@ -15,10 +15,6 @@ from cairn.sources import lake
 from cairn.sources.batches import BatchTable
 from cairn.sources.hash_index import HashIndex
 from cairn.streaming import jobs
-from cairn.streaming.keyed import ExecutionState
-
-#: How long after its last event a key's state is kept, in milliseconds.
-_WEEK = 7 * 24 * 3600 * 1000
 
 
 def _place(spark, name):
@@ -96,8 +92,8 @@ def _executions(spark, sf):
 def execution_state(spark, sf):
     events = _executions(_Streamed(spark, "events"), sf).where(F.col("status") != "NOTED")
     table, checkpoint = _place(spark, "execution")
-    schema = jobs.keyed_log(events, "execution_id", ExecutionState(_WEEK), table, checkpoint, "1 day")
-    now = jobs.latest(table.all(schema), "execution_id")
+    schema = jobs.execution_log(events, table, checkpoint, "7 days", "1 day")
+    now = jobs.executions(table.all(schema))
     return now.withColumn("duration_ms", F.expr("(completed_us - started_us) div 1000"))
 
 

@@ -1,7 +1,7 @@
 """Incremental versions of the pollers and watchers, on Structured Streaming.
 
-State of a job, an execution or a dependency lives in Spark's state store and expires: counters and newest checks
-as aggregates per span of time, executions with a timer each (``keyed``). Other state lives in tables made of one folder per micro-batch, where a batch that is run again overwrites its own
+State of a job, an execution or a dependency lives in Spark's state store and expires, as aggregates per span of time
+(``keyed_log``: with a timer per key). Other state lives in tables made of one folder per micro-batch, where a batch that is run again overwrites its own
 folder, and in the hash index of the inbox. So retries and restarts leave no duplicates.
 """
 
@@ -112,6 +112,34 @@ def last_known(log: DataFrame) -> DataFrame:
     return newest.select("id", "check.status", "check.critical")
 
 
+def execution_spans(events: DataFrame, span: str, delay: str) -> DataFrame:
+    """Start and outcomes per execution and span of a stream of events (execution_id, event_id, status).
+
+    All outcomes of an execution stay: while an earlier start may still arrive, any of them can be the first one after it.
+    """
+    at, started = F.struct(F.unix_micros("ts").alias("us"), "event_id"), F.col("status") == "STARTED"
+    outcome = F.struct(F.unix_micros("ts").alias("us"), "event_id", "status")
+    return in_spans(events, "execution_id", span, delay).agg(
+        F.min(F.when(started, at)).alias("start"), F.collect_set(F.when(~started, outcome)).alias("outcomes"))
+
+
+def executions(log: DataFrame) -> DataFrame:
+    """Executions out of their changelog: the first STARTED, and for good the first outcome after it."""
+    whole = latest(log, "execution_id", "span").groupBy("execution_id").agg(
+        F.min("start").alias("start"), F.flatten(F.collect_list("outcomes")).alias("outcomes"))
+    after = F.array_min(F.filter("outcomes", lambda o: F.struct(o["us"], o["event_id"]) > F.col("start")))
+    return whole.where(F.col("start").isNotNull()).withColumn("_o", after).select(
+        "execution_id", F.coalesce("_o.status", F.lit("STARTED")).alias("status"), F.col("start.us").alias("started_us"), F.col("_o.us").alias("completed_us"))
+
+
+def execution_log(events: DataFrame, table: BatchTable, checkpoint: str, span: str, delay: str) -> StructType:
+    """Run the executions over what is available; the schema of their changelog. They may be too many for the memory."""
+    spans = execution_spans(events, span, delay)
+    with timers_supported(events.sparkSession):
+        changelog(spans, table, checkpoint, "execution_id", "span")
+    return spans.schema
+
+
 def snapshots(summaries: DataFrame, table: BatchTable, checkpoint: str) -> None:
     """Quality summaries as they are evaluated; every change is stored, the last good ones stay."""
     def store(batch: DataFrame, batch_id: int) -> None:
