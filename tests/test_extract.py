@@ -151,3 +151,35 @@ def test_properties_are_put_into_included_fragments(spark):
       <select id="a">SELECT <include refid="outer"><property value='u' name='t'/></include> FROM ${left}</select></mapper>"""
     row = x.mapper_statements(spark.createDataFrame([("p", xml)], "project_id string, content string")).first()
     assert row.sql == "SELECT u.id, z.name AS z ! FROM ${left}" and row.conditions == ["z != null"]
+
+
+def test_heavy_rows_are_dealt_out_without_a_setting(spark):
+    from cairn.session import spread
+
+    setting = spark.conf.get("spark.cairn.scan.partitions")
+    spark.conf.unset("spark.cairn.scan.partitions")
+    try:
+        dealt = spread(spark.range(0, 100, 1, 1))
+    finally:
+        spark.conf.set("spark.cairn.scan.partitions", setting)
+    assert dealt.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_texts_are_not_searched_by_the_tasks_of_the_scan(spark):
+    """A filter moves through projections and the dealing out; it would do the work of the projections there again."""
+    from cairn.operators import extract as x
+    from cairn.session import spread
+
+    def filters(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return [line for line in plan.splitlines() if "Filter" in line]
+
+    files = spread(spark.createDataFrame([("<mapper namespace=\"n\"><select id=\"a\">SELECT 1</select></mapper>",)], "content string"))
+    found = x.mapper_statements(files)
+    assert [r["statement_id"] for r in found.collect()] == ["a"]
+    assert not any("regexp_replace" in f for f in filters(found))
+    replies = spread(spark.createDataFrame([(1, '{"table_name":"a.t"}'), (2, "[")], "id long, text string"))
+    named = x.json_names(x.cut(replies), ("table_name",), False)
+    assert [tuple(r) for r in named.select("id", "name").collect()] == [(1, "a.t")]
+    plan = x.tool_names(replies)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan
