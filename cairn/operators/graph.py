@@ -128,23 +128,47 @@ def _type_bit(kind: Column) -> Column:
     return bit
 
 
-def merged_types(kinds: Column) -> Column:
-    """Sorted set of relationship types in a group: one bit per type of the closed ontology, so the
-    aggregate keeps a number per group, combines map-side and stays in generated code."""
-    bits = F.bit_or(_type_bit(kinds))
+def _merged_bits(kinds: Column) -> Column:
+    """Set of relationship types in a group: one bit per type of the closed ontology, so the aggregate keeps a number
+    per group, combines map-side and stays in generated code."""
+    return F.bit_or(_type_bit(kinds))
+
+
+def _types_of(bits: Column) -> Column:
+    """The sorted types of a set."""
     names = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(1 << i).cast("long").alias("b")) for i, n in sorted(enumerate(MERGED_TYPES), key=lambda x: x[1])])
     return F.transform(F.filter(names, lambda s: bits.bitwiseAND(s["b"]) != 0), lambda s: s["n"])
 
 
-def type_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Merged edges between internal types: no self loops, the sorted set of relationship types."""
+def merged_types(kinds: Column) -> Column:
+    """Sorted set of relationship types in a group."""
+    return _types_of(_merged_bits(kinds))
+
+
+def _linked(edges: DataFrame) -> DataFrame:
+    """Merged links between types of any kind, direct ones and calls: no self loops, the relationship types as ``bits``."""
     direct = edges.where(F.col("type").isin(*TYPE_RELATIONSHIPS)).select("src", "dst", "type")
     lifted = _lifted(edges).select("src", "dst", F.lit("CALLS").alias("type"))
     both = direct.unionByName(lifted).where(F.col("src") != F.col("dst"))
-    merged = both.groupBy("src", "dst").agg(merged_types(F.col("type")).alias("types"))
+    return both.groupBy("src", "dst").agg(_merged_bits(F.col("type")).alias("bits"))
+
+
+def type_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Merged edges between internal types: no self loops, the sorted set of relationship types."""
     types = internal_types(nodes).select("uid")
-    return merged.join(types.withColumnRenamed("uid", "src"), "src", "left_semi").join(
-        types.withColumnRenamed("uid", "dst"), "dst", "left_semi").select("src", "dst", "types")
+    return _linked(edges).join(types.withColumnRenamed("uid", "src"), "src", "left_semi").join(
+        types.withColumnRenamed("uid", "dst"), "dst", "left_semi").select("src", "dst", _types_of(F.col("bits")).alias("types"))
+
+
+def staged_edges(ends: DataFrame, edges: DataFrame) -> DataFrame:
+    """The type edges that lead to no earlier stage; ``ends`` are the internal types with a ``stage`` (uid, stage).
+
+    Owners bring their stage, so a call that leads back or to a type without a stage is dropped before calls are merged.
+    """
+    direct = _between(edges.where(F.col("type").isin(*TYPE_RELATIONSHIPS)).select("src", "dst", "type"), ends)
+    both = direct.unionByName(_lifted(edges, ends).withColumn("type", F.lit("CALLS")))
+    onward = both.where((F.col("src") != F.col("dst")) & (F.col("src_stage") <= F.col("dst_stage")))
+    return onward.groupBy("src", "dst").agg(merged_types(F.col("type")).alias("types"))
 
 
 def table_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -180,11 +204,10 @@ def _with_packages(merged: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def package_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Merged edges per ordered pair of different packages, with the relationship types found on them."""
-    crossing = _with_packages(type_edges(nodes, edges), nodes).where(F.col("src_package") != F.col("dst_package"))
-    counted = crossing.groupBy("src_package", "dst_package", "types").agg(F.count(F.lit(1)).alias("n"))
-    # A few distinct type sets per pair are left.
-    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_set("types"))))
-    return counted.groupBy("src_package", "dst_package").agg(F.sum("n").alias("edge_count"), kinds.alias("types"))
+    # The package's join is also the choice of internal types.
+    crossing = _with_packages(_linked(edges), nodes).where(F.col("src_package") != F.col("dst_package"))
+    merged = crossing.groupBy("src_package", "dst_package").agg(F.count(F.lit(1)).alias("edge_count"), F.bit_or("bits").alias("bits"))
+    return merged.select("src_package", "dst_package", "edge_count", _types_of(F.col("bits")).alias("types"))
 
 
 def dependencies(nodes: DataFrame, edges: DataFrame, reverse: bool = False, selected: str | None = None) -> DataFrame:

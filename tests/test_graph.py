@@ -232,3 +232,16 @@ def test_calls_outside_a_package_leave_before_they_are_gathered(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # The types' package comes with the owners; links aren't joined with the package's types afterwards.
     assert "LeftOuter" not in plan
+
+
+def test_packages_and_stages_meet_the_links_once(spark):
+    nodes, edges = frames(
+        spark, [node("C", layer="Controller", package="a"), node("S", layer="Service", package="b"), node("D", layer="Domain", package="b"),
+                node("X", layer="Service", package="c", external=True), *[node(m, "Method") for m in ("c1", "s1", "d1", "x1")]],
+        [("C", "c1", "HAS_METHOD"), ("S", "s1", "HAS_METHOD"), ("D", "d1", "HAS_METHOD"), ("X", "x1", "HAS_METHOD"), ("c1", "s1", "CALLS"),
+         ("s1", "c1", "CALLS"), ("c1", "d1", "CALLS"), ("c1", "x1", "CALLS"), ("C", "S", "USES"), ("C", "D", "USES"), ("C", "C", "USES")])
+    matrix = g.package_matrix(nodes, edges)
+    assert {tuple(r)[:3]: r["types"] for r in matrix.collect()} == {("a", "b", 2): ["CALLS", "USES"], ("b", "a", 1): ["CALLS"]}
+    assert matrix._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 4  # the owners of both ends, the packages of both
+    _, flow = tr.layer_flow(nodes, edges)
+    assert [tuple(r) for r in flow.collect()] == [("C", "S", "CALLS, USES")]
