@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cairn.functions.text import clamp, non_blank
-from cairn.operators.graph import RELATIONSHIP_TYPES, internal_types, role, table_edges, type_edges
+from cairn.operators.graph import RELATIONSHIP_TYPES, internal_types, role, staged_edges, table_edges
 from cairn.session import cut
 
 # Limits of a neighbourhood, the relationships it may follow, stages of the layer flow.
@@ -153,12 +153,12 @@ def layer_flow(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
         stage = F.when(kind == name, value).otherwise(stage)
     staged = cut(nodes.select("uid", "label", "name", "external", kind.alias("role"), stage.alias("stage")).where(F.col("stage").isNotNull()))
     ends = staged.select("uid", "stage")
-    pairs = type_edges(nodes, edges).unionByName(table_edges(nodes, edges))
-    flow = (
-        pairs.join(ends.select(F.col("uid").alias("src"), F.col("stage").alias("src_stage")), "src")
+    to_tables = (
+        table_edges(nodes, edges).join(ends.select(F.col("uid").alias("src"), F.col("stage").alias("src_stage")), "src")
         .join(ends.select(F.col("uid").alias("dst"), F.col("stage").alias("dst_stage")), "dst")
         .where((F.col("src_stage") <= F.col("dst_stage")) & (F.col("src") != F.col("dst")))
     )
+    flow = staged_edges(internal_types(staged).select("uid", "stage"), edges).unionByName(to_tables.select("src", "dst", "types"))
     # A pair can be a type and a table edge only for different node kinds, so pairs stay unique.
     flow = cut(flow.select("src", "dst", F.array_join("types", ", ").alias("types")))
     controllers = internal_types(staged).where(F.col("role") == "Controller").select("uid")
