@@ -398,16 +398,20 @@ def java_file_count(nodes: DataFrame) -> DataFrame:
 def merge_nodes(observed: DataFrame) -> DataFrame:
     """Observations (uid, seq, label, name, external, props) of one node merged into it.
 
-    Later property values, names and external flags win, the first label stays.
-    Values are reduced per (uid, key) before a node's map is rebuilt, so the rebuilt map holds each key once.
+    Later property values, names and external flags win, the first label stays. The observations are gone through once:
+    values are reduced per (uid, key) before a node's map is rebuilt, so the rebuilt map holds each key once, and the
+    first property of an observation, or an empty one, brings what isn't a property.
     """
-    heads = observed.groupBy("uid").agg(
-        F.min_by("label", "seq").alias("label"), F.max_by("name", "seq").alias("name"), F.max_by("external", "seq").alias("external"))
-    values = (
-        observed.select("uid", "seq", F.explode("props")).groupBy("uid", "key").agg(F.max_by("value", "seq").alias("value"))
-        .groupBy("uid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("props"))
-    )
-    return heads.join(values, "uid", "left")
+    rows = observed.select("uid", "seq", "label", "name", "external", F.posexplode_outer("props"))
+    at = F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("seq"))
+    values = rows.groupBy("uid", "key").agg(
+        F.max_by("value", "seq").alias("value"), F.min_by("label", at).alias("label"), F.min(at).alias("since"),
+        F.max_by(F.struct("name", "external"), at).alias("said"), F.max(at).alias("until"))
+    merged = values.groupBy("uid").agg(
+        F.min_by("label", "since").alias("label"), F.max_by("said", "until").alias("said"),
+        F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value"))).alias("entries"))
+    props = F.when(F.size("entries") > 0, F.map_from_entries(F.sort_array("entries")))
+    return merged.select("uid", "label", "said.name", "said.external", props.alias("props"))
 
 
 def merge_edges(observed: DataFrame) -> DataFrame:

@@ -118,6 +118,26 @@ def test_packages(spark):
     assert tree["com"] == 3 and tree["com.acme.shop.order"] == 2 and tree["(default package)"] == 1
 
 
+def test_node_merge_goes_through_the_observations_once(spark):
+    obs = spark.createDataFrame(
+        [("n", 2, "B", "b", True, {}), ("n", 1, "A", None, False, {"a": "1", "b": "1"}), ("n", 3, None, "c", None, {"b": None}),
+         ("none", 1, None, "x", False, None), ("none", 2, "L", None, True, {}), (None, 1, "N", "n", False, {"a": "9"})],
+        "uid string, seq int, label string, name string, external boolean, props map<string,string>")
+    merged = g.merge_nodes(obs)
+    assert {r.uid: tuple(r)[1:] for r in merged.collect()} == {
+        "n": ("A", "c", None, {"a": "1", "b": None}), "none": (None, None, True, None), None: ("N", "n", False, {"a": "9"})}
+    plan = g.merge_nodes(obs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("ExistingRDD") == 1
+
+
+def test_observations_of_a_part_come_together_before_they_are_sorted(spark):
+    from cairn.plans.graph import merged_nodes
+
+    plan = merged_nodes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("REBALANCE_PARTITIONS_BY_COL") == 1
+    assert plan.index("REBALANCE_PARTITIONS_BY_COL") > plan.rindex("Sort [")
+
+
 def test_node_merge_and_rules(spark):
     obs = spark.createDataFrame(
         [("n", 1, "JavaType", "old", True, {"a": "1", "b": "1"}), ("n", 2, "Other", "new", False, {"b": "2"}), ("n", 3, "Other", "newest", True, {"c": "3"})],
