@@ -25,6 +25,11 @@ def _tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, "\\s+"), lambda t: t != ""))
 
 
+def _odd_tokens(text: Column) -> Column:
+    """Tokens with more than letters and digits: found by one expression, others are passed over."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?:^|\\s)([a-z0-9_]*+[^a-z0-9_\\s]\\S*+)"), F.lit(1)))
+
+
 def _grams(text: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
 
@@ -69,12 +74,17 @@ def whole_word_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """
     pattern = F.concat(F.lit(f"(?<!{WORD})\\Q"), F.replace("name", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?!{WORD})"))
     one_word = F.rlike("name", F.lit(f"^{WORD}+$"))
-    words = cut(texts.select("id", F.explode(_words(F.col("text"))).alias("word")))
+    # Written once, so that their size is known when they are joined with the words of all texts.
+    names = cut(names.select("name"))
+    spread = ~_one_part(F.col("name"))
+    asked = cut(names.where(one_word | spread).select(F.explode(_words(F.col("name"))).alias("word")).distinct())
+
+    # Of the words, only those that some name has go further.
+    words = cut(texts.select("id", F.explode(_words(F.col("text"))).alias("word")).join(asked, "word", "left_semi"))
     whole = words.join(names.where(one_word).withColumnRenamed("name", "word"), "word").select("id", F.col("word").alias("name"))
 
     # Other names without white space lie within one token, which has more than letters and digits.
-    odd = cut(texts.select("id", F.explode(F.filter(_tokens(F.col("text")), lambda t: F.rlike(t, F.lit("[^a-z0-9_]")))).alias("token")))
-    spread = ~_one_part(F.col("name"))
+    odd = cut(texts.select("id", F.explode(_odd_tokens(F.col("text"))).alias("token")))
     single = names.where(~one_word & ~spread)
     wordless = names.where(spread & ~F.rlike("name", F.lit(WORD))).withColumn("part", _longest_part(F.col("name")))
     parts = single.select(F.col("name").alias("part")).unionByName(wordless.select("part")).distinct()

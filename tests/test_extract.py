@@ -1,5 +1,6 @@
 from cairn.operators import extract as x
 from cairn.operators import mentions
+from cairn.session import cut
 
 
 def test_mapper_statements(spark):
@@ -183,3 +184,28 @@ def test_texts_are_not_searched_by_the_tasks_of_the_scan(spark):
     assert [tuple(r) for r in named.select("id", "name").collect()] == [(1, "a.t")]
     plan = x.tool_names(replies)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" not in plan
+
+
+def test_only_words_that_a_name_has_are_written(spark, monkeypatch):
+    written = []
+
+    def seen(df):
+        written.append(out := cut(df))
+        return out
+
+    monkeypatch.setattr(mentions, "cut", seen)
+    texts = spark.createDataFrame([(i, f"plain words and ada, x{i} _ b-c [ada] big\u00a0one ad\u00e9\tbig table\n(x") for i in range(20)] + [(99, None), (98, "")], "id long, text string")
+    names = spark.createDataFrame([("ada",), ("b-c",), ("ad\u00e9",), ("big table",), ("x",), ("nowhere else",)], "name string")
+    got = mentions.whole_word_mentions(texts, names).collect()
+    assert sorted((r.id, r.name) for r in got) == sorted((i, n) for i in range(20) for n in ("ada", "b-c", "ad\u00e9", "big table", "x"))
+    words = [r.word for df in written if "word" in df.columns and "id" in df.columns for r in df.collect()]
+    assert set(words) == {"ada", "big", "table", "x"}
+    odd = [r.token for df in written if df.columns == ["id", "token"] for r in df.where("id = 3").collect()]
+    assert sorted(odd) == sorted(["ada,", "b-c", "[ada]", "big\u00a0one", "ad\u00e9", "(x"])
+
+
+def test_tables_given_twice_take_one_place(spark):
+    prompts = spark.createDataFrame([(1, "t4 t3 t2 t1"), (2, "xt4x xt2x")], "prompt_id long, text string")
+    tables = spark.createDataFrame([(f"app.t{i}", i) for i in (1, 2, 2, 3, 4, 4)], "table_name string, ordinal int")
+    got = sorted((r.prompt_id, r.table_name, r.kind) for r in x.match_tables(prompts, tables).collect())
+    assert got == [(1, "app.t1", "word"), (1, "app.t2", "word"), (1, "app.t3", "word"), (2, "app.t2", "contains"), (2, "app.t4", "contains")]
