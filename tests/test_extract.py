@@ -209,3 +209,11 @@ def test_tables_given_twice_take_one_place(spark):
     tables = spark.createDataFrame([(f"app.t{i}", i) for i in (1, 2, 2, 3, 4, 4)], "table_name string, ordinal int")
     got = sorted((r.prompt_id, r.table_name, r.kind) for r in x.match_tables(prompts, tables).collect())
     assert got == [(1, "app.t1", "word"), (1, "app.t2", "word"), (1, "app.t3", "word"), (2, "app.t2", "contains"), (2, "app.t4", "contains")]
+
+
+def test_rows_beyond_the_limit_are_left_out_before_they_are_sent(spark):
+    rows = spark.createDataFrame([(1, "b", 2), (1, "b", 2), (1, "a", 2), (1, "c", 3), (1, "d", None), (1, "d", None), (2, "c", 3), (2, "c", 3)], "k int, table_name string, ordinal int")
+    first = x._first_distinct(rows, "k", 3)
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("WindowGroupLimit") > plan.rindex("Exchange hashpartitioning")
+    assert sorted((r.k, r.table_name) for r in first.collect()) == [(1, "a"), (1, "b"), (1, "d"), (2, "c")]
