@@ -104,3 +104,10 @@ def test_names_in_json_replies(spark):
             continue  # no JSON: what its line says is another rule's affair
         assert [t for t in got[i].tables] == tables or set(got[i].tables) == set(tables), (text, got[i].tables)
         assert [c for c in got[i].columns if not c.startswith(("[", "{", '"'))] == columns, (text, got[i].columns)
+
+
+def test_all_table_names_of_a_reply(spark):
+    names = [f"app.orders_{i:02d}" for i in range(40)]
+    replies = ["[" + ",".join(f'"{n}"' for n in names) + "]", "\n".join(f"{n}: rows of {n}" for n in names), "| " + " | ".join(names) + " |", " ".join(f"table={n};" for n in names)]
+    got = {r.id: r.tables for r in extract.tool_names(spark.createDataFrame(list(enumerate(replies)), "id int, text string")).collect()}
+    assert got == {i: names for i in range(len(replies))}
