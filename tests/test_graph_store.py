@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from cairn import session
 from cairn.operators import graph as g
 from cairn.sources.graph_store import EDGES, GraphStore
 
@@ -139,3 +140,48 @@ def test_a_key_with_most_rows_is_written_by_several_tasks(spark, tmp_path):
     stored = store.nodes()
     assert stored.select("uid").exceptAll(names).isEmpty() and stored.count() == 60000
     assert stored.select(F.input_file_name()).distinct().count() > 1
+
+
+def size(path):
+    return sum(os.stat(f"{d}/{f}").st_size for d, _, names in os.walk(path) for f in names)
+
+
+def test_what_a_call_writes_on_its_way_is_removed(spark, tmp_path, monkeypatch):
+    """Edges lie on the disk twice at most at a time: while they are merged, and as they are stored."""
+    most = []
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"{tmp_path}/shared")
+    names = spark.range(0, 20000, 1, 4).select(F.sha2(F.col("id").cast("string"), 256).alias("uid"), (F.col("id") % 7).cast("string").alias("key"))
+    nodes = names.select("uid", F.lit(0).alias("seq"), F.lit("Method").alias("label"), F.create_map(F.lit("graphKey"), "key").alias("props"))
+    edges = names.select(F.col("uid").alias("src"), F.sha2(F.lit("0"), 256).alias("dst"), F.lit("CALLS").alias("type"), F.col("key").alias("graph_key"),
+                         F.lit(None).cast("map<string,string>").alias("props"))
+
+    class Seen(GraphStore):
+        def _replace(self, name, rows, within):
+            super()._replace(name, rows, within)
+            most.append((size(tmp_path / "shared") + size(tmp_path / "store"), size(tmp_path / "store")))
+
+    store = Seen(spark, f"{tmp_path}/store", 4)
+    store.write(nodes, edges)
+    assert size(tmp_path / "shared") == 0 and max(m for m, _ in most) < 2.5 * most[-1][1]
+    full = most[-1][1]
+    store.delete(spark.createDataFrame([(str(k),) for k in range(6)], "graph_key string"))
+    assert size(tmp_path / "shared") == 0 and max(m for m, _ in most) < 2.5 * full
+    gone = names.where("key < 6 AND uid <> sha2('0', 256)").select("uid")
+    assert store.edges().count() == names.where("key = 6").count() == store.nodes().count() - 1
+    assert store.nodes().join(gone, "uid", "left_semi").isEmpty()
+
+
+def test_missing_ends_and_edges_of_other_keys(spark, tmp_path):
+    store = GraphStore(spark, f"{tmp_path}/store", 4)
+    nodes = [("f", "SourceFile", "k1"), ("t", "JavaType", "k2"), ("u", "JavaType", "k2"), ("m", "Method", "k2")]
+    edges = [("f", "t", "DECLARES", "k2"), ("f", "m", "DECLARES", None), ("t", "u", "USES", "k2"), ("t", "t", "CALLS", "k2"), ("t", "gone", "USES", "k2"), (None, "t", "USES", "k2")]
+    store.write(*frames(spark, nodes, edges))
+    for _ in range(2):
+        got = {(r.src, r.dst, r.type, r.graph_key) for r in store.edges().collect()}
+        assert got == set(edges[:4]) and store.edges().count() == 4
+        assert {(r.uid, r.graph_key): r.n for r in store._table("ends").collect()} == {
+            ("f", "k2"): 1, ("t", "k2"): 3, ("u", "k2"): 1, ("f", None): 1, ("m", None): 1}
+        store.write(*frames(spark, nodes, edges[:4]))
+    store.delete(spark.createDataFrame([("k1",)], "graph_key string"))
+    assert stored(store) == ([("t", "JavaType", "k2"), ("u", "JavaType", "k2")], [("t", "t", "CALLS", "k2"), ("t", "u", "USES", "k2")])
+    assert {(r.uid, r.graph_key): r.n for r in store._table("ends").collect()} == {("t", "k2"): 2, ("u", "k2"): 1}
